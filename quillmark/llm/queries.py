@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm.bpe import round_trip
 from quillmark.llm.common import table
 from quillmark.llm.packing import pack
+from quillmark.llm.simhash import near_duplicates
+from quillmark.llm.transport import media_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +20,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing}
+    return {f.__name__: f for f in (op1_packing, op4_bpe, op5_simhash, op8_media)}
 
 
 def oracle_sql() -> dict[str, str]:
