@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -162,11 +163,17 @@ class WordEncoder:
                         yield np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process: its tasks share the words remembered."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """Cut each document's ids (its text's, then `end_id`) into full windows and one rest: one row for each piece."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: list[tuple[int | None, int, int, int, int]] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
