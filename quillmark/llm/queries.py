@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.bpe import round_trip
 from quillmark.llm.common import table
+from quillmark.llm.language import identify
 from quillmark.llm.packing import pack
 from quillmark.llm.simhash import near_duplicates
+from quillmark.llm.toxicity import classify
 from quillmark.llm.transport import media_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,12 +34,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_bpe, op5_simhash, op8_media)}
+    return {f.__name__: f for f in (op1_packing, op2_language, op4_bpe, op5_simhash, op6_toxicity, op8_media)}
 
 
 def oracle_sql() -> dict[str, str]:
