@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.bpe import round_trip
 from quillmark.llm.common import table
+from quillmark.llm.fingerprints import compare
 from quillmark.llm.language import identify
 from quillmark.llm.packing import pack
+from quillmark.llm.sharding import shard
 from quillmark.llm.simhash import near_duplicates
 from quillmark.llm.toxicity import classify
 from quillmark.llm.transport import media_columns
+from quillmark.llm.urls import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The rules that the url query is asked for.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
@@ -26,6 +32,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,12 +48,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_language, op4_bpe, op5_simhash, op6_toxicity, op8_media)}
+    return {f.__name__: f for f in (op1_packing, op2_language, op3_sharding, op4_bpe, op5_simhash, op6_toxicity, op7_urls, op8_media, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,9 +66,9 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20_240_229).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
-def near(fps: np.ndarray, radius: int) -> np.ndarray:
+def near(fps: np.ndarray, radius: int, n_pivots: int = PIVOTS) -> np.ndarray:
     """For different fingerprints (uint64): the index of the least member of each one's component at this radius."""
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+    table = np.bitwise_count(fps[:, None] ^ pivots(n_pivots)[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
     stops = np.searchsorted(first, first + radius, side="right")
@@ -126,7 +126,7 @@ def keyed(fps: DataFrame, tables: dict[int, list[int]], table: Column | None = N
     return fps.select("fp", F.explode(entries).alias("e")).select("fp", "e.t", "e.k")
 
 
-def forest(groups: DataFrame, radius: int) -> DataFrame:
+def forest(groups: DataFrame, radius: int, n_pivots: int = PIVOTS) -> DataFrame:
     """groups (fps array<long>): edges (a, b) of a spanning forest of each group's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def forest(groups: DataFrame, radius: int) -> DataFrame:
             a, b = [x[keep]], [y[keep]]
             for at, n in zip(offsets[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 fps = np.unique(flat[at : at + n])
-                label = near(fps, radius)
+                label = near(fps, radius, n_pivots)
                 moved = np.flatnonzero(label != np.arange(len(fps)))
                 a.append(fps[moved])
                 b.append(fps[label[moved]])
@@ -149,8 +149,10 @@ def forest(groups: DataFrame, radius: int) -> DataFrame:
     return groups.select("fps").mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """fps (fp long, all different): edges (a, b) whose components are those of all pairs within the radius."""
+def links(fps: DataFrame, radius: int = 3, pivoted: bool = True) -> DataFrame:
+    """fps (fp long, all different): edges (a, b) whose components are those of all pairs within the radius.
+
+    Unless `pivoted`, one reference fingerprint only orders a group's members before their distances are taken."""
     tables = {0: first_tables(radius)}
     rows, out = keyed(fps, tables), None
     while True:
@@ -159,7 +161,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         again = [m for m in masks if BITS - m.bit_count() > FEW_BITS]
         meeting = rows.join(counts, ["t", "k"])
         large = (F.col("n") > LARGEST) & F.col("t").isin([signed(m) for m in again]) if again else F.lit(False)
-        found = cut(forest(meeting.filter(~large).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")), radius).distinct())
+        found = cut(forest(meeting.filter(~large).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")), radius, PIVOTS if pivoted else 1).distinct())
         out = found if out is None else out.union(found)
         if not again:
             return out
