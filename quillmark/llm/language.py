@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,35 @@ def fit(docs: DataFrame, held_out: tuple[int, int] | None = (3, 1)) -> Model | N
     return learn(texts_of(docs, sampled(rows, "lang", PER_LANGUAGE), "lang", CHARACTERS))
 
 
+def best(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text; `und` and 0 without letters or model."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    judged = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    for i in range(0, len(judged), TEXTS_AT_ONCE):
+        some = judged[i : i + TEXTS_AT_ONCE]
+        s = model.scores([texts[j] for j in some]).astype(np.float64) * SHARPNESS
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for j, top, row in zip(some, p.argmax(axis=1).tolist(), p):
+            lang[j], score[j] = model.languages[top], float(row[top])
+    return lang, score
+
+
+def kept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, all columns, that have a letter and whose language scores `least` at least (any, if nothing
+    was learnt)."""
+    ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(text: pd.Series) -> pd.Series:
+        texts = text.tolist()
+        score = best(shared.value, texts)[1]
+        return pd.Series([has_letter(t) and (shared.value is None or s >= least) for t, s in zip(texts, score)])
+
+    return docs.filter(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of each row of docs (columns doc_id, text; others are ignored).
 
@@ -100,18 +130,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: landmarks and their n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            judged = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-            for i in range(0, len(judged), TEXTS_AT_ONCE):
-                some = judged[i : i + TEXTS_AT_ONCE]
-                s = m.scores([texts[j] for j in some]).astype(np.float64) * SHARPNESS
-                p = np.exp(s - s.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                for j, best, row in zip(some, p.argmax(axis=1).tolist(), p):
-                    lang[j], score[j] = m.languages[best], float(row[best])
+            lang, score = best(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

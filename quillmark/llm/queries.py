@@ -14,6 +14,7 @@ from quillmark.llm.language import identify
 from quillmark.llm.packing import pack
 from quillmark.llm.sharding import shard
 from quillmark.llm.simhash import near_duplicates
+from quillmark.llm.substrings import repeats
 from quillmark.llm.toxicity import classify
 from quillmark.llm.transport import media_columns
 from quillmark.llm.urls import judge
@@ -56,12 +57,16 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_language, op3_sharding, op4_bpe, op5_simhash, op6_toxicity, op7_urls, op8_media, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_language, op3_sharding, op4_bpe, op5_simhash, op6_toxicity, op7_urls, op8_media, op9_substrings, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

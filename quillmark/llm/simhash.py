@@ -29,6 +29,10 @@ BITS, SEED = 64, 42
 #: Fingerprints of a group that one task compares; rows compared at a time; bits below which a group is no longer dealt anew.
 LARGEST, ROWS_AT_ONCE, FEW_BITS = 4096, 256, 16
 PIVOTS = 16
+#: Rows of a list that is sent to every executor at most; a larger one is joined by id.
+LISTED = 500_000
+#: Groups up to this size are compared many at a time, with fewer pivots.
+SMALL, FEW_PIVOTS = 32, 4
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -66,36 +70,47 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20_240_229).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of linked pairs: label[i] becomes the least member of i's component."""
+    while len(a):
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def survivors(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that no coordinate of the pivot table discards and that are within the radius."""
+    for p in range(table.shape[1]):
+        keep = np.abs(table[a, p] - table[b, p]) <= radius
+        a, b = a[keep], b[keep]
+    keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    return a[keep], b[keep]
+
+
+def partners(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row of `first` with the n rows after it."""
+    a = np.repeat(first, n)
+    return a, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a + 1
+
+
 def near(fps: np.ndarray, radius: int, n_pivots: int = PIVOTS) -> np.ndarray:
     """For different fingerprints (uint64): the index of the least member of each one's component at this radius."""
     table = np.bitwise_count(fps[:, None] ^ pivots(n_pivots)[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
-    first = table[order, 0]
-    stops = np.searchsorted(first, first + radius, side="right")
+    fps, table = fps[order], table[order]
+    stops = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
     label = np.arange(len(fps))
     for i in range(0, len(fps), ROWS_AT_ONCE):
         rows = np.arange(i, min(i + ROWS_AT_ONCE, len(fps)))
-        n = stops[rows] - rows - 1  # candidates follow in the order of the first coordinate
-        a = np.repeat(rows, n)
-        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a + 1
-        a, b = order[a], order[b]
-        for p in range(1, table.shape[1]):
-            if not len(a):
-                break
-            keep = np.abs(table[a, p] - table[b, p]) <= radius
-            a, b = a[keep], b[keep]
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        a, b = a[keep], b[keep]
-        while len(a):  # join the components of verified pairs
-            la, lb = label[a], label[b]
-            low = np.minimum(la, lb)
-            if (la == lb).all():
-                break
-            np.minimum.at(label, la, low)
-            np.minimum.at(label, lb, low)
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+        joined(label, *survivors(fps, table, *partners(rows, stops[rows] - rows - 1), radius))
+    out = np.empty(len(fps), dtype=np.int64)
+    out[order] = order[label]
+    return out
 
 
 def signed(x: int) -> int:
@@ -132,19 +147,22 @@ def forest(groups: DataFrame, radius: int, n_pivots: int = PIVOTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
             sizes = np.diff(offsets)
-            two = offsets[:-1][sizes == 2]
-            x, y = flat[two], flat[two + 1]
-            keep = np.bitwise_count(x ^ y) <= radius
-            a, b = [x[keep]], [y[keep]]
-            for at, n in zip(offsets[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                fps = np.unique(flat[at : at + n])
-                label = near(fps, radius, n_pivots)
-                moved = np.flatnonzero(label != np.arange(len(fps)))
-                a.append(fps[moved])
-                b.append(fps[label[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], ["a", "b"])
+            label = np.arange(len(flat))
+            # small groups all at once: each member with those after it
+            end = np.repeat(np.where(sizes <= SMALL, offsets[1:], offsets[:-1]), sizes)
+            rows = np.flatnonzero(end > label + 1)
+            table = np.bitwise_count(flat[:, None] ^ pivots(min(n_pivots, FEW_PIVOTS))[None, :]).astype(np.int8)
+            for i in range(0, len(rows), 65_536):
+                some = rows[i : i + 65_536]
+                joined(label, *survivors(flat, table, *partners(some, end[some] - some - 1), radius))
+            for at, n in zip(offsets[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                label[at : at + n] = at + near(flat[at : at + n], radius, n_pivots)
+            moved = np.flatnonzero(label != np.arange(len(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[c].view(np.int64)) for c in (moved, label[moved])], ["a", "b"])
 
     return groups.select("fps").mapInArrow(run, "a long, b long")
 
@@ -184,3 +202,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, all columns, without the near duplicates: of each component the row of the least doc_id stays,
+    one row if that id is repeated. Rows without id can't be named, so all of them stay."""
+    found = near_duplicates(docs, words, radius)
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    rest = docs.join(F.broadcast(gone) if gone.count() <= LISTED else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    repeated = cut(rest.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null"))
+    again = rest.join(F.broadcast(repeated) if repeated.count() <= LISTED else repeated, "doc_id", "left").filter("_n is not null").drop("_n")
+    once = rest.join(F.broadcast(repeated.select(F.col("doc_id").alias("_of"))) if repeated.count() <= LISTED else repeated.select(F.col("doc_id").alias("_of")), F.col("doc_id") == F.col("_of"), "left_anti")
+    return once.unionByName(again.dropDuplicates(["doc_id"]).select(*docs.columns))

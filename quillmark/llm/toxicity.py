@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,18 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return text.map(shared.value.score)
+
+    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels outside the held-out fold and score all of docs: doc_id, held_out, score, predicted."""
     return predict(docs, fit(docs, labels)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
