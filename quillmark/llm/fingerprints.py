@@ -66,9 +66,10 @@ def search(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFrame:
     matches themselves; to group a whole table, `grouped` avoids listing them.
     """
     tables = {0: first_tables(radius)}
-    own = keyed(queries, tables).withColumnRenamed("fp", "query")
+    start = F.lit(0).cast("long")
+    own = keyed(queries.withColumn("t", start), tables).withColumnRenamed("fp", "query")
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
-    return own.join(keyed(fps, tables), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
+    return own.join(keyed(fps.withColumn("t", start), tables), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
 
 
 def grouped(rows: DataFrame, radius: int) -> DataFrame:

@@ -8,7 +8,8 @@ A pivot table alone gives no key to deal pairs by, and comparing all with all do
 brought together by agreement: of radius + 2 slices of the bits two at least agree. Groups above LARGEST are dealt anew
 by further agreeing bits (of radius + 1 parts of those that may still differ, one at least agrees), until they are
 small or so few bits are left that the number of different fingerprints is bounded. No pair is lost, no group is
-expanded into all its pairs: a group yields the edges of a spanning forest.
+expanded into all its pairs: a group yields the edges of a spanning forest. What is still large then is compared part
+by part, in memory that LARGEST bounds.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, ready
@@ -28,6 +29,8 @@ from quillmark.llm.components import components
 BITS, SEED = 64, 42
 #: Fingerprints of a group that one task compares; rows compared at a time; bits below which a group is no longer dealt anew.
 LARGEST, ROWS_AT_ONCE, FEW_BITS = 4096, 256, 16
+#: Times that large groups are dealt anew at most.
+DEPTH = 3
 PIVOTS = 16
 #: Rows of a list that is sent to every executor at most; a larger one is joined by id.
 LISTED = 500_000
@@ -131,14 +134,11 @@ def next_tables(mask: int, radius: int) -> list[int]:
     return [mask | s for s in slices([b for b in range(BITS) if not mask >> b & 1], radius + 1) if s]
 
 
-def keyed(fps: DataFrame, tables: dict[int, list[int]], table: Column | None = None) -> DataFrame:
-    """Each fp under each mask: (fp, t, k). With `table`, the masks are those that follow from the row's own mask."""
-    choice = lambda masks: F.array(*[F.struct(F.lit(signed(m)).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("k")) for m in masks])
-    if table is None:
-        entries = choice(tables[0])
-    else:
-        entries = F.coalesce(*[F.when(table == F.lit(signed(m)), choice(masks)) for m, masks in tables.items()])
-    return fps.select("fp", F.explode(entries).alias("e")).select("fp", "e.t", "e.k")
+def keyed(rows: DataFrame, tables: dict[int, list[int]]) -> DataFrame:
+    """rows (fp, t) under the masks that follow from mask t: (fp, t, k), k being the bits under the new mask t. The
+    masks are a table of a size that the radius and the depth bound, so the plan does not grow with them."""
+    pairs = rows.sparkSession.createDataFrame([(signed(t), signed(m)) for t, masks in tables.items() for m in masks], "t long, m long")
+    return rows.join(F.broadcast(pairs), "t").select("fp", F.col("m").alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("k"))
 
 
 def forest(groups: DataFrame, radius: int, n_pivots: int = PIVOTS) -> DataFrame:
@@ -171,20 +171,24 @@ def links(fps: DataFrame, radius: int = 3, pivoted: bool = True) -> DataFrame:
     """fps (fp long, all different): edges (a, b) whose components are those of all pairs within the radius.
 
     Unless `pivoted`, one reference fingerprint only orders a group's members before their distances are taken."""
-    tables = {0: first_tables(radius)}
-    rows, out = keyed(fps, tables), None
-    while True:
+    rows, tables, out = keyed(fps.withColumn("t", F.lit(0).cast("long")), {0: first_tables(radius)}), {}, None
+    for depth in range(DEPTH + 1):
         counts = cut(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
-        masks = [r["t"] % (1 << 64) for r in counts.filter(F.col("n") > LARGEST).select("t").distinct().collect()]  # as many as there are masks
-        again = [m for m in masks if BITS - m.bit_count() > FEW_BITS]
+        again = (F.col("n") > LARGEST) & (F.bit_count("t") < BITS - FEW_BITS) if depth < DEPTH else F.lit(False)
+        masks = [r["t"] % (1 << 64) for r in counts.filter(again).select("t").distinct().collect()]  # as many as there are masks at most
         meeting = rows.join(counts, ["t", "k"])
-        large = (F.col("n") > LARGEST) & F.col("t").isin([signed(m) for m in again]) if again else F.lit(False)
-        found = cut(forest(meeting.filter(~large).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")), radius, PIVOTS if pivoted else 1).distinct())
+        # what is still large is compared in cells of two parts each
+        parts = F.ceil(F.col("n") * 2 / LARGEST).cast("int")
+        own = F.pmod(F.hash("fp"), parts)
+        cells = F.when(F.col("n") <= LARGEST, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
+        groups = meeting.filter(~again).select("fp", "t", "k", F.explode(cells).alias("cell")).groupBy("t", "k", "cell").agg(F.collect_list("fp").alias("fps"))
+        found = cut(forest(groups.filter(F.size("fps") > 1), radius, PIVOTS if pivoted else 1).distinct())
         out = found if out is None else out.union(found)
-        if not again:
-            return out
-        tables = {m: next_tables(m, radius) for m in again}
-        rows = cut(keyed(meeting.filter(large).select("fp", "t"), tables, F.col("t")).distinct())
+        if not masks:
+            break
+        tables = {m: next_tables(m, radius) for m in masks}
+        rows = cut(keyed(meeting.filter(again).select("fp", "t"), tables).distinct())
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
