@@ -31,7 +31,7 @@ from quillmark.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 3
 PARAGRAPH, WINDOW, STRIDE = 50, 24, 16
-#: Paragraphs of a band's group that are compared in one task; rows of a list that is sent to every executor at most.
+#: Paragraphs of a band's group that are compared in one task; entries of a list that is sent to every executor at most.
 LARGEST, LISTED = 1024, 200_000
 WORD = re.compile(rb"[^\x09-\x0d\x20]+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -188,7 +188,7 @@ def alike(sets: list[np.ndarray], ids: np.ndarray, threshold: float) -> list[tup
 
 
 def _beside(docs: DataFrame, by_doc: DataFrame, n: int) -> DataFrame:
-    """docs with the row of by_doc of the same id, if any: sent to the executors if it has few rows, else joined."""
+    """docs with the row of by_doc of the same id, if any: sent to the executors if its n entries are few, else joined."""
     return docs.join(F.broadcast(by_doc) if n <= LISTED else by_doc, "doc_id", "left")
 
 
@@ -220,7 +220,8 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
                         out[h] = np.unique(own).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["hash", "shingles"])
 
-    texts = _beside(docs, wanted, wanted.count()).filter("hashes is not null").select("text", "hashes")
+    listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes")
     sets = texts.mapInArrow(shingled, "hash long, shingles binary").dropDuplicates(["hash"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -235,7 +236,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     doc_id, spans array<struct<start, stop>> of words, kept_in array of the documents that keep the text, n_paragraphs,
     n_windows; the documents' rows of `parts`).
 
-    Spans are as found: they may overlap. Rows without id are neither compared nor changed; equal ids are one document.
+    Spans are in order and do not touch. Rows without id are neither compared nor changed; equal ids are one document.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     taken = _written(parts(own))
@@ -247,13 +248,19 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     again = cut(rooted.select("hash", "root").join(owners, "root").select("hash", "keeper"))
     lines = taken.filter("kind = 1").select("doc_id", "at", "size", "hash").join(again, "hash").filter("doc_id > keeper").withColumn("line", F.lit(True))
     windows = taken.filter("kind = 2").select("doc_id", "at", "size", "hash")
-    shared = windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
+    # written first, so that a window that very many documents share is a skewed join, which the planner splits
+    shared = cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last"))
     inner = windows.join(shared, "hash").filter("doc_id > keeper").withColumn("line", F.lit(False))
     found = lines.unionByName(inner).groupBy("doc_id").agg(
         F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))).alias("spans"),
         F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
     )
-    return cut(found), taken.filter("kind = 0").select("doc_id", "size")
+
+    @F.pandas_udf("array<struct<start: int, stop: int>>")
+    def joined(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda x: [{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in x])])
+
+    return cut(found.withColumn("spans", joined("spans"))), taken.filter("kind = 0").select("doc_id", "size")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -288,7 +295,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            spans = [merged([(s["start"], s["stop"]) for s in x or []]) for x in batch.column("spans").to_pylist()]
+            spans = [[(s["start"], s["stop"]) for s in x or []] for x in batch.column("spans").to_pylist()]
             kept = [sorted(x or []) for x in batch.column("kept_in").to_pylist()]
             zero = lambda n: pa.array([x or 0 for x in batch.column(n).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -304,7 +311,7 @@ def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
     new number of characters. Rows without id and rows without removals stay as they are; emptied texts stay empty."""
     found, _ = removals(docs)
     spans = found.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    spans = F.broadcast(spans) if found.count() <= LISTED else spans
+    spans = F.broadcast(spans) if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= LISTED else spans
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
