@@ -242,6 +242,7 @@ def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def scip_lines(range_: Column) -> Column:
     """0-based half-open ranges of 3 or 4 ints as 1-based lines: struct<start, stop>."""
+    at = lambda i: F.get(range_, F.lit(i))
     four = F.size(range_) == 4
-    stop = F.when(four & (range_[3] == 0) & (range_[2] > range_[0]), range_[2]).when(four, range_[2] + 1).otherwise(range_[0] + 1)
-    return F.when(F.size(range_).isin(3, 4), F.struct((range_[0] + 1).alias("start"), stop.alias("stop"))).otherwise(F.struct(F.lit(1).alias("start"), F.lit(1).alias("stop")))
+    stop = F.when(four & (at(3) == 0) & (at(2) > at(0)), at(2)).when(four, at(2) + 1).otherwise(at(0) + 1)
+    return F.when(F.size(range_).isin(3, 4), F.struct((at(0) + 1).alias("start"), stop.alias("stop"))).otherwise(F.struct(F.lit(1).alias("start"), F.lit(1).alias("stop")))

@@ -153,3 +153,33 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("path"), T.sha256(F.col("text")).alias("content_hash"), F.col("n_chars").alias("size_bytes"))
     return catalog.fingerprint(files, "source")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'active' WHEN doc_id % 5 = 0 THEN 'invalid' ELSE 'active' END AS status, doc_id % 5 = 0 AND doc_id % 2 = 0 AS changed FROM documents""")
+def restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "invalid").otherwise("active").alias("status"), F.lit("x").alias("invalid_reason"))
+    return catalog.set_status(docs, F.col("doc_id") % 2 == 0, "active").drop("invalid_reason")
+
+
+MEMBERS = """SELECT * FROM (VALUES ('w1', 'u1', 'owner', 'active', 3), ('w2', 'u1', 'viewer', 'active', 1), ('w3', 'u1', 'admin', 'left', 0), ('w1', 'u2', 'editor', 'active', 2), ('w2', 'u3', 'owner', 'active', 2)) AS t(workspace_id, user_id, role, status, joined_at)"""
+
+
+@query(f"""SELECT 'earliest' AS asked, workspace_id, role FROM (SELECT * FROM ({MEMBERS}) WHERE user_id = 'u1' AND status = 'active' ORDER BY joined_at, workspace_id LIMIT 1)
+UNION ALL SELECT 'default', workspace_id, role FROM ({MEMBERS}) WHERE user_id = 'u1' AND status = 'active' AND workspace_id = 'w1' UNION ALL SELECT 'requested', workspace_id, role FROM ({MEMBERS}) WHERE user_id = 'u2' AND status = 'active' AND workspace_id = 'w1'""")
+def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cols = spark.sql(MEMBERS), ["workspace_id", "role"]
+    earliest = access.member_workspace(rows, "u1").select(F.lit("earliest").alias("asked"), *cols)
+    default = access.member_workspace(rows, "u1", default="w1").select(F.lit("default").alias("asked"), *cols)
+    return earliest.union(default).union(access.member_workspace(rows, "u2", requested="w1").select(F.lit("requested").alias("asked"), *cols))
+
+
+@query(f"SELECT workspace_id, user_id, role, row_number() OVER (PARTITION BY workspace_id ORDER BY CASE role WHEN 'owner' THEN 4 WHEN 'admin' THEN 3 WHEN 'editor' THEN 2 ELSE 1 END DESC, user_id) AS nth FROM ({MEMBERS}) WHERE status = 'active'")
+def member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.members(spark.sql(MEMBERS).filter("status = 'active'")).select("workspace_id", "user_id", "role", F.col("nth").cast("long").alias("nth"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'")
+def open_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, at).alias("accepted_at"), F.when(F.col("event_id") % 5 == 0, at).alias("revoked_at"), (at + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    return access.open_tokens(rows, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("event_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators import facts, graph
+from quillmark.operators import access, architecture, facts, graph
+from quillmark.functions import text as T
 from quillmark.plans.chunks import SOURCES
 from quillmark.plans.registry import query, table
 
@@ -113,3 +114,47 @@ CONFIGS = [
 @query()
 def config_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.config_facts(spark.createDataFrame(CONFIGS, "path string, content string"))
+
+
+PROJECT = [
+    ("go.mod", "module example.org/shop\n"),
+    ("svc/__init__.py", ""),
+    ("svc/app.py", "import grpc\nfrom kafka import KafkaProducer\napp = FastAPI()\nBASE_URL = 'x'\n\n@app.get('/items/{id}')\nasync def item(id):\n    return stub.GetItem(id)\n\n@celery.task\ndef nightly():\n    producer.send('orders', 1)\n\n@app.on_event('startup')\ndef up():\n    stub = CatalogStub(channel)\n    stub.GetItem(1)\n\nif __name__ == '__main__':\n    run()\n"),
+    ("cmd/main.go", "package main\n\nfunc main() {\n\tr.GET(\"/ping\", ping)\n\thttp.HandleFunc(\"/x\", func(w W) {})\n}\n"),
+    ("api/shop.proto", "service Shop {\n  rpc Get(Req) returns (Res);\n}\n"),
+    ("deploy/values.yaml", "kafka:\n  KAFKA_TOPIC: orders\n  broker_password: x\nCATALOG_SERVICE_URL: http://catalog:80\nCATALOG_ADDR: catalog:9\nlist:\n  - KAFKA_GROUP: g1\n"),
+    ("tests/test_x.py", "app = FastAPI()\n"),
+    ("package.json", '{"name": "ui", "scripts": {"start": "vite"}}'),
+]
+
+
+@query()
+def architecture_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return architecture.extract(spark.createDataFrame(PROJECT, "path string, content string"))
+
+
+
+
+@query("""SELECT p_partkey, p_type, (SELECT count(*) FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'steel') OR contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1')) AS matches
+FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'steel') OR contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1') ORDER BY p_partkey LIMIT 40 OFFSET 5""")
+def inventory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part")
+    hits = rows.filter(T.has_any(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), ["steel", "brand#1"])).select("p_partkey", "p_type")
+    total = hits.agg(F.count("*").alias("matches"))
+    return access.page(hits.join(F.broadcast(total)), ["p_partkey"], 40, 5)
+
+
+@query("SELECT p_brand, count(*) FILTER (p_size <= 10) AS parsed, count(*) FILTER (p_size > 10 AND p_size <= 30) AS inventoried, count(*) FILTER (p_size > 30) AS unsupported FROM part GROUP BY p_brand")
+def parser_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(size <= 10).alias("parsed"), F.count_if((size > 10) & (size <= 30)).alias("inventoried"), F.count_if(size > 30).alias("unsupported"))
+
+
+SCIP = "SELECT * FROM (VALUES (1, '3,0,9'), (2, '3,0,5,0'), (3, '3,0,5,2'), (4, '3,0,3,0'), (5, '3')) AS t(id, r)"
+
+
+@query(f"""WITH s AS (SELECT id, list_transform(string_split(r, ','), lambda x: CAST(x AS INTEGER)) AS a FROM ({SCIP}))
+SELECT id, CASE WHEN len(a) IN (3, 4) THEN a[1] + 1 ELSE 1 END AS start_line, CASE WHEN len(a) = 3 THEN a[1] + 1 WHEN len(a) = 4 THEN CASE WHEN a[4] = 0 AND a[3] > a[1] THEN a[3] ELSE a[3] + 1 END ELSE 1 END AS end_line FROM s""")
+def scip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = facts.scip_lines(F.transform(F.split("r", ","), lambda x: x.cast("int")))
+    return spark.sql(SCIP).select("id", lines["start"].alias("start_line"), lines["stop"].alias("end_line"))

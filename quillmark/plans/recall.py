@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, evaluation, retrieval
+from quillmark.operators import chunking, evaluation, providers, retrieval
 from quillmark.plans.chunks import DOCS, windows_sql
 from quillmark.plans.registry import query, table
 
@@ -155,3 +155,24 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("meter"), F.ceil(F.length("text") / 2.0).alias("tokens"))
     return evaluation.cost(usage, {"assistant": 0.006, "system": 0.001, "user": 0.002}, "conv_id")
+
+
+@query("""WITH h AS (SELECT doc_id % 10 AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS rank, text FROM documents WHERE doc_id < 200),
+s AS (SELECT query_id, chunk_id, rank, CAST(len(list_intersect(list_distinct(list_transform(regexp_extract_all(substr(text, 1, 300), '[A-Za-z0-9_]{2,}'), lambda x: lower(x))), ['of', 'that', 'the', 'with'])) AS DOUBLE) AS rerank_score FROM h)
+SELECT * FROM (SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS new_rank FROM s) WHERE new_rank <= 5""")
+def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 200")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
+    hits = docs.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 300).alias("content")).withColumn("rank", rank)
+    return providers.reranked(hits, "with the of that", 5).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+ASKS = "SELECT * FROM (VALUES (1, 'how do the teams rotate their signing keys in production every year or so then?'), (2, 'rotate keys'), (3, 'a b'), (4, 'one two three')) AS t(id, q)"
+
+
+@query(f"""WITH w AS (SELECT id, q, list_filter(regexp_split_to_array(trim(regexp_replace(q, '[^\\w\\s]+', ' ', 'g')), '\\s+'), lambda x: length(x) > 1) AS ws FROM ({ASKS})),
+c AS (SELECT id, q, [array_to_string(ws[1:12], ' '), array_to_string(ws[1:greatest(len(ws) - 1, 0)], ' '), array_to_string(ws[2:], ' '), array_to_string(ws[greatest(len(ws) - 7, 1):], ' ')] AS tries FROM w)
+SELECT id, coalesce(list_filter(tries, lambda t: t <> '' AND lower(t) <> lower(q))[1], '') AS first_rewrite, len(list_distinct(list_filter(tries, lambda t: t <> '' AND lower(t) <> lower(q)))) AS n_rewrites FROM c""")
+def query_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tries = retrieval.rewrites(F.col("q"))
+    return spark.sql(ASKS).select("id", F.coalesce(F.get(tries, F.lit(0)), F.lit("")).alias("first_rewrite"), F.size(tries).cast("long").alias("n_rewrites"))

@@ -185,3 +185,41 @@ def test_limiters_table_and_stream_agree(spark, sf_dir, tmp_path):
     for _, own in kept[kept.admitted].groupby("event_type"):
         t = pd.to_datetime(own.ts).astype("int64").to_numpy()
         assert (t[2:] - t[:-2] >= 600 * 10**9 // (1 if t[0] > 10**17 else 1000)).all()
+
+
+def test_knowledge_base_end_to_end(spark, tmp_path):
+    from quillmark import api
+    from quillmark.operators import providers
+
+    texts = ["kafka topics belong to the platform team. " * 30, "redis keys expire after a day. " * 40, "secret plans of one person. " * 20]
+    none = None
+    rows = [(i, f"/d/{i}", T_hash(t), "w", "personal" if i == 2 else "workspace", "u9" if i == 2 else none, none, t, "rag", "active") for i, t in enumerate(texts)]
+    schema = "document_id long, source_path string, content_hash string, workspace_id string, scope_type string, owner_user_id string, owner_department_id string, text string, source_type string, status string"
+    incoming = spark.createDataFrame(rows, schema)
+    empty = spark.createDataFrame([], schema.replace("text string", "current_revision long"))
+    found, chunks, revisions = api.ingest(empty, incoming)
+    assert {r["change"] for r in found.collect()} == {"created"} and revisions.count() == 3
+    chunks = chunks.cache()
+    vector = providers.hashed_vectors(["kafka topics team"])[0].tolist()
+    hits = api.search(chunks, incoming, api.Scope("w"), vector, "kafka topics team", ["rag"], 5)
+    top = hits.orderBy("rank").collect()
+    assert top[0]["document_id"] == 0 and all(r["document_id"] != 2 for r in top)
+    seen = api.context(hits, chunks, "kafka topics team", 300, 3).collect()
+    assert seen and sum(r["context_tokens"] for r in seen) <= 300
+    assert api.ingest(incoming.withColumn("current_revision", F.lit(1).cast("long")), incoming)[1].count() == 0
+    for path, content in code.PROJECT:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content)
+    tables = api.scan(spark, str(tmp_path), "p")
+    kinds = {r["fact_type"] for r in tables["facts"].collect()}
+    assert {"module", "http_api", "entrypoint", "rpc_method", "kafka_topic_producer", "client_initialization", "downstream_call", "endpoint_config"} <= kinds
+    links = {r["relation_type"] for r in tables["links"].collect()}
+    assert links == {"client_invokes", "configures_client", "configures_usage"}
+    job = tables["facts"].filter("fact_type = 'background_job'").join(tables["symbols"].select("symbol_id", "qualified_name"), "symbol_id").first()
+    assert job["qualified_name"] == "nightly" and "tests/test_x.py" not in {r["path"] for r in tables["facts"].collect()}
+
+
+def T_hash(text: str) -> str:  # noqa: N802
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()
