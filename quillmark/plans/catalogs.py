@@ -105,7 +105,7 @@ def acl_exists_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLE = "CASE doc_id % 5 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' WHEN 2 THEN 'editor' WHEN 3 THEN 'viewer' ELSE 'guest' END"
 
 
-@query(f"""SELECT doc_id, rank AS role_rank, coalesce((rank >= 3 AND scope_type <> 'personal') OR (scope_type = 'personal' AND owner_user_id = 'u2') OR (rank >= 2 AND scope_type = 'workspace' AND created = 'u2'), false) AS can_manage
+@query(f"""SELECT doc_id, CAST(rank AS BIGINT) AS role_rank, coalesce((rank >= 3 AND scope_type <> 'personal') OR (scope_type = 'personal' AND owner_user_id = 'u2') OR (rank >= 2 AND scope_type = 'workspace' AND created = 'u2'), false) AS can_manage
 FROM (SELECT *, CASE {ROLE} WHEN 'owner' THEN 4 WHEN 'admin' THEN 3 WHEN 'editor' THEN 2 WHEN 'viewer' THEN 1 ELSE 0 END AS rank, 'u' || doc_id % 6 AS created FROM ({SCOPED}))""")
 def role_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, ["owner", "admin", "editor", "viewer", "guest"])), (F.col("doc_id") % 5 + 1).cast("int"))

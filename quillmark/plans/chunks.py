@@ -28,7 +28,7 @@ def windows_sql(size: int, overlap: int, source: str, key: str) -> str:
 DOCS = "SELECT doc_id, text AS t FROM documents"
 
 
-@query(f"SELECT doc_id, chunk_index, content, length(content) AS char_count FROM ({windows_sql(700, 100, DOCS, 'doc_id')})")
+@query(f"SELECT doc_id, chunk_index, content, CAST(length(content) AS INTEGER) AS char_count FROM ({windows_sql(700, 100, DOCS, 'doc_id')})")
 def chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_windows(table(spark, sf_dir, "documents"))
 
@@ -37,13 +37,13 @@ PARENTS = windows_sql(2400, 0, DOCS, "doc_id")
 CHILDREN = windows_sql(700, 100, f"SELECT doc_id * 100000 + chunk_index AS pk, content AS t FROM ({PARENTS})", "pk")
 
 
-@query(f"""SELECT doc_id, chunk_index AS parent_index, CAST(NULL AS INTEGER) AS child_index, 'parent' AS chunk_level, content, length(content) AS char_count FROM ({PARENTS})
-UNION ALL SELECT pk // 100000, pk % 100000, chunk_index, 'child', content, length(content) FROM ({CHILDREN})""")
+@query(f"""SELECT doc_id, CAST(chunk_index AS INTEGER) AS parent_index, CAST(NULL AS INTEGER) AS child_index, 'parent' AS chunk_level, content, CAST(length(content) AS INTEGER) AS char_count FROM ({PARENTS})
+UNION ALL SELECT pk // 100000, CAST(pk % 100000 AS INTEGER), chunk_index, 'child', content, CAST(length(content) AS INTEGER) FROM ({CHILDREN})""")
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parent_child(table(spark, sf_dir, "documents"))
 
 
-@query(f"""SELECT d.lang, count(*) AS n_chunks, sum(length(content)) AS chars, sum(greatest(1, CAST(ceil(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) / 2.0) AS BIGINT))) AS tokens
+@query(f"""SELECT d.lang, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(greatest(1, CAST(ceil(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) / 2.0) AS BIGINT))) AS BIGINT) AS tokens
 FROM ({windows_sql(700, 100, DOCS, 'doc_id')}) c JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

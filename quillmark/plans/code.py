@@ -85,7 +85,7 @@ def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trace(call_edges(spark), 1, 8, 40).nodes
 
 
-@query(f"SELECT r.symbol_id, r.depth, count(l.doc_id) AS n_facts, coalesce(sum(l.quality), 0) AS quality FROM ({REACH}) r LEFT JOIN labels l ON l.doc_id = r.symbol_id GROUP BY r.symbol_id, r.depth")
+@query(f"SELECT r.symbol_id, r.depth, count(l.doc_id) AS n_facts, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS quality FROM ({REACH}) r LEFT JOIN labels l ON l.doc_id = r.symbol_id GROUP BY r.symbol_id, r.depth")
 def bfs_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph.reach(call_edges(spark), 1, 5)
     per = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("symbol_id")).agg(F.count("*").alias("n_facts"), F.sum("quality").alias("quality"))

@@ -12,7 +12,7 @@ from quillmark.plans.registry import query
 FRAMES = """SELECT 1 AS stream_id, 'event: status' || chr(10) || 'data: {"a":1}' || chr(10) || chr(10) || 'event: delta' || chr(10) || 'data: hello' || chr(10) || chr(10) AS body UNION ALL SELECT 2, 'data: bare' || chr(10) || chr(10) || 'event: done' || chr(10) || 'data: {}'"""
 
 
-@query(f"""SELECT stream_id, i - 1 AS nth, regexp_extract(parts[i], '(?m)^event: ?(.*)$', 1) AS event, regexp_extract(parts[i], '(?m)^data: ?(.*)$', 1) AS data FROM (SELECT stream_id, string_split(body, chr(10) || chr(10)) AS parts FROM ({FRAMES})), generate_series(1, 9) g(i) WHERE i <= len(parts) AND trim(parts[i]) <> ''""")
+@query(f"""SELECT stream_id, CAST(i - 1 AS INTEGER) AS nth, regexp_extract(parts[i], '(?m)^event: ?(.*)$', 1) AS event, regexp_extract(parts[i], '(?m)^data: ?(.*)$', 1) AS data FROM (SELECT stream_id, string_split(body, chr(10) || chr(10)) AS parts FROM ({FRAMES})), generate_series(1, 9) g(i) WHERE i <= len(parts) AND trim(parts[i]) <> ''""")
 def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.frames(spark.sql(FRAMES.replace("chr(10)", "char(10)")))
 

@@ -151,7 +151,7 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.answer_metrics(spark.sql(ANSWERS).withColumns({c: parts(c) for c in ("terms", "source_terms", "sources")}))
 
 
-@query("""SELECT conv_id, sum(t) AS tokens, round(sum(t / 1000.0::DOUBLE * p), 8) AS cost FROM (SELECT conv_id, CAST(ceil(length(text) / 2.0) AS BIGINT) AS t, CASE role WHEN 'assistant' THEN 0.006::DOUBLE WHEN 'system' THEN 0.001::DOUBLE ELSE 0.002::DOUBLE END AS p FROM conversations) GROUP BY conv_id""")
+@query("""SELECT conv_id, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / 1000.0::DOUBLE * p), 8) AS cost FROM (SELECT conv_id, CAST(ceil(length(text) / 2.0) AS BIGINT) AS t, CASE role WHEN 'assistant' THEN 0.006::DOUBLE WHEN 'system' THEN 0.001::DOUBLE ELSE 0.002::DOUBLE END AS p FROM conversations) GROUP BY conv_id""")
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("meter"), F.ceil(F.length("text") / 2.0).alias("tokens"))
     return evaluation.cost(usage, {"assistant": 0.006, "system": 0.001, "user": 0.002}, "conv_id")
