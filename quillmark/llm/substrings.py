@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 3
 PARAGRAPH, WINDOW, STRIDE = 50, 24, 16
 #: Paragraphs of a band's group that are compared in one task; entries of a list that is sent to every executor at most.
 LARGEST, LISTED = 1024, 200_000
+#: Words whose paragraphs get their signatures together.
+WORDS_AT_ONCE = 200_000
 WORD = re.compile(rb"[^\x09-\x0d\x20]+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,17 +93,28 @@ def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
 
 
+@lru_cache(maxsize=1)
+def permutations() -> list[tuple[np.uint64, np.uint64]]:
+    seeds = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+    return [(m, a) for m, a in seeds]
+
+
 def signature(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band values (paragraphs x BANDS) of shingle hashes that begin at starts for each paragraph."""
-    seeds = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-    out = []
-    for b in range(BANDS):
-        value = np.zeros(len(starts), dtype=np.uint64)
-        for r in range(ROWS):
-            m, a = seeds[b * ROWS + r]
-            value = value * np.uint64(0x100000001B3) + np.minimum.reduceat(shingles * m + a >> np.uint64(16), starts)
-        out.append(mixed(value))
-    return np.stack(out, axis=1)
+    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    for i, (m, a) in enumerate(permutations()):
+        own = shingles * m
+        own += a
+        own >>= np.uint64(16)
+        out[:, i // ROWS] = out[:, i // ROWS] * np.uint64(0x100000001B3) + np.minimum.reduceat(own, starts)
+    return mixed(out)
+
+
+def whole_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph's shingles in their order."""
+    sizes = np.diff(np.append(starts, len(shingles)))
+    nth = np.arange(len(shingles), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(shingles + nth), starts))
 
 
 def paragraph_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,34 +144,43 @@ def parts(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id not null, text) taken apart: kind 0 the document (size words), 1 its paragraphs (at, size,
     hash, bands b0..), 2 its windows (at, hash)."""
 
+    names = ["kind", "doc_id", "at", "size", "hash", *(f"b{i}" for i in range(BANDS))]
+
+    def rows(docs: list[tuple], paragraphs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """docs: id, words, first words and numbers of words of paragraphs, positions and hashes of windows."""
+        many = [len(d[2]) for d in docs]
+        offsets = np.cumsum([0, *(len(p[0]) for p in paragraphs)])
+        shingles = np.concatenate([p[0] for p in paragraphs])
+        starts = np.concatenate([p[1] + o for p, o in zip(paragraphs, offsets)]).astype(np.int64)
+        whole, bands = (whole_hashes(shingles, starts), signature(shingles, starts)) if len(starts) else (np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64))
+        windows = [len(d[4]) for d in docs]
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(docs), len(whole), sum(windows)])
+        ids = np.array([d[0] for d in docs], np.int64)
+        at = np.concatenate([np.zeros(len(docs), np.int64), *(d[2] for d in docs), *(d[4] for d in docs)]).astype(np.int32)
+        size = np.concatenate([np.array([d[1] for d in docs], np.int64), *(d[3] for d in docs), np.full(sum(windows), WINDOW)]).astype(np.int32)
+        hashes = np.concatenate([np.zeros(len(docs), np.uint64), whole, *(d[5] for d in docs)]).view(np.int64)
+        none = kinds != 1
+        b = np.zeros((len(kinds), BANDS), np.int64)
+        b[~none] = bands.view(np.int64)
+        every = np.concatenate([ids, np.repeat(ids, many), np.repeat(ids, windows)])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(every), pa.array(at), pa.array(size), pa.array(hashes), *(pa.array(np.ascontiguousarray(b[:, i]), mask=none) for i in range(BANDS))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, paragraphs, held = [], [], 0
         for batch in batches:
-            kind, ids, at, size, hashes, bands = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, counts = word_hashes(text)
                 first, n, shingles, starts = paragraph_shingles(words, counts)
-                whole = np.zeros(len(first), np.uint64)
-                own = np.zeros((len(first), BANDS), np.uint64)
-                if len(first):
-                    whole = mixed(np.add.reduceat(mixed(shingles + np.arange(len(shingles), dtype=np.uint64) - np.repeat(starts, n - SHINGLE + 1).astype(np.uint64)), starts))
-                    own = signature(shingles, starts)
                 windows = runs(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
                 take = chosen(windows)
-                m = 1 + len(first) + len(take)
-                kind.append(np.repeat([0, 1, 2], [1, len(first), len(take)]).astype(np.int8))
-                ids.append(np.full(m, doc_id))
-                at.append(np.concatenate([[0], first, take]).astype(np.int32))
-                size.append(np.concatenate([[len(words)], n, np.full(len(take), WINDOW)]).astype(np.int32))
-                hashes.append(np.concatenate([np.zeros(1, np.uint64), whole, windows[take]]))
-                bands.append(np.concatenate([np.zeros((1, BANDS), np.uint64), own, np.zeros((len(take), BANDS), np.uint64)]))
-            if not ids:
-                continue
-            kinds, b = np.concatenate(kind), np.concatenate(bands).view(np.int64)
-            none = kinds != 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at)), pa.array(np.concatenate(size)), pa.array(np.concatenate(hashes).view(np.int64)), *(pa.array(b[:, i], mask=none) for i in range(BANDS))],
-                ["kind", "doc_id", "at", "size", "hash", *(f"b{i}" for i in range(BANDS))],
-            )
+                docs.append((doc_id, len(words), first, n, take, windows[take]))
+                paragraphs.append((shingles, starts))
+                held += len(words)
+                if held >= WORDS_AT_ONCE:
+                    yield rows(docs, paragraphs)
+                    docs, paragraphs, held = [], [], 0
+        if docs:
+            yield rows(docs, paragraphs)
 
     schema = "kind byte, doc_id long, at int, size int, hash long, " + ", ".join(f"b{i} long" for i in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -213,11 +236,11 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
             for text, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, counts = word_hashes(text)
                 first, n, shingles, starts = paragraph_shingles(words, counts)
-                for s, k in zip(starts.tolist(), (n - SHINGLE + 1).tolist()):
-                    own = shingles[s : s + k]
-                    h = int(mixed(np.add.reduceat(mixed(own + np.arange(k, dtype=np.uint64)), [0])).view(np.int64)[0])
-                    if h in hashes:
-                        out[h] = np.unique(own).tobytes()
+                if len(starts):
+                    wanted_here = set(hashes)
+                    for h, s, k in zip(whole_hashes(shingles, starts).view(np.int64).tolist(), starts.tolist(), (n - SHINGLE + 1).tolist()):
+                        if h in wanted_here:
+                            out[h] = np.unique(shingles[s : s + k]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["hash", "shingles"])
 
     listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
