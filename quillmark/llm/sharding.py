@@ -3,7 +3,8 @@
 A node that holds k leaves is split along its widest dimension (its range there, relative to the whole table's) at the
 weighted median, or at k//2 : k - k//2 where k is odd, until each node is one leaf with its share of the bytes. Medians
 are found for all nodes of a level at once, from histograms of bytes: each pass narrows every node's search to one of
-FINE buckets, so the driver sees a bounded table of sums and no rows.
+FINE buckets; when a bucket has no more than FINE rows, these rows' coordinates decide. So what the driver sees of a
+node is bounded by FINE entries.
 
 Rows with the same value are cut further by a hash of their text, then of their id, and only if leaving them together
 would miss the target by more than TOLERANCE of a leaf. So equal texts stay in one shard unless a group of copies that
@@ -13,6 +14,7 @@ lies across a boundary weighs more than that; then it is split, and a hot group
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,20 +61,36 @@ class Search:
     lo: int = 0
     hi: int = SCALE
     below: float = 0.0
+    rows: int = 1 << 62  # in the interval
 
     @property
     def step(self) -> int:
         return max(1, -(-(self.hi - self.lo + 1) // FINE))
 
-    def bucket(self) -> Column:
-        coords = order(self.node.dim)
-        within = F.lit(True)
+    def inside(self) -> Column:
+        """The node's rows in the interval."""
+        coords, out = order(self.node.dim), F.col("_node") == self.node.first
         for c, x in zip(coords, self.prefix):
-            within = within & (c == F.lit(x))
-        own = coords[len(self.prefix)]
-        return F.when(within & own.between(self.lo, self.hi), F.floor((own - F.lit(self.lo)) / F.lit(self.step)).cast("long"))
+            out = out & (c == F.lit(x))
+        return out & coords[len(self.prefix)].between(self.lo, self.hi)
 
-    def narrow(self, sums: dict[int, int]) -> tuple[int, ...] | None:
+    def bucket(self) -> Column:
+        return F.when(self.inside(), F.floor((order(self.node.dim)[len(self.prefix)] - F.lit(self.lo)) / F.lit(self.step)).cast("long"))
+
+    def decide(self, rows: list[tuple[tuple[int, ...], int]]) -> tuple[int, ...]:
+        """Where to cut, from the coordinates and sizes of all rows in the interval: between different texts if that is
+        near enough to the target, else nearest to it."""
+        rows, done, apart, any_ = sorted(rows), self.below, [], []
+        for i, (at, size) in enumerate(rows):
+            any_.append((abs(done - self.target), i, at))
+            if not i or rows[i - 1][0][:2] != at[:2]:
+                apart.append(any_[-1])
+            done += size
+        end = (abs(done - self.target), len(rows), (*rows[-1][0][:3], rows[-1][0][3] + 1)) if rows else (0, 0, (*self.prefix, self.hi + 1))
+        best = min([*apart, end])
+        return best[2] if best[0] <= self.slack else min([*any_, end])[2]
+
+    def narrow(self, sums: dict[int, int], counts: dict[int, int]) -> tuple[int, ...] | None:
         """The place to cut, or None if the search goes on in a smaller interval."""
         done = self.below
         for b in sorted(sums):
@@ -85,7 +103,7 @@ class Search:
                 return (*self.prefix, start)
             if abs(after - self.target) <= self.slack:
                 return (*self.prefix, start + self.step)
-            self.below = done
+            self.below, self.rows = done, counts[b]
             if self.step > 1:
                 self.lo, self.hi = start, min(self.hi, start + self.step - 1)
             elif len(self.prefix) == 3:
@@ -101,7 +119,7 @@ def split(points: DataFrame, shards: int, dims: int) -> DataFrame:
     level = [Node(shards, 0)]
     here = cut(points.withColumn("_node", F.lit(0)))
     while level := [n for n in level if n.leaves > 1]:
-        stats = {r["_node"]: r for r in here.groupBy("_node").agg(F.sum("_size").alias("bytes"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
+        stats = {r["_node"]: r for r in here.groupBy("_node").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n"), *[f(f"_d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
         searches = []
         for n in level:
             s = stats.get(n.first)
@@ -110,20 +128,32 @@ def split(points: DataFrame, shards: int, dims: int) -> DataFrame:
                 continue
             n.dim = max(range(dims), key=lambda i: (s[f"hi{i}"] - s[f"lo{i}"], -i))
             share = n.leaves // 2 / n.leaves
-            searches.append(Search(n, s["bytes"] * share, TOLERANCE * s["bytes"] / n.leaves, lo=s[f"lo{n.dim}"], hi=s[f"hi{n.dim}"]))
+            searches.append(Search(n, s["bytes"] * share, TOLERANCE * s["bytes"] / n.leaves, lo=s[f"lo{n.dim}"], hi=s[f"hi{n.dim}"], rows=s["n"]))
         while searches:
-            bucket = F.coalesce(*[F.when(F.col("_node") == s.node.first, s.bucket()) for s in searches])
-            sums: dict[int, dict[int, int]] = {}
-            for r in here.select("_node", "_size", bucket.alias("_bucket")).filter("_bucket is not null").groupBy("_node", "_bucket").agg(F.sum("_size").alias("bytes")).collect():
-                sums.setdefault(r["_node"], {})[r["_bucket"]] = r["bytes"]
-            left = []
-            for s in searches:
-                at = s.narrow(sums.get(s.node.first, {}))
-                if at is None:
-                    left.append(s)
-                else:
-                    s.node.at = at
-            searches = left
+            few, many = [s for s in searches if s.rows <= FINE], [s for s in searches if s.rows > FINE]
+            if few:
+                found: dict[int, list] = {s.node.first: [] for s in few}
+                dim = F.coalesce(*[F.when(F.col("_node") == s.node.first, F.col(f"_d{s.node.dim}")) for s in few])
+                inside = reduce(lambda a, b: a | b, [s.inside() for s in few])
+                for r in here.filter(inside).select("_node", "_size", dim.alias("_d"), "_text", "_id", "_row").collect():
+                    found[r["_node"]].append(((r["_d"], r["_text"], r["_id"], r["_row"]), r["_size"]))
+                for s in few:
+                    s.node.at = s.decide(found[s.node.first])
+            searches = many
+            if many:
+                bucket = F.coalesce(*[s.bucket() for s in many])
+                sums: dict[int, dict[int, int]] = {}
+                counts: dict[int, dict[int, int]] = {}
+                for r in here.select("_node", "_size", bucket.alias("_bucket")).filter("_bucket is not null").groupBy("_node", "_bucket").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")).collect():
+                    sums.setdefault(r["_node"], {})[r["_bucket"]] = r["bytes"]
+                    counts.setdefault(r["_node"], {})[r["_bucket"]] = r["n"]
+                searches = []
+                for s in many:
+                    at = s.narrow(sums.get(s.node.first, {}), counts.get(s.node.first, {}))
+                    if at is None:
+                        searches.append(s)
+                    else:
+                        s.node.at = at
         here = cut(here.withColumn("_node", descend(level)))  # one short step: nested choices grow beyond generated code
         level = [c for n in level for c in (Node(n.leaves // 2, n.first), Node(n.leaves - n.leaves // 2, n.first + n.leaves // 2))]
     return here
