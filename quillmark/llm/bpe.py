@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ready
+from quillmark.llm.common import ready, tidy
 
 #: Chunks average about CHUNK bytes and have at least SHORTEST; a worker remembers REMEMBERED of them, the last used.
 CHUNK_BITS, SHORTEST, REMEMBERED = 10, 256, 16_384
@@ -162,4 +162,4 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 back.append(hashlib.sha256(raw.decode(errors="replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python. Texts are a few kilobytes on average, so a batch stays at a few megabytes.
+#: Rows of one Arrow batch sent to Python. Texts are a few kilobytes on average, so a batch stays at a few megabytes;
+#: Spark ends a batch of long texts earlier, by its bytes.
 BATCH_ROWS = 1000
 
 
@@ -15,6 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that is free but kept by the allocators back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over the batches of a task, with free memory given back at its end: the worker process lives on, beside
+    others of the same executor."""
+
+    def batches(source: Iterator) -> Iterator:
+        try:
+            yield from run(source)
+        finally:
+            release()
+
+    return batches
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches: by default ten thousand whole texts travel at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, ready
+from quillmark.llm.common import cut, ready, tidy
 from quillmark.llm.components import components
 from quillmark.llm.simhash import first_tables, keyed, links
 
@@ -140,7 +140,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), *map(longs, cols[3:])], ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_next(own).select("bucket", "follows", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long")
+    return with_next(own).select("bucket", "follows", "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long")
 
 
 def compare(docs: DataFrame, radius: int = 3) -> DataFrame:

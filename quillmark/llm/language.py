@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import fold, ready
+from quillmark.llm.common import fold, ready, tidy
 from quillmark.llm.ngrams import BITS, bins, sampled, texts_of
 
 LONGEST = 4
@@ -110,11 +110,14 @@ def kept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in map(pd.Series.tolist, batches):
+            score = best(shared.value, texts)[1]
+            yield pd.Series([has_letter(t) and (shared.value is None or s >= least) for t, s in zip(texts, score)], dtype=bool)
+
     @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        texts = text.tolist()
-        score = best(shared.value, texts)[1]
-        return pd.Series([has_letter(t) and (shared.value is None or s >= least) for t, s in zip(texts, score)])
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(judged)(texts)
 
     return docs.filter(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
@@ -134,7 +137,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = best(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, numbered, ready
+from quillmark.llm.common import cut, numbered, ready, tidy
 
 WINDOW = 4096
 #: Words whose ids a Python worker remembers; above CACHE_WORDS it keeps the first CACHE_KEEP, which hold the common ones.
-CACHE_WORDS, CACHE_KEEP = 600_000, 400_000
+CACHE_WORDS, CACHE_KEEP = 400_000, 250_000
 
 
 class RoomTree:
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -
                 out.extend((doc_id, a, min(window, n - a), zlib.crc32(raw[4 * a : 4 * (a + window)]), n) for a in range(0, n, window))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut_up), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
@@ -209,4 +209,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
             yield pa.RecordBatch.from_pydict(cols)
 
     ranked = numbered(cutted, ["length"], ["doc_id", "start", "ids_crc32"], "rank", sum(counts.values()))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, ready
+from quillmark.llm.common import cut, ready, tidy
 from quillmark.llm.components import components
 
 BITS, SEED = 64, 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -164,7 +164,7 @@ def forest(groups: DataFrame, radius: int, n_pivots: int = PIVOTS) -> DataFrame:
             moved = np.flatnonzero(label != np.arange(len(flat)))
             yield pa.RecordBatch.from_arrays([pa.array(flat[c].view(np.int64)) for c in (moved, label[moved])], ["a", "b"])
 
-    return groups.select("fps").mapInArrow(run, "a long, b long")
+    return groups.select("fps").mapInArrow(tidy(run), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = 3, pivoted: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, ready
+from quillmark.llm.common import cut, ready, tidy
 from quillmark.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 3
@@ -183,7 +183,7 @@ def parts(docs: DataFrame) -> DataFrame:
             yield rows(docs, paragraphs)
 
     schema = "kind byte, doc_id long, at int, size int, hash long, " + ", ".join(f"b{i} long" for i in range(BANDS))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def alike(sets: list[np.ndarray], ids: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -245,7 +245,7 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
 
     listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes")
-    sets = texts.mapInArrow(shingled, "hash long, shingles binary").dropDuplicates(["hash"])
+    sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary").dropDuplicates(["hash"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         edges = alike([np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]], group["hash"].to_numpy(), threshold)
@@ -326,7 +326,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "removed_words", "n_paragraphs", "n_windows", "spans", "kept_in"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, removed_words long, n_paragraphs long, n_windows long, spans array<struct<start: int, stop: int>>, kept_in array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, removed_words long, n_paragraphs long, n_windows long, spans array<struct<start: int, stop: int>>, kept_in array<long>")
 
 
 def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
@@ -336,9 +336,13 @@ def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
     spans = found.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
     spans = F.broadcast(spans) if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= LISTED else spans
 
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, spans in batches:
+            yield pd.Series([t if t is None or s is None else without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+
     @F.pandas_udf("string")
-    def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None else without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from tidy(each)(batches)
 
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_of"), "left")
     out = joined.withColumn("text", cleaned(F.col("text").cast("string"), "_spans"))

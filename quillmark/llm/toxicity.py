@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import fold, ready
+from quillmark.llm.common import fold, ready, tidy
 from quillmark.llm.ngrams import BITS, bins, sampled, squash, texts_of
 
 SHORTEST, LONGEST = 3, 5
@@ -99,7 +99,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
             score = np.array([m.score(t) for t in batch.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,8 +108,8 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(shared.value.score)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(lambda batches: (b.map(shared.value.score) for b in batches))(texts)
 
     return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 

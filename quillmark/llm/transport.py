@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ready
+from quillmark.llm.common import ready, tidy
 
 # Fixed values of the format.
 PACKET, SYNC, PRIVATE_DATA, PRIVATE_STREAM_1, CLOCK = 188, 0x47, 0x06, 0xBD, 90_000
@@ -249,4 +249,4 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                     rows[k].append(row[k])
             yield pa.RecordBatch.from_arrays([pa.array(rows[k], types[k][0]) for k in names], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} {types[n][1]}" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), ", ".join(f"{n} {types[n][1]}" for n in names))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ready
+from quillmark.llm.common import ready, tidy
 from quillmark.llm.ngrams import squash
 
 #: Bound of what is learnt from; trees, their depth, learning rate, cut points of a feature, least urls in a leaf.
@@ -188,4 +188,4 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
 
     url = F.col("url").cast("string")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    return own.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    return own.mapInArrow(tidy(run), "page_id long, host string, path string, rule string, verdict string, score double")
