@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import catalogs, chunks, code, loops, more, recall, timed  # noqa: F401
+from quillmark.plans import catalogs, chunks, code, loops, more, protocol, recall, timed  # noqa: F401
 from quillmark.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -223,3 +223,26 @@ def T_hash(text: str) -> str:  # noqa: N802
     import hashlib
 
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_protocol(spark):
+    from quillmark.operators import protocol
+    from quillmark.plans import protocol as plans
+
+    problems = {r["case_id"]: r["problem"] for r in plans.decision_validation(spark, "").collect()}
+    assert problems == {1: None, 2: None, 3: "unsupported_action", 4: "route_action_mismatch", 5: "not_an_object", 6: "bad_claim", 7: "unsupported_scope_mode"}
+    a = spark.createDataFrame([({"b": "1", "a": "2"},), ({"a": "2", "b": "1"},)], "m map<string, string>").select(protocol.canonical_arguments(F.col("m")).alias("c")).distinct().collect()
+    assert [r["c"] for r in a] == ['{"a":"2","b":"1"}']
+    schema = "workspace_id string, normalized_email string, role string, token_hash string, expires_at int, accepted_at int, revoked_at int"
+    old = spark.createDataFrame([("w", "a", "viewer", "1", 9, None, None), ("w", "a", "viewer", "0", 9, 5, None), ("w", "b", "viewer", "2", 9, None, None)], schema)
+    new = protocol.upsert_invitations(old, spark.createDataFrame([("w", "a", "admin", "3", 9, None, None)], schema))
+    assert sorted(r["token_hash"] for r in new.collect()) == ["0", "2", "3"]
+    moved = protocol.transfer({"d": spark.createDataFrame([("u",), ("v",)], "owner string")}, "owner", "u", "w")
+    assert sorted(r["owner"] for r in moved["d"].collect()) == ["v", "w"]
+
+
+def test_index_merge(spark):
+    from quillmark.plans import more
+
+    rows = {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"], r["line"]) for r in more.index_merge(spark, "").collect()}
+    assert rows == {(2, "references", 3, "stop", 4), (1, "references", 2, "run", 15), (2, "references", None, "print", 4)}
