@@ -91,5 +91,6 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM orders) AS files, (SELECT count(*) FROM lineitem) AS symbols, (SELECT count(*) FROM part) AS relations, (SELECT max(o_orderdate) FROM orders) AS latest")
 def project_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda t, n: table(spark, sf_dir, t).agg(F.count("*").alias(n))
-    return count("orders", "files").crossJoin(count("lineitem", "symbols")).crossJoin(count("part", "relations")).crossJoin(table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("latest")))  # one row each
+    count = lambda t, n: table(spark, sf_dir, t).agg(F.lit(n).alias("what"), F.count("*").alias("n"), (F.max("o_orderdate") if t == "orders" else F.lit(None).cast("timestamp_ntz")).alias("at"))
+    rows = count("orders", "files").union(count("lineitem", "symbols")).union(count("part", "relations"))
+    return rows.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in ("files", "symbols", "relations")], F.max("at").alias("latest"))
