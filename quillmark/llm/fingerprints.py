@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, ready, tidy
 from quillmark.llm.components import components
-from quillmark.llm.simhash import first_tables, keyed, links
+from quillmark.llm.simhash import first_keyed, links
 
 BITS, SHORT = 64, 3
 #: Words whose hashes a Python worker remembers. Documents of a range, and ranges at most.
@@ -65,11 +65,9 @@ def search(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFrame:
     queries (fp) and fps (fp), longs, each without repetition: returns query, fp, distance. What comes back are the
     matches themselves; to group a whole table, `grouped` avoids listing them.
     """
-    tables = {0: first_tables(radius)}
-    start = F.lit(0).cast("long")
-    own = keyed(queries.withColumn("t", start), tables).withColumnRenamed("fp", "query")
+    own = first_keyed(queries, radius).withColumnRenamed("fp", "query")
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
-    return own.join(keyed(fps.withColumn("t", start), tables), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
+    return own.join(first_keyed(fps, radius), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
 
 
 def grouped(rows: DataFrame, radius: int) -> DataFrame:

@@ -134,9 +134,16 @@ def next_tables(mask: int, radius: int) -> list[int]:
     return [mask | s for s in slices([b for b in range(BITS) if not mask >> b & 1], radius + 1) if s]
 
 
+def first_keyed(fps: DataFrame, radius: int) -> DataFrame:
+    """fps (fp) under each of the first masks: (fp, t, k), t being the mask and k the bits under it."""
+    masks = [F.lit(signed(m)).cast("long") for m in first_tables(radius)]
+    entries = F.array(*[F.struct(m.alias("t"), F.col("fp").bitwiseAND(m).alias("k")) for m in masks])
+    return fps.select("fp", F.explode(entries).alias("e")).select("fp", "e.t", "e.k")
+
+
 def keyed(rows: DataFrame, tables: dict[int, list[int]]) -> DataFrame:
-    """rows (fp, t) under the masks that follow from mask t: (fp, t, k), k being the bits under the new mask t. The
-    masks are a table of a size that the radius and the depth bound, so the plan does not grow with them."""
+    """rows (fp, t) under the masks that follow from mask t: (fp, t, k). The masks are a table of a size that the radius
+    and the depth bound, joined by t, so the plan does not grow with them."""
     pairs = rows.sparkSession.createDataFrame([(signed(t), signed(m)) for t, masks in tables.items() for m in masks], "t long, m long")
     return rows.join(F.broadcast(pairs), "t").select("fp", F.col("m").alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("k"))
 
@@ -171,7 +178,7 @@ def links(fps: DataFrame, radius: int = 3, pivoted: bool = True) -> DataFrame:
     """fps (fp long, all different): edges (a, b) whose components are those of all pairs within the radius.
 
     Unless `pivoted`, one reference fingerprint only orders a group's members before their distances are taken."""
-    rows, tables, out = keyed(fps.withColumn("t", F.lit(0).cast("long")), {0: first_tables(radius)}), {}, None
+    rows, tables, out = first_keyed(fps, radius), {}, None
     for depth in range(DEPTH + 1):
         counts = cut(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
         again = (F.col("n") > LARGEST) & (F.bit_count("t") < BITS - FEW_BITS) if depth < DEPTH else F.lit(False)
