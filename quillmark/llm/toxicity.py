@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import fold, ready, tidy
 from quillmark.llm.ngrams import BITS, bins, sampled, squash, texts_of
 
-SHORTEST, LONGEST = 3, 5
+SHORTEST, LONGEST = 3, 6
 #: Bounds of what is learnt from: rows of a label, characters of a text.
 PER_LABEL, CHARACTERS = 2_500, 20_000
 #: Smoothing of the counts, least texts and least absolute ratio of an n-gram that counts, penalty, rounds of the fit.
-SMOOTH, LEAST_TEXTS, LEAST_RATIO, PENALTY, ROUNDS = 3.0, 3, 0.7, 1e-4, 400
+SMOOTH, LEAST_TEXTS, LEAST_RATIO, PENALTY, ROUNDS = 1.0, 5, 1.5, 1e-5, 800
 THRESHOLD = 0.3
 
 
