@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import reachable
+
 #: Rows of one Arrow batch sent to Python. Texts are a few kilobytes on average, so a batch stays at a few megabytes;
 #: Spark ends a batch of long texts earlier, by its bytes.
 BATCH_ROWS = 1000
@@ -54,7 +56,7 @@ def ready(spark: SparkSession) -> None:
     The folder is the one the session names in spark.checkpoint.dir. A folder of this machine is set only where
     none is named and the master is local; a cluster without the setting is an error.
     """
-    small_batches(spark)
+    small_batches(reachable(spark))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
