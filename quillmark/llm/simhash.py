@@ -218,7 +218,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 def kept(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of docs, all columns, without the near duplicates: of each component the row of the least doc_id stays,
     one row if that id is repeated. Rows without id can't be named, so all of them stay."""
-    found = near_duplicates(docs, words, radius)
+    return first_of_each(docs, near_duplicates(docs, words, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that `kept` keeps, of the components in found (doc_id, component_id)."""
     gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     rest = docs.join(F.broadcast(gone) if gone.count() <= LISTED else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     repeated = cut(rest.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null"))

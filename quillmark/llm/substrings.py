@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,6 +131,13 @@ def paragraph_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return first, n, all_[np.repeat(first - starts, sizes) + np.arange(sizes.sum())], starts
 
 
+def document_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The whole text as one unit, as paragraph_shingles gives them; fewer words than SHINGLE are one shingle, none are
+    no unit."""
+    none, n = np.zeros(0, np.int64), len(words)
+    return (np.array([0]), np.array([n]), runs(words, min(SHINGLE, n)), np.array([0])) if n else (none, none, np.zeros(0, np.uint64), none)
+
+
 def _written(df: DataFrame) -> DataFrame:
     """As a table in the shared checkpoint folder: compressed and read by column, unlike checkpoint()."""
     spark = df.sparkSession
@@ -215,10 +222,11 @@ def _beside(docs: DataFrame, by_doc: DataFrame, n: int) -> DataFrame:
     return docs.join(F.broadcast(by_doc) if n <= LISTED else by_doc, "doc_id", "left")
 
 
-def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float) -> DataFrame:
+def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float, units: Callable = paragraph_shingles) -> DataFrame:
     """Edges (a, b) between hashes of different paragraphs, whose components are those of all verified collisions.
 
-    paragraphs: one row for each different paragraph: hash, owner (a document that has it), b0...
+    paragraphs: one row for each different paragraph: hash, owner (a document that has it), b0...; units finds them in
+    a document's words.
     """
     keyed = paragraphs.select("hash", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("t", "k"))
     counts = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -235,10 +243,10 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
             out: dict[int, bytes] = {}
             for text, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, counts = word_hashes(text)
-                first, n, shingles, starts = paragraph_shingles(words, counts)
+                first, n, shingles, starts = units(words, counts)
                 if len(starts):
                     wanted_here = set(hashes)
-                    for h, s, k in zip(whole_hashes(shingles, starts).view(np.int64).tolist(), starts.tolist(), (n - SHINGLE + 1).tolist()):
+                    for h, s, k in zip(whole_hashes(shingles, starts).view(np.int64).tolist(), starts.tolist(), np.maximum(1, n - SHINGLE + 1).tolist()):
                         if h in wanted_here:
                             out[h] = np.unique(shingles[s : s + k]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["hash", "shingles"])
@@ -286,6 +294,43 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     return cut(found.withColumn("spans", joined("spans"))), taken.filter("kind = 0").select("doc_id", "size")
 
 
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and component_id of each row of docs (columns doc_id, text; others are ignored) with an id: the least id
+    that links reach. Linked are documents whose sets of five-word shingles have this exact Jaccard similarity at
+    least; MinHash bands only give the candidates. Texts without words are linked with each other."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    names = ["doc_id", "hash", *(f"b{i}" for i in range(BANDS))]
+
+    def signed(held: list[tuple]) -> pa.RecordBatch:
+        ids, found = [h[0] for h in held], [h[1] for h in held]
+        some = np.flatnonzero([len(f) > 0 for f in found])
+        hashes, bands = np.zeros(len(held), np.uint64), np.zeros((len(held), BANDS), np.uint64)
+        if len(some):
+            sizes = np.array([len(found[i]) for i in some])
+            flat, starts = np.concatenate([found[i] for i in some]), np.cumsum(sizes) - sizes
+            hashes[some], bands[some] = whole_hashes(flat, starts), signature(flat, starts)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i]).view(np.int64)) for i in range(BANDS))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, document_shingles(*word_hashes(text))[2]))
+                n += len(held[-1][1])
+                if n >= WORDS_AT_ONCE:
+                    yield signed(held)
+                    held, n = [], 0
+        if held:
+            yield signed(held)
+
+    rows = _written(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
+    texts = _written(rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
+    nodes = components(paragraph_links(own, texts, threshold, document_shingles))
+    rooted = texts.select("hash", "owner").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
+    return rows.select("doc_id", "hash").join(rooted.select("hash", "root").join(ids, "root").select("hash", "component_id"), "hash").select("doc_id", "component_id")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, stop in sorted(spans):
