@@ -6,7 +6,7 @@ by their exact Jaccard similarity and linked from the threshold on; the componen
 
 A passage inside longer paragraphs makes no two of them alike. So windows of WINDOW words are compared too: of every
 STRIDE windows in a row the one with the least hash is taken, so documents that share WINDOW + STRIDE - 1 words in a
-row share a window.
+row share a window. Around the shared ones all windows are compared, so a shared run is met up to its ends.
 
 Of a component or window that occurs in several documents, the occurrences in the one with the least id stay, the
 others are removed. Everything that is shuffled is a hash with an id; texts are read where they lie, beside lists
@@ -280,55 +280,68 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     lines = taken.filter("kind = 1").select("doc_id", "at", "size", "hash").join(again, "hash").filter("doc_id > keeper").withColumn("line", F.lit(True))
     windows = taken.filter("kind = 2").select("doc_id", "at", "size", "hash")
     # written first, so that a window that very many documents share is a skewed join, which the planner splits
-    shared = cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last"))
-    inner = windows.join(shared, "hash").filter("doc_id > keeper").withColumn("line", F.lit(False))
-    found = lines.unionByName(inner).groupBy("doc_id").agg(
+    hits = windows.join(_of_several(windows), "hash")
+    near = _written(around(own, hits))
+    inner = hits.filter("doc_id > keeper").withColumn("line", F.lit(False))
+    ends = near.filter("not hit").join(_of_several(near), "hash").filter("doc_id > keeper").select("doc_id", "at", F.lit(WINDOW).alias("size"), "hash", "keeper", F.lit(None).cast("boolean").alias("line"))
+    found = lines.unionByName(inner).unionByName(ends).groupBy("doc_id").agg(
         F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))).alias("spans"),
         F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
     )
 
-    @F.pandas_udf("array<struct<start: int, stop: int>>")
-    def joined(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda x: [{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in x])])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", merged_lists(batch.column("spans")))
 
-    return cut(found.withColumn("spans", joined("spans"))), taken.filter("kind = 0").select("doc_id", "size")
+    return cut(found.mapInArrow(tidy(joined), found.schema)), taken.filter("kind = 0").select("doc_id", "size")
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and component_id of each row of docs (columns doc_id, text; others are ignored) with an id: the least id
-    that links reach. Linked are documents whose sets of five-word shingles have this exact Jaccard similarity at
-    least; MinHash bands only give the candidates. Texts without words are linked with each other."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    names = ["doc_id", "hash", *(f"b{i}" for i in range(BANDS))]
-
-    def signed(held: list[tuple]) -> pa.RecordBatch:
-        ids, found = [h[0] for h in held], [h[1] for h in held]
-        some = np.flatnonzero([len(f) > 0 for f in found])
-        hashes, bands = np.zeros(len(held), np.uint64), np.zeros((len(held), BANDS), np.uint64)
-        if len(some):
-            sizes = np.array([len(found[i]) for i in some])
-            flat, starts = np.concatenate([found[i] for i in some]), np.cumsum(sizes) - sizes
-            hashes[some], bands[some] = whole_hashes(flat, starts), signature(flat, starts)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i]).view(np.int64)) for i in range(BANDS))], names)
+def _of_several(windows: DataFrame) -> DataFrame:
+    """The hashes that several documents have: hash, keeper (the least of their ids)."""
+    return cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last"))
+
+
+def around(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """All windows that begin less than STRIDE words from one of the hits (doc_id, at): doc_id, at, hash, hit.
+
+    Of a shared run the first and the last window that both documents took are hits, each less than STRIDE words from
+    the run's end; so the run's other windows are here from both documents.
+    """
+    by_doc = cut(hits.groupBy("doc_id").agg(F.collect_set("at").alias("hits")))
+    n = by_doc.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc_id, document_shingles(*word_hashes(text))[2]))
-                n += len(held[-1][1])
-                if n >= WORDS_AT_ONCE:
-                    yield signed(held)
-                    held, n = [], 0
-        if held:
-            yield signed(held)
-
-    rows = _written(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
-    texts = _written(rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
-    nodes = components(paragraph_links(own, texts, threshold, document_shingles))
-    rooted = texts.select("hash", "owner").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
-    return rows.select("doc_id", "hash").join(rooted.select("hash", "root").join(ids, "root").select("hash", "component_id"), "hash").select("doc_id", "component_id")
+            hits = batch.column(2)
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words, own = word_hashes(text)[0], hits[i].values.to_numpy()
+                h = runs(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
+                own = own[own < len(h)]  # of another text of this id
+                edge, hit = np.zeros(len(h) + 1, np.int32), np.zeros(len(h), bool)
+                np.add.at(edge, np.maximum(own - STRIDE + 1, 0), 1)
+                np.add.at(edge, np.minimum(own + STRIDE, len(h)), -1)
+                hit[own] = True
+                at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(hit[at])], ["doc_id", "at", "hash", "hit"])
+
+    return _beside(docs, by_doc, n).filter("hits is not null").select("doc_id", "text", "hits").mapInArrow(tidy(run), "doc_id long, at int, hash long, hit boolean")
+
+
+def merged_lists(lists: pa.ListArray) -> pa.ListArray:
+    """`merged` of each list of (start, stop)."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    start, stop = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "stop"))
+    of = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(offsets))
+    order = np.lexsort((start, of))
+    of, start, stop = of[order], start[order], stop[order]
+    reach = np.maximum.accumulate((of << 32) + stop)
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] << 32) + start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(of))[: len(first)] - 1
+    values = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array((reach[last] & 0xFFFFFFFF).astype(np.int32))], ["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(lists) + 1)).astype(np.int32)), values)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -313,6 +314,36 @@ def test_every_long_shared_run_shares_a_window():
         assert a & b
 
 
+def test_shared_runs_inside_lines_go_up_to_their_ends(spark):
+    """Words of runs of 39 that a document of a lesser id has too are removed, and none that no run of 24 covers."""
+    r = random.Random(4)
+    passages = [lorem(700 + i, n) for i, n in enumerate((39, 51, 51, 60, 75, 120))]
+    texts = []
+    for i in range(60):
+        p = r.choice(passages).split()
+        if r.random() < 0.4:  # only a part of it, so that runs end elsewhere in other documents
+            p = p[r.randrange(len(p) - 30) :]
+        texts.append(" ".join([lorem(800 + i, r.randint(0, 40)), *p, lorem(900 + i, r.randint(0, 40)), *(r.choice(passages).split() if r.random() < 0.3 else [])]).split())
+    got = {x["doc_id"]: x for x in substrings.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        covered = {}
+        for n in (24, 39):
+            seen = {tuple(o[k : k + n]) for o in texts[:i] for k in range(len(o) - n + 1)}
+            covered[n] = {k + j for k in range(len(t) - n + 1) if tuple(t[k : k + n]) in seen for j in range(n)}
+        removed = {k for s in got[i]["spans"] for k in range(s["start"], s["stop"])}
+        assert covered[39] <= removed <= covered[24]
+        assert got[i]["removed_words"] == len(removed)
+
+
+def test_merged_lists_are_those_of_merged():
+    r = random.Random(2)
+    lists = [[(a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(r.randint(0, 12)))] for _ in range(300)]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    array = pa.array([[{"start": a, "stop": b} for a, b in x] for x in lists], kind)
+    for some, theirs in ((array, lists), (array[7:90], lists[7:90]), (array[:0], [])):
+        assert [[(s["start"], s["stop"]) for s in x] for x in substrings.merged_lists(some).to_pylist()] == [substrings.merged(x) for x in theirs]
+
+
 def test_paragraph_links_are_those_of_exact_jaccard(spark, monkeypatch):
     monkeypatch.setattr(substrings, "LARGEST", 6)
     r = random.Random(8)
