@@ -3,6 +3,8 @@
 Paragraphs are lines of at least PARAGRAPH words. Their five-word shingles give MinHash signatures; the number of bands
 is the least that reaches the wanted recall at the threshold. Different paragraphs that collide in a band are compared
 by their exact Jaccard similarity and linked from the threshold on; the components of links decide which to remove.
+Shorter lines are compared as blocks of neighbours that have PARAGRAPH words together, with each other and with the
+paragraphs; a block goes if it is linked directly with a document of a lesser id.
 
 A passage inside longer paragraphs makes no two of them alike. So windows of WINDOW words are compared too: of every
 STRIDE windows in a row the one with the least hash is taken, so documents that share WINDOW + STRIDE - 1 words in a
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, ready, tidy
@@ -36,6 +38,8 @@ PARAGRAPH, WINDOW, STRIDE = 50, 24, 16
 LARGEST, LISTED = 1024, 200_000
 #: Words whose paragraphs get their signatures together.
 WORDS_AT_ONCE = 200_000
+#: Told apart by this: the hashes of blocks from those of lines. Sets up to this many are compared pair by pair.
+BLOCK, FEW = np.uint64(0x5851F42D4C957F2D), 32
 WORD = re.compile(rb"[^\x09-\x0d\x20]+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,14 +103,18 @@ def permutations() -> list[tuple[np.uint64, np.uint64]]:
     return [(m, a) for m, a in seeds]
 
 
-def signature(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band values (paragraphs x BANDS) of shingle hashes that begin at starts for each paragraph."""
+def signature(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+    """Band values (paragraphs x BANDS) of shingle hashes that begin at starts for each paragraph, and end at stops if
+    these are given: they may overlap then."""
     out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    every = 1 if stops is None else 2
+    if stops is not None:
+        shingles, starts = np.append(shingles, np.uint64(0)), np.column_stack([starts, stops]).ravel()
     for i, (m, a) in enumerate(permutations()):
         own = shingles * m
         own += a
         own >>= np.uint64(16)
-        out[:, i // ROWS] = out[:, i // ROWS] * np.uint64(0x100000001B3) + np.minimum.reduceat(own, starts)
+        out[:, i // ROWS] = out[:, i // ROWS] * np.uint64(0x100000001B3) + np.minimum.reduceat(own, starts)[::every]
     return mixed(out)
 
 
@@ -131,6 +139,36 @@ def paragraph_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return first, n, all_[np.repeat(first - starts, sizes) + np.arange(sizes.sum())], starts
 
 
+def line_blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of neighbouring short lines: first words and numbers of words. From each short line on, and up to each
+    one, the fewest lines that have PARAGRAPH words; they overlap. No block holds a line of PARAGRAPH words."""
+    counts = counts[counts > 0]
+    to, long = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts >= PARAGRAPH))
+    lines = np.arange(len(counts))
+    ends, begins = np.searchsorted(to, to[:-1] + PARAGRAPH), np.searchsorted(to, to[1:] - PARAGRAPH, side="right") - 1
+    onward, back = ends <= len(counts), begins >= 0
+    pairs = np.concatenate([np.column_stack([lines[onward], ends[onward]]), np.column_stack([begins[back], lines[back] + 1])])
+    pairs = np.unique(pairs[long[pairs[:, 0]] == long[pairs[:, 1]]], axis=0)
+    return to[pairs[:, 0]], to[pairs[:, 1]] - to[pairs[:, 0]]
+
+
+def gathered(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of ranges one after the other, and where each one's begin."""
+    starts = np.cumsum(sizes) - sizes
+    return np.repeat(first - starts, sizes) + np.arange(sizes.sum()), starts
+
+
+def unit_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the paragraphs and blocks: as paragraph_shingles, and what their hashes are marked with."""
+    first, n, shingles, starts = paragraph_shingles(words, counts)
+    begin, size = line_blocks(counts)
+    mark = np.repeat(np.array([0, BLOCK], np.uint64), [len(first), len(begin)])
+    if not len(begin):
+        return first, n, shingles, starts, mark
+    at, more = gathered(begin, size - SHINGLE + 1)
+    return np.append(first, begin), np.append(n, size), np.append(shingles, runs(words, SHINGLE)[at]), np.append(starts, more + len(shingles)), mark
+
+
 def document_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The whole text as one unit, as paragraph_shingles gives them; fewer words than SHINGLE are one shingle, none are
     no unit."""
@@ -149,10 +187,21 @@ def _written(df: DataFrame) -> DataFrame:
 
 def parts(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id not null, text) taken apart: kind 0 the document (size words), 1 its paragraphs (at, size,
-    hash, bands b0..), 2 its windows (at, hash)."""
+    hash, bands b0..), 2 its windows (at, hash), 3 its blocks of short lines (as paragraphs)."""
 
     names = ["kind", "doc_id", "at", "size", "hash", *(f"b{i}" for i in range(BANDS))]
 
+    def blocks(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """held: id, all shingles, first words and numbers of words of blocks."""
+        offsets = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
+        shingles, size = np.concatenate([x[1] for x in held]), np.concatenate([x[3] for x in held])
+        begin = np.concatenate([x[2] + o for x, o in zip(held, offsets)])
+        bands = signature(shingles, begin, begin + size - SHINGLE + 1).view(np.int64)
+        at, starts = gathered(begin, size - SHINGLE + 1)
+        every = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
+        first = np.concatenate([x[2] for x in held])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), 3, np.int8)), pa.array(every), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((whole_hashes(shingles[at], starts) ^ BLOCK).view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS))], names)
+
     def rows(docs: list[tuple], paragraphs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         """docs: id, words, first words and numbers of words of paragraphs, positions and hashes of windows."""
         many = [len(d[2]) for d in docs]
@@ -173,7 +222,7 @@ def parts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(every), pa.array(at), pa.array(size), pa.array(hashes), *(pa.array(np.ascontiguousarray(b[:, i]), mask=none) for i in range(BANDS))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, paragraphs, held = [], [], 0
+        docs, paragraphs, short, held = [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, counts = word_hashes(text)
@@ -182,12 +231,19 @@ def parts(docs: DataFrame) -> DataFrame:
                 take = chosen(windows)
                 docs.append((doc_id, len(words), first, n, take, windows[take]))
                 paragraphs.append((shingles, starts))
+                begin, size = line_blocks(counts)
+                if len(begin):
+                    short.append((doc_id, runs(words, SHINGLE), begin, size))
                 held += len(words)
                 if held >= WORDS_AT_ONCE:
                     yield rows(docs, paragraphs)
-                    docs, paragraphs, held = [], [], 0
+                    if short:
+                        yield blocks(short)
+                    docs, paragraphs, short, held = [], [], [], 0
         if docs:
             yield rows(docs, paragraphs)
+        if short:
+            yield blocks(short)
 
     schema = "kind byte, doc_id long, at int, size int, hash long, " + ", ".join(f"b{i} long" for i in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
@@ -217,19 +273,52 @@ def alike(sets: list[np.ndarray], ids: np.ndarray, threshold: float) -> list[tup
     return edges
 
 
+def linked(sets: list[np.ndarray], ids: np.ndarray, owner: np.ndarray, line: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """As `alike`: edges among those that are lines; and of each set that is linked with one of a lesser owner: its id
+    and the least such owner. Sets are in order of their owners."""
+    label, edges, least = np.arange(len(sets)), [], []
+    size = np.array([len(s) for s in sets])
+    if len(sets) <= FEW:
+        members = [set(s.tolist()) for s in sets]
+    else:
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        values, code = np.unique(flat, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        holders, bounds = of[order], np.searchsorted(code[order], np.arange(len(values) + 1))
+        begin = np.cumsum(size) - size
+    for i in range(1, len(sets)):
+        if len(sets) <= FEW:
+            both = np.array([len(members[i] & m) for m in members[:i]])
+        else:
+            earlier = [holders[bounds[c] : bounds[c + 1]] for c in code[begin[i] : begin[i] + size[i]].tolist()]
+            both = np.bincount(np.concatenate(earlier), minlength=len(sets))[:i]
+        near = np.flatnonzero(both >= threshold * (size[:i] + size[i] - both) - 1e-9)
+        if len(near) and owner[near[0]] < owner[i]:
+            least.append((int(ids[i]), int(owner[near[0]])))
+        for j in near[line[near] & line[i] & (label[near] != label[i])].tolist():
+            if label[j] != label[i]:
+                edges.append((int(ids[i]), int(ids[j])))
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return edges, least
+
+
 def _beside(docs: DataFrame, by_doc: DataFrame, n: int) -> DataFrame:
     """docs with the row of by_doc of the same id, if any: sent to the executors if its n entries are few, else joined."""
     return docs.join(F.broadcast(by_doc) if n <= LISTED else by_doc, "doc_id", "left")
 
 
-def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float, units: Callable = paragraph_shingles) -> DataFrame:
-    """Edges (a, b) between hashes of different paragraphs, whose components are those of all verified collisions.
+def candidates(docs: DataFrame, paragraphs: DataFrame, units: Callable) -> DataFrame:
+    """What is to be compared: (g, hash, shingles, owner, line), the different paragraphs of each group g that collide in
+    a band; line is false for blocks. Blocks that only meet others of their own document are left out.
 
     paragraphs: one row for each different paragraph: hash, owner (a document that has it), b0...; units finds them in
     a document's words.
     """
-    keyed = paragraphs.select("hash", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("t", "k"))
-    counts = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
+    line = F.col("line") if "line" in paragraphs.columns else F.lit(True)
+    keyed = paragraphs.select("hash", "owner", line.alias("line"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("t", "k"))
+    several = (F.min("owner") < F.max("owner")) | (F.count_if("line") > 1)
+    counts = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1 and several").drop("several"))
+    keyed = keyed.select("hash", "t", "k")
     cells = F.ceil(F.col("n") * 2 / LARGEST).cast("int")  # large groups are compared in cells of two parts each
     part = F.pmod(F.hash("hash"), cells)
     cell = F.when(F.col("n") <= LARGEST, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(part, j) * cells + F.greatest(part, j)))
@@ -240,26 +329,66 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float, un
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[int, bytes] = {}
-            for text, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: dict[int, tuple[bytes, int, bool]] = {}
+            for text, hashes, owner in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words, counts = word_hashes(text)
-                first, n, shingles, starts = units(words, counts)
+                first, n, shingles, starts, *mark = units(words, counts)
+                mark = mark[0] if mark else np.zeros(len(starts), np.uint64)
                 if len(starts):
                     wanted_here = set(hashes)
-                    for h, s, k in zip(whole_hashes(shingles, starts).view(np.int64).tolist(), starts.tolist(), np.maximum(1, n - SHINGLE + 1).tolist()):
+                    for h, s, k, line in zip((whole_hashes(shingles, starts) ^ mark).view(np.int64).tolist(), starts.tolist(), np.maximum(1, n - SHINGLE + 1).tolist(), (mark == 0).tolist()):
                         if h in wanted_here:
-                            out[h] = np.unique(shingles[s : s + k]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["hash", "shingles"])
+                            out[h] = np.unique(shingles[s : s + k]).tobytes(), owner, line
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([x[i] for x in out.values()], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.bool_())))], ["hash", "shingles", "owner", "line"])
 
     listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes")
-    sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary").dropDuplicates(["hash"])
+    texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes", "doc_id")
+    sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary, owner long, line boolean").dropDuplicates(["hash"])
+
+    return groups.join(sets, "hash")
+
+
+def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float, units: Callable = paragraph_shingles) -> DataFrame:
+    """Edges (a, b) between hashes of different paragraphs, whose components are those of all verified collisions.
+
+    paragraphs and units: as `candidates` takes them.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         edges = alike([np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]], group["hash"].to_numpy(), threshold)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    return cut(groups.join(sets, "hash").groupBy("g").applyInPandas(compare, "a long, b long").distinct())
+    return cut(candidates(docs, paragraphs, units).groupBy("g").applyInPandas(compare, "a long, b long").distinct())
+
+
+def unit_links(docs: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of paragraphs and blocks together (units: hash, owner, line, b0...): edges (a, b) as paragraph_links gives them
+    among lines; and (hash, keeper), the least owner that a unit is linked with, if less than its own.
+
+    Blocks overlap and so would chain through a whole document: they are linked directly, never by components.
+    """
+
+    def compared(group: list[tuple]) -> pa.RecordBatch:
+        _, ids, sets, owner, line = zip(*group)
+        edges, least = linked([np.frombuffer(x, dtype=np.uint64) for x in sets], np.array(ids), np.array(owner), np.array(line), threshold)
+        rows = [*((a, b, None) for a, b in edges), *((a, None, k) for a, k in least)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "keeper"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if group and row[0] != group[0][0]:
+                    yield compared(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield compared(group)
+
+    pairs = candidates(docs, units, unit_shingles).select("g", "hash", "shingles", "owner", "line")
+    found = pairs.repartition("g").sortWithinPartitions("g", "owner", "hash").mapInArrow(tidy(run), "a long, b long, keeper long")
+    found = cut(found.distinct())
+    return found.filter("b is not null").select("a", "b"), found.filter("b is null").groupBy(F.col("a").alias("hash")).agg(F.min("keeper").alias("keeper"))
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +400,22 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     taken = _written(parts(own))
-    paragraphs = taken.filter("kind = 1").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    paragraphs = _written(paragraphs)
-    nodes = components(paragraph_links(own, paragraphs, threshold))
-    rooted = paragraphs.select("hash", "owner", "last").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    units = taken.filter("kind in (1, 3)").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("kind") == 1).alias("line"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    units = _written(units)
+    edges, direct = unit_links(own, units, threshold)
+    nodes = components(edges)
+    rooted = units.filter("line").select("hash", "owner", "last").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
     owners = rooted.groupBy("root").agg(F.min("owner").alias("keeper"), F.max("last").alias("last")).filter("keeper < last")
-    again = cut(rooted.select("hash", "root").join(owners, "root").select("hash", "keeper"))
-    lines = taken.filter("kind = 1").select("doc_id", "at", "size", "hash").join(again, "hash").filter("doc_id > keeper").withColumn("line", F.lit(True))
+    again = rooted.select("hash", "root").join(owners, "root").select("hash", "keeper")
+    equal = units.filter("owner < last and not line").select("hash", F.col("owner").alias("keeper"))
+    again = cut(again.unionByName(equal).unionByName(direct).groupBy("hash").agg(F.min("keeper").alias("keeper")))
+    lines = taken.filter("kind in (1, 3)").select("doc_id", "at", "size", "hash").join(again, "hash").filter("doc_id > keeper").withColumn("line", F.lit(True))
     windows = taken.filter("kind = 2").select("doc_id", "at", "size", "hash")
     # written first, so that a window that very many documents share is a skewed join, which the planner splits
-    hits = windows.join(_of_several(windows), "hash")
-    near = _written(around(own, hits))
+    hits = _written(windows.join(_of_several(windows), "hash"))
+    near = _written(around(own, hits.join(_written(outermost(hits)), "hash")))
     inner = hits.filter("doc_id > keeper").withColumn("line", F.lit(False))
-    ends = near.filter("not hit").join(_of_several(near), "hash").filter("doc_id > keeper").select("doc_id", "at", F.lit(WINDOW).alias("size"), "hash", "keeper", F.lit(None).cast("boolean").alias("line"))
+    ends = near.filter("open").join(_of_several(near, F.max("open")), "hash").filter("doc_id > keeper").select("doc_id", "at", F.lit(WINDOW).alias("size"), "hash", "keeper", F.lit(None).cast("boolean").alias("line"))
     found = lines.unionByName(inner).unionByName(ends).groupBy("doc_id").agg(
         F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))).alias("spans"),
         F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
@@ -296,35 +428,67 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     return cut(found.mapInArrow(tidy(joined), found.schema)), taken.filter("kind = 0").select("doc_id", "size")
 
 
-def _of_several(windows: DataFrame) -> DataFrame:
-    """The hashes that several documents have: hash, keeper (the least of their ids)."""
-    return cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last"))
+def _of_several(windows: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """The hashes that several documents have (and for which the aggregate is true): hash, keeper (the least id)."""
+    wanted = F.lit(True) if wanted is None else wanted
+    return cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), wanted.alias("wanted")).filter("keeper < last and wanted").select("hash", "keeper"))
+
+
+def outermost(hits: DataFrame) -> DataFrame:
+    """Of the hits (doc_id, at, hash, keeper) the hashes around which other windows can matter: those from which, in a
+    document that they are removed from, less than STRIDE words lead to a word that no hit removes."""
+    by_doc = hits.filter("doc_id > keeper").groupBy("doc_id").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for hits in batch.column(0):
+                at, hashes = (hits.values.field(c).to_numpy() for c in ("at", "hash"))
+                edge = np.zeros(at.max() + WINDOW + STRIDE + 1, np.int32)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + WINDOW, -1)
+                left = np.concatenate([[0], np.cumsum(np.cumsum(edge) == 0)])
+                found.append(hashes[left[at + WINDOW + STRIDE - 1] > left[np.maximum(at - STRIDE + 1, 0)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["hash"])
+
+    return by_doc.select("hits").mapInArrow(tidy(run), "hash long").distinct()
 
 
 def around(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """All windows that begin less than STRIDE words from one of the hits (doc_id, at): doc_id, at, hash, hit.
+    """All windows that begin less than STRIDE words from one of the hits (doc_id, at, keeper): doc_id, at, hash, and
+    open: whether it has words that these don't remove.
 
     Of a shared run the first and the last window that both documents took are hits, each less than STRIDE words from
-    the run's end; so the run's other windows are here from both documents.
+    the run's end; so the run's other windows are here from both documents, unless other hits remove all its words.
     """
-    by_doc = cut(hits.groupBy("doc_id").agg(F.collect_set("at").alias("hits")))
+    by_doc = cut(hits.groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 2 + (F.col("doc_id") > F.col("keeper")).cast("int")).alias("hits")))
     n = by_doc.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    names = ["doc_id", "at", "hash", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(2)
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                words, own = word_hashes(text)[0], hits[i].values.to_numpy()
+            held, many = [], 0
+            for doc_id, text, own in zip(*(batch.column(i) for i in range(3))):  # one text at a time
+                words, own = word_hashes(text.as_py())[0], own.values.to_numpy()
                 h = runs(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
-                own = own[own < len(h)]  # of another text of this id
-                edge, hit = np.zeros(len(h) + 1, np.int32), np.zeros(len(h), bool)
+                own = own[own >> 1 < len(h)]  # the others are of another text of this id
+                removed, own = own[own & 1 == 1] >> 1, own >> 1
+                edge, kept = np.zeros(len(h) + 1, np.int32), np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, np.maximum(own - STRIDE + 1, 0), 1)
                 np.add.at(edge, np.minimum(own + STRIDE, len(h)), -1)
-                hit[own] = True
+                np.add.at(kept, removed, 1)
+                np.add.at(kept, removed + WINDOW, -1)
+                left = np.concatenate([[0], np.cumsum(np.cumsum(kept[:-1]) == 0)])  # words that stay, up to each
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(hit[at])], ["doc_id", "at", "hash", "hit"])
+                held.append((np.full(len(at), doc_id.as_py(), np.int64), at.astype(np.int32), h[at].view(np.int64), left[at + WINDOW] > left[at]))
+                many += len(at)
+                if many >= WORDS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+                    held, many = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return _beside(docs, by_doc, n).filter("hits is not null").select("doc_id", "text", "hits").mapInArrow(tidy(run), "doc_id long, at int, hash long, hit boolean")
+    return _beside(docs, by_doc, n).filter("hits is not null").select("doc_id", "text", "hits").mapInArrow(tidy(run), "doc_id long, at int, hash long, open boolean")
 
 
 def merged_lists(lists: pa.ListArray) -> pa.ListArray:
@@ -344,6 +508,43 @@ def merged_lists(lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(lists) + 1)).astype(np.int32)), values)
 
 
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and component_id of each row of docs (columns doc_id, text; others are ignored) with an id: the least id
+    that links reach. Linked are documents whose sets of five-word shingles have this exact Jaccard similarity at
+    least; MinHash bands only give the candidates. Texts without words are linked with each other."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    names = ["doc_id", "hash", *(f"b{i}" for i in range(BANDS))]
+
+    def signed(held: list[tuple]) -> pa.RecordBatch:
+        ids, found = [h[0] for h in held], [h[1] for h in held]
+        some = np.flatnonzero([len(f) > 0 for f in found])
+        hashes, bands = np.zeros(len(held), np.uint64), np.zeros((len(held), BANDS), np.uint64)
+        if len(some):
+            sizes = np.array([len(found[i]) for i in some])
+            flat, starts = np.concatenate([found[i] for i in some]), np.cumsum(sizes) - sizes
+            hashes[some], bands[some] = whole_hashes(flat, starts), signature(flat, starts)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i]).view(np.int64)) for i in range(BANDS))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, document_shingles(*word_hashes(text))[2]))
+                n += len(held[-1][1])
+                if n >= WORDS_AT_ONCE:
+                    yield signed(held)
+                    held, n = [], 0
+        if held:
+            yield signed(held)
+
+    rows = _written(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
+    texts = _written(rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
+    nodes = components(paragraph_links(own, texts, threshold, document_shingles))
+    rooted = texts.select("hash", "owner").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
+    return rows.select("doc_id", "hash").join(rooted.select("hash", "root").join(ids, "root").select("hash", "component_id"), "hash").select("doc_id", "component_id")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, stop in sorted(spans):
@@ -366,8 +567,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """One row for each document with an id: doc_id, n_words, removed_words, n_paragraphs and n_windows (removed ones,
-    before they are merged), spans (array of struct<start, stop>, words, merged), kept_in (sorted ids of the documents
+    """One row for each document with an id: doc_id, n_words, removed_words, n_paragraphs (lines and blocks of short
+    lines, which overlap) and n_windows (removed ones, before they are merged), spans (array of struct<start, stop>, words, merged), kept_in (sorted ids of the documents
     that keep what is removed here). Equal ids are one document, whose words are those of its longest text. An empty
     table gives no rows."""
     found, all_ = removals(docs)

@@ -314,6 +314,29 @@ def test_every_long_shared_run_shares_a_window():
         assert a & b
 
 
+def test_wrapped_passages_with_a_changed_word_are_compared(spark):
+    def wrapped(words, *sizes):
+        lines, at = [], 0
+        for n in sizes:
+            lines.append(" ".join(words[at : at + n]))
+            at += n
+        assert at == len(words)
+        return "\n".join(lines)
+
+    def edited(words):
+        return [*words[:26], "changed", *words[27:]]
+
+    a, b, c = (lorem(600 + i, n).split() for i, n in enumerate((52, 70, 54)))
+    rows = [(1, lorem(610, 9) + "\n" + wrapped(a, 13, 13, 13, 13) + "\n\n" + lorem(611, 60)), (2, lorem(612, 14) + "\n" + lorem(613, 20) + "\n" + wrapped(edited(a), 13, 13, 13, 13) + "\n" + lorem(614, 8)),
+            (3, wrapped(b, 10, 10, 10, 10, 10, 10, 9, 1)), (4, wrapped(edited(b), 10, 10, 10, 10, 10, 10, 9, 1)), (5, " ".join(c)), (6, lorem(615, 12) + "\n" + wrapped(edited(c), 20, 20, 14)),
+            (7, "\n".join(lorem(620 + i, 3) for i in range(40))), (8, "\n".join(lorem(620 + i, 3) for i in range(18)) + "\n" + "\n".join(lorem(680 + i, 3) for i in range(40)))]
+    clean = {x["doc_id"]: x["text"].split() for x in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: t.split() for i, t in rows}
+    assert all(clean[i] == texts[i] for i in (1, 3, 5, 7))
+    assert clean[2] == (lorem(612, 14) + " " + lorem(613, 20) + " " + lorem(614, 8)).split() and clean[4] == [] and clean[6] == lorem(615, 12).split()
+    assert clean[8] == texts[8][len(texts[8]) - len(clean[8]) :] and 114 <= len(clean[8]) <= 120  # small lines do not chain
+
+
 def test_shared_runs_inside_lines_go_up_to_their_ends(spark):
     """Words of runs of 39 that a document of a lesser id has too are removed, and none that no run of 24 covers."""
     r = random.Random(4)
