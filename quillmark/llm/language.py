@@ -104,16 +104,21 @@ def best(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[
     return lang, score
 
 
+def known_share(model: Model, text: str) -> float:
+    """The share of the text's n-grams that a landmark has too. Unlike a share among the languages it can be low for any
+    number of them, one included."""
+    return float((model.column[bins(text, 1, LONGEST)] >= 0).mean())
+
+
 def kept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows of docs, all columns, that have a letter and whose language scores `least` at least (any, if nothing
-    was learnt)."""
+    """The rows of docs, all columns, that have a letter and whose known_share is `least` at least (any, if nothing was
+    learnt)."""
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in map(pd.Series.tolist, batches):
-            score = best(shared.value, texts)[1]
-            yield pd.Series([has_letter(t) and (shared.value is None or s >= least) for t, s in zip(texts, score)], dtype=bool)
+            yield pd.Series([has_letter(t) and (shared.value is None or known_share(shared.value, t) >= least) for t in texts], dtype=bool)
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
