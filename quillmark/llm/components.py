@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     e, before = cut(e), None
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _to_least(large)
         stars = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = cut(stars.filter("a <> b").distinct())

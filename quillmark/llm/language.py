@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import fold, ready, tidy
-from quillmark.llm.ngrams import BITS, bins, sampled, texts_of
+from quillmark.llm.common import fold, ready, release, tidy
+from quillmark.llm.ngrams import BITS, bins, sampled
 
 LONGEST = 4
-#: Bounds of what is learnt from: rows of a language, landmarks in all, characters of a text. Texts scored at a time.
-PER_LANGUAGE, LANDMARKS, CHARACTERS, TEXTS_AT_ONCE = 200, 128, 8_000, 64
+#: Bounds of what is learnt from: rows of a language, rows and landmarks in all, characters of a text. Texts scored at a time.
+PER_LANGUAGE, ROWS, LANDMARKS, CHARACTERS, TEXTS_AT_ONCE = 200, 4_000, 128, 8_000, 64
 RIDGE, SHARPNESS = 1e-2, 6.0
 UNKNOWN = "und"
 
@@ -55,10 +55,10 @@ def learn(rows: list[tuple[int, str, str]]) -> Model | None:
     languages = sorted({r[2] for r in rows})
     if not languages:
         return None
-    found = [bins(r[1], 1, LONGEST) for r in rows]
     each = max(1, LANDMARKS // len(languages))
-    chosen = [i for lang in languages for i in [j for j, r in enumerate(rows) if r[2] == lang][:each]]
-    held = np.unique(np.concatenate([found[i] for i in chosen]))
+    chosen = [i for lang in languages for i in [j for j, r in enumerate(rows) if r[2] == lang][:each]][: max(LANDMARKS, len(languages))]
+    found = {i: bins(rows[i][1], 1, LONGEST) for i in chosen}
+    held = np.unique(np.concatenate(list(found.values())))
     column = np.full(1 << BITS, -1, dtype=np.int32)
     column[held] = np.arange(len(held), dtype=np.int32)
     matrix = np.zeros((len(held), len(chosen)), dtype=np.float32)
@@ -68,7 +68,7 @@ def learn(rows: list[tuple[int, str, str]]) -> Model | None:
     kernel = model.kernels([found[i] for i in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    features = np.concatenate([model.kernels(found[i : i + TEXTS_AT_ONCE]) for i in range(0, len(found), TEXTS_AT_ONCE)]).astype(np.float64) @ root
+    features = np.concatenate([model.kernels([bins(r[1], 1, LONGEST) for r in rows[i : i + TEXTS_AT_ONCE]]) for i in range(0, len(rows), TEXTS_AT_ONCE)]).astype(np.float64) @ root
     targets = np.array([[1.0 if r[2] == lang else -1.0 for lang in languages] for r in rows])
     mean, offset = features.mean(axis=0), targets.mean(axis=0)
     centred = features - mean
@@ -84,10 +84,13 @@ def has_letter(text: str | None) -> bool:
 
 def fit(docs: DataFrame, held_out: tuple[int, int] | None = (3, 1)) -> Model | None:
     """Learn from docs (doc_id, text, lang): rows with a language, outside the held-out fold of their ids."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
     if held_out:
         rows = rows.filter(fold(F.col("doc_id"), held_out[0]) != held_out[1])
-    return learn(texts_of(docs, sampled(rows, "lang", PER_LANGUAGE), "lang", CHARACTERS))
+    try:
+        return learn(sampled(docs, rows, "lang", PER_LANGUAGE, CHARACTERS, ROWS))
+    finally:
+        release()
 
 
 def best(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -48,28 +48,31 @@ def bins(text: str, least: int, most: int) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def sampled(rows: DataFrame, label: str, per_class: int, most_classes: int = 200) -> DataFrame:
-    """About `per_class` rows of each class at most, the same ones each time: those whose id hashes low enough.
-
-    rows has doc_id and `label` (not null); only the most frequent `most_classes` classes are learnt, ties by label.
-    The classes' counts, not rows, come to the driver.
+def sampled(docs: DataFrame, labelled: DataFrame, label: str, per_class: int, longest: int, most_rows: int) -> list[tuple[int, str, object]]:
+    """(doc_id, text, label), in order of id: the bounded sample to learn from, the same rows each time.
+
+    docs: doc_id, text; labelled: doc_id, label. Rows without id, text or label are left out first. Of each class about
+    per_class rows, or most_rows over the number of classes if that is less, are drawn by a hash of their ids among the
+    texts of `longest` characters at most; a class that has only longer texts is drawn among these and learnt from a
+    window of `longest` characters whose place the id's hash decides. With more than most_rows classes the most frequent
+    are learnt, ties by label. The classes' counts and the sample itself come to the driver, most_rows * longest
+    characters at most but for chance.
     """
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_classes).collect()}
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("_n", F.length("text"))
+    known = labelled.select("doc_id", F.col(label).alias("_label")).filter("doc_id is not null and _label is not null").distinct()
+    rows = own.select("doc_id", (F.col("_n") <= longest).alias("_short")).join(known, "doc_id").distinct()
+    sizes = rows.groupBy("_label").agg(F.count_if("_short").alias("short"), F.count("*").alias("n")).orderBy(F.desc("n"), "_label").limit(most_rows).collect()
     if not sizes:
-        return rows.limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_class / n))]), F.col(label))
+        return []
+    each = min(per_class, max(1, most_rows // len(sizes)))
+    drawn = F.create_map(*[F.lit(x) for r in sizes for x in (r["_label"], min(1.0, each / (r["short"] or r["n"])))])
+    short = F.create_map(*[F.lit(x) for r in sizes for x in (r["_label"], r["short"] > 0)])
     # top 30 bits of the hash as a number from 0 to 1
-    return rows.filter(F.col(label).isin(list(sizes)) & (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 34) / float(1 << 30) < share))
-
-
-def texts_of(docs: DataFrame, chosen: DataFrame, label: str, longest: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of the chosen rows, a bounded sample, for the driver to learn from, in order of id.
-
-    Only texts of at most `longest` characters are learnt from, so what comes to the driver is bounded.
-    """
-    own = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= longest))
-    rows = own.join(F.broadcast(chosen.select("doc_id", label).dropDuplicates(["doc_id"])), "doc_id").collect()
-    return sorted({(r["doc_id"], r["text"], r[label]) for r in rows if r["doc_id"] is not None}, key=lambda r: (r[0], r[1]))
+    place = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 34) / float(1 << 30)
+    wanted = rows.filter((place("sample") < F.element_at(drawn, F.col("_label"))) & (F.col("_short") | ~F.element_at(short, F.col("_label"))))
+    window = F.when(F.col("_n") <= longest, F.col("text")).otherwise(F.substring(F.col("text"), (F.lit(1) + F.floor(place("window") * (F.col("_n") - longest + 1))).cast("int"), F.lit(longest)))
+    found = own.join(F.broadcast(wanted), [own["doc_id"] == wanted["doc_id"], (own["_n"] <= longest) == wanted["_short"]], "inner").select(own["doc_id"], window.alias("text"), wanted["_label"]).collect()
+    return sorted({(r[0], r[1], r[2]) for r in found}, key=lambda r: (r[0], r[1]))
 
 
 def squash(x: Column | np.ndarray) -> np.ndarray:

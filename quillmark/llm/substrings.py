@@ -1,24 +1,28 @@
 """Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat inside them.
 
-Paragraphs are lines of at least PARAGRAPH words. Their five-word shingles give MinHash signatures; the number of bands
-is the least that reaches the wanted recall at the threshold. Different paragraphs that collide in a band are compared
-by their exact Jaccard similarity and linked from the threshold on; the components of links decide which to remove.
-Shorter lines are compared as blocks of neighbours that have PARAGRAPH words together, with each other and with the
-paragraphs; a block goes if it is linked directly with a document of a lesser id.
-
-A passage inside longer paragraphs makes no two of them alike. So windows of WINDOW words are compared too: of every
-STRIDE windows in a row the one with the least hash is taken, so documents that share WINDOW + STRIDE - 1 words in a
-row share a window. Around the shared ones all windows are compared, so a shared run is met up to its ends.
-
-Of a component or window that occurs in several documents, the occurrences in the one with the least id stay, the
-others are removed. Everything that is shuffled is a hash with an id; texts are read where they lie, beside lists
-of removals of a checked size (a larger list is joined by id).
+Paragraphs are the lines that have a shingle, so SHINGLE words at least. Their five-word shingles give MinHash
+signatures; the number of bands is the least that reaches the wanted recall at the threshold. Different paragraphs that
+collide in a band are compared by their exact Jaccard similarity and linked from the threshold on; the components of
+links decide which to remove. A passage that is wrapped otherwise, with a word changed, leaves no line alike: so lines
+of less than BLOCK_WORDS words are compared as blocks of neighbours too, with each other and with the lines. A block
+goes if it is linked directly with a document of a lesser id.
+
+A passage inside longer lines makes no two of them alike. So windows of WINDOW words are compared too: of every STRIDE
+windows in a row the one with the least hash is taken, so documents that share WINDOW + STRIDE - 1 words in a row share
+a window. Around the shared ones all windows are compared, so a shared run is met up to its ends.
+
+Of a component or window that occurs in several documents, the occurrences in the one with the least id stay. The
+others are repeats; of these, runs of at least `least` words are removed, the shorter ones (a license line, a caption)
+are told apart from them. Everything that is shuffled is a hash with an id; texts are read where they lie, beside lists
+of repeats of a checked size (a larger list is joined by id).
+
+A row is known by its id and a hash of its text, so rows of one id may have different texts. They count as one document:
+what they share with each other stays.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,13 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, ready, tidy
+from quillmark.llm.common import Scratch, cut, tidy
 from quillmark.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 3
-PARAGRAPH, WINDOW, STRIDE = 50, 24, 16
-#: Paragraphs of a band's group that are compared in one task; entries of a list that is sent to every executor at most.
-LARGEST, LISTED = 1024, 200_000
+BLOCK_WORDS, WINDOW, STRIDE = 50, 24, 16
+#: Words in a row that repeat from which on they are removed: shorter ones are no window either.
+LEAST = WINDOW
+#: Paragraphs of a band's group that are compared in one task; entries (16 bytes) of a list that is sent to every executor at most.
+LARGEST, LISTED = 1024, 2_000_000
 #: Words whose paragraphs get their signatures together.
 WORDS_AT_ONCE = 200_000
 #: Told apart by this: the hashes of blocks from those of lines. Sets up to this many are compared pair by pair.
@@ -87,6 +93,11 @@ def chosen(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(slide(np.concatenate([pad, low, pad]), STRIDE, np.maximum) == h)
 
 
+def tag_of(text: str | None) -> int:
+    """31 bits that tell the texts of one id apart."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
+
+
 def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, A-Z lower-cased, and the number of words of each line."""
     digest, hashes, counts = xxhash.xxh3_64_intdigest, [], []
@@ -126,12 +137,12 @@ def whole_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def paragraph_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines with PARAGRAPH words or more: first words, numbers of words, all their shingles, and where each
-    one's shingles begin."""
+    """Of the lines that have a shingle: first words, numbers of words, all their shingles, and where each one's
+    shingles begin."""
     ends = np.cumsum(counts)
-    big = np.flatnonzero(counts >= PARAGRAPH)
-    first, n = (ends - counts)[big], counts[big]
-    if not len(big):
+    own = np.flatnonzero(counts >= SHINGLE)
+    first, n = (ends - counts)[own], counts[own]
+    if not len(own):
         return first, n, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     all_ = runs(words, SHINGLE)
     sizes = n - SHINGLE + 1
@@ -140,16 +151,14 @@ def paragraph_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
 
 
 def line_blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of neighbouring short lines: first words and numbers of words. From each short line on, and up to each
-    one, the fewest lines that have PARAGRAPH words; they overlap. No block holds a line of PARAGRAPH words."""
+    """Blocks of neighbouring short lines: first words and numbers of words. From each short line on, the fewest lines
+    that have BLOCK_WORDS words; they overlap. No block holds a line of BLOCK_WORDS words."""
     counts = counts[counts > 0]
-    to, long = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts >= PARAGRAPH))
-    lines = np.arange(len(counts))
-    ends, begins = np.searchsorted(to, to[:-1] + PARAGRAPH), np.searchsorted(to, to[1:] - PARAGRAPH, side="right") - 1
-    onward, back = ends <= len(counts), begins >= 0
-    pairs = np.concatenate([np.column_stack([lines[onward], ends[onward]]), np.column_stack([begins[back], lines[back] + 1])])
-    pairs = np.unique(pairs[long[pairs[:, 0]] == long[pairs[:, 1]]], axis=0)
-    return to[pairs[:, 0]], to[pairs[:, 1]] - to[pairs[:, 0]]
+    to, long = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts >= BLOCK_WORDS))
+    ends = np.searchsorted(to, to[:-1] + BLOCK_WORDS)
+    begins = np.flatnonzero(ends <= len(counts))
+    begins = begins[long[ends[begins]] == long[begins]]
+    return to[begins], to[ends[begins]] - to[begins]
 
 
 def gathered(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +167,20 @@ def gathered(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(first - starts, sizes) + np.arange(sizes.sum()), starts
 
 
-def unit_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the paragraphs and blocks: as paragraph_shingles, and what their hashes are marked with."""
-    first, n, shingles, starts = paragraph_shingles(words, counts)
+def units_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines that have a shingle, then of the blocks: first words, numbers of words, what their hashes are marked with."""
+    ends, own = np.cumsum(counts), np.flatnonzero(counts >= SHINGLE)
     begin, size = line_blocks(counts)
-    mark = np.repeat(np.array([0, BLOCK], np.uint64), [len(first), len(begin)])
-    if not len(begin):
-        return first, n, shingles, starts, mark
-    at, more = gathered(begin, size - SHINGLE + 1)
-    return np.append(first, begin), np.append(n, size), np.append(shingles, runs(words, SHINGLE)[at]), np.append(starts, more + len(shingles)), mark
+    return np.append((ends - counts)[own], begin), np.append(counts[own], size), np.repeat(np.array([0, BLOCK], np.uint64), [len(own), len(begin)])
+
+
+def unit_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines and blocks: as paragraph_shingles, and what their hashes are marked with."""
+    first, n, mark = units_of(counts)
+    if not len(first):
+        return first, n, np.zeros(0, np.uint64), np.zeros(0, np.int64), mark
+    at, starts = gathered(first, n - SHINGLE + 1)
+    return first, n, runs(words, SHINGLE)[at], starts, mark
 
 
 def document_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,76 +190,50 @@ def document_shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     return (np.array([0]), np.array([n]), runs(words, min(SHINGLE, n)), np.array([0])) if n else (none, none, np.zeros(0, np.uint64), none)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """As a table in the shared checkpoint folder: compressed and read by column, unlike checkpoint()."""
-    spark = df.sparkSession
-    ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def parts(docs: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id not null, text) taken apart: kind 0 the document (size words), 1 its paragraphs (at, size,
-    hash, bands b0..), 2 its windows (at, hash), 3 its blocks of short lines (as paragraphs)."""
-
+    """Rows of docs (doc_id not null, text) taken apart: kind 0 the document (size words), 1 its lines (at, size, hash,
+    bands b0..), 2 its windows (at, hash), 3 its blocks of short lines (as lines). at is the text's tag, then the first
+    word in the low 32 bits."""
     names = ["kind", "doc_id", "at", "size", "hash", *(f"b{i}" for i in range(BANDS))]
 
-    def blocks(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        """held: id, all shingles, first words and numbers of words of blocks."""
-        offsets = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
-        shingles, size = np.concatenate([x[1] for x in held]), np.concatenate([x[3] for x in held])
-        begin = np.concatenate([x[2] + o for x, o in zip(held, offsets)])
-        bands = signature(shingles, begin, begin + size - SHINGLE + 1).view(np.int64)
-        at, starts = gathered(begin, size - SHINGLE + 1)
-        every = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
-        first = np.concatenate([x[2] for x in held])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), 3, np.int8)), pa.array(every), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((whole_hashes(shingles[at], starts) ^ BLOCK).view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS))], names)
-
-    def rows(docs: list[tuple], paragraphs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        """docs: id, words, first words and numbers of words of paragraphs, positions and hashes of windows."""
-        many = [len(d[2]) for d in docs]
-        offsets = np.cumsum([0, *(len(p[0]) for p in paragraphs)])
-        shingles = np.concatenate([p[0] for p in paragraphs])
-        starts = np.concatenate([p[1] + o for p, o in zip(paragraphs, offsets)]).astype(np.int64)
-        whole, bands = (whole_hashes(shingles, starts), signature(shingles, starts)) if len(starts) else (np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64))
-        windows = [len(d[4]) for d in docs]
-        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(docs), len(whole), sum(windows)])
-        ids = np.array([d[0] for d in docs], np.int64)
-        at = np.concatenate([np.zeros(len(docs), np.int64), *(d[2] for d in docs), *(d[4] for d in docs)]).astype(np.int32)
-        size = np.concatenate([np.array([d[1] for d in docs], np.int64), *(d[3] for d in docs), np.full(sum(windows), WINDOW)]).astype(np.int32)
-        hashes = np.concatenate([np.zeros(len(docs), np.uint64), whole, *(d[5] for d in docs)]).view(np.int64)
-        none = kinds != 1
-        b = np.zeros((len(kinds), BANDS), np.int64)
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        """held: id, tag, shingles, units, number of words, positions and hashes of windows."""
+        ids, tags = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64) << 32
+        offsets = np.cumsum([0, *(len(h[2]) for h in held[:-1])])
+        shingles = np.concatenate([h[2] for h in held])
+        first, size, mark = (np.concatenate([h[3][i] for h in held]) for i in range(3))
+        units, windows = [len(h[3][0]) for h in held], [len(h[5]) for h in held]
+        begin, n = first + np.repeat(offsets, units), size - SHINGLE + 1
+        hashes, bands = np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+        if len(first):
+            at, starts = gathered(begin, n)
+            hashes, bands = whole_hashes(shingles[at], starts) ^ mark, signature(shingles, begin, begin + n)
+        kinds = np.concatenate([np.zeros(len(held), np.int8), np.where(mark == 0, 1, 3).astype(np.int8), np.full(sum(windows), 2, np.int8)])
+        every = np.concatenate([ids, np.repeat(ids, units), np.repeat(ids, windows)])
+        where = np.concatenate([tags, np.repeat(tags, units) + first, np.repeat(tags, windows) + np.concatenate([h[5] for h in held])])
+        sizes = np.concatenate([np.array([h[4] for h in held], np.int64), size, np.full(sum(windows), WINDOW)]).astype(np.int32)
+        own = np.concatenate([np.zeros(len(held), np.uint64), hashes, *(h[6] for h in held)]).view(np.int64)
+        none, b = (kinds == 0) | (kinds == 2), np.zeros((len(kinds), BANDS), np.int64)
         b[~none] = bands.view(np.int64)
-        every = np.concatenate([ids, np.repeat(ids, many), np.repeat(ids, windows)])
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(every), pa.array(at), pa.array(size), pa.array(hashes), *(pa.array(np.ascontiguousarray(b[:, i]), mask=none) for i in range(BANDS))], names)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(every), pa.array(where), pa.array(sizes), pa.array(own), *(pa.array(np.ascontiguousarray(b[:, i]), mask=none) for i in range(BANDS))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, paragraphs, short, held = [], [], [], 0
+        held, many = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, counts = word_hashes(text)
-                first, n, shingles, starts = paragraph_shingles(words, counts)
+                shingles = runs(words, SHINGLE) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
                 windows = runs(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
                 take = chosen(windows)
-                docs.append((doc_id, len(words), first, n, take, windows[take]))
-                paragraphs.append((shingles, starts))
-                begin, size = line_blocks(counts)
-                if len(begin):
-                    short.append((doc_id, runs(words, SHINGLE), begin, size))
-                held += len(words)
-                if held >= WORDS_AT_ONCE:
-                    yield rows(docs, paragraphs)
-                    if short:
-                        yield blocks(short)
-                    docs, paragraphs, short, held = [], [], [], 0
-        if docs:
-            yield rows(docs, paragraphs)
-        if short:
-            yield blocks(short)
-
-    schema = "kind byte, doc_id long, at int, size int, hash long, " + ", ".join(f"b{i} long" for i in range(BANDS))
+                held.append((doc_id, tag_of(text), shingles, units_of(counts), len(words), take, windows[take]))
+                many += len(words)
+                if many >= WORDS_AT_ONCE:
+                    yield rows(held)
+                    held, many = [], 0
+        if held:
+            yield rows(held)
+
+    schema = "kind byte, doc_id long, at long, size int, hash long, " + ", ".join(f"b{i} long" for i in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
@@ -307,24 +295,33 @@ def _beside(docs: DataFrame, by_doc: DataFrame, n: int) -> DataFrame:
     return docs.join(F.broadcast(by_doc) if n <= LISTED else by_doc, "doc_id", "left")
 
 
-def candidates(docs: DataFrame, paragraphs: DataFrame, units: Callable) -> DataFrame:
-    """What is to be compared: (g, hash, shingles, owner, line), the different paragraphs of each group g that collide in
-    a band; line is false for blocks. Blocks that only meet others of their own document are left out.
+def in_cells(members: DataFrame, keys: list[str]) -> DataFrame:
+    """What is compared together: (g, hash), from members (keys, hash, n: members of the key). Keys with more than
+    LARGEST members are compared in cells of two parts each, so every pair meets and no task holds more."""
+    parts = F.ceil(F.col("n") * 2 / LARGEST).cast("int")
+    own = F.pmod(F.hash("hash"), parts)
+    cell = F.when(F.col("n") <= LARGEST, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
+    cells = members.select(*keys, "hash", F.explode(cell).alias("cell")).groupBy(*keys, "cell").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+    groups = cells.filter(F.size("hashes") > 1).select("hashes").distinct()
+    return cut(groups.withColumn("g", F.xxhash64("hashes")).select("g", F.explode("hashes").alias("hash")))
 
-    paragraphs: one row for each different paragraph: hash, owner (a document that has it), b0...; units finds them in
-    a document's words.
-    """
+
+def colliding(paragraphs: DataFrame) -> DataFrame:
+    """Groups (g, hash) of different paragraphs that collide in a band. Blocks that only meet others of their own
+    document are left out. paragraphs: hash, owner, b0..., and line if there are blocks."""
     line = F.col("line") if "line" in paragraphs.columns else F.lit(True)
     keyed = paragraphs.select("hash", "owner", line.alias("line"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("t", "k"))
     several = (F.min("owner") < F.max("owner")) | (F.count_if("line") > 1)
     counts = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1 and several").drop("several"))
-    keyed = keyed.select("hash", "t", "k")
-    cells = F.ceil(F.col("n") * 2 / LARGEST).cast("int")  # large groups are compared in cells of two parts each
-    part = F.pmod(F.hash("hash"), cells)
-    cell = F.when(F.col("n") <= LARGEST, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(part, j) * cells + F.greatest(part, j)))
-    members = keyed.join(counts, ["t", "k"]).select("t", "k", "hash", F.explode(cell).alias("cell"))
-    groups = members.groupBy("t", "k", "cell").agg(F.sort_array(F.collect_set("hash")).alias("hashes")).filter(F.size("hashes") > 1).select("hashes").distinct()
-    groups = cut(groups.withColumn("g", F.xxhash64("hashes")).select("g", F.explode("hashes").alias("hash")))
+    return in_cells(keyed.select("hash", "t", "k").join(counts, ["t", "k"]), ["t", "k"])
+
+
+def with_sets(docs: DataFrame, groups: DataFrame, paragraphs: DataFrame, units: Callable) -> DataFrame:
+    """groups (g, hash) with shingles (sorted, distinct, as bytes), owner and line of each hash.
+
+    paragraphs: one row for each different paragraph: hash, owner (a document that has it); units finds them in a
+    document's words.
+    """
     wanted = cut(groups.select("hash").distinct().join(paragraphs.select("hash", "owner"), "hash").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("hash").alias("hashes")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,35 +332,57 @@ def candidates(docs: DataFrame, paragraphs: DataFrame, units: Callable) -> DataF
                 first, n, shingles, starts, *mark = units(words, counts)
                 mark = mark[0] if mark else np.zeros(len(starts), np.uint64)
                 if len(starts):
-                    wanted_here = set(hashes)
-                    for h, s, k, line in zip((whole_hashes(shingles, starts) ^ mark).view(np.int64).tolist(), starts.tolist(), np.maximum(1, n - SHINGLE + 1).tolist(), (mark == 0).tolist()):
-                        if h in wanted_here:
-                            out[h] = np.unique(shingles[s : s + k]).tobytes(), owner, line
+                    own = (whole_hashes(shingles, starts) ^ mark).view(np.int64)
+                    for i in np.flatnonzero(np.isin(own, hashes)).tolist():
+                        s = starts[i]
+                        out[int(own[i])] = np.unique(shingles[s : s + max(1, n[i] - SHINGLE + 1)]).tobytes(), owner, bool(mark[i] == 0)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([x[i] for x in out.values()], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.bool_())))], ["hash", "shingles", "owner", "line"])
 
     listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes", "doc_id")
     sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary, owner long, line boolean").dropDuplicates(["hash"])
-
     return groups.join(sets, "hash")
 
 
+def by_group(rows: DataFrame, order: list[str], compared: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """compared(the rows of a group g in this order) for every group: a stream over sorted rows, one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[0] != group[0][0]:
+                    yield compared(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield compared(group)
+
+    return rows.select("g", "hash", "shingles", "owner", "line").repartition("g").sortWithinPartitions("g", *order).mapInArrow(tidy(run), schema)
+
+
+def verified(docs: DataFrame, groups: DataFrame, paragraphs: DataFrame, threshold: float, units: Callable) -> DataFrame:
+    """Edges (a, b) between hashes of different paragraphs, whose components are those of all pairs in a group of groups
+    (g, hash) that have this exact Jaccard similarity. The others: as `with_sets` takes them."""
+
+    def compared(group: list[tuple]) -> pa.RecordBatch:
+        edges = alike([np.frombuffer(row[2], dtype=np.uint64) for row in group], np.array([row[1] for row in group]), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return cut(by_group(with_sets(docs, groups, paragraphs, units), ["hash"], compared, "a long, b long").distinct())
+
+
 def paragraph_links(docs: DataFrame, paragraphs: DataFrame, threshold: float, units: Callable = paragraph_shingles) -> DataFrame:
     """Edges (a, b) between hashes of different paragraphs, whose components are those of all verified collisions.
 
-    paragraphs and units: as `candidates` takes them.
+    paragraphs: one row for each different paragraph: hash, owner (a document that has it), b0...
     """
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        edges = alike([np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]], group["hash"].to_numpy(), threshold)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return cut(candidates(docs, paragraphs, units).groupBy("g").applyInPandas(compare, "a long, b long").distinct())
+    return verified(docs, colliding(paragraphs), paragraphs, threshold, units)
 
 
 def unit_links(docs: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of paragraphs and blocks together (units: hash, owner, line, b0...): edges (a, b) as paragraph_links gives them
-    among lines; and (hash, keeper), the least owner that a unit is linked with, if less than its own.
+    """Of lines and blocks together (units: hash, owner, line, b0...): edges (a, b) as paragraph_links gives them among
+    lines; and (hash, keeper), the least owner that a unit is linked with, if less than its own.
 
     Blocks overlap and so would chain through a whole document: they are linked directly, never by components.
     """
@@ -374,58 +393,56 @@ def unit_links(docs: DataFrame, units: DataFrame, threshold: float) -> tuple[Dat
         rows = [*((a, b, None) for a, b in edges), *((a, None, k) for a, k in least)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "keeper"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if group and row[0] != group[0][0]:
-                    yield compared(group)
-                    group = []
-                group.append(row)
-        if group:
-            yield compared(group)
-
-    pairs = candidates(docs, units, unit_shingles).select("g", "hash", "shingles", "owner", "line")
-    found = pairs.repartition("g").sortWithinPartitions("g", "owner", "hash").mapInArrow(tidy(run), "a long, b long, keeper long")
-    found = cut(found.distinct())
+    pairs = with_sets(docs, colliding(units), units, unit_shingles)
+    found = cut(by_group(pairs, ["owner", "hash"], compared, "a long, b long, keeper long").distinct())
     return found.filter("b is not null").select("a", "b"), found.filter("b is null").groupBy(F.col("a").alias("hash")).agg(F.min("keeper").alias("keeper"))
 
 
+def placed() -> list[Column]:
+    """What `parts` packs into at: the text's tag and the first word."""
+    return [F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start")]
+
+
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """What to remove from docs (columns doc_id, text; others are ignored): (one row for each document with removals:
-    doc_id, spans array<struct<start, stop>> of words, kept_in array of the documents that keep the text, n_paragraphs,
-    n_windows; the documents' rows of `parts`).
+    """What repeats in docs (columns doc_id, text; others are ignored): (one row for each text with repeats: doc_id, tag
+    of the text, spans array<struct<start, stop>> of words, kept_in array of the documents that keep the text,
+    n_paragraphs, n_windows; one row for each text: doc_id, tag, size in words).
 
-    Spans are in order and do not touch. Rows without id are neither compared nor changed; equal ids are one document.
+    Spans are in order and do not touch. Rows without id are neither compared nor changed; rows of one id are one
+    document, each with the spans of its own text.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    taken = _written(parts(own))
-    units = taken.filter("kind in (1, 3)").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("kind") == 1).alias("line"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    units = _written(units)
-    edges, direct = unit_links(own, units, threshold)
-    nodes = components(edges)
-    rooted = units.filter("line").select("hash", "owner", "last").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    owners = rooted.groupBy("root").agg(F.min("owner").alias("keeper"), F.max("last").alias("last")).filter("keeper < last")
-    again = rooted.select("hash", "root").join(owners, "root").select("hash", "keeper")
-    equal = units.filter("owner < last and not line").select("hash", F.col("owner").alias("keeper"))
-    again = cut(again.unionByName(equal).unionByName(direct).groupBy("hash").agg(F.min("keeper").alias("keeper")))
-    lines = taken.filter("kind in (1, 3)").select("doc_id", "at", "size", "hash").join(again, "hash").filter("doc_id > keeper").withColumn("line", F.lit(True))
-    windows = taken.filter("kind = 2").select("doc_id", "at", "size", "hash")
-    # written first, so that a window that very many documents share is a skewed join, which the planner splits
-    hits = _written(windows.join(_of_several(windows), "hash"))
-    near = _written(around(own, hits.join(_written(outermost(hits)), "hash")))
-    inner = hits.filter("doc_id > keeper").withColumn("line", F.lit(False))
-    ends = near.filter("open").join(_of_several(near, F.max("open")), "hash").filter("doc_id > keeper").select("doc_id", "at", F.lit(WINDOW).alias("size"), "hash", "keeper", F.lit(None).cast("boolean").alias("line"))
-    found = lines.unionByName(inner).unionByName(ends).groupBy("doc_id").agg(
-        F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))).alias("spans"),
-        F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
-    )
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", merged_lists(batch.column("spans")))
-
-    return cut(found.mapInArrow(tidy(joined), found.schema)), taken.filter("kind = 0").select("doc_id", "size")
+    with Scratch(docs.sparkSession) as written:
+        taken = written(parts(own))
+        units = taken.filter("kind in (1, 3)").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("kind") == 1).alias("line"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+        units = written(units)
+        edges, direct = unit_links(own, units, threshold)
+        nodes = components(edges)
+        rooted = units.filter("line").select("hash", "owner", "last").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+        owners = rooted.groupBy("root").agg(F.min("owner").alias("keeper"), F.max("last").alias("last")).filter("keeper < last")
+        again = rooted.select("hash", "root").join(owners, "root").select("hash", "keeper")
+        equal = units.filter("owner < last and not line").select("hash", F.col("owner").alias("keeper"))
+        again = cut(again.unionByName(equal).unionByName(direct).groupBy("hash").agg(F.min("keeper").alias("keeper")))
+        lines = written(taken.filter("kind in (1, 3)").select("doc_id", *placed(), "size", "hash").join(again, "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", "size", "keeper"))
+        windows = taken.filter("kind = 2").select("doc_id", *placed(), "hash")
+        # written first, so that a window that very many documents share is a skewed join, which the planner splits
+        hits = written(windows.join(_of_several(windows), "hash"))
+        inner = hits.filter("doc_id > keeper")
+        marks = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "hash").unionByName(lines.select("doc_id", "tag", "start", "size", F.lit(None).cast("long").alias("hash")))
+        marks = written(marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "hash")).alias("marks")).filter(F.exists("marks", lambda m: m["hash"].isNotNull())))
+        near = written(around(own, hits.join(cut(outermost(marks)), "hash"), marks))
+        ends = near.filter("open").join(_of_several(near, F.max("open")), "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(None).cast("boolean").alias("line"))
+        inner = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(False).alias("line"))
+        found = lines.withColumn("line", F.lit(True)).unionByName(inner).unionByName(ends).groupBy("doc_id", "tag").agg(
+            F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans"),
+            F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
+        )
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.set_column(batch.schema.get_field_index("spans"), "spans", merged_lists(batch.column("spans")))
+
+        return cut(found.mapInArrow(tidy(joined), found.schema)), cut(taken.filter("kind = 0").select("doc_id", placed()[0], "size").distinct())
 
 
 def _of_several(windows: DataFrame, wanted: Column | None = None) -> DataFrame:
@@ -434,53 +451,64 @@ def _of_several(windows: DataFrame, wanted: Column | None = None) -> DataFrame:
     return cut(windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), wanted.alias("wanted")).filter("keeper < last and wanted").select("hash", "keeper"))
 
 
-def outermost(hits: DataFrame) -> DataFrame:
-    """Of the hits (doc_id, at, hash, keeper) the hashes around which other windows can matter: those from which, in a
-    document that they are removed from, less than STRIDE words lead to a word that no hit removes."""
-    by_doc = hits.filter("doc_id > keeper").groupBy("doc_id").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
+def _fields(lists: pa.ListScalar, *names: str) -> list[np.ndarray]:
+    return [lists.values.field(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def covered(start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """How many of the words before each one of n + 1 places these spans do not cover."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size, -1)
+    return np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) == 0)])
+
+
+def outermost(marks: DataFrame) -> DataFrame:
+    """Of the hits in marks (one row for each text with repeats: marks array<struct<start, size, hash>>, hash being null
+    for lines and blocks) the hashes around which other windows can matter: those from which less than STRIDE words lead
+    to a word that no mark covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.int64)]
-            for hits in batch.column(0):
-                at, hashes = (hits.values.field(c).to_numpy() for c in ("at", "hash"))
-                edge = np.zeros(at.max() + WINDOW + STRIDE + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + WINDOW, -1)
-                left = np.concatenate([[0], np.cumsum(np.cumsum(edge) == 0)])
-                found.append(hashes[left[at + WINDOW + STRIDE - 1] > left[np.maximum(at - STRIDE + 1, 0)]])
+            for own in batch.column(0):
+                start, size = _fields(own, "start", "size")
+                hashes, hit = own.values.field("hash"), own.values.field("hash").is_valid().to_numpy(zero_copy_only=False)
+                left = covered(start, size, int((start + size).max()) + WINDOW + STRIDE)
+                at = start[hit]
+                edge = left[at + WINDOW + STRIDE - 1] > left[np.maximum(at - STRIDE + 1, 0)]
+                found.append(hashes.drop_null().to_numpy()[edge])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["hash"])
 
-    return by_doc.select("hits").mapInArrow(tidy(run), "hash long").distinct()
+    return marks.select("marks").mapInArrow(tidy(run), "hash long").distinct()
 
 
-def around(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """All windows that begin less than STRIDE words from one of the hits (doc_id, at, keeper): doc_id, at, hash, and
-    open: whether it has words that these don't remove.
+def around(docs: DataFrame, hits: DataFrame, marks: DataFrame) -> DataFrame:
+    """All windows that begin less than STRIDE words from one of the hits (doc_id, tag, start): doc_id, tag, start, hash,
+    and open: whether it has words that no mark of its text covers.
 
     Of a shared run the first and the last window that both documents took are hits, each less than STRIDE words from
-    the run's end; so the run's other windows are here from both documents, unless other hits remove all its words.
+    the run's end; so the run's other windows are here from both documents, unless marks cover all its words.
     """
-    by_doc = cut(hits.groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 2 + (F.col("doc_id") > F.col("keeper")).cast("int")).alias("hits")))
-    n = by_doc.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    names = ["doc_id", "at", "hash", "open"]
+    by_doc = cut(hits.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("near")).join(marks, ["doc_id", "tag"], "left"))
+    n = by_doc.agg(F.coalesce(F.sum(F.size("near") + F.coalesce(F.size("marks"), F.lit(0))), F.lit(0))).first()[0]
+    names = ["doc_id", "tag", "start", "hash", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, many = [], 0
-            for doc_id, text, own in zip(*(batch.column(i) for i in range(3))):  # one text at a time
-                words, own = word_hashes(text.as_py())[0], own.values.to_numpy()
-                h = runs(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
-                own = own[own >> 1 < len(h)]  # the others are of another text of this id
-                removed, own = own[own & 1 == 1] >> 1, own >> 1
-                edge, kept = np.zeros(len(h) + 1, np.int32), np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.maximum(own - STRIDE + 1, 0), 1)
-                np.add.at(edge, np.minimum(own + STRIDE, len(h)), -1)
-                np.add.at(kept, removed, 1)
-                np.add.at(kept, removed + WINDOW, -1)
-                left = np.concatenate([[0], np.cumsum(np.cumsum(kept[:-1]) == 0)])  # words that stay, up to each
+            for doc_id, tag, text, near, marks in zip(*(batch.column(i) for i in range(5))):  # one text at a time
+                text = text.as_py()
+                if tag_of(text) != tag.as_py():  # another text of this id
+                    continue
+                words, near = word_hashes(text)[0], near.values.to_numpy()
+                h = runs(words, WINDOW)
+                left = covered(*_fields(marks, "start", "size"), len(words)) if marks.is_valid else np.arange(len(words) + 1)
+                edge = np.zeros(len(h) + 1, np.int32)
+                np.add.at(edge, np.maximum(near - STRIDE + 1, 0), 1)
+                np.add.at(edge, np.minimum(near + STRIDE, len(h)), -1)
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                held.append((np.full(len(at), doc_id.as_py(), np.int64), at.astype(np.int32), h[at].view(np.int64), left[at + WINDOW] > left[at]))
+                held.append((np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), tag.as_py(), np.int32), at.astype(np.int32), h[at].view(np.int64), left[at + WINDOW] > left[at]))
                 many += len(at)
                 if many >= WORDS_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
@@ -488,7 +516,7 @@ def around(docs: DataFrame, hits: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return _beside(docs, by_doc, n).filter("hits is not null").select("doc_id", "text", "hits").mapInArrow(tidy(run), "doc_id long, at int, hash long, open boolean")
+    return _beside(docs, by_doc, n).filter("near is not null").select("doc_id", "tag", "text", "near", "marks").mapInArrow(tidy(run), "doc_id long, tag int, start int, hash long, open boolean")
 
 
 def merged_lists(lists: pa.ListArray) -> pa.ListArray:
@@ -508,43 +536,6 @@ def merged_lists(lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(lists) + 1)).astype(np.int32)), values)
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and component_id of each row of docs (columns doc_id, text; others are ignored) with an id: the least id
-    that links reach. Linked are documents whose sets of five-word shingles have this exact Jaccard similarity at
-    least; MinHash bands only give the candidates. Texts without words are linked with each other."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    names = ["doc_id", "hash", *(f"b{i}" for i in range(BANDS))]
-
-    def signed(held: list[tuple]) -> pa.RecordBatch:
-        ids, found = [h[0] for h in held], [h[1] for h in held]
-        some = np.flatnonzero([len(f) > 0 for f in found])
-        hashes, bands = np.zeros(len(held), np.uint64), np.zeros((len(held), BANDS), np.uint64)
-        if len(some):
-            sizes = np.array([len(found[i]) for i in some])
-            flat, starts = np.concatenate([found[i] for i in some]), np.cumsum(sizes) - sizes
-            hashes[some], bands[some] = whole_hashes(flat, starts), signature(flat, starts)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, i]).view(np.int64)) for i in range(BANDS))], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc_id, document_shingles(*word_hashes(text))[2]))
-                n += len(held[-1][1])
-                if n >= WORDS_AT_ONCE:
-                    yield signed(held)
-                    held, n = [], 0
-        if held:
-            yield signed(held)
-
-    rows = _written(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
-    texts = _written(rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
-    nodes = components(paragraph_links(own, texts, threshold, document_shingles))
-    rooted = texts.select("hash", "owner").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
-    return rows.select("doc_id", "hash").join(rooted.select("hash", "root").join(ids, "root").select("hash", "component_id"), "hash").select("doc_id", "component_id")
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, stop in sorted(spans):
@@ -556,48 +547,60 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without these words: each span goes up to the next word that stays, or to the end of its last word."""
-    raw = text.encode()
+    """The text without these words: each span goes up to the next word that stays, or to the end of its last word. Spans
+    beyond the last word mean nothing."""
+    raw = text.encode("utf-8", "surrogatepass")
     words = [m.span() for m in WORD.finditer(raw)]
     out, at = [], 0
     for start, stop in merged(spans):
-        out.append(raw[at : words[start][0]])
-        at = words[stop][0] if stop < len(words) else words[-1][1]
-    return b"".join([*out, raw[at:]]).decode()
+        if start < len(words):
+            out.append(raw[at : words[start][0]])
+            at = words[stop][0] if stop < len(words) else words[-1][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """One row for each document with an id: doc_id, n_words, removed_words, n_paragraphs (lines and blocks of short
-    lines, which overlap) and n_windows (removed ones, before they are merged), spans (array of struct<start, stop>, words, merged), kept_in (sorted ids of the documents
-    that keep what is removed here). Equal ids are one document, whose words are those of its longest text. An empty
-    table gives no rows."""
-    found, all_ = removals(docs)
-    rows = all_.groupBy("doc_id").agg(F.max("size").alias("n_words")).join(found, "doc_id", "left")
+def of_length(least: int, more: bool) -> Column:
+    """The spans of at least so many words, or the others."""
+    long = lambda s: s["stop"] - s["start"] >= least
+    return F.coalesce(F.filter("spans", long if more else lambda s: ~long(s)), F.array().cast("array<struct<start: int, stop: int>>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for batch in batches:
-            spans = [[(s["start"], s["stop"]) for s in x or []] for x in batch.column("spans").to_pylist()]
-            kept = [sorted(x or []) for x in batch.column("kept_in").to_pylist()]
-            zero = lambda n: pa.array([x or 0 for x in batch.column(n).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(batch.column("n_words").to_pylist(), pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), zero("n_paragraphs"), zero("n_windows"), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], spans_type), pa.array(kept, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "removed_words", "n_paragraphs", "n_windows", "spans", "kept_in"],
-            )
 
-    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, removed_words long, n_paragraphs long, n_windows long, spans array<struct<start: int, stop: int>>, kept_in array<long>")
+def words_in(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
-def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
-    """docs (all columns kept) with the repeated words taken out of text; `length`, if named, is a column that gets the
-    new number of characters. Rows without id and rows without removals stay as they are; emptied texts stay empty."""
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row for each different text of each document with an id: doc_id, n_words, removed_words (in runs of at least
+    `least` repeated words), repeated_words (in all runs), n_paragraphs (repeated lines, and blocks of short lines, which
+    overlap) and n_windows (repeated ones that were met first), before they are merged, spans (array of struct<start,
+    stop>, words, of the runs to remove), short_spans (of the shorter runs), kept_in (sorted ids of the documents that
+    keep what repeats here). An empty table gives no rows, a null text is one without words."""
+    found, all_ = removals(docs)
+    rows = all_.withColumnRenamed("size", "n_words").join(found, ["doc_id", "tag"], "left")
+    rows = rows.withColumns({"long": of_length(least, True), "short_spans": of_length(least, False)}).withColumns({"removed_words": words_in("long"), "short": words_in("short_spans")})
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    return rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "removed_words", (F.col("removed_words") + F.col("short")).alias("repeated_words"), zero("n_paragraphs"), zero("n_windows"), F.col("long").alias("spans"), "short_spans", F.sort_array(F.coalesce("kept_in", F.array().cast("array<long>"))).alias("kept_in"))
+
+
+def deduplicated(docs: DataFrame, length: str | None = None, least: int = LEAST) -> DataFrame:
+    """docs (all columns kept) without the runs of at least `least` repeated words in text; `length`, if named, is a
+    column that gets the new number of characters. Rows without id and rows without such runs stay as they are; emptied
+    texts stay empty. Of rows of one id each loses what repeats in its own text."""
     found, _ = removals(docs)
-    spans = found.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    spans = F.broadcast(spans) if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= LISTED else spans
+    spans = found.withColumn("spans", of_length(least, True)).filter(F.size("spans") > 0)
+    n = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    spans = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("tag", "spans")).alias("_spans"))
+    spans = F.broadcast(spans) if n <= LISTED else spans
+
+    def clean(text: str | None, spans: list | None) -> str | None:
+        if text is None or spans is None:
+            return text
+        own = tag_of(text)
+        return next((without(text, [(x["start"], x["stop"]) for x in s["spans"]]) for s in spans if s["tag"] == own), text)
 
     def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, spans in batches:
-            yield pd.Series([t if t is None or s is None else without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+            yield pd.Series([clean(t, s) for t, s in zip(text, spans)], dtype=object)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

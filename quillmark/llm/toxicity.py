@@ -2,11 +2,14 @@
 
 A text's features are which n-grams it has (SHORTEST <= n <= LONGEST, hashed). Each is scaled by the log of the ratio
 of its smoothed frequencies among texts of label 1 and of label 0, and a logistic regression with an L2 penalty is
-fitted on the scaled features, with the labels weighted to their shares among all labelled rows.
+fitted on the scaled features, with the labels weighted to their shares among all labelled rows. Since few rows fit many
+features too well, the margins of rows that a fit has not seen, fold by fold, set the slope and offset that make a score of
+the final margins.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import fold, ready, tidy
-from quillmark.llm.ngrams import BITS, bins, sampled, squash, texts_of
+from quillmark.llm.common import fold, ready, release, tidy
+from quillmark.llm.ngrams import BITS, bins, sampled, squash
 
 SHORTEST, LONGEST = 3, 6
 #: Bounds of what is learnt from: rows of a label, characters of a text.
 PER_LABEL, CHARACTERS = 2_500, 20_000
-#: Smoothing of the counts, least texts and least absolute ratio of an n-gram that counts, penalty, rounds of the fit.
-SMOOTH, LEAST_TEXTS, LEAST_RATIO, PENALTY, ROUNDS = 1.0, 5, 1.5, 1e-5, 800
+#: Smoothing of the counts, least texts and least absolute ratio of an n-gram that counts, penalty, rounds of the fit, folds.
+SMOOTH, LEAST_TEXTS, LEAST_RATIO, LOOSE, PENALTY, ROUNDS, FOLDS = 1.0, 3, 1.5, 0.7, 1e-5, 150, 3
 THRESHOLD = 0.3
 
 
@@ -36,42 +39,85 @@ class Model:
         return float(squash(self.weights[bins(text or "", SHORTEST, LONGEST)].sum(dtype=np.float64) + self.offset))
 
 
+def ratios(each: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """From the texts of each label that have a feature, and the texts of each: the log-count ratios, and which count."""
+    rate = [(n + SMOOTH) / (k + 2 * SMOOTH) for n, k in zip(each, rows)]
+    ratio = np.log(rate[1] / rate[0])
+    return ratio, (each[0] + each[1] >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+
+
+def regress(flat: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: int) -> tuple[np.ndarray, float]:
+    """Weights of the columns (ratio included) and offset, from entries (flat: column, of: row) of rows with label y."""
+    each = [np.bincount(flat[y[of] == k], minlength=columns) for k in (0, 1)]
+    ratio, used = ratios(each, [int((y == k).sum()) for k in (0, 1)])
+    scale, weight = np.where(used, ratio, 0.0), weight / weight.sum()
+    sums = lambda w: np.bincount(of, weights=w[flat], minlength=len(y))
+    share = float(np.clip(weight @ y, 1e-4, 1 - 1e-4))
+    # accelerated gradient steps on the mean logistic loss
+    step = 4 / max(1.0, float(weight @ sums(scale * scale)) + 1)
+    w, b, last = np.zeros(columns), float(np.log(share / (1 - share))), np.zeros(columns)
+    last_b = b
+    for t in range(ROUNDS):
+        m = t / (t + 3)
+        u, ub = w + m * (w - last), b + m * (b - last_b)
+        error = weight * (squash(sums(u * scale) + ub) - y)
+        gradient = np.bincount(flat, weights=error[of], minlength=columns) * scale + PENALTY * u
+        last, last_b, w, b = w, b, u - step * gradient, ub - step * float(error.sum())
+    return w * scale, b
+
+
+def calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Slope and offset for the margins z: the slope is that of the logistic regression of y on z; the offset puts the
+    threshold where z tells the labels apart best by F2, since a miss weighs more than a false flag. (1, 0) if the
+    margins say nothing."""
+    x, c = np.column_stack([z, np.ones(len(z))]), np.zeros(2)
+    for _ in range(50):
+        p = squash(x @ c)
+        c -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (p - y)) + 1e-6 * c)
+    if c[0] <= 0:
+        return 1.0, 0.0
+    order = np.argsort(-z, kind="stable")
+    right, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    best = int(np.argmax(5 * right / (4 * right[-1] + all_)))
+    at = (z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2
+    return float(c[0]), float(np.log(threshold / (1 - threshold)) - c[0] * at)
+
+
 def learn(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
     """rows: (id, text, label 0 or 1), a bounded sample; share: of label 1 among all labels, by default as in rows.
 
-    With one label or none, every score is that label's or 0.
+    With one label or none, every score is that label's or 0. Each text's n-grams are found twice: to count them, then
+    to keep those that count.
     """
-    y = np.array([int(r[2]) for r in rows], dtype=np.float64)
+    y = np.array([int(r[2]) for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 40.0 if len(y) and y[0] else -40.0)
-    found = [bins(r[1], SHORTEST, LONGEST) for r in rows]
     each = [np.zeros(1 << BITS, dtype=np.int32) for _ in (0, 1)]
-    for f, k in zip(found, y.astype(int).tolist()):
-        each[k][f] += 1
-    rate = [(each[k] + SMOOTH) / ((y == k).sum() + 2 * SMOOTH) for k in (0, 1)]
-    ratio = np.log(rate[1] / rate[0])
-    used = np.flatnonzero((each[0] + each[1] >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
+    for r in rows:
+        each[int(r[2])][bins(r[1], SHORTEST, LONGEST)] += 1
+    ratio = ratios(each, [int((y == k).sum()) for k in (0, 1)])[0]
+    used = np.flatnonzero((each[0] + each[1] >= LEAST_TEXTS) & (np.abs(ratio) >= LOOSE * LEAST_RATIO))  # more than count in the end: a fold's choice is its own
     column = np.full(1 << BITS, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
-    found = [c[c >= 0] for c in (column[f] for f in found)]
-    sizes = np.array([len(f) for f in found])
-    flat, scale, of = np.concatenate(found), ratio[used], np.repeat(np.arange(len(rows)), sizes)
+    found = []
+    for r in rows:
+        c = column[bins(r[1], SHORTEST, LONGEST)]
+        found.append(c[c >= 0])
+    flat, of = np.concatenate(found), np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in found])
     share = float(y.mean() if share is None else min(max(share, 1e-4), 1 - 1e-4))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
-    sums = lambda w: np.bincount(of, weights=w[flat], minlength=len(rows))
-    # accelerated gradient steps on the mean logistic loss
-    step = 4 / max(1.0, float(weight @ sums(scale * scale)) + 1)
-    w, b, last, last_b = np.zeros(len(used)), float(np.log(share / (1 - share))), np.zeros(len(used)), 0.0
-    last_b = b
-    for t in range(ROUNDS):
-        m = t / (t + 3)
-        u, ub = w + m * (w - last), b + m * (b - last_b)
-        error = weight * (squash(sums(u * scale) + ub) - y)
-        gradient = np.bincount(flat, weights=np.repeat(error, sizes), minlength=len(used)) * scale + PENALTY * u
-        last, last_b, w, b = w, b, u - step * gradient, ub - step * float(error.sum())
+    part, z = np.array([zlib.crc32(f"fold {r[0]}".encode()) % FOLDS for r in rows]), np.zeros(len(rows))
+    for k in range(FOLDS):
+        seen = part != k
+        if len(set(y[seen].tolist())) == 2:
+            nth, inside = np.cumsum(seen) - 1, seen[of]
+            w, b = regress(flat[inside], nth[of[inside]], y[seen], weight[seen], len(used))
+            z[~seen] = (np.bincount(of, weights=w[flat], minlength=len(rows)) + b)[~seen]
+    w, b = regress(flat, of, y, weight, len(used))
+    slope, offset = calibration(z, y, weight)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * scale
-    return Model(weights, b)
+    weights[used] = slope * w
+    return Model(weights, slope * b + offset)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2)) -> Model:
@@ -80,7 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (
     if held_out:
         rows = rows.filter(fold(F.col("doc_id"), held_out[0]) != held_out[1])
     share = rows.agg(F.avg("toxic")).first()[0]
-    return learn(texts_of(docs, sampled(rows, "toxic", PER_LABEL), "toxic", CHARACTERS), share)
+    try:
+        return learn(sampled(docs, rows, "toxic", PER_LABEL, CHARACTERS, 2 * PER_LABEL), share)
+    finally:
+        release()
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
