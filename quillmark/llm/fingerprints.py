@@ -26,8 +26,9 @@ from quillmark.llm.components import components
 from quillmark.llm.simhash import first_keyed, links
 
 BITS, SHORT = 64, 3
-#: Words whose hashes a Python worker remembers. Documents of a range, and ranges at most.
-REMEMBERED, RANGE_ROWS, RANGES = 400_000, 2_000, 4_096
+#: Words whose hashes a Python worker remembers. Documents of a range; bounds that are sent to every executor at most (8
+#: bytes each): with more documents ranges grow, at 10 billion to 10,000 documents.
+REMEMBERED, RANGE_ROWS, BOUNDS = 400_000, 2_000, 1_000_000
 
 _hashes: dict[str, int] = {}
 
@@ -88,7 +89,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # rows without id come last
     docs = docs.withColumn("_key", key)
     n = docs.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    ranges = max(1, min(BOUNDS, n // RANGE_ROWS))
     found = docs.stat.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     ends = np.array(sorted(set(found)))
 

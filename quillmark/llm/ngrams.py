@@ -71,7 +71,8 @@ def sampled(docs: DataFrame, labelled: DataFrame, label: str, per_class: int, lo
     place = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 34) / float(1 << 30)
     wanted = rows.filter((place("sample") < F.element_at(drawn, F.col("_label"))) & (F.col("_short") | ~F.element_at(short, F.col("_label"))))
     window = F.when(F.col("_n") <= longest, F.col("text")).otherwise(F.substring(F.col("text"), (F.lit(1) + F.floor(place("window") * (F.col("_n") - longest + 1))).cast("int"), F.lit(longest)))
-    found = own.join(F.broadcast(wanted), [own["doc_id"] == wanted["doc_id"], (own["_n"] <= longest) == wanted["_short"]], "inner").select(own["doc_id"], window.alias("text"), wanted["_label"]).collect()
+    wanted = wanted.select(F.col("doc_id").alias("_id"), "_short", "_label")
+    found = own.join(F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & ((F.col("_n") <= longest) == F.col("_short"))).select("doc_id", window.alias("text"), "_label").collect()
     return sorted({(r[0], r[1], r[2]) for r in found}, key=lambda r: (r[0], r[1]))
 
 

@@ -6,6 +6,9 @@ are found for all nodes of a level at once, from histograms of bytes: each pass
 FINE buckets; when a bucket has no more than FINE rows, these rows' coordinates decide. So what the driver sees of a
 node is bounded by FINE entries.
 
+The dimensions are metadata of the rows: source, language, number of characters. Rows of equal texts count with the
+least metadata among them, so that a group of copies is one place.
+
 Rows with the same value are cut further by a hash of their text, then of their id, and only if leaving them together
 would miss the target by more than TOLERANCE of a leaf. So equal texts stay in one shard unless a group of copies that
 lies across a boundary weighs more than that; then it is split, and a hot group never makes a shard too large.
@@ -159,25 +162,40 @@ def split(points: DataFrame, shards: int, dims: int) -> DataFrame:
     return here
 
 
+def by_letters(c: Column) -> Column:
+    """A string as a number that keeps the order of its first six bytes."""
+    return F.conv(F.rpad(F.substring(F.hex(c.cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
+def metadata(docs: DataFrame) -> dict[str, Column]:
+    """The dimensions that the table has, of source, lang and n_chars; the logarithm of the text's bytes if it has none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = {"source": by_letters(F.col("source")), "lang": by_letters(F.col("lang")), "n_chars": F.log2(F.greatest(F.col("n_chars").cast("double"), F.lit(0.0)) + 1)} if set(docs.columns) >= {"source", "lang", "n_chars"} else {}
+    return known or {"bytes": F.log2(F.octet_length(text) + 8.0)}
+
+
 def shard(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None = None) -> DataFrame:
     """Deal docs (columns doc_id, text and those that dims read) over shards 0 to shards - 1 of nearly equal bytes.
 
-    dims: numeric metadata, by default the logarithm of the text's bytes and its checksum; a null counts as the least
-    value. Returns doc_id, size (UTF-8 bytes of the text, null: none, plus 8), text_crc32, law (`bytes`), shard, slot
-    (gapless from 0 in the shard, in order of hash buckets, then of doc_id), grown_shard (null). Repeated rows and rows
-    without id are kept; an empty table gives no rows; shards may be empty if there are few rows.
+    dims: numeric metadata, by default `metadata`; a null counts as the least value. Returns doc_id, size (UTF-8 bytes of
+    the text, null: none, plus 8), text_crc32, law (`bytes`), shard, slot (gapless from 0 in the shard, in order of hash
+    buckets, then of doc_id), grown_shard (null). Repeated rows and rows without id are kept; an empty table gives no
+    rows; shards may be empty if there are few rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    dims = dims or {"bytes": F.log2(F.octet_length(text) + 8.0), "checksum": F.crc32(text.cast("binary"))}
+    dims = dims or metadata(docs)
+    own = [f"_m{i}" for i in range(len(dims))]
     raw = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[c.cast("double").alias(f"_m{i}") for i, c in enumerate(dims.values())],
+        *[c.cast("double").alias(m) for m, c in zip(own, dims.values())],
         F.shiftrightunsigned(F.xxhash64(text), 2).alias("_text"), F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("_id"), F.monotonically_increasing_id().alias("_row"),
     )
     rows = cut(raw)
-    ends = rows.agg(F.count("*").alias("n"), *[f(f"_m{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    scaled = lambda i: F.coalesce(((F.col(f"_m{i}") - F.lit(ends[f"lo{i}"])) / F.lit((ends[f"hi{i}"] - ends[f"lo{i}"]) or 1.0) * SCALE).cast("long"), F.lit(0).cast("long"))
-    points = rows.withColumn("_size", F.col("size")).withColumns({f"_d{i}": scaled(i) if ends[f"lo{i}"] is not None else F.lit(0).cast("long") for i in range(len(dims))})
+    copies = cut(rows.groupBy("_text").agg(F.count("*").alias("_n"), *[F.min(m).alias(f"{m}g") for m in own]).filter("_n > 1"))
+    rows = rows.join(copies, "_text", "left").withColumns({m: F.when(F.col("_n").isNull(), F.col(m)).otherwise(F.col(f"{m}g")) for m in own}).drop("_n", *[f"{m}g" for m in own])
+    ends = rows.agg(F.count("*").alias("n"), *[f(m).alias(f"{n}{i}") for i, m in enumerate(own) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    scaled = lambda i: F.coalesce(((F.col(own[i]) - F.lit(ends[f"lo{i}"])) / F.lit((ends[f"hi{i}"] - ends[f"lo{i}"]) or 1.0) * SCALE).cast("long"), F.lit(0).cast("long"))
+    points = rows.withColumn("_size", F.col("size")).withColumns({f"_d{i}": scaled(i) if ends[f"lo{i}"] is not None else F.lit(0).cast("long") for i in range(len(dims))}).drop(*own)
     placed = split(points, shards, len(dims)).select("doc_id", "size", "text_crc32", "_row", F.col("_node").cast("int").alias("shard"))
     slots = numbered(placed, ["shard"], ["doc_id", "text_crc32", "_row"], "slot", ends["n"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

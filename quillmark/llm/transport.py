@@ -3,8 +3,10 @@
 A payload is carried as private data: one program, one elementary stream, split into access units of UNIT bytes.
 Each access unit is one elementary packet with a presentation time stamp; its first transport packet marks a
 random-access point and carries the clock reference. The reader takes any stream of 188-byte packets: it finds the
-program map through the association table, checks both tables' CRC, checks the continuity counters of the elementary
-stream, reassembles its packets and gives payload, time stamps and random-access points.
+program map through the association table, checks both tables' CRC, checks the continuity counters of the tables and of the
+elementary stream, reassembles its packets and gives payload, time stamps and random-access points. A packet that is
+repeated once with its counter counts once; a break that the discontinuity flag announces is none; packets marked as
+damaged on the way are left out and reported. Tables may span packets.
 """
 
 from __future__ import annotations
@@ -123,24 +125,52 @@ class Stream:
     errors: list[str] = field(default_factory=list)
 
 
+def continued(own: np.ndarray, what: str, errors: list[str]) -> np.ndarray:
+    """The packets of one id without repeats and damaged ones; breaks of their continuity counters are reported."""
+    damaged = own[:, 1] & 0x80 != 0
+    if damaged.any():
+        errors.append(f"{what}: {int(damaged.sum())} packets damaged on the way")
+        own = own[~damaged]
+    has_data = own[:, 3] & 0x10 != 0
+    data = own[has_data]
+    step = np.diff((data[:, 3] & 0x0F).astype(np.int16)) % 16
+    again = np.append(False, (step == 0) & (data[1:, 4:] == data[:-1, 4:]).all(axis=1)) if len(data) > 1 else np.zeros(len(data), bool)
+    again[1:] &= ~again[:-1]  # the format allows a packet twice, not three times
+    announced = (data[:, 3] & 0x20 != 0) & (data[:, 4] > 0) & (data[:, 5] & 0x80 != 0)
+    breaks = int(((step != 1) & ~again[1:] & ~announced[1:]).sum()) if len(data) > 1 else 0
+    if breaks:
+        errors.append(f"{what}: {breaks} breaks of continuity")
+    keep = np.ones(len(own), bool)
+    keep[np.flatnonzero(has_data)[again]] = False
+    return own[keep]
+
+
 def sections(packets: np.ndarray, table_id: int, errors: list[str]) -> Iterator[bytes]:
-    """Whole sections that begin in these packets (the tables read here fit one packet)."""
-    seen = set()
+    """Whole different sections of a table from the packets of its id; a section may go on in the packets that follow."""
+    seen, held = set(), b""
+
+    def whole(raw: bytes) -> Iterator[bytes]:
+        while len(raw) >= 3 and raw[0] != 0xFF:
+            length = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
+            s, raw = raw[:length], raw[length:]
+            if s not in seen and s[0] == table_id:
+                seen.add(s)
+                if len(s) < 12 or len(s) < length or crc(s):
+                    errors.append(f"table {table_id}: bad section")
+                else:
+                    yield s
+
     for p in packets:
         p = p.tobytes()
         at = 4 + (1 + p[4] if p[3] & 0x20 else 0)
-        if not p[1] & 0x40 or at >= PACKET:
-            continue
-        at += 1 + p[at]
-        length = 3 + (int.from_bytes(p[at + 1 : at + 3], "big") & 0xFFF) if at + 3 <= PACKET else 0
-        s = p[at : at + length]
-        if s in seen or not s or s[0] != table_id:
+        if at >= PACKET or not p[3] & 0x10:
             continue
-        seen.add(s)
-        if len(s) < 12 or len(s) < length or crc(s):
-            errors.append(f"table {table_id}: bad section")
-        else:
-            yield s
+        if p[1] & 0x40:  # a section begins here, after what is left of the one before
+            yield from whole(held + p[at + 1 : at + 1 + p[at]] if held else b"")
+            held = p[at + 1 + p[at] :]
+        elif held:
+            held += p[at:]
+    yield from whole(held)
 
 
 def read(media: bytes) -> Stream:
@@ -157,23 +187,19 @@ def read(media: bytes) -> Stream:
     out.packets = len(all_)
     pid = (all_[:, 1].astype(np.int32) & 0x1F) << 8 | all_[:, 2]
     map_pid = stream_pid = -1
-    for s in sections(all_[pid == 0], 0, out.errors):
+    for s in sections(continued(all_[pid == 0], "association table", out.errors), 0, out.errors):
         for i in range(8, len(s) - 4, 4):
             if (number := int.from_bytes(s[i : i + 2], "big")) and map_pid < 0:
                 out.program, map_pid = number, int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF
-    for s in sections(all_[pid == map_pid], 2, out.errors):
+    for s in sections(continued(all_[pid == map_pid], "program map", out.errors), 2, out.errors):
         i = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
         if stream_pid < 0 and i + 5 <= len(s) - 4:
             out.stream_type, stream_pid = s[i], int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF
     if stream_pid < 0:
         out.errors.append("no elementary stream")
         return out
-    own = all_[pid == stream_pid]
+    own = continued(all_[pid == stream_pid], "stream", out.errors)
     has_field, has_data = own[:, 3] & 0x20 != 0, own[:, 3] & 0x10 != 0
-    counters = own[has_data, 3] & 0x0F
-    breaks = int((np.diff(counters.astype(np.int16)) % 16 != 1).sum())
-    if breaks:
-        out.errors.append(f"{breaks} breaks of continuity")
     skip = np.minimum(np.where(has_field, 5 + own[:, 4].astype(np.int32), 4), PACKET)
     skip[~has_data] = PACKET
     raw = own[np.arange(PACKET) >= skip[:, None]]
@@ -215,8 +241,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def feature(stream: Stream) -> str:
+    """Of the payload: entropy of a byte, different bytes, zeros; of the stream: what the reader found."""
     t = [x for x in stream.pts if x >= 0]
-    return f"program={stream.program};type={stream.stream_type};packets={stream.packets};units={len(stream.pts)};random_access={sum(stream.random_access)};pts={min(t, default=-1)}..{max(t, default=-1)};errors={len(stream.errors)}"
+    counts = np.bincount(np.frombuffer(stream.payload, dtype=np.uint8), minlength=256) if stream.payload else np.zeros(256)
+    share = counts[counts > 0] / max(1, counts.sum())
+    return f"bits={-(share * np.log2(share)).sum():.4f};different={len(share)};zeros={int(counts[0])};program={stream.program};type={stream.stream_type};packets={stream.packets};units={len(stream.pts)};random_access={sum(stream.random_access)};pts={min(t, default=-1)}..{max(t, default=-1)};errors={len(stream.errors)}"
 
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm import bpe, components, fingerprints, language, packing, sharding, simhash, substrings, toxicity, transport, urls
+from quillmark.llm import bpe, components, fingerprints, language, ngrams, packing, sharding, simhash, substrings, toxicity, transport, urls
 from quillmark.llm.queries import URL_RULES
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -114,17 +114,40 @@ def test_bpe_equals_the_library(docs, odd, none):
     assert bpe.round_trip(none, BYTES).count() == 0
 
 
-def test_bpe_segments_agree_wherever_they_are_cut():
+def test_bpe_joins_agree_wherever_chunks_are_cut(monkeypatch):
     codec, r = bpe.ChunkCodec(BYTES), random.Random(2)
     assert codec.fast is not None
-    for alphabet in ("ab é'st \n\t.,1²–", "ab", "ab ", " \n", "'s re ll"):
-        for _ in range(40):
-            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 4000)))
-            ids = codec.lib.encode(text, add_special_tokens=False).ids
-            assert codec(text)[:2] == (len(ids), ",".join(map(str, ids)))
+    alphabets = ("ab é'st \n\t.,1²–", "ab", "ab ", " \n", "'s re ll", "日本語テキスト。 \n漢字", "अआ इ̀́ا ب ث‍", "👍🏽 a　b\xa0c", "Ωα ∑ ½ Ⅷ ٣ 𝟘 𐍈ꟸ", "x<|endoftext|>y'll 3")
+    for shortest, bits in ((256, 10), (24, 4)):
+        monkeypatch.setattr(bpe, "SHORTEST", shortest)
+        monkeypatch.setattr(bpe, "CHUNK_BITS", bits)
+        for alphabet in alphabets:
+            for _ in range(30):
+                text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 3000 if shortest > 100 else 600)))
+                if r.random() < 0.2:
+                    text = text[: len(text) // 2] + "<|endoftext|>" + text[len(text) // 2 :]
+                ids = codec.lib.encode(text, add_special_tokens=False).ids
+                assert codec(text) == ids
+                known = {bpe.digest(c): codec.packed(c) for c in codec.chunks(text)}
+                assert codec(text, known) == ids
+
+
+def test_bpe_chunks_of_a_shared_passage_are_shared(spark, monkeypatch):
     shared = lorem(3, 2000)
-    a, b = set(bpe.segments((lorem(4, 90) + " " + shared).encode())), set(bpe.segments((lorem(5, 70) + " " + shared).encode()))
-    assert len(a & b) > 0.8 * min(len(a), len(b))  # chunks of a shared passage are the same wherever it stands
+    a, b = set(bpe.pieces(lorem(4, 90) + " — " + shared)), set(bpe.pieces(lorem(5, 70) + " 日本 " + shared))
+    assert len(a & b) > 0.6 * min(len(a), len(b))  # the same wherever the passage stands
+    docs = spark.createDataFrame([(1, lorem(4, 90) + " " + shared), (2, lorem(5, 70) + " " + shared), (3, lorem(6, 900)), (4, lorem(6, 900)), (4, "other"), (None, shared)], "doc_id long, text string")
+    want = sorted(map(str, map(tuple, bpe.round_trip(docs, BYTES).collect())))
+    monkeypatch.setattr(bpe, "SENT", 0)  # ids of shared chunks are joined by document
+    assert sorted(map(str, map(tuple, bpe.round_trip(docs, BYTES).collect()))) == want
+
+
+def test_bpe_engines_are_compared_for_each_character():
+    codec = bpe.ChunkCodec(BYTES)
+    for c in map(chr, [*range(0x80, 0x600, 7), *range(0x2000, 0x2070), 0x3000, 0x4E00, 0x1F600, 0x10FFFD]):
+        for text in (f"a{c}b", f"1{c}2", f". {c}{c}.", f"\n{c} x"):
+            if codec.same(text):
+                assert codec.fast.encode_ordinary(text) == codec.lib.encode(text, add_special_tokens=False).ids
 
 
 def brute_fingerprint(text: str | None) -> int:
@@ -199,6 +222,27 @@ def test_language_on_held_out_rows(spark, docs, odd, none):
     assert language.kept(odd, None, 0.3).columns == odd.columns and language.kept(odd, None, 0.3).count() == 11 - 1
 
 
+def test_a_class_that_has_only_long_texts_is_learnt_too(spark):
+    rows = [(i, lorem(i, 40), "short") for i in range(60)] + [(100 + i, "ξ ψω " * 4_000, "long") for i in range(4)] + [(200, None, "short"), (201, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.fit(docs, held_out=None)).collect()}
+    assert all(got[i] == ("long" if 100 <= i < 200 else "short") for i in got if i < 200)
+    some = ngrams.sampled(docs, docs.select("doc_id", "lang"), "lang", 200, 8_000, 4_000)
+    assert max(len(t) for _, t, _ in some) <= 8_000 and {x for _, _, x in some} == {"short", "long"}
+    assert {x for _, _, x in ngrams.sampled(docs, docs.select("doc_id", "lang"), "lang", 200, 8_000, 1)} <= {"short"}
+
+
+def test_toxicity_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        pytest.skip("needs the larger tables")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.classify(docs.join(labels, "doc_id", "left_semi"), labels).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 100 and sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
 def test_toxicity_on_planted_words(spark, odd, none):
     r = random.Random(4)
     texts = [(i, lorem(1000 + i, r.randint(20, 200)), int(i % 4 == 0)) for i in range(400)]
@@ -237,6 +281,30 @@ def test_sharding_splits_a_hot_group_and_keeps_small_ones(spark):
     assert (split > 1).sum() <= 8
 
 
+def test_sharding_splits_along_metadata(spark):
+    """Ranges of sources and languages: a shard holds few of their combinations; copies with other metadata stay together."""
+    r = random.Random(3)
+    rows = [(i, lorem(i, 40), r.choice(["de", "en", "fr"]), f"src{r.randrange(20):02d}") for i in range(3000)]
+    rows += [(5000 + i, lorem(9_999, 40), ["de", "fr"][i % 2], f"src{i:02d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    got = sharding.shard(docs, 8).join(docs, "doc_id").toPandas()
+    assert got.groupby("shard").apply(lambda g: len(set(zip(g["lang"], g["source"])))).max() <= 25  # of 60
+    assert got[got["doc_id"] >= 5000]["shard"].nunique() == 1
+    assert sharding.shard(docs.drop("n_chars"), 8).count() == len(rows)
+
+
+def test_urls_are_judged_on_hosts_not_seen():
+    r = random.Random(6)
+    rows = [(f"http://{'win-bet' if y else 'news'}{r.randrange(200)}.example.{r.choice(['com', 'org'])}/{'9' * r.randint(4, 9) if y else 'about/us'}{i}{'?a=1&b=2&c=3' if y else ''}", y) for i in range(2000) for y in [int(r.random() < 0.4)]]
+    found = urls.held_out(rows)
+    assert found["urls"] > 200 and found["precision"] > 0.95 and found["recall"] > 0.95
+    coin = [(f"http://h{i}.s{i}.test/x", r.randrange(2)) for i in range(2000)]  # suffixes of one row each say nothing
+    assert 0.35 < urls.held_out(coin)["right"] < 0.65
+    model = urls.learn(coin)
+    assert np.mean((model.score([u for u, _ in coin]) >= 0.5) == np.array([k for _, k in coin])) < 0.8
+    assert urls.held_out([])["urls"] == 0 and urls.learn([]).score(["http://x/"])[0] == 0.5
+
+
 def test_url_rules_and_trees(spark, sf_dir, none):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     extra = spark.createDataFrame([(9001, None), (9002, "no scheme"), (9003, "HTTP://A.Example.NET/en/x?y=/de/"), (9004, "http://net"), (9005, "https://example.com/de/#a"), (9006, "http://notexample.com/de/a"), (9007, "ftp://x.org/fr/")], "page_id long, url string")
@@ -252,6 +320,7 @@ def test_url_rules_and_trees(spark, sf_dir, none):
         got = rows[r["page_id"]]
         assert (got["host"], got["path"], got["rule"]) == (host, path, max(hit, key=len) if hit else None)
         assert got["verdict"] == (dict(URL_RULES)[got["rule"]] if hit else "block" if got["score"] >= 0.5 else "allow")
+        assert (got["score"] is None) == bool(hit)
     assert urls.judge(extra.limit(0), URL_RULES).count() == 0
     train = [(f"http://shop{i}.test/{'9' * (i % 7)}{i}?a={i}&b={i}", 1) for i in range(300)] + [(f"http://word.test/about/us/{'abc' * (i % 5)}", 0) for i in range(300)]
     model = urls.learn(train)
@@ -289,6 +358,82 @@ def test_transport_reader_reports_damage():
     assert transport.seek(transport.read(media), transport.TICKS) == transport.UNIT
 
 
+def test_transport_reader_takes_what_the_format_allows():
+    payload = os.urandom(50_000)
+    media = transport.write(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = b"".join([*packets[:20], packets[19], *packets[20:]])
+    assert transport.read(twice).payload == payload and not transport.read(twice).errors
+    thrice = b"".join([*packets[:20], packets[19], packets[19], *packets[20:]])
+    assert any("continuity" in e for e in transport.read(thrice).errors)
+    damaged = bytearray(packets[19])
+    damaged[1] |= 0x80
+    got = transport.read(b"".join([*packets[:19], bytes(damaged), *packets[19:]]))
+    assert got.payload == payload and any("damaged" in e for e in got.errors)
+    # a new counter that the flag announces
+    at = next(i for i, p in enumerate(packets) if i > 5 and p[1] & 0x40 and p[3] & 0x20 and p[4] > 0)
+    moved = [bytes([*p[:3], p[3] & 0xF0 | (p[3] + 5) % 16, *p[4:]]) if i >= at and p[1:3] != packets[0][1:3] else p for i, p in enumerate(packets)]
+    assert any("continuity" in e for e in transport.read(b"".join(moved)).errors)
+    moved[at] = bytes([*moved[at][:5], moved[at][5] | 0x80, *moved[at][6:]])
+    assert transport.read(b"".join(moved)).payload == payload and not transport.read(b"".join(moved)).errors
+    # a program map with a descriptor of 220 bytes, over two packets
+    body = (0xE000 | transport.STREAM_PID).to_bytes(2, "big") + b"\xf0\xde" + b"\x80\xdc" + bytes(220) + bytes([6]) + (0xE000 | transport.STREAM_PID).to_bytes(2, "big") + b"\xf0\0"
+    section = transport.section(2, transport.PROGRAM, body)
+    head = lambda start, n: bytes([0x47, 0x40 * start | transport.MAP_PID >> 8, transport.MAP_PID & 0xFF, 0x10 | n])
+    long = (head(1, 0) + b"\0" + section[:183]) + (head(0, 1) + section[183:]).ljust(188, b"\xff")
+    got = transport.read(packets[0] + long + b"".join(packets[2:]))
+    assert got.payload == payload and not got.errors
+    features = {transport.feature(transport.read(transport.write(bytes(p)))) for p in (b"a" * 64, b"ab" * 32, bytes(64))}
+    assert len(features) == 3
+
+
+def test_rows_of_one_id_lose_what_repeats_in_their_own_text(spark):
+    p, y = lorem(301, 60), lorem(302, 30)
+    for rows, want in (
+        ([(1, p), (2, y + " " + p), (2, "short text")], {(1, p), (2, y), (2, "short text")}),
+        ([(1, p), (2, p), (2, "short text"), (2, p)], {(1, p), (2, ""), (2, "short text")}),
+        ([(3, p), (3, p + " " + y)], {(3, p), (3, p + " " + y)}),
+        ([(None, p), (1, p), (None, None)], {(None, p), (1, p), (None, None)}),
+    ):
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {(r["doc_id"], r["text"] and r["text"].strip()) for r in substrings.deduplicated(table).collect()} == want
+        assert {r["doc_id"] for r in substrings.repeats(table).collect()} == {i for i, _ in rows if i is not None}
+    assert substrings.without("a b", [(0, 1), (5, 9)]) == "b"
+
+
+def test_lines_of_any_length_are_compared(spark):
+    """Every line of five words or more that is alike (exact Jaccard of shingles) with a lesser document's is repeated;
+    runs of at least 24 words are removed."""
+    r = random.Random(12)
+    lines = [lorem(400 + i, r.randint(1, 60)) for i in range(40)]
+    texts = []
+    for i in range(30):
+        own = [r.choice(lines) if r.random() < 0.4 else lorem(2_000 + 50 * i + k, r.randint(1, 60)) for k in range(r.randint(1, 8))]
+        texts.append([" ".join([*line.split()[:-1], "end"]) if len(line.split()) > 15 and r.random() < 0.3 else line for line in own])
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in substrings.repeats(table).collect()}
+    shingles = lambda line: {tuple(line.split()[k : k + 5]) for k in range(len(line.split()) - 4)}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    for i, t in enumerate(texts):
+        must, at = set(), 0
+        for line in t:
+            n, s = len(line.split()), shingles(line)
+            if n >= 5 and any(alike(s, shingles(o)) for before in texts[:i] for o in before if len(o.split()) >= 5):
+                must |= set(range(at, at + n))
+            at += n
+        marked = {k for c in ("spans", "short_spans") for s in got[i][c] for k in range(s["start"], s["stop"])}
+        assert must <= marked and got[i]["repeated_words"] == len(marked)
+        assert all(s["stop"] - s["start"] >= 24 for s in got[i]["spans"]) and all(s["stop"] - s["start"] < 24 for s in got[i]["short_spans"])
+        assert got[i]["removed_words"] == sum(s["stop"] - s["start"] for s in got[i]["spans"])
+
+
+def test_substrings_on_awkward_tables(odd, none):
+    got = {r["doc_id"]: r for r in substrings.repeats(odd.withColumn("spans", F.lit(1)).withColumn("hash", F.lit("h"))).collect()}
+    assert got[7]["removed_words"] >= 59_000 and got[7]["kept_in"] == [6] and got[6]["removed_words"] == 0  # very long copies
+    assert substrings.repeats(odd.filter("text is null")).agg(F.max("repeated_words")).first()[0] == 0
+    assert toxicity.kept(none, toxicity.learn([])).count() == 0 and language.kept(none, None, 0.3).count() == 0
+
+
 def test_substrings_find_repeats_and_leave_the_rest(spark, none):
     passage, near = lorem(77, 55), lorem(78, 60)
     edited = near.split()
