@@ -87,13 +87,28 @@ class Scratch:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.paths.append(f"{self.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet")
-        df.write.parquet(self.paths[-1])
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
         return self.spark.read.parquet(self.paths[-1])
 
-    def __exit__(self, *_: object) -> None:
+    def drop(self, table: DataFrame) -> None:
+        """Delete one of the tables before the block ends."""
+        self._delete([p for p in self.paths if any(p.rsplit("/", 1)[1] in f for f in table.inputFiles())])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(conf).delete(path, True)
+        self.paths = [p for p in self.paths if p not in paths]
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.paths)
+
+
+def unshuffled(spark: SparkSession) -> None:
+    """Let the executors delete shuffle files of plans that nothing holds any more. They would stay until the driver's JVM
+    collects its garbage by itself, and a plan of many steps would keep them all beside each other."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, cut, tidy
+from quillmark.llm.common import Scratch, cut, tidy, unshuffled
 from quillmark.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 3
@@ -126,7 +126,7 @@ def signature(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray | None
         own += a
         own >>= np.uint64(16)
         out[:, i // ROWS] = out[:, i // ROWS] * np.uint64(0x100000001B3) + np.minimum.reduceat(own, starts)[::every]
-    return mixed(out)
+    return mixed(out ^ np.arange(BANDS, dtype=np.uint64) * MULTIPLY)  # bands tell themselves apart
 
 
 def whole_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -290,9 +290,14 @@ def linked(sets: list[np.ndarray], ids: np.ndarray, owner: np.ndarray, line: np.
     return edges, least
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """rows as the side of a join that is sent to the executors, if their n entries are few."""
+    return F.broadcast(rows) if n <= LISTED else rows
+
+
 def _beside(docs: DataFrame, by_doc: DataFrame, n: int) -> DataFrame:
     """docs with the row of by_doc of the same id, if any: sent to the executors if its n entries are few, else joined."""
-    return docs.join(F.broadcast(by_doc) if n <= LISTED else by_doc, "doc_id", "left")
+    return docs.join(_small(by_doc, n), "doc_id", "left")
 
 
 def in_cells(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -310,10 +315,10 @@ def colliding(paragraphs: DataFrame) -> DataFrame:
     """Groups (g, hash) of different paragraphs that collide in a band. Blocks that only meet others of their own
     document are left out. paragraphs: hash, owner, b0..., and line if there are blocks."""
     line = F.col("line") if "line" in paragraphs.columns else F.lit(True)
-    keyed = paragraphs.select("hash", "owner", line.alias("line"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("t", "k"))
+    keyed = paragraphs.select("hash", "owner", line.alias("line"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("k"))
     several = (F.min("owner") < F.max("owner")) | (F.count_if("line") > 1)
-    counts = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1 and several").drop("several"))
-    return in_cells(keyed.select("hash", "t", "k").join(counts, ["t", "k"]), ["t", "k"])
+    counts = cut(keyed.groupBy("k").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1 and several").drop("several"))
+    return in_cells(keyed.select("hash", "k").join(_small(counts, counts.count()), "k"), ["k"])
 
 
 def with_sets(docs: DataFrame, groups: DataFrame, paragraphs: DataFrame, units: Callable) -> DataFrame:
@@ -417,21 +422,31 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         units = taken.filter("kind in (1, 3)").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("kind") == 1).alias("line"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
         units = written(units)
         edges, direct = unit_links(own, units, threshold)
+        unshuffled(docs.sparkSession)
         nodes = components(edges)
         rooted = units.filter("line").select("hash", "owner", "last").join(nodes.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
         owners = rooted.groupBy("root").agg(F.min("owner").alias("keeper"), F.max("last").alias("last")).filter("keeper < last")
         again = rooted.select("hash", "root").join(owners, "root").select("hash", "keeper")
         equal = units.filter("owner < last and not line").select("hash", F.col("owner").alias("keeper"))
         again = cut(again.unionByName(equal).unionByName(direct).groupBy("hash").agg(F.min("keeper").alias("keeper")))
-        lines = written(taken.filter("kind in (1, 3)").select("doc_id", *placed(), "size", "hash").join(again, "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", "size", "keeper"))
+        lines = taken.filter("kind in (1, 3)").select("doc_id", *placed(), "size", "hash").join(_small(again, again.count()), "hash")
+        lines = written(lines.filter("doc_id > keeper").select("doc_id", "tag", "start", "size", "keeper"))
+        del rooted, owners, again, equal, nodes, edges, direct
+        written.drop(units)
+        unshuffled(docs.sparkSession)
         windows = taken.filter("kind = 2").select("doc_id", *placed(), "hash")
         # written first, so that a window that very many documents share is a skewed join, which the planner splits
-        hits = written(windows.join(_of_several(windows), "hash"))
+        shared = _of_several(windows)
+        hits = written(windows.join(_small(shared, shared.count()), "hash"))
+        del shared
+        unshuffled(docs.sparkSession)
         inner = hits.filter("doc_id > keeper")
         marks = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "hash").unionByName(lines.select("doc_id", "tag", "start", "size", F.lit(None).cast("long").alias("hash")))
         marks = written(marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "hash")).alias("marks")).filter(F.exists("marks", lambda m: m["hash"].isNotNull())))
-        near = written(around(own, hits.join(cut(outermost(marks)), "hash"), marks))
-        ends = near.filter("open").join(_of_several(near, F.max("open")), "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(None).cast("boolean").alias("line"))
+        edge = cut(outermost(marks))
+        near = written(around(own, hits.join(_small(edge, edge.count()), "hash"), marks))
+        again = _of_several(near, F.max("open"))
+        ends = near.filter("open").join(_small(again, again.count()), "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(None).cast("boolean").alias("line"))
         inner = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(False).alias("line"))
         found = lines.withColumn("line", F.lit(True)).unionByName(inner).unionByName(ends).groupBy("doc_id", "tag").agg(
             F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans"),
