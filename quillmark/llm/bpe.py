@@ -33,7 +33,7 @@ from quillmark.llm.common import Scratch, cut, ready, tidy
 #: Bytes of the rolling hash; chunks average about SHORTEST + 2 ** CHUNK_BITS bytes and have SHORTEST at least.
 ROLL, CHUNK_BITS, SHORTEST = 16, 10, 256
 #: Bytes of ids of shared chunks that are sent to every executor at most; more are joined by text.
-SENT = 64 << 20
+SENT = 32 << 20
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 # Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

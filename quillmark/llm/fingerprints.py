@@ -66,9 +66,9 @@ def search(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFrame:
     queries (fp) and fps (fp), longs, each without repetition: returns query, fp, distance. What comes back are the
     matches themselves; to group a whole table, `grouped` avoids listing them.
     """
-    own = first_keyed(queries, radius).withColumnRenamed("fp", "query")
+    own = first_keyed(queries.select("fp"), radius).withColumnRenamed("fp", "query")
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
-    return own.join(first_keyed(fps, radius), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
+    return own.join(first_keyed(fps.select("fp"), radius), ["t", "k"]).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fp", "distance").distinct()
 
 
 def grouped(rows: DataFrame, radius: int) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, cut, ready, tidy
+from quillmark.llm.common import Scratch, cut, ready, tidy, unshuffled
 from quillmark.llm.components import components
 from quillmark.llm.substrings import THRESHOLD, document_shingles, in_cells, mixed, verified, whole_hashes, word_hashes
 
@@ -43,9 +43,10 @@ PIVOTS = 16
 LISTED = 500_000
 #: Groups up to this size are compared many at a time.
 SMALL = 32
-#: Of the candidates of near_copies: fingerprints of a text, radius. Of 400 texts with words changed, left out and put in
-#: until their five-word shingles had similarity 0.8, one fingerprint met 96.9 %, one of two 99.5 %.
-SKETCHES, SKETCH_RADIUS = 2, 7
+#: Of the candidates of near_copies: fingerprints of a text, radius. Of texts with words changed, left out and put in until
+#: their five-word shingles had similarity 0.8, one fingerprint met half or more, so that one of six meets 98 to 99.5 %. A
+#: larger radius with fewer fingerprints would leave keys of fewer bits, whose groups grow with the table.
+SKETCHES, SKETCH_RADIUS = 6, 3
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -151,7 +152,7 @@ def next_tables(mask: int, radius: int) -> list[int]:
 
 
 def first_keyed(fps: DataFrame, radius: int) -> DataFrame:
-    """fps (fp, ...) under each of the first masks: with t and k, t being the mask and k the bits under it."""
+    """fps (fp, ...) under each of the first masks: with the mask t and the bits under it, k."""
     masks = [F.lit(signed(m)).cast("long") for m in first_tables(radius)]
     entries = F.array(*[F.struct(m.alias("t"), F.col("fp").bitwiseAND(m).alias("k")) for m in masks])
     return fps.withColumn("e", F.explode(entries)).select(*fps.columns, "e.t", "e.k")
@@ -195,24 +196,25 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """fps (fp long, all different, or of each s int if there is one): edges (a, b) whose components are those of all
     pairs within the radius, with their s, 0 without one."""
     fps = pivot_table(fps if "s" in fps.columns else fps.withColumn("s", F.lit(0)))
-    rows, tables, out = first_keyed(fps, radius), {}, None
+    dealt, out = first_keyed(fps, radius), None
     for depth in range(DEPTH + 1):
-        counts = cut(rows.groupBy("s", "t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
+        # one number for s, t and k: should two of them share it, what they bring together is compared in vain
+        rows = dealt.withColumn("key", F.xxhash64("s", "t", "k")).drop("k")
+        counts = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t")).filter("n > 1"))
         again = (F.col("n") > LARGEST) & (F.bit_count("t") < BITS - FEW_BITS) if depth < DEPTH else F.lit(False)
         masks = [r["t"] % (1 << 64) for r in counts.filter(again).select("t").distinct().collect()]  # as many as there are masks at most
-        meeting = rows.join(counts, ["s", "t", "k"])
+        meeting = rows.drop("t").join(F.broadcast(counts) if counts.count() <= LISTED else counts, "key")
         # what is still large is compared in cells of two parts each
         parts = F.ceil(F.col("n") * 2 / LARGEST).cast("int")
         own = F.pmod(F.hash("fp"), parts)
         cells = F.when(F.col("n") <= LARGEST, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
         members = F.collect_list(F.struct("fp", *[f"p{i}" for i in range(PIVOTS // 8)])).alias("members")
-        groups = meeting.filter(~again).select(*fps.columns, "t", "k", F.explode(cells).alias("cell")).groupBy("s", "t", "k", "cell").agg(members)
+        groups = meeting.filter(~again).select(*fps.columns, "key", F.explode(cells).alias("cell")).groupBy("s", "key", "cell").agg(members)
         found = cut(forest(groups.filter(F.size("members") > 1), radius).distinct())
         out = found if out is None else out.union(found)
         if not masks:
             break
-        tables = {m: next_tables(m, radius) for m in masks}
-        rows = cut(keyed(meeting.filter(again).drop("k", "n"), tables).distinct())
+        dealt = cut(keyed(meeting.filter(again).drop("key", "n"), {m: next_tables(m, radius) for m in masks}).distinct())
     return out
 
 
@@ -278,9 +280,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         node = lambda c: F.xxhash64("s", c)
         joining = edges.select("s", F.col("a").alias("fp")).union(edges.select("s", F.col("b").alias("fp"))).union(counts.filter("n > 1").select("s", "fp")).distinct()
         bound = sketched.join(joining, ["s", "fp"]).select(F.col("hash").alias("a"), node("fp").alias("b"))
+        unshuffled(docs.sparkSession)
         nodes = components(edges.select(node("a").alias("a"), node("b").alias("b")).union(bound))
         members = texts.select("hash").join(nodes.withColumnRenamed("node", "hash"), "hash")
         groups = in_cells(members.join(members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "root"), ["root"])
+        unshuffled(docs.sparkSession)
         alike = components(verified(own, groups, texts, threshold, document_shingles))
         rooted = texts.select("hash", "owner").join(alike.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
         ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))

@@ -322,7 +322,8 @@ def colliding(paragraphs: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, groups: DataFrame, paragraphs: DataFrame, units: Callable) -> DataFrame:
-    """groups (g, hash) with shingles (sorted, distinct, as bytes), owner and line of each hash.
+    """groups (g, hash) with shingles (sorted, distinct, as bytes), owner and line of each hash; again where an owner's
+    row is repeated.
 
     paragraphs: one row for each different paragraph: hash, owner (a document that has it); units finds them in a
     document's words.
@@ -345,12 +346,13 @@ def with_sets(docs: DataFrame, groups: DataFrame, paragraphs: DataFrame, units:
 
     listed = wanted.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     texts = _beside(docs, wanted, listed).filter("hashes is not null").select("text", "hashes", "doc_id")
-    sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary, owner long, line boolean").dropDuplicates(["hash"])
-    return groups.join(sets, "hash")
+    sets = texts.mapInArrow(tidy(shingled), "hash long, shingles binary, owner long, line boolean")
+    return sets.join(_small(groups, groups.count()), "hash")
 
 
 def by_group(rows: DataFrame, order: list[str], compared: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
-    """compared(the rows of a group g in this order) for every group: a stream over sorted rows, one group at a time."""
+    """compared(the rows of a group g in this order) for every group: a stream over sorted rows, one group at a time. Of
+    rows of one hash the first counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -359,7 +361,8 @@ def by_group(rows: DataFrame, order: list[str], compared: Callable[[list[tuple]]
                 if group and row[0] != group[0][0]:
                     yield compared(group)
                     group = []
-                group.append(row)
+                if not group or row[1] != group[-1][1]:
+                    group.append(row)
         if group:
             yield compared(group)
 
@@ -442,9 +445,10 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         unshuffled(docs.sparkSession)
         inner = hits.filter("doc_id > keeper")
         marks = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "hash").unionByName(lines.select("doc_id", "tag", "start", "size", F.lit(None).cast("long").alias("hash")))
-        marks = written(marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "hash")).alias("marks")).filter(F.exists("marks", lambda m: m["hash"].isNotNull())))
+        marks = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "hash")).alias("marks")).filter(F.exists("marks", lambda m: m["hash"].isNotNull()))
+        marks = written(marks.join(taken.filter("kind = 0").select("doc_id", placed()[0], F.col("size").alias("n_words")).distinct(), ["doc_id", "tag"]))
         edge = cut(outermost(marks))
-        near = written(around(own, hits.join(_small(edge, edge.count()), "hash"), marks))
+        near = written(around(own, hits.join(_small(edge, edge.count()), "hash"), spanned(marks)))
         again = _of_several(near, F.max("open"))
         ends = near.filter("open").join(_small(again, again.count()), "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(None).cast("boolean").alias("line"))
         inner = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(False).alias("line"))
@@ -479,51 +483,69 @@ def covered(start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
 
 
 def outermost(marks: DataFrame) -> DataFrame:
-    """Of the hits in marks (one row for each text with repeats: marks array<struct<start, size, hash>>, hash being null
-    for lines and blocks) the hashes around which other windows can matter: those from which less than STRIDE words lead
-    to a word that no mark covers."""
+    """Of the hits in marks (one row for each text with repeats: n_words, marks array<struct<start, size, hash>>, hash
+    being null for lines and blocks) the hashes beside which other windows can matter, on their right or left: those from
+    which less than STRIDE words lead to a word that no mark covers. hash, right, left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for own in batch.column(0):
+            found = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))]
+            for own, n in zip(batch.column(0), batch.column(1).to_pylist()):
                 start, size = _fields(own, "start", "size")
                 hashes, hit = own.values.field("hash"), own.values.field("hash").is_valid().to_numpy(zero_copy_only=False)
-                left = covered(start, size, int((start + size).max()) + WINDOW + STRIDE)
+                bare = covered(start, size, n)
                 at = start[hit]
-                edge = left[at + WINDOW + STRIDE - 1] > left[np.maximum(at - STRIDE + 1, 0)]
-                found.append(hashes.drop_null().to_numpy()[edge])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["hash"])
+                right = bare[np.minimum(at + WINDOW + STRIDE - 1, n)] > bare[at + WINDOW]
+                left = bare[at] > bare[np.maximum(at - STRIDE + 1, 0)]
+                either = right | left
+                found.append((hashes.drop_null().to_numpy()[either], right[either], left[either]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["hash", "right", "left"])
 
-    return marks.select("marks").mapInArrow(tidy(run), "hash long").distinct()
+    sides = marks.select("marks", "n_words").mapInArrow(tidy(run), "hash long, right boolean, left boolean")
+    return sides.groupBy("hash").agg(F.max("right").alias("right"), F.max("left").alias("left"))
 
 
-def around(docs: DataFrame, hits: DataFrame, marks: DataFrame) -> DataFrame:
-    """All windows that begin less than STRIDE words from one of the hits (doc_id, tag, start): doc_id, tag, start, hash,
-    and open: whether it has words that no mark of its text covers.
+def spanned(marks: DataFrame) -> DataFrame:
+    """marks as spans that do not touch: doc_id, tag, spans array<struct<start, stop>>."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "spans", merged_lists(batch.column("spans")))
+
+    rows = marks.select("doc_id", "tag", F.transform("marks", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("stop"))).alias("spans"))
+    return rows.mapInArrow(tidy(joined), rows.schema)
+
+
+def around(docs: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
+    """All windows that begin less than STRIDE words right or left, as asked, of one of the hits (doc_id, tag, start, right,
+    left): doc_id, tag, start, hash, and open: whether it has words that no span of its text covers.
 
     Of a shared run the first and the last window that both documents took are hits, each less than STRIDE words from
-    the run's end; so the run's other windows are here from both documents, unless marks cover all its words.
+    the run's end; so the run's other windows there are here from both documents, unless spans cover their words.
     """
-    by_doc = cut(hits.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("near")).join(marks, ["doc_id", "tag"], "left"))
-    n = by_doc.agg(F.coalesce(F.sum(F.size("near") + F.coalesce(F.size("marks"), F.lit(0))), F.lit(0))).first()[0]
+    by_doc = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "right", "left")).alias("near"))
+    by_doc = cut(by_doc.join(spans, ["doc_id", "tag"], "left"))
+    n = by_doc.agg(F.coalesce(F.sum(F.size("near") + F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
     names = ["doc_id", "tag", "start", "hash", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, many = [], 0
-            for doc_id, tag, text, near, marks in zip(*(batch.column(i) for i in range(5))):  # one text at a time
+            for doc_id, tag, text, near, spans in zip(*(batch.column(i) for i in range(5))):  # one text at a time
                 text = text.as_py()
                 if tag_of(text) != tag.as_py():  # another text of this id
                     continue
-                words, near = word_hashes(text)[0], near.values.to_numpy()
+                words, (start, right, left) = word_hashes(text)[0], _fields(near, "start", "right", "left")
                 h = runs(words, WINDOW)
-                left = covered(*_fields(marks, "start", "size"), len(words)) if marks.is_valid else np.arange(len(words) + 1)
+                bare = np.arange(len(words) + 1)
+                if spans.is_valid:
+                    a, b = _fields(spans, "start", "stop")
+                    bare = covered(a, b - a, len(words))
                 edge = np.zeros(len(h) + 1, np.int32)
-                np.add.at(edge, np.maximum(near - STRIDE + 1, 0), 1)
-                np.add.at(edge, np.minimum(near + STRIDE, len(h)), -1)
+                np.add.at(edge, np.where(left, np.maximum(start - STRIDE + 1, 0), start), 1)
+                np.add.at(edge, np.where(right, np.minimum(start + STRIDE, len(h)), start + 1), -1)
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                held.append((np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), tag.as_py(), np.int32), at.astype(np.int32), h[at].view(np.int64), left[at + WINDOW] > left[at]))
+                held.append((np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), tag.as_py(), np.int32), at.astype(np.int32), h[at].view(np.int64), bare[at + WINDOW] > bare[at]))
                 many += len(at)
                 if many >= WORDS_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
@@ -531,7 +553,7 @@ def around(docs: DataFrame, hits: DataFrame, marks: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
-    return _beside(docs, by_doc, n).filter("near is not null").select("doc_id", "tag", "text", "near", "marks").mapInArrow(tidy(run), "doc_id long, tag int, start int, hash long, open boolean")
+    return _beside(docs, by_doc, n).filter("near is not null").select("doc_id", "tag", "text", "near", "spans").mapInArrow(tidy(run), "doc_id long, tag int, start int, hash long, open boolean")
 
 
 def merged_lists(lists: pa.ListArray) -> pa.ListArray:
