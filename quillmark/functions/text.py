@@ -197,3 +197,32 @@ def name_key(c: Column) -> Column:
         return values.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
 
     return key(c)
+
+
+# Shapes of ids and addresses, longest address.
+WORKSPACE_ID, UUID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+EMAIL, LONGEST_EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 254
+
+
+def workspace_id(c: Column) -> Column:
+    """A workspace's id without blanks around it, null if it has another shape."""
+    return F.when(F.trim(c).rlike(WORKSPACE_ID), F.trim(c))
+
+
+def is_uuid(c: Column) -> Column:
+    return F.coalesce(F.trim(c).rlike(UUID), F.lit(False))
+
+
+def is_email(key: Column) -> Column:
+    """Whether a normalised address can be one."""
+    return key.rlike(EMAIL) & (F.char_length(key) <= LONGEST_EMAIL)
+
+
+def element_of(ref: Column, suffix: Column) -> Column:
+    """What a chunk's source reference says: struct<element_type, page, symbol, section_path>."""
+    code = suffix.isin("py", "js", "jsx", "ts", "tsx", "go", "java")
+    kind = F.when(F.contains(ref, F.lit("#table-")), "table").when(F.startswith(ref, F.lit("page-")), "page_text").when(code, "code").otherwise("section")
+    page = F.regexp_extract(ref, r"(?:^|#)page-(\d+)", 1)
+    symbol = F.when((kind == "code") & ~ref.isin("code", "module", "module preamble"), ref)
+    section = F.when((suffix == "md") & ~F.startswith(ref, F.lit("document")), ref)
+    return F.struct(kind.alias("element_type"), F.when(page != "", page.cast("int")).alias("page"), symbol.alias("symbol"), section.alias("section_path"))

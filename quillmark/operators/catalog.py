@@ -5,10 +5,14 @@ Parquet has no MERGE; each operation gives the new table, which the caller write
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 OWNERSHIP = ["workspace_id", "scope_type", "owner_user_id", "owner_department_id"]
 
@@ -74,10 +78,31 @@ def strongest(rows: DataFrame, keys: list[str], column: str, ladder: list[str])
 
 
 def fingerprint(files: DataFrame, project: str) -> DataFrame:
-    """A project's content version: the hash of its `path:hash:size` lines in order of path."""
+    """A project's content version: the hash of its `path:hash:size` lines in order of path. The lines stream through the
+    hash, sorted, in Arrow batches, so a project of any size is held one batch at a time."""
     line = F.concat_ws(":", "path", "content_hash", F.col("size_bytes").cast("string"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"])
-    return files.groupBy(project).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("version"), F.count("*").alias("n_files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, digest = None, 0, None
+        for batch in batches:
+            done: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or key != at:
+                    if digest is not None:
+                        done.append((at, digest.hexdigest(), n))
+                    at, n, digest = key, 0, hashlib.sha256()
+                digest.update(("\n" if n else "").encode() + text.encode())
+                n += 1
+            yield rows(done, batch.schema.field(0).type)
+        if digest is not None:
+            yield rows([(at, digest.hexdigest(), n)], kind)
+
+    def rows(done: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], key), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], [project, "version", "n_files"])
+
+    kind = to_arrow_type(files.schema[project].dataType)
+    own = files.select(project, line.alias("line"), "path").repartition(project).sortWithinPartitions(project, "path").select(project, "line")
+    return own.mapInArrow(run, f"`{project}` {files.schema[project].dataType.simpleString()}, version string, n_files long")
 
 
 def write_snapshot(facts: DataFrame, path: str) -> None:

@@ -16,13 +16,13 @@ class Trace:
     truncated: bool
 
 
-def trace(relations: DataFrame, start: int, max_depth: int = 4, max_nodes: int = 80) -> Trace:
+def trace(relations: DataFrame, start: int, max_depth: int = 4, max_nodes: int = 80, max_edges: int = 1_000) -> Trace:
     """Breadth-first from `start` over relations (relation_id, source_id, target_id or null, target_ref, confidence).
 
     Nodes are expanded in order of arrival; a node's edges in order of confidence (high first), target_ref, id. A
     target among the node's own ancestors is a cycle, a known one isn't expanded again, and above max_nodes no node is
-    added. Each depth is one join of the frontier with the edges; frontier and results are bounded by max_nodes, so
-    they are literals in the plan.
+    added; of a node's edges the first max_edges are looked at, and the trace is marked as cut if there are more. Each
+    depth is one join of the frontier with the edges; what comes to the driver is max_nodes * max_edges rows at most.
     """
     spark = relations.sparkSession
     frontier: list[tuple[int, int, list[int]]] = [(0, start, [start])]  # position, node, ancestors with itself
@@ -31,11 +31,14 @@ def trace(relations: DataFrame, start: int, max_depth: int = 4, max_nodes: int =
         if not frontier:
             break
         here = spark.createDataFrame(frontier, "position long, source_id long, path array<long>")
-        steps = relations.join(F.broadcast(here), "source_id")  # at most max_nodes rows
+        steps = relations.join(F.broadcast(here), "source_id")  # the frontier: max_nodes rows at most
         rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_ref", "relation_id"))
-        rows = steps.withColumn("nth", rank).select("relation_id", "source_id", "target_id", "target_ref", "position", "path", "nth").collect()
+        rows = steps.withColumn("nth", rank).filter(F.col("nth") <= max_edges + 1).select("relation_id", "source_id", "target_id", "target_ref", "position", "path", "nth").collect()
         frontier = []
         for r in sorted(rows, key=lambda r: (r["position"], r["nth"])):
+            if r["nth"] > max_edges:
+                truncated = True
+                continue
             if r["target_id"] is None:
                 unresolved.append((r["relation_id"], r["source_id"], r["target_ref"], depth))
                 continue

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import TRIGRAM_THRESHOLD, cosine, keyword_terms, similarity, token_estimate, trigrams
+from quillmark.functions.text import TRIGRAM_THRESHOLD, cosine, keyword_terms, token_estimate, trigrams
 
 RRF_K, PER_DOCUMENT = 60, 3
+#: Queries that are sent to the executors at a time.
+QUERY_BLOCK = 4_096
 
 
 def visible(user: str | None, department: str | None) -> Column:
@@ -20,20 +26,77 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return vectors.withColumn("score", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))).filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each of a few queries (query_id, q) the k best of vectors (vec_id, embedding): the queries, a stated and
-    bounded set, are the broadcast side; each partition keeps its k best of a query before anything is shuffled."""
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """For each of the queries (query_id, q) the k best by cosine of vectors (vec_id, embedding): query_id, vec_id, score,
+    rank, ties by vec_id. Vectors without length, and of another length than the query, have no score.
+
+    Queries are handled `block` at a time, which bounds what is sent to the executors. There a batch of vectors meets the
+    block in one matrix product, and only a batch's k best of each query leave it. The scan is repeated for each block.
+    """
+    rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    n = rows.count()
+    parts = max(1, -(-n // block))
+    found = None
+    for i in range(parts):
+        some = sorted((r["query_id"], r["q"]) for r in rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect() if r["q"] and all(x is not None for x in r["q"]))
+        best = _best_of_batches(vectors, some, k)
+        found = best if found is None else found.union(best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _best_of_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    by_size: dict[int, tuple[list[int], np.ndarray]] = {}
+    for size in {len(q) for _, q in queries}:
+        own = [(i, q) for i, q in queries if len(q) == size]
+        m = np.array([q for _, q in own], dtype=np.float64)
+        length = np.sqrt((m * m).sum(axis=1))
+        by_size[size] = [i for (i, _), x in zip(own, length) if x > 0], m[length > 0] / length[length > 0, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for size, (names, m) in by_size.items():
+                rows = np.flatnonzero(known & (sizes == size))
+                if not len(rows) or not len(names):
+                    continue
+                v = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                length = np.sqrt((v * v).sum(axis=1))
+                rows, v = rows[length > 0], v[length > 0] / length[length > 0, None]
+                scores = m @ v.T
+                for name, s in zip(names, scores):
+                    top = np.lexsort((ids[rows], -s))[:k] if len(s) <= 4 * k else _top(s, ids[rows], k)
+                    out.append((np.full(len(top), name, np.int64), ids[rows][top], s[top]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best, ties by id: those that reach the k-th score, sorted."""
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    some = np.flatnonzero(scores >= least)
+    return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
 def keyword_recall(chunks: DataFrame, terms: list[str], k: int, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """The k chunks most like any of the terms by trigrams, among those at the threshold for one; terms are few literals."""
-    own = F.transform(F.array(*map(F.lit, terms)), trigrams) if terms else F.array().cast("array<array<string>>")
-    best = F.array_max(F.transform(own, lambda t: similarity(F.col("_t"), t)))
-    scored = chunks.select(key, trigrams(F.col(content)).alias("_t")).withColumn("keyword_score", best)
-    return scored.filter(F.col("keyword_score") >= TRIGRAM_THRESHOLD).select(key, "keyword_score").orderBy(F.desc("keyword_score"), key).limit(k)
+    """The k chunks most like any of the terms by trigrams, among those at the threshold for one.
+
+    The terms are few literals: their trigrams are made once. Of a chunk's own trigrams only those that some term has are
+    looked at further, and chunks without any go before anything is sorted."""
+    if not terms:
+        return chunks.select(key, F.lit(None).cast("double").alias("keyword_score")).limit(0)
+    made = chunks.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, terms)), trigrams)).first()[0]
+    lit = lambda grams: F.array(*map(F.lit, sorted(grams))) if grams else F.array().cast("array<string>")
+    own = trigrams(F.col(content))
+    rows = chunks.select(key, F.size(own).alias("_n"), F.array_intersect(own, lit({g for t in made for g in t})).alias("_t")).filter(F.size("_t") > 0)
+    shared = [F.size(F.array_intersect("_t", lit(set(t)))) for t in made]
+    best = F.greatest(*[s / (F.col("_n") + F.lit(len(set(t))) - s) for s, t in zip(shared, made)], F.lit(0.0))
+    scored = rows.select(key, best.alias("keyword_score")).filter(F.col("keyword_score") >= TRIGRAM_THRESHOLD)
+    return scored.orderBy(F.desc("keyword_score"), key).limit(k)
 
 
 def fuse(rankings: list[DataFrame], key: str) -> DataFrame:

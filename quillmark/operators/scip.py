@@ -1,11 +1,11 @@
 """Merge a code index (occurrences of symbols) into extracted symbols and relations.
 
-Occurrences come as rows, whatever decoded them; the index's binary form needs a reader that is not part of this package.
+Occurrences come as rows, whatever decoded them; `sources.scip` reads the index's binary form.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators.facts import innermost, scip_lines
@@ -45,3 +45,32 @@ def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     kind = F.when(F.col("imports"), "imports").otherwise("references")
     joined = placed.join(definitions(occurrences, symbols).withColumnRenamed("symbol_id", "target_id"), "symbol", "left")
     return joined.select("source_id", kind.alias("relation_type"), "target_id", short_name().alias("target_ref"), "line").filter(F.col("target_id").isNull() | (F.col("source_id") != F.col("target_id"))).distinct()
+
+
+def display_name(symbol: Column, display: Column) -> Column:
+    """The indexer's own name, else what a local symbol is called, else the last descriptor without its signature."""
+    local = F.regexp_extract(symbol, r"^local (.+)$", 1)
+    tail = F.substring_index(F.element_at(F.split(F.regexp_replace(symbol, "[/#.]+$", ""), "[/#.]"), -1), "(", 1)
+    return F.coalesce(F.when(display != "", display), F.when(local != "", local), F.when(tail != "", tail), F.lit("unknown"))
+
+
+def related(relations: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """relations (symbol, target, relations array<string>) between symbols: source_id, relation_type (implements,
+    type_definition, related_reference, related_definition), target_id (null if the index does not define it),
+    target_ref. Sources that the index does not define say nothing."""
+    known = definitions(occurrences, symbols)
+    rows = relations.select("symbol", "target", F.explode("relations").alias("relation_type"))
+    source = rows.join(known.withColumnRenamed("symbol_id", "source_id"), "symbol")
+    target = known.select(F.col("symbol").alias("target"), F.col("symbol_id").alias("target_id"))
+    return source.join(target, "target", "left").select("source_id", "relation_type", "target_id", F.col("target").alias("target_ref")).distinct()
+
+
+def enriched(infos: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Definitions that no extracted symbol of that name covers: path, name, qualified_name, kind, signature, start_line,
+    end_line, docstring; infos (symbol, kind_name, display_name, signature, documentation), one for each symbol. Symbols
+    without a name are left out."""
+    found = located(occurrences).filter("defines").join(infos, "symbol").withColumn("name", display_name(F.col("symbol"), F.coalesce("display_name", F.lit("")))).filter("name <> 'unknown'")
+    have = symbols.filter("kind <> 'file'").select("path", "name", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    covered = found.join(have, ["path", "name"]).filter(F.col("line").between(F.col("_a"), F.col("_b"))).select("path", "symbol", "line").distinct()
+    fresh = found.join(covered, ["path", "symbol", "line"], "left_anti")
+    return fresh.select("path", "name", F.concat("name", F.lit("@"), F.col("line").cast("string")).alias("qualified_name"), F.col("kind_name").alias("kind"), "signature", F.col("line").alias("start_line"), F.greatest("line", "stop").alias("end_line"), F.col("documentation").alias("docstring"))

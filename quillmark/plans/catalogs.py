@@ -13,12 +13,11 @@ from quillmark.plans.registry import query, table
 WITH_OWNER = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS owner, lang FROM documents"
 
 
-@query(f"SELECT a.doc_id, count(*) AS n_same FROM ({WITH_OWNER}) a JOIN ({WITH_OWNER}) b ON a.owner IS NOT DISTINCT FROM b.owner AND a.lang IS NOT DISTINCT FROM b.lang WHERE a.doc_id < 50 GROUP BY a.doc_id")
+@query(f"SELECT a.doc_id, count(*) AS n_same FROM ({WITH_OWNER}) a JOIN ({WITH_OWNER}) b ON a.owner IS NOT DISTINCT FROM b.owner AND a.lang IS NOT DISTINCT FROM b.lang  GROUP BY a.doc_id")
 def null_safe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).otherwise(F.col("source")).alias("owner"), "lang")
     sizes = rows.groupBy("owner", "lang").agg(F.count("*").alias("n_same"))  # counted before the join: no pairs are made
-    own = rows.filter("doc_id < 50")
-    return own.join(sizes, catalog.null_safe(own, sizes, ["owner", "lang"])).select("doc_id", "n_same")
+    return rows.join(sizes, catalog.null_safe(rows, sizes, ["owner", "lang"])).select("doc_id", "n_same")
 
 
 STATE = "doc_id AS document_id, '/d/' || doc_id AS source_path, source AS workspace_id, 'workspace' AS scope_type, CAST(NULL AS VARCHAR) AS owner_user_id, CAST(NULL AS VARCHAR) AS owner_department_id"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import controller, layout
-from quillmark.plans.registry import query
+from quillmark.plans.registry import query, table
 
 FRAMES = """SELECT 1 AS stream_id, 'event: status' || chr(10) || 'data: {"a":1}' || chr(10) || chr(10) || 'event: delta' || chr(10) || 'data: hello' || chr(10) || chr(10) AS body UNION ALL SELECT 2, 'data: bare' || chr(10) || chr(10) || 'event: done' || chr(10) || 'data: {}'"""
 
@@ -45,11 +45,26 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.answerable(spark.sql(EVIDENCE), spark.sql(CLAIMS).select("case_id", "claim_id", "text", ids), spark.sql(ASKED).select("case_id", ids))
 
 
-@query()
+PACKED = "SELECT conv_id AS case_id, turn AS ordinal, CASE length(text) % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'b|c' WHEN 2 THEN 'c' ELSE 'c|d' END AS ids FROM conversations"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT case_id, ordinal, string_split(ids, '|') AS ids, row_number() OVER (PARTITION BY case_id ORDER BY ordinal) AS r FROM ({PACKED})),
+w AS (SELECT case_id, 0::BIGINT AS r, 0::BIGINT AS ordinal, 0::BIGINT AS used, CAST([] AS VARCHAR[]) AS seen, false AS taken FROM (SELECT DISTINCT case_id FROM c)
+ UNION ALL SELECT case_id, r, ordinal, CASE WHEN ok THEN used + more ELSE used END, CASE WHEN ok THEN list_concat(seen, fresh) ELSE seen END, ok FROM (
+  SELECT *, NOT list_contains(fresh, 'd') AND used + more <= 200 AS ok FROM (
+   SELECT *, CASE WHEN list_contains(fresh, 'a') THEN 42 + case_id % 50 ELSE 0 END + CASE WHEN list_contains(fresh, 'b') THEN 92 ELSE 0 END + CASE WHEN list_contains(fresh, 'c') THEN 62 + case_id % 7 ELSE 0 END + CASE WHEN list_contains(fresh, 'd') THEN 2 ELSE 0 END AS more FROM (
+    SELECT c.case_id, c.r, c.ordinal, w.used, w.seen, list_filter(c.ids, lambda x: NOT list_contains(w.seen, x)) AS fresh FROM w JOIN c ON c.case_id = w.case_id AND c.r = w.r + 1))))
+SELECT case_id, ordinal, taken, used AS used_chars FROM w WHERE r > 0""")
 def claim_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["c"]), (1, 3, ["a", "d"]), (1, 4, ["zz"]), (2, 1, ["x"])], "case_id int, ordinal int, evidence_ids array<string>")
-    evidence = spark.createDataFrame([(1, "a", 40), (1, "b", 40), (1, "c", 90), (1, "d", 10)], "case_id int, evidence_id string, length int")
-    return controller.pack_claims(claims, evidence, 120)
+    """Each conversation's turns as claims on its pieces of evidence, of which the last is not known."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.length("text") % 4
+    ids = F.when(n == 0, F.array(F.lit("a"), F.lit("b"))).when(n == 1, F.array(F.lit("b"), F.lit("c"))).when(n == 2, F.array(F.lit("c"))).otherwise(F.array(F.lit("c"), F.lit("d")))
+    claims = turns.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), ids.alias("evidence_ids"))
+    case = F.col("case_id")
+    sizes = F.explode(F.array(F.struct(F.lit("a").alias("e"), (case % 50 + 40).alias("n")), F.struct(F.lit("b").alias("e"), F.lit(90).cast("long").alias("n")), F.struct(F.lit("c").alias("e"), (case % 7 + 60).alias("n")))).alias("x")
+    evidence = claims.select("case_id").distinct().select("case_id", sizes).select("case_id", F.col("x.e").alias("evidence_id"), F.col("x.n").alias("length"))
+    return controller.pack_claims(claims, evidence, 200)
 
 
 CONTRACTS = [
@@ -73,15 +88,23 @@ def loop_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.progress(spark.sql(RESULTS))
 
 
-CALL_LOG = [
-    (1, 1, "search", '{"q":"a"}', "a", 0, True, 1), (1, 2, "search", '{"q":"a"}', "a", 0, False, 1), (1, 3, "list_project_files", "{}", "", 0, True, 2), (1, 4, "list_project_files", '{"offset":0}', "", 0, True, 2),
-    (1, 5, "list_project_files", '{"offset":50}', "", 50, False, 3), (1, 6, "search", '{"q":"b"}', "b", 0, False, 4), (1, 7, "search", '{"q":"c"}', "c", 0, True, 5), (2, 1, "search", '{"q":"a"}', "a", 0, True, 1),
-]
+ADMITTED = "SELECT user_id * 100 + day(ts) AS loop_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'list_project_files' ELSE event_type END AS name, 'q' || event_id % 4 AS arguments, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS query, 0 AS page_offset, event_id % 5 < 2 AS progress, CAST(event_id // 900 AS INTEGER) AS round FROM events"
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT *, name || arguments AS sig, name = 'list_project_files' AND trim(query) = '' AS whole, row_number() OVER (PARTITION BY loop_id ORDER BY seq) AS r FROM ({ADMITTED})),
+w AS (SELECT loop_id, 0::BIGINT AS r, 0::BIGINT AS seq, 0 AS n, CAST([] AS VARCHAR[]) AS sigs, false AS listed, 0 AS stale, CAST(NULL AS INTEGER) AS round, false AS ran, false AS moved, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT loop_id FROM o)
+ UNION ALL SELECT loop_id, r, seq, n + (reason IS NULL)::INT, CASE WHEN reason IS NULL THEN list_append(sigs, sig) ELSE sigs END, listed OR (reason IS NULL AND name = 'list_project_files'), stale, now_round, (ran AND NOT turn) OR reason IS NULL, (moved AND NOT turn) OR (reason IS NULL AND progress), reason FROM (
+  SELECT *, CASE WHEN n >= 50 THEN 'tool_budget_exhausted' WHEN whole AND listed THEN 'project_files_already_inspected' WHEN list_contains(sigs, sig) THEN 'same_query_repeated' WHEN stale >= 2 THEN 'no_new_evidence' END AS reason FROM (
+   SELECT o.loop_id, o.r, o.seq, o.sig, o.whole, o.name, o.progress, o.round AS now_round, w.n, w.sigs, w.listed, w.ran, w.moved, coalesce(w.round <> o.round, false) AS turn, CASE WHEN coalesce(w.round <> o.round, false) AND w.ran THEN CASE WHEN w.moved THEN 0 ELSE w.stale + 1 END ELSE w.stale END AS stale FROM w JOIN o ON o.loop_id = w.loop_id AND o.r = w.r + 1)))
+SELECT loop_id, seq, reason IS NULL AS admitted, reason FROM w WHERE r > 0""")
 def loop_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controller.admissions(spark.createDataFrame(CALL_LOG, "loop_id int, seq int, name string, arguments string, query string, page_offset int, progress boolean, round int"))
+    """A user's events of a day as the calls of a loop."""
+    at = F.col("event_id")
+    calls = table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("loop_id"), at.alias("seq"), F.when(at % 3 == 0, "list_project_files").otherwise(F.col("event_type")).alias("name"), F.concat(F.lit("q"), (at % 4).cast("string")).alias("arguments"),
+        F.when(at % 2 == 0, "").otherwise("x").alias("query"), F.lit(0).alias("page_offset"), (at % 5 < 2).alias("progress"), F.floor(at / 900).cast("int").alias("round"),
+    )
+    return controller.admissions(calls)
 
 
 DELTAS = "SELECT * FROM (VALUES (1, 1, 0, 'c1', 'search', '{\"q\":'), (1, 2, 0, NULL, NULL, '\"a\"}'), (1, 3, 1, 'c2', 'finish', '{'), (1, 4, 1, NULL, NULL, '}'), (2, 1, 0, 'd1', 'search', NULL)) AS t(stream_id, seq, call_index, id, name, arguments)"

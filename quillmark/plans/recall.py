@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking, evaluation, providers, retrieval
-from quillmark.plans.chunks import DOCS, windows_sql
+from quillmark.plans.chunks import CHILDREN, PARENTS
 from quillmark.plans.registry import query, table
 
 
@@ -32,11 +32,11 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.nearest_each(vectors, queries, k)
 
 
-BATCH = f"SELECT q.vec_id AS query_id, e.vec_id, e.label AS label, q.label AS query_label, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10"
+BATCH = f"SELECT q.vec_id AS query_id, e.vec_id, e.label AS label, q.label AS query_label, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
 
 
 @query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({BATCH}) WHERE rank <= 10")
@@ -60,18 +60,17 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("item_id", "term", F.round(T.similarity(F.col("g"), T.trigrams(F.col("term"))), 6).alias("similarity"))
 
 
-FIRST_WORDS = "SELECT DISTINCT lower(regexp_extract(text, '^[^ \\n]+')) AS term FROM documents WHERE doc_id < 20"
+TERMS = ["thention the", "und der", "anche", "ciónar"]
 
 
-@query(f"""WITH d AS (SELECT doc_id, {grams_sql('substr(text, 1, 16)')} AS g FROM documents), t AS (SELECT {grams_sql('term')} AS h FROM ({FIRST_WORDS})),
-s AS (SELECT doc_id, max({similar_sql('g', 'h')}) AS score FROM d, t GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS keyword_score FROM s WHERE score >= 0.3 ORDER BY score DESC, doc_id LIMIT 50""")
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), d AS (SELECT doc_id * 100000 + i AS line_id, {grams_sql('content')} AS g FROM l),
+t AS (SELECT {grams_sql('term')} AS h FROM (VALUES {', '.join(f"('{t}')" for t in TERMS)}) AS x(term)), s AS (SELECT line_id, max({similar_sql('g', 'h')}) AS score FROM d, t GROUP BY line_id)
+SELECT line_id, round(score, 6) AS keyword_score FROM s WHERE score >= 0.3 ORDER BY score DESC, line_id LIMIT 50""")
 def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = F.lower(F.regexp_extract("text", r"^[^ \n]+", 0))
-    terms = sorted(r[0] for r in docs.filter("doc_id < 20").select(words).distinct().collect())  # the query's own terms
-    heads = docs.select("doc_id", F.substring("text", 1, 16).alias("content"))
-    return retrieval.keyword_recall(heads, terms, 50).select("doc_id", F.round("keyword_score", 6).alias("keyword_score"))
+    """Every line of every document against the query's terms; the 50 best."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    rows = lines.select((F.col("doc_id") * 100_000 + F.col("i") + 1).alias("line_id"), "content")
+    return retrieval.keyword_recall(rows, TERMS, 50, "line_id").select("line_id", F.round("keyword_score", 6).alias("keyword_score"))
 
 
 RANKINGS = """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 200),
@@ -116,14 +115,31 @@ def visibility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoped(table(spark, sf_dir, "documents")).filter(retrieval.visible("u2", "d1")).select("doc_id", "scope_type")
 
 
-@query()
+PIECES = f"SELECT doc_id * 1000000 + chunk_index * 1000 AS chunk_id, doc_id, content FROM ({PARENTS})"
+KIDS = f"SELECT (pk // 100000) * 1000000 + (pk % 100000) * 1000 + chunk_index + 1 AS chunk_id, (pk // 100000) * 1000000 + (pk % 100000) * 1000 AS parent_chunk_id, pk // 100000 AS doc_id, content FROM ({CHILDREN})"
+ASKED_FOR = ["of", "that", "the", "und", "les", "los"]
+TOKENS = "greatest(1, CAST(ceil(length(regexp_replace({}, '^\\s+|\\s+$', '', 'g')) / 2.0) AS BIGINT))"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT doc_id % 20 AS query_id, chunk_id, parent_chunk_id, content, len(list_intersect(list_distinct(list_transform(regexp_extract_all(content, '[A-Za-z0-9_]{{2,}}'), lambda x: lower(x))), {ASKED_FOR!r})) AS score FROM ({KIDS})),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k QUALIFY rank <= 20),
+f AS (SELECT h.*, p.content AS parent FROM h LEFT JOIN ({PIECES}) p ON p.chunk_id = h.parent_chunk_id QUALIFY row_number() OVER (PARTITION BY query_id, parent_chunk_id ORDER BY rank) = 1),
+o AS (SELECT query_id, rank, chunk_id, coalesce(parent, content) AS text, content AS child, parent IS NOT NULL AS whole, {TOKENS.format('coalesce(parent, content)')} AS n, {TOKENS.format('content')} AS c, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM f),
+w AS (SELECT query_id, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS rank, 0::BIGINT AS chunk_id, '' AS context_level, '' AS content, 0::BIGINT AS context_tokens FROM (SELECT DISTINCT query_id FROM o)
+ UNION ALL SELECT o.query_id, o.r, w.used + CASE WHEN o.n <= 6000 - w.used THEN o.n WHEN o.c <= 6000 - w.used THEN o.c ELSE {TOKENS.format('substr(o.child, 1, greatest(2, (6000 - w.used) * 2))')} END, o.rank, o.chunk_id,
+  CASE WHEN o.n <= 6000 - w.used THEN CASE WHEN o.whole THEN 'parent' ELSE 'child' END WHEN o.c <= 6000 - w.used THEN 'child_fallback' ELSE 'child_truncated' END,
+  CASE WHEN o.n <= 6000 - w.used THEN o.text WHEN o.c <= 6000 - w.used THEN o.child ELSE substr(o.child, 1, greatest(2, (6000 - w.used) * 2)) END,
+  CASE WHEN o.n <= 6000 - w.used THEN o.n WHEN o.c <= 6000 - w.used THEN o.c ELSE {TOKENS.format('substr(o.child, 1, greatest(2, (6000 - w.used) * 2))')} END FROM w JOIN o ON o.query_id = w.query_id AND o.r = w.r + 1 WHERE w.used < 6000)
+SELECT query_id, rank, chunk_id, context_level, content, context_tokens FROM w WHERE r > 0""")
 def context_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 children of each query that share most words with it, out of all, as context under a budget."""
     pieces = chunking.parent_child(table(spark, sf_dir, "documents"))
     pid = F.col("doc_id") * 1_000_000 + F.col("parent_index") * 1_000
     parents = pieces.filter("chunk_level = 'parent'").select(pid.alias("chunk_id"), "content")
     children = pieces.filter("chunk_level = 'child'").select((F.col("doc_id") % 20).alias("query_id"), (pid + F.col("child_index") + 1).alias("chunk_id"), pid.alias("parent_chunk_id"), "content")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("chunk_id"), "chunk_id"))
-    return retrieval.expand(children.withColumn("rank", rank).filter("rank <= 20"), parents, 600)
+    score = providers.lexical(F.col("content"), F.array(*map(F.lit, ASKED_FOR)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id"))
+    return retrieval.expand(children.withColumn("rank", rank).filter("rank <= 20"), parents, 6000)
 
 
 @query("""SELECT query_id, round(hits / 5.0::DOUBLE, 6) AS precision_at_k, hits > 0 AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank, round(coalesce(dcg / nullif(ideal, 0), 0), 6) AS ndcg FROM (
@@ -132,7 +148,7 @@ def context_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT *, label = query_label AS ok FROM (""" + BATCH + ") WHERE rank <= 5) GROUP BY query_id)")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    found = batch(spark, sf_dir, 5).join(labels, "vec_id").join(F.broadcast(labels.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
+    found = batch(spark, sf_dir, 5).join(labels, "vec_id").join(F.broadcast(labels.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
     return evaluation.ranked_metrics(found.withColumn("hit", F.col("label") == F.col("wanted")), 5)
 
 
@@ -157,14 +173,15 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.cost(usage, {"assistant": 0.006, "system": 0.001, "user": 0.002}, "conv_id")
 
 
-@query("""WITH h AS (SELECT doc_id % 10 AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS rank, text FROM documents WHERE doc_id < 200),
-s AS (SELECT query_id, chunk_id, rank, CAST(len(list_intersect(list_distinct(list_transform(regexp_extract_all(substr(text, 1, 300), '[A-Za-z0-9_]{2,}'), lambda x: lower(x))), ['of', 'that', 'the', 'with'])) AS DOUBLE) AS rerank_score FROM h)
+@query("""WITH h AS (SELECT doc_id % 10 AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS rank, text FROM documents),
+s AS (SELECT query_id, chunk_id, rank, CAST(len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{2,}'), lambda x: lower(x))), ['of', 'that', 'the', 'with'])) AS DOUBLE) AS rerank_score FROM h)
 SELECT * FROM (SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS new_rank FROM s) WHERE new_rank <= 5""")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 200")
+    docs = table(spark, sf_dir, "documents")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
-    hits = docs.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 300).alias("content")).withColumn("rank", rank)
-    return providers.reranked(hits, "with the of that", 5).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
+    hits = docs.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")).withColumn("rank", rank)
+    score = providers.lexical(F.col("content"), F.array(*map(F.lit, ["of", "that", "the", "with"]))).cast("double")
+    return providers.reranked(hits, "with the of that", 5, score).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
 
 
 ASKS = "SELECT * FROM (VALUES (1, 'how do the teams rotate their signing keys in production every year or so then?'), (2, 'rotate keys'), (3, 'a b'), (4, 'one two three')) AS t(id, q)"

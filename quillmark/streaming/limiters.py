@@ -52,17 +52,20 @@ def fixed_window_table(events: DataFrame, key: str, time: str, order: str, limit
     return own.mapInPandas(run, f"{schema}, attempts long, admitted boolean")
 
 
-def sliding_log_table(events: DataFrame, key: str, time: str, order: str, limit: int, length: float) -> DataFrame:
-    """events with admitted, by the sliding log."""
+def sliding_log_table(events: DataFrame, key: str, time: str, order: str, limit: int, length: float, success: str | None = None) -> DataFrame:
+    """events with admitted, by the sliding log; success, if named, is a boolean column: an admitted success clears the
+    key's log. Arrow batches of one key, its log carried between them: at most `limit` stamps."""
+
     def run(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: object = None
         stamps: list[float] = []
         for rows in pdf:
             out = []
-            for k, t in zip(rows[key], rows["_t"]):
+            for k, t, cleared in zip(rows[key], rows["_t"], rows[success] if success else [False] * len(rows)):
                 if k != at:
                     at, stamps = k, []
                 stamps, ok = sliding_log(stamps, t / 1e6, length, limit)
+                stamps = [] if ok and cleared else stamps
                 out.append(ok)
             yield rows.drop(columns="_t").assign(admitted=out)
 
@@ -87,8 +90,21 @@ def sessions(events: DataFrame, key: str, time: str, idle_minutes: int, absolute
     )
 
 
+def checked_sessions(requests: DataFrame, now: Column, idle_minutes: int, touch_seconds: int = 300) -> DataFrame:
+    """requests with their session (revoked_at, expires_at, idle_expires_at, last_seen_at, auth_version) and user_version:
+    refused (revoked, changed, expired, idle, or null), touch (whether last_seen_at is written anew: seen longer ago than
+    touch_seconds) and the idle_expires_at that then holds, never beyond expires_at."""
+    refused = F.when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("auth_version") != F.col("user_version"), "changed").when(now >= F.col("expires_at"), "expired").when(now >= F.col("idle_expires_at"), "idle")
+    rows = requests.withColumn("refused", refused)
+    seen = F.col("last_seen_at").isNull() | (F.unix_micros(now) - F.unix_micros("last_seen_at") > touch_seconds * 1_000_000)
+    later = F.least(F.col("expires_at"), F.timestamp_micros(F.unix_micros(now) + idle_minutes * 60_000_000))
+    rows = rows.withColumn("touch", F.col("refused").isNull() & seen)
+    return rows.withColumn("idle_expires_at", F.when(F.col("touch"), later).otherwise(F.col("idle_expires_at")))
+
+
 class FixedWindow(StatefulProcessor):
-    """The fixed-window limiter as a keyed stateful operator."""
+    """The fixed-window limiter as a keyed stateful operator. A key's state goes once nothing has come for longer than its
+    window: after that the next event begins a new one anyway."""
 
     def __init__(self, limit: int, length: float = HOUR):
         self.limit, self.length = limit, length
@@ -110,6 +126,39 @@ class FixedWindow(StatefulProcessor):
         pass
 
 
+class SlidingLog(StatefulProcessor):
+    """The sliding log as a keyed stateful operator: the stamps kept, `limit` at most, as one value."""
+
+    def __init__(self, limit: int, length: float):
+        self.limit, self.length = limit, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("log", "stamps string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        stamps = [float(x) for x in self.state.get()[0].split()] if self.state.exists() else []
+        out = []
+        for r in sorted((x for pdf in rows for x in pdf.itertuples(index=False)), key=lambda x: (x.t, x.event_id)):
+            stamps, ok = sliding_log(stamps, r.t / 1e6, self.length, self.limit)
+            stamps = [] if ok and r.success else stamps
+            out.append((key[0], r.event_id, ok))
+        if stamps:
+            self.state.update((" ".join(map(repr, stamps)),))
+        elif self.state.exists():
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["key", "event_id", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_log_stream(events: DataFrame, key: str, time: str, limit: int, length: float, success: str | None = None) -> DataFrame:
+    """The sliding log over a stream of events (event_id, key, time): key, event_id, admitted."""
+    cleared = F.col(success) if success else F.lit(False)
+    own = events.select(F.col(key).cast("string").alias("key"), "event_id", micros(F.col(time)).alias("t"), cleared.alias("success"), F.col(time).cast("timestamp").alias("_at")).withWatermark("_at", WATERMARK)
+    return own.groupBy("key").transformWithStateInPandas(SlidingLog(limit, length), "key string, event_id long, admitted boolean", "Append", "None")
+
+
 def fixed_window_stream(events: DataFrame, key: str, time: str, limit: int, length: float = HOUR) -> DataFrame:
     """The limiter over a stream of events (event_id, key, time): key, event_id, attempts, admitted."""
     own = events.select(F.col(key).cast("string").alias("key"), "event_id", micros(F.col(time)).alias("t"), F.col(time).cast("timestamp").alias("_at")).withWatermark("_at", WATERMARK)

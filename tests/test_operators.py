@@ -125,10 +125,17 @@ def test_trace_is_bounded_and_names_cycles(spark):
 
 
 def test_controller_cases(spark):
-    packed = {(r["case_id"], r["ordinal"]): r["taken"] for r in loops.claim_packing(spark, "").collect()}
+    claims = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["c"]), (1, 3, ["a", "d"]), (1, 4, ["zz"]), (2, 1, ["x"])], "case_id int, ordinal int, evidence_ids array<string>")
+    evidence = spark.createDataFrame([(1, "a", 40), (1, "b", 40), (1, "c", 90), (1, "d", 10)], "case_id int, evidence_id string, length int")
+    packed = {(r["case_id"], r["ordinal"]): r["taken"] for r in controller.pack_claims(claims, evidence, 120).collect()}
     assert packed == {(1, 1): True, (1, 2): False, (1, 3): True, (1, 4): False, (2, 1): False}
     assert [r["reason"] for r in sorted(loops.answer_contract(spark, "").collect(), key=lambda r: r["case_id"])] == ["validated", "unapproved_citation", "missing_required_citation", "claim_text_or_mapping_changed", "empty_answer_contract"]
-    reasons = [r["reason"] for r in sorted(loops.loop_admission(spark, "").collect(), key=lambda r: (r["loop_id"], r["seq"]))]
+    log = [
+        (1, 1, "search", '{"q":"a"}', "a", 0, True, 1), (1, 2, "search", '{"q":"a"}', "a", 0, False, 1), (1, 3, "list_project_files", "{}", "", 0, True, 2), (1, 4, "list_project_files", '{"offset":0}', "", 0, True, 2),
+        (1, 5, "list_project_files", '{"offset":50}', "", 50, False, 3), (1, 6, "search", '{"q":"b"}', "b", 0, False, 4), (1, 7, "search", '{"q":"c"}', "c", 0, True, 5), (2, 1, "search", '{"q":"a"}', "a", 0, True, 1),
+    ]
+    calls = spark.createDataFrame(log, "loop_id int, seq int, name string, arguments string, query string, page_offset int, progress boolean, round int")
+    reasons = [r["reason"] for r in sorted(controller.admissions(calls).collect(), key=lambda r: (r["loop_id"], r["seq"]))]
     assert reasons == [None, "same_query_repeated", None, "project_files_already_inspected", None, None, "no_new_evidence", None]
     kept = controller.budget_prefix(spark.createDataFrame([(1, 1, 50), (1, 2, 90), (1, 3, 10)], "g int, o int, n int"), "g", "o", "n", 100, 60).collect()
     assert [r["kept"] for r in sorted(kept, key=lambda r: r["o"])] == [50, 50]
