@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut
+from quillmark.llm.common import cut, unshuffled
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = _to_least(large)
         stars = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = cut(stars.filter("a <> b").distinct())
+        del both, large, small, stars
+        unshuffled(e.sparkSession)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Scratch, cut, ready, tidy, unshuffled
@@ -68,15 +68,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of docs (columns doc_id, text)."""
+    """doc_id, key of the text and fp (the fingerprint as a signed long) of each row of docs (columns doc_id, text)."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, key long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -214,10 +214,26 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         out = found if out is None else out.union(found)
         if not masks:
             break
+        del groups
+        unshuffled(fps.sparkSession)
         dealt = cut(keyed(meeting.filter(again).drop("key", "n"), {m: next_tables(m, radius) for m in masks}).distinct())
     return out
 
 
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def components_of(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """doc_id, key of the text, fp, root (the component's) and component_id of each row of docs."""
+    rows = cut(fingerprints(docs, words))
+    own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = components(links(own.select("fp"), radius))
+    rooted = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row for each row of docs (columns doc_id, text; others are ignored): doc_id, fingerprint (16 lowercase hex
     digits), component_id, the least doc_id that links reach, its own included.
@@ -226,13 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     doc_id get a fingerprint and their component's id, which is null if no member has one. Repeated rows give repeated
     rows; an empty table gives none.
     """
-    rows = cut(fingerprints(docs, words))
-    own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = components(links(own.select("fp"), radius))
-    rooted = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components_of(docs, words, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def sketches(words: np.ndarray) -> list[int]:
@@ -250,28 +260,29 @@ def sketches(words: np.ndarray) -> list[int]:
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and component_id of each row of docs (columns doc_id, text; others are ignored) with an id: the least id
-    that links reach. Linked are documents whose sets of five-word shingles have this exact Jaccard similarity at least.
+    """doc_id, key of the text, root (one for each component) and component_id, the least id that links reach, of each row
+    of docs (columns doc_id, text; others are ignored) with an id. Linked are texts whose sets of five-word shingles have
+    this exact Jaccard similarity at least.
 
     Candidates are the texts that some fingerprint's links join, directly or not; all of such a component are compared.
-    Texts of equal words are one text; those without words are linked with each other. Rows of one id are one document:
-    its texts' components are one. An empty table gives no rows.
+    Texts of equal words are one text; those without words are linked with each other. Rows of one id may have texts in
+    several components. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    names = ["doc_id", "hash", *(f"f{i}" for i in range(SKETCHES))]
+    names = ["doc_id", "key", "hash", *(f"f{i}" for i in range(SKETCHES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words, counts = word_hashes(text)
                 shingles, starts = document_shingles(words, counts)[2:]
                 rows.append([int(whole_hashes(shingles, starts)[0]) if len(starts) else 0, *sketches(words)])
             cols = np.array(rows, dtype=np.uint64).reshape(-1, 1 + SKETCHES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names)
 
     with Scratch(docs.sparkSession) as written:
-        rows = written(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
+        rows = written(own.select("doc_id", text_key().alias("key"), "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)))
         texts = written(rows.groupBy("hash").agg(F.min("doc_id").alias("owner"), *[F.min(f"f{i}").alias(f"f{i}") for i in range(SKETCHES)]))
         sketched = texts.filter("hash <> 0").select("hash", F.posexplode(F.array(*[f"f{i}" for i in range(SKETCHES)])).alias("s", "fp"))
         counts = cut(sketched.groupBy("s", "fp").agg(F.count("*").alias("n")))
@@ -288,21 +299,27 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         alike = components(verified(own, groups, texts, threshold, document_shingles))
         rooted = texts.select("hash", "owner").join(alike.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
         ids = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
-        of = rooted.select("hash", "root").join(ids, "root").select("hash", "component_id")
-        return cut(rows.select("doc_id", "hash").join(of, "hash").select("doc_id", "component_id"))
+        of = rooted.select("hash", "root").join(ids, "root")
+        return cut(rows.select("doc_id", "key", "hash").join(of, "hash").select("doc_id", "key", "root", "component_id"))
 
 
 def kept(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, all columns, without the near duplicates: of each component the row of the least doc_id stays,
-    one row if that id is repeated. Rows without id can't be named, so all of them stay."""
-    return first_of_each(docs, near_duplicates(docs, words, radius))
+    """The rows of docs, all columns, without the near duplicates, as first_of_each leaves them."""
+    return first_of_each(docs, components_of(docs, words, radius))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that `kept` keeps, of the components in found (doc_id, component_id)."""
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    rest = docs.join(F.broadcast(gone) if gone.count() <= LISTED else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = cut(rest.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null"))
-    again = rest.join(F.broadcast(repeated) if repeated.count() <= LISTED else repeated, "doc_id", "left").filter("_n is not null").drop("_n")
-    once = rest.join(F.broadcast(repeated.select(F.col("doc_id").alias("_of"))) if repeated.count() <= LISTED else repeated.select(F.col("doc_id").alias("_of")), F.col("doc_id") == F.col("_of"), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each component in found (doc_id, key of the text, root) the row of docs with the least doc_id, of several texts
+    of that id the one with the least key, and of equal rows of both one. Rows without id can't be named, so all of them
+    stay. Each text of an id is judged by itself."""
+    rows = found.filter("doc_id is not null").select("doc_id", "key", "root").distinct()
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("f"))
+    gone = cut(rows.join(first, "root").filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("key") != F.col("f.key"))).select(F.col("doc_id").alias("_of"), F.col("key").alias("_gone")))
+    own = docs.withColumn("_key", text_key())
+    same = lambda other: (F.col("doc_id").cast("long") == F.col("_of")) & (F.col("_key") == F.col(other))
+    small = lambda df: F.broadcast(df) if df.count() <= LISTED else df
+    rest = own.join(small(gone), same("_gone"), "left_anti")
+    repeated = cut(rest.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_of"), F.col("_key").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    once = rest.join(small(repeated), same("_again"), "left_anti")
+    again = rest.join(small(repeated), same("_again"), "left_semi").dropDuplicates(["doc_id", "_key"])
+    return once.unionByName(again).select(*docs.columns)

@@ -318,6 +318,7 @@ def colliding(paragraphs: DataFrame) -> DataFrame:
     keyed = paragraphs.select("hash", "owner", line.alias("line"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("k"))
     several = (F.min("owner") < F.max("owner")) | (F.count_if("line") > 1)
     counts = cut(keyed.groupBy("k").agg(F.count("*").alias("n"), several.alias("several")).filter("n > 1 and several").drop("several"))
+    unshuffled(paragraphs.sparkSession)
     return in_cells(keyed.select("hash", "k").join(_small(counts, counts.count()), "k"), ["k"])
 
 
@@ -448,7 +449,9 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         marks = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "hash")).alias("marks")).filter(F.exists("marks", lambda m: m["hash"].isNotNull()))
         marks = written(marks.join(taken.filter("kind = 0").select("doc_id", placed()[0], F.col("size").alias("n_words")).distinct(), ["doc_id", "tag"]))
         edge = cut(outermost(marks))
+        unshuffled(docs.sparkSession)
         near = written(around(own, hits.join(_small(edge, edge.count()), "hash"), spanned(marks)))
+        unshuffled(docs.sparkSession)
         again = _of_several(near, F.max("open"))
         ends = near.filter("open").join(_small(again, again.count()), "hash").filter("doc_id > keeper").select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(None).cast("boolean").alias("line"))
         inner = inner.select("doc_id", "tag", "start", F.lit(WINDOW).alias("size"), "keeper", F.lit(False).alias("line"))
@@ -457,11 +460,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
             F.collect_set("keeper").alias("kept_in"), F.count_if("line").alias("n_paragraphs"), F.count_if(~F.col("line")).alias("n_windows"),
         )
 
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.set_column(batch.schema.get_field_index("spans"), "spans", merged_lists(batch.column("spans")))
-
-        return cut(found.mapInArrow(tidy(joined), found.schema)), cut(taken.filter("kind = 0").select("doc_id", placed()[0], "size").distinct())
+        return cut(joined_spans(found, "spans")), cut(taken.filter("kind = 0").select("doc_id", placed()[0], "size").distinct())
 
 
 def _of_several(windows: DataFrame, wanted: Column | None = None) -> DataFrame:
@@ -505,17 +504,23 @@ def outermost(marks: DataFrame) -> DataFrame:
     return sides.groupBy("hash").agg(F.max("right").alias("right"), F.max("left").alias("left"))
 
 
-def spanned(marks: DataFrame) -> DataFrame:
-    """marks as spans that do not touch: doc_id, tag, spans array<struct<start, stop>>."""
+def joined_spans(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the list of struct<start, stop> in the column made one of spans that do not touch."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(2, "spans", merged_lists(batch.column("spans")))
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, merged_lists(batch.column(at)))
 
-    rows = marks.select("doc_id", "tag", F.transform("marks", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("stop"))).alias("spans"))
     return rows.mapInArrow(tidy(joined), rows.schema)
 
 
+def spanned(marks: DataFrame) -> DataFrame:
+    """marks as spans that do not touch: doc_id, tag, spans array<struct<start, stop>>."""
+    spans = F.transform("marks", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("stop")))
+    return joined_spans(marks.select("doc_id", "tag", spans.alias("spans")), "spans")
+
+
 def around(docs: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
     """All windows that begin less than STRIDE words right or left, as asked, of one of the hits (doc_id, tag, start, right,
     left): doc_id, tag, start, hash, and open: whether it has words that no span of its text covers.
@@ -523,8 +528,10 @@ def around(docs: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
     Of a shared run the first and the last window that both documents took are hits, each less than STRIDE words from
     the run's end; so the run's other windows there are here from both documents, unless spans cover their words.
     """
-    by_doc = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "right", "left")).alias("near"))
-    by_doc = cut(by_doc.join(spans, ["doc_id", "tag"], "left"))
+    first = F.when(F.col("left"), F.greatest(F.col("start") - STRIDE + 1, F.lit(0))).otherwise(F.col("start"))
+    last = F.when(F.col("right"), F.col("start") + STRIDE).otherwise(F.col("start") + 1)
+    by_doc = hits.groupBy("doc_id", "tag").agg(F.collect_set(F.struct(first.alias("start"), last.alias("stop"))).alias("near"))
+    by_doc = cut(joined_spans(by_doc, "near").join(spans, ["doc_id", "tag"], "left"))
     n = by_doc.agg(F.coalesce(F.sum(F.size("near") + F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
     names = ["doc_id", "tag", "start", "hash", "open"]
 
@@ -535,16 +542,13 @@ def around(docs: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
                 text = text.as_py()
                 if tag_of(text) != tag.as_py():  # another text of this id
                     continue
-                words, (start, right, left) = word_hashes(text)[0], _fields(near, "start", "right", "left")
+                words, (first, last) = word_hashes(text)[0], _fields(near, "start", "stop")
                 h = runs(words, WINDOW)
                 bare = np.arange(len(words) + 1)
                 if spans.is_valid:
                     a, b = _fields(spans, "start", "stop")
                     bare = covered(a, b - a, len(words))
-                edge = np.zeros(len(h) + 1, np.int32)
-                np.add.at(edge, np.where(left, np.maximum(start - STRIDE + 1, 0), start), 1)
-                np.add.at(edge, np.where(right, np.minimum(start + STRIDE, len(h)), start + 1), -1)
-                at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                at = np.concatenate([np.arange(a, min(b, len(h))) for a, b in zip(first.tolist(), last.tolist())])
                 held.append((np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), tag.as_py(), np.int32), at.astype(np.int32), h[at].view(np.int64), bare[at + WINDOW] > bare[at]))
                 many += len(at)
                 if many >= WORDS_AT_ONCE:

@@ -556,6 +556,47 @@ def test_fingerprints_and_next_documents(docs, odd, none):
     assert fingerprints.compare(odd).count() == odd.count() and fingerprints.compare(none).count() == 0
 
 
+def brute_votes(text: str) -> list[float]:
+    """The votes of op10's fingerprint, bit by bit: each word by the root of its count and its length, short ones less."""
+    votes, words = [0.0] * 64, text.lower().split()
+    for w in set(words):
+        weight, h = words.count(w) ** 0.5 * (0.25 if len(w) <= 3 else min(len(w), 32)), xxhash.xxh64_intdigest(w.encode())
+        for b in range(64):
+            votes[b] += weight if h >> b & 1 else -weight
+    return votes
+
+
+def test_fingerprints_and_groups_equal_brute_force(docs, odd):
+    for table in (docs.limit(60), odd.filter("text is null or length(text) < 3000").filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        rows = {r["doc_id"]: r for r in fingerprints.compare(table).collect()}
+        texts = {r["doc_id"]: r["text"] or "" for r in table.select("doc_id", "text").collect()}
+        assert set(rows) == set(texts)
+        for i, text in texts.items():
+            fp = int(rows[i]["fingerprint"], 16)
+            for b, vote in enumerate(brute_votes(text)):
+                if abs(vote) > 1e-3:  # sums are taken in single precision
+                    assert (fp >> b & 1) == (vote > 0)
+        ids = sorted(texts)
+        assert [rows[i]["group_id"] for i in ids] == brute_components([int(rows[i]["fingerprint"], 16) for i in ids], ids, 3)
+
+
+def test_language_kernels_equal_sets_of_n_grams():
+    def grams(text: str) -> set[str]:
+        text = " " + " ".join(text.lower().split()) + " "
+        return {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+
+    rows = [(i, lorem(4_000 + i, 12), "ab"[i % 2]) for i in range(12)]
+    model = language.learn(rows)
+    landmarks = [r for k in "ab" for r in rows if r[2] == k]  # few rows: all are landmarks
+    got = model.kernels([ngrams.bins(t, 1, 4) for _, t, _ in rows])
+    for i, (_, text, _) in enumerate(rows):
+        own = grams(text)
+        for j, (_, other, _) in enumerate(landmarks):
+            want = len(own & grams(other)) / (len(own) * len(grams(other))) ** 0.5
+            assert abs(got[i, j] - want) < 0.01  # bins of a hash: few n-grams share one
+    assert np.isclose([got[i, landmarks.index(r)] for i, r in enumerate(rows)], 1, atol=1e-5).all()
+
+
 def test_fingerprint_ranges_join_up(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     rows = [(i * 10**17 - 5 * 10**18, lorem(i, 12)) for i in range(100)]
