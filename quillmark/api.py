@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import architecture, catalog, chunking, facts, providers, retrieval
+from quillmark.operators import architecture, catalog, chunking, facts, providers, retrieval, yamls
 from quillmark.sources import files
 
 
@@ -84,5 +84,5 @@ def scan(spark: SparkSession, root: str, project_id: str) -> dict[str, DataFrame
     symbols = facts.symbols(found).withColumn("symbol_id", F.xxhash64("path", "qualified_name", "start_line"))
     spans = symbols.filter("kind <> 'file'").select("path", "symbol_id", "start_line", "end_line")
     attached = facts.innermost(arch.withColumn("point_id", F.col("fact_id")), spans, ["path"])
-    tables = {"files": inventory, "symbols": symbols, "relations": facts.relations(found), "config": facts.config_facts(files.config_files(tree)), "facts": attached, "links": facts.links(arch)}
+    tables = {"files": inventory, "symbols": symbols, "relations": facts.relations(found), "config": yamls.config_facts(files.config_files(tree)).orderBy("path", "line", "key_path", "fact_type", "value").limit(files.MOST_FACTS), "facts": attached, "links": facts.links(arch)}
     return {n: df.join(F.broadcast(version)) for n, df in tables.items()} | {"version": version}

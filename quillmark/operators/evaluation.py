@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import route
+
 
 def relevant(text: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(F.lower(text), t))
@@ -50,3 +52,35 @@ def cost(usage: DataFrame, prices: dict[str, float], key: str) -> DataFrame:
     """usage (key, meter, tokens): the cost at a price for each thousand tokens of a meter, rounded to eight places."""
     price = F.element_at(F.create_map(*[x for k, v in prices.items() for x in (F.lit(k), F.lit(v))]), F.col("meter"))
     return usage.groupBy(key).agg(F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("tokens") / 1000.0 * price), 8).alias("cost"))
+
+
+def source_recall(contexts: DataFrame, cases: DataFrame, parents_only: bool = False) -> DataFrame:
+    """contexts (case_id, source_text, context_level), cases (case_id, terms array<string>): the share of a case's expected
+    source terms that some of its contexts has, of those that are parents if asked; 0 without terms or contexts."""
+    rows = contexts.filter("context_level = 'parent'") if parents_only else contexts
+    hits = rows.join(cases.select("case_id", F.explode(F.array_distinct("terms")).alias("term")), "case_id").filter(F.contains(F.lower("source_text"), F.lower("term")))
+    found = hits.groupBy("case_id").agg(F.count_distinct("term").alias("n"))
+    share = F.coalesce(F.try_divide(F.coalesce(F.col("n"), F.lit(0)).cast("double"), F.size(F.array_distinct("terms")).cast("double")), F.lit(0.0))
+    return cases.join(found, "case_id", "left").select("case_id", F.round(share, 6).alias("recall"))
+
+
+def case_report(cases: DataFrame, results: DataFrame, contexts: DataFrame, available: DataFrame, k: int) -> DataFrame:
+    """One row for each case (case_id, question, expected_route, source_terms, required_terms): route and whether it is
+    right, whether a source is there at all, rank metrics of its results (case_id, rank, source_text) up to k, coverage of
+    required terms and recall by its contexts (case_id, source_text, context_level, context_tokens), their tokens and the
+    number of parents. available (source_name): the sources in the store."""
+    terms = cases.select("case_id", F.transform("source_terms", lambda t: F.lower(t)).alias("terms"))
+    judged = results.join(terms, "case_id").select(F.col("case_id").alias("query_id"), "rank", relevant(F.col("source_text"), F.col("terms")).alias("hit"))
+    ranked = ranked_metrics(judged, k).withColumnRenamed("query_id", "case_id")
+    there = cases.select("case_id", F.explode("source_terms").alias("t")).select("case_id", F.lower("t").alias("t"))
+    names = available.agg(F.array_join(F.sort_array(F.collect_set(F.lower("source_name"))), "\n").alias("names"))
+    there = there.join(F.broadcast(names)).groupBy("case_id").agg(F.bool_or(F.contains("names", F.col("t"))).alias("source_available"))
+    text = contexts.groupBy("case_id").agg(F.array_join(F.collect_list(F.lower("source_text")), " ").alias("_text"), F.count_if(F.col("context_level") == "parent").alias("parent_context_count"), F.sum("context_tokens").alias("context_tokens"))
+    recalled = lambda parents, name: source_recall(contexts, terms, parents).withColumnRenamed("recall", name)
+    rows = cases.join(ranked, "case_id", "left").join(there, "case_id", "left").join(text, "case_id", "left").join(recalled(False, "context_recall"), "case_id").join(recalled(True, "parent_context_recall"), "case_id")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    covered = coverage(F.coalesce("_text", F.lit("")), F.transform("required_terms", lambda t: F.lower(t)))
+    return rows.select(
+        "case_id", route(F.col("question")).alias("route"), (route(F.col("question")) == F.col("expected_route")).alias("route_correct"), F.coalesce("source_available", F.lit(False)).alias("source_available"), F.coalesce("hit", F.lit(False)).alias("source_hit"),
+        zero("reciprocal_rank"), zero("precision_at_k"), zero("ndcg"), F.round(covered, 6).alias("required_term_coverage"), "context_recall", "parent_context_recall", zero("parent_context_count"), zero("context_tokens"),
+    )

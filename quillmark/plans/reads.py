@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators import integrity, listing
+from quillmark.operators import evaluation, integrity, listing
 from quillmark.plans.recall import SCOPED
 from quillmark.plans.registry import query, table
 from quillmark.plans.spaces import own
@@ -174,3 +174,27 @@ def id_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(doc % 3 == 0, " /ws-").otherwise(" ws-"), doc.cast("string"))
     uuid = F.when(doc % 2 == 0, F.concat(F.lpad(F.lower(F.hex(doc)), 8, "0"), F.lit("-0000-4000-8000-"), F.lpad(F.lower(F.hex(doc)), 12, "0"))).otherwise(F.concat(F.lit("x"), doc.cast("string")))
     return table(spark, sf_dir, "documents").select("doc_id", T.workspace_id(name).isNotNull().alias("workspace_ok"), T.is_uuid(uuid).alias("uuid_ok"))
+
+
+SHOWN = "SELECT conv_id AS case_id, turn + 1 AS rank, text AS source_text, CASE WHEN role = 'assistant' THEN 'parent' ELSE 'child' END AS context_level, length(text) AS context_tokens FROM conversations"
+FOUND = "max(CAST(contains(lower(source_text), '{}') AS INTEGER))"
+
+
+@query(f"""SELECT case_id, round(({FOUND.format('la ')} + {FOUND.format('the ')} + {FOUND.format('und ')}) / 3.0::DOUBLE, 6) AS recall, round(coalesce(({FOUND.format('la ')} FILTER (context_level = 'parent') + {FOUND.format('the ')} FILTER (context_level = 'parent') + {FOUND.format('und ')} FILTER (context_level = 'parent')) / 3.0::DOUBLE, 0), 6) AS parent_recall FROM ({SHOWN}) GROUP BY case_id""")
+def source_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = own(spark, sf_dir, SHOWN)
+    cases = contexts.select("case_id").distinct().withColumn("terms", F.array(F.lit("la "), F.lit("The "), F.lit("und ")))
+    both = evaluation.source_recall(contexts, cases), evaluation.source_recall(contexts, cases, True).withColumnRenamed("recall", "parent_recall")
+    return both[0].join(both[1], "case_id")
+
+
+@query(f"""WITH c AS ({SHOWN}), h AS (SELECT case_id, rank, contains(lower(source_text), 'la ') AS hit FROM c WHERE rank <= 5),
+m AS (SELECT case_id, round(count(*) FILTER (hit) / 5.0::DOUBLE, 6) AS precision_at_k, count(*) FILTER (hit) > 0 AS source_hit, round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank FROM h GROUP BY case_id),
+t AS (SELECT case_id, count(*) FILTER (context_level = 'parent') AS parent_context_count, CAST(sum(context_tokens) AS BIGINT) AS context_tokens, (max(contains(lower(source_text), 'und ')::INT) + max(contains(lower(source_text), 'zzz')::INT)) / 2.0::DOUBLE AS cov, max(contains(lower(source_text), 'la ')::INT)::DOUBLE AS context_recall, coalesce(max(contains(lower(source_text), 'la ')::INT) FILTER (context_level = 'parent'), 0)::DOUBLE AS parent_context_recall FROM c GROUP BY case_id)
+SELECT t.case_id, 'hybrid' AS route, t.case_id % 2 = 0 AS route_correct, true AS source_available, coalesce(m.source_hit, false) AS source_hit, coalesce(m.precision_at_k, 0) AS precision_at_k, coalesce(m.reciprocal_rank, 0) AS reciprocal_rank, round(t.cov, 6) AS required_term_coverage, t.context_recall, t.parent_context_recall, t.parent_context_count, t.context_tokens FROM t LEFT JOIN m USING (case_id)""")
+def case_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = own(spark, sf_dir, SHOWN)
+    one = lambda *words: F.array(*map(F.lit, words))
+    cases = contexts.select("case_id").distinct().select("case_id", F.lit("hello").alias("question"), F.when(F.col("case_id") % 2 == 0, "hybrid").otherwise("rag").alias("expected_route"), one("La ").alias("source_terms"), one("und ", "zzz").alias("required_terms"))
+    available = spark.range(1).select(F.lit("la carte").alias("source_name"))
+    return evaluation.case_report(cases, contexts, contexts, available, 5).drop("ndcg")

@@ -137,13 +137,13 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.source_rows(hits)
 
 
-@query("""WITH s AS (SELECT l_orderkey % 100 AS answer_id, l_orderkey * 10 + l_linenumber AS symbol_id, l_returnflag AS path, l_linenumber AS start_line, l_linestatus AS qualified_name FROM lineitem),
+@query("""WITH s AS (SELECT l_orderkey % 100 AS answer_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS symbol_id, l_returnflag AS path, l_linenumber AS start_line, l_linestatus AS qualified_name FROM lineitem),
 a AS (SELECT answer_id, path, start_line, qualified_name, min(symbol_id) AS first FROM s GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first) AS citation FROM a)
 SELECT s.answer_id, s.symbol_id, '[C' || f.citation || ']' AS citation FROM s JOIN f USING (answer_id, path, start_line, qualified_name)""")
 def compact_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.operators import controller
 
-    symbols = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("answer_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("symbol_id"), F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("start_line"), F.col("l_linestatus").alias("qualified_name"), F.lit("n").alias("name"), F.lit("k").alias("symbol_kind"), F.col("l_linenumber").alias("end_line"))
+    symbols = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("answer_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("symbol_id"), F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("start_line"), F.col("l_linestatus").alias("qualified_name"), F.lit("n").alias("name"), F.lit("k").alias("symbol_kind"), F.col("l_linenumber").alias("end_line"))
     keys = ["path", "start_line", "qualified_name"]
     citations = controller.citation_numbers(symbols, keys, "symbol_id").select("answer_id", *keys, "citation").distinct()
     return agent.compact_symbols(symbols, citations).select("answer_id", "symbol_id", "citation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,22 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def readable_text(content: Column) -> Column:
+    """UTF-8 with bad bytes left out, as documents are read (no built-in does; Arrow batches)."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
+
+    return text(content)
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """files (path, content binary) as documents: path, suffix, text, content_hash."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.select("path", suffix.alias("suffix"), readable_text(F.col("content")).alias("text"), F.sha2("content", 256).alias("content_hash"))
+
+
 def sources(files: DataFrame) -> DataFrame:
     """Source files in languages that facts are extracted from: path, language, content."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -70,8 +87,10 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 
 def line_range(texts: DataFrame, start: int = 1, stop: int | None = None, expected_hash: str | None = None) -> DataFrame:
     """texts (path, content): the numbered lines from start to stop, SPAN by default and MOST_LINES at most. With a
-    hash, a text that has another one fails the query."""
+    hash, a text that has another one fails the query, and so does a range outside the file."""
     first = max(1, start)
     last = min(stop or first + SPAN - 1, first + MOST_LINES - 1)
     rows = texts.filter(F.assert_true(sha256(F.col("content")) == expected_hash, F.lit("content has changed")).isNull()) if expected_hash else texts
+    inside = F.assert_true((F.size(F.split("content", r"\r?\n")) >= first) & F.lit(last >= first), F.lit("line range is outside the file"))
+    rows = rows.filter(inside.isNull())
     return rows.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1).filter(F.col("line").between(first, last))

@@ -243,3 +243,25 @@ def test_sliding_log_in_a_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("sliding").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r["event_id"]: r["admitted"] for r in spark.table("sliding").collect()} == want
+
+
+def test_tools_stay_in_their_project_and_version(store, spark):
+    from quillmark import tools
+
+    texts = spark.createDataFrame([("a.py", "one\ntwo\n")], "path string, content string")
+    pinned = store.but(files=store["files"].withColumn("content_hash", F.sha2(F.lit("one\ntwo\n"), 256)))
+    at = tools.Pinned(pinned, store.scope("u1"), "p1", "c1", texts)
+    assert ids(tools.call(at, "list_project_files", {})["items"], "path") == ["a.py"]
+    assert ids(tools.call(at, "search_symbols", {"query": " run "})["items"], "symbol_id") == [100]
+    got = tools.call(at, "get_symbol", {"symbol_id": 100})
+    assert got["symbol"].first()["path"] == "a.py" and got["outgoing"].count() == 2 and got["incoming"].count() == 0
+    assert [r["text"] for r in tools.call(at, "read_source", {"path": "a.py", "start_line": 2, "end_line": 2})["lines"].collect()] == ["two"]
+    assert {r["symbol_id"] for r in tools.call(at, "trace_call_path", {"symbol_id": 100, "max_depth": 9})["nodes"].collect()} == {100, 101}
+    assert ids(tools.call(at, "find_architecture", {"query": "GRPC"})["facts"], "fact_id") == [2]
+    assert tools.call(at, "find_config_facts", {"query": "80"})["count"].first()["count"] == 1
+    assert tools.call(at, "finish_investigation", {"reason": "done", "evidence_sufficient": True})["finished"].first()["reason"] == "done"
+    for name, arguments in (("drop", {}), ("search_symbols", {}), ("get_symbol", {"symbol_id": 102}), ("list_project_files", {"x": 1}), ("list_project_files", {"limit": "9"})):
+        with pytest.raises(tools.Refused):
+            tools.call(at, name, arguments)
+    with pytest.raises(tools.Refused):
+        tools.call(tools.Pinned(store, store.scope("u1"), "p1", " "), "list_project_files", {})
