@@ -122,3 +122,10 @@ def rebase_paths(rows: DataFrame, column: str, old: str, new: str) -> DataFrame:
     """Paths under the old root moved to the new one; others as they are."""
     hit = (F.col(column) == old) | F.startswith(F.col(column), F.lit(old.rstrip("/") + "/"))
     return rows.withColumn(column, F.when(hit, F.concat(F.lit(new.rstrip("/")), F.substring(F.col(column), len(old.rstrip("/")) + 1, 1 << 20))).otherwise(F.col(column)))
+
+
+def changed_snapshots(stored: DataFrame, scanned: DataFrame) -> DataFrame:
+    """stored (project_id, commit_hash) whose content is another one now, by scanned (project_id, version): both hashes,
+    and the fault: changed, or missing if nothing was found to scan."""
+    both = stored.join(scanned.select("project_id", "version"), "project_id", "left")
+    return both.filter(~F.col("commit_hash").eqNullSafe(F.col("version"))).select("project_id", "commit_hash", "version", F.when(F.col("version").isNull(), "missing").otherwise("changed").alias("fault"))

@@ -182,3 +182,15 @@ def open_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts")
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, at).alias("accepted_at"), F.when(F.col("event_id") % 5 == 0, at).alias("revoked_at"), (at + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
     return access.open_tokens(rows, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("event_id")
+
+
+@query("""WITH s AS (SELECT source AS project_id, sha256(string_agg('/d/' || doc_id || ':' || sha256(text) || ':' || n_chars, chr(10) ORDER BY '/d/' || doc_id)) AS version FROM documents WHERE source <> 'src4' GROUP BY source),
+p AS (SELECT DISTINCT source AS project_id FROM documents) SELECT p.project_id, CASE WHEN s.version IS NULL THEN 'missing' ELSE 'changed' END AS fault FROM p LEFT JOIN s USING (project_id) WHERE s.version IS NULL OR p.project_id IN ('src1', 'src2')""")
+def changed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored versions of projects of which two are old, against a scan that found one project less."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.filter("source <> 'src4'").select(F.col("source").alias("project_id"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("path"), T.sha256(F.col("text")).alias("content_hash"), F.col("n_chars").alias("size_bytes"))
+    scanned = catalog.fingerprint(files, "project_id")
+    old = F.col("project_id").isin("src1", "src2")
+    stored = docs.select(F.col("source").alias("project_id")).distinct().join(scanned, "project_id", "left").select("project_id", F.when(old, "old").otherwise(F.coalesce("version", F.lit("gone"))).alias("commit_hash"))
+    return catalog.changed_snapshots(stored, scanned).select("project_id", "fault")

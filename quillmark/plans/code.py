@@ -92,6 +92,27 @@ def bfs_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(per, "symbol_id", "left").fillna(0, ["n_facts", "quality"])
 
 
+NODE_FACTS = f"SELECT l_orderkey % {N} AS symbol_id, l_linenumber AS source_line, l_returnflag AS fact_type, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS fact_id FROM lineitem"
+
+
+@query(f"""WITH n AS ({REACH}), f AS ({NODE_FACTS}), k AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY source_line, fact_type, fact_id) AS nth FROM f)
+SELECT n.symbol_id, n.depth, coalesce(string_agg(k.fact_type || k.fact_id, ',' ORDER BY k.nth), '') AS facts FROM n LEFT JOIN k ON k.symbol_id = n.symbol_id AND k.nth <= 8 GROUP BY n.symbol_id, n.depth""")
+def nodes_with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reached nodes with their first eight facts."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % N).alias("symbol_id"), F.col("l_linenumber").alias("source_line"), F.col("l_returnflag").alias("fact_type"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("fact_id"))
+    found = graph.with_facts(graph.reach(call_edges(spark), 1, 5), rows)
+    said = F.array_join(F.transform("facts", lambda f: F.concat(f["fact_type"], f["fact_id"].cast("string"))), ",")
+    return found.select("symbol_id", "depth", F.coalesce(said, F.lit("")).alias("facts"))
+
+
+@query("""WITH r AS (SELECT l_orderkey * 100000 + l_partkey AS relation_id, l_suppkey AS source_id, l_partkey % 100 + 1 AS target_id, l_returnflag AS target_ref, l_discount AS confidence FROM lineitem),
+e AS (SELECT *, 'outgoing' AS side FROM r WHERE source_id = 7 UNION ALL SELECT *, 'incoming' FROM r WHERE target_id = 7)
+SELECT side, relation_id, nth FROM (SELECT side, relation_id, row_number() OVER (PARTITION BY side ORDER BY confidence DESC, target_ref, relation_id) AS nth FROM e) WHERE nth <= 20""")
+def symbol_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("relation_id"), F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 100 + 1).alias("target_id"), F.col("l_returnflag").alias("target_ref"), F.col("l_discount").alias("confidence"))
+    return graph.neighbours(rows, 7).select("side", "relation_id", F.col("nth").cast("long").alias("nth"))
+
+
 @query()
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.symbols(facts.extract(spark.createDataFrame(SOURCES, "path string, content string")))

@@ -70,6 +70,14 @@ class Store:
         if scope.role not in roles:
             raise Denied(f"needs one of {', '.join(roles)}")
 
+    def still(self, scope: Scope, projects: tuple = ()) -> Scope:
+        """The scope as it is now, for work that goes on: refused if the user has left the workspace since, or may no
+        longer see one of the projects that the work is about."""
+        now = self.scope(scope.user_id, scope.workspace_id)
+        if lost := [p for p in projects if p not in now.project_ids]:
+            raise Denied(f"no longer allowed: {lost}")
+        return now
+
     def my_workspaces(self, user: object) -> DataFrame:
         return workspaces.listed(self["memberships"].filter(F.col("user_id") == F.lit(user)), self["workspaces"]).orderBy("nth")
 

@@ -68,6 +68,16 @@ def test_members_change_and_defaults_are_repaired(store):
         store.transfer_ownership(editor, "u1")
 
 
+def test_scopes_are_asked_again(store):
+    editor = store.scope("u2")
+    assert store.still(editor, ("p1",)) == editor
+    closed = store.but(projects=store["projects"].withColumn("access_scope", F.lit("private")))
+    with pytest.raises(Denied):
+        closed.still(editor, ("p1",))
+    with pytest.raises(Denied):
+        store.change_member(editor, "u2", "leave").still(editor)
+
+
 def test_invitations_and_handover(store, spark):
     now = F.lit(DAY + dt.timedelta(1))
     tokens = spark.createDataFrame([("t1", "u3", "c@x")], "token_hash string, user_id string, normalized_email string")
