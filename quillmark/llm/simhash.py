@@ -39,8 +39,8 @@ LARGEST, ROWS_AT_ONCE, FEW_BITS = 4096, 256, 16
 #: Times that large groups are dealt anew at most.
 DEPTH = 3
 PIVOTS = 16
-#: Rows of a list that is sent to every executor at most; a larger one is joined by id.
-LISTED = 500_000
+#: Rows (24 bytes at most) of a list that is sent to every executor at most; a larger one is joined.
+LISTED = 2_000_000
 #: Groups up to this size are compared many at a time.
 SMALL = 32
 #: Of the candidates of near_copies: fingerprints of a text, radius. Of texts with words changed, left out and put in until
@@ -200,10 +200,12 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     for depth in range(DEPTH + 1):
         # one number for s, t and k: should two of them share it, what they bring together is compared in vain
         rows = dealt.withColumn("key", F.xxhash64("s", "t", "k")).drop("k")
-        counts = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t")).filter("n > 1"))
-        again = (F.col("n") > LARGEST) & (F.bit_count("t") < BITS - FEW_BITS) if depth < DEPTH else F.lit(False)
-        masks = [r["t"] % (1 << 64) for r in counts.filter(again).select("t").distinct().collect()]  # as many as there are masks at most
-        meeting = rows.drop("t").join(F.broadcast(counts) if counts.count() <= LISTED else counts, "key")
+        counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        found_keys = counts.agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
+        meeting = rows.join(F.broadcast(counts) if found_keys["keys"] <= LISTED else counts, "key")
+        deal = depth < DEPTH and (found_keys["most"] or 0) > LARGEST
+        again = (F.col("n") > LARGEST) & (F.bit_count("t") < BITS - FEW_BITS) if deal else F.lit(False)
+        masks = [r["t"] % (1 << 64) for r in meeting.filter(again).select("t").distinct().collect()] if deal else []  # as many as there are masks at most
         # what is still large is compared in cells of two parts each
         parts = F.ceil(F.col("n") * 2 / LARGEST).cast("int")
         own = F.pmod(F.hash("fp"), parts)
