@@ -2,8 +2,8 @@
 
 A rolling hash over ROLL bytes picks cut points from the content alone, so passages that documents share fall into the
 same chunks wherever they stand. One pass over the texts gives the hashes of all chunks; those that occur again are
-encoded once, in the text of the least hash that has them, and their ids are shared by all documents. Every other chunk
-is encoded where it lies.
+encoded once, in the document of the least id, and their ids are sent to all executors. What is sent is bounded: if all
+of them are more, those that occur most often go. Every other chunk is encoded where it lies, so no text is shuffled.
 
 Then the joins between chunks are repaired. The text around a cut is re-encoded, from a place where the split pattern
 ends a piece in the left chunk to such a place in the right one. If the new ids agree with the left chunk's up to that
@@ -18,21 +18,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, cut, ready, tidy
+from quillmark.llm.common import Scratch, ready, tidy
 
 #: Bytes of the rolling hash; chunks average about SHORTEST + 2 ** CHUNK_BITS bytes and have SHORTEST at least.
 ROLL, CHUNK_BITS, SHORTEST = 16, 10, 256
-#: Bytes of ids of shared chunks that are sent to every executor at most; more are joined by text.
+#: Bytes of ids of shared chunks that are sent to every executor, by the estimate that an id (2 bytes) stands for 4 bytes.
 SENT = 32 << 20
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 # Fixed value: the published split pattern of this vocabulary.
@@ -233,20 +232,35 @@ def codec_of(path: str) -> ChunkCodec:
     return ChunkCodec(path)
 
 
-def shared_chunks(docs: DataFrame, tokenizer: str, written: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Chunks that occur more than once in docs (id, text): (digest, ids), each encoded once, in the document of the least
-    id; and where they occur: (id, digest)."""
+def worth_most(again: DataFrame, most: int) -> DataFrame:
+    """Of chunks (digest, n occurrences, size in bytes, ...) those that occur most often, about `most` bytes of ids in
+    all: whole classes of equal n from the largest on, of the class that goes beyond it a share by digest. The classes'
+    sums come to the driver; there are no more of them than the root of twice the occurrences."""
+    cost = F.col("size") / 2 + 32
+    least, share, left = None, 0.0, float(most)
+    for r in sorted(again.groupBy("n").agg(F.sum(cost).alias("cost")).collect(), key=lambda r: -r["n"]):
+        least, share = r["n"], min(1.0, max(0.0, left / r["cost"]))
+        left -= r["cost"]
+        if left <= 0:
+            break
+    place = F.shiftrightunsigned(F.xxhash64("digest"), 34) / float(1 << 30)
+    return again.limit(0) if least is None else again.filter((F.col("n") > least) | ((F.col("n") == least) & (place < share)))
+
+
+def shared_chunks(docs: DataFrame, tokenizer: str, written: Scratch) -> DataFrame:
+    """Of the chunks that occur more than once in docs (id, text) those worth most: (digest, ids), each encoded once, in
+    the document of the least id."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer)
         for batch in batches:
-            found = [[digest(c) for c in codec.chunks(t)] for t in batch.column(1).to_pylist()]
+            found = [[(digest(c), len(c)) for c in codec.chunks(t)] for t in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d for f in found for d in f], pa.binary())], ["id", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d for f in found for d, _ in f], pa.binary()), pa.array([n for f in found for _, n in f], pa.int32())], ["id", "digest", "size"])
 
-    all_ = written(docs.mapInArrow(tidy(cut_up), "id long, digest binary"))
-    again = written(all_.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n > 1").select("digest", "id"))
-    wanted = written(again.groupBy("id").agg(F.collect_set("digest").alias("wanted")))
+    all_ = docs.mapInArrow(tidy(cut_up), "id long, digest binary, size int")
+    again = written(all_.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("size").alias("size")).filter("n > 1"))
+    wanted = written(worth_most(again, SENT).groupBy("id").agg(F.collect_set("digest").alias("wanted")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer)
@@ -257,9 +271,9 @@ def shared_chunks(docs: DataFrame, tokenizer: str, written: Scratch) -> tuple[Da
                 own |= {d: codec.packed(c) for c in codec.chunks(text) if (d := digest(c)) in digests}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["digest", "ids"])
 
-    few = 16 * again.count() <= SENT
-    owners = docs.join(F.broadcast(wanted) if few else wanted, "id").select("text", "wanted")
-    return written(owners.mapInArrow(tidy(encode), "digest binary, ids binary").dropDuplicates(["digest"])), all_
+    # the list of digests is bounded by SENT: each costs 32 bytes of it at least
+    owners = docs.join(F.broadcast(wanted), "id").select("text", "wanted")
+    return written(owners.mapInArrow(tidy(encode), "digest binary, ids binary").dropDuplicates(["digest"]))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -270,28 +284,20 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     ready(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-
-    def run(known: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = codec_of(tokenizer)
-            for batch in source:
-                n, ids, back = [], [], []
-                given = [None] * batch.num_rows if known else [dict(zip(x["digest"], x["ids"])) if x else None for x in ({k: [y[k] for y in x] for k in ("digest", "ids")} if x else None for x in batch.column(2).to_pylist())]
-                for text, own in zip(batch.column(1).to_pylist(), given):
-                    got = codec(text, known.value if known else own)
-                    n.append(len(got))
-                    ids.append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, got)).encode()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(got).decode(errors="replace").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-        return batches
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with Scratch(spark) as written:
-        encoded, all_ = shared_chunks(own.select("id", "text"), tokenizer, written)
-        if encoded.agg(F.coalesce(F.sum(F.length("ids") + 16), F.lit(0))).first()[0] <= SENT:
-            known = spark.sparkContext.broadcast({bytes(r["digest"]): bytes(r["ids"]) for r in encoded.toLocalIterator()})
-            return own.select("doc_id", "text").mapInArrow(tidy(run(known)), schema)
-        by_doc = all_.distinct().join(encoded, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "ids")).alias("known"))
-        return cut(own.join(by_doc, "id", "left").select("doc_id", "text", "known").mapInArrow(tidy(run(None)), schema))
+        encoded = shared_chunks(own.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text"), tokenizer, written)
+        known = spark.sparkContext.broadcast({bytes(r["digest"]): bytes(r["ids"]) for r in encoded.toLocalIterator()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(tokenizer)
+        for batch in batches:
+            n, ids, back = [], [], []
+            for text in batch.column(1).to_pylist():
+                got = codec(text, known.value)
+                n.append(len(got))
+                ids.append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, got)).encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode(got).decode(errors="replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return own.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
