@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm import conversations, periods, rules
 from quillmark.llm.bpe import round_trip
 from quillmark.llm.common import table
 from quillmark.llm.fingerprints import compare
@@ -65,8 +66,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(table(spark, sf_dir, "documents"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+REGISTERED = (
+    op1_packing, op2_language, op3_sharding, op4_bpe, op5_simhash, op6_toxicity, op7_urls, op8_media, op9_substrings, op10_fingerprints,
+    op11_quality, op12_periods, op13_conversations,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_language, op3_sharding, op4_bpe, op5_simhash, op6_toxicity, op7_urls, op8_media, op9_substrings, op10_fingerprints)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
