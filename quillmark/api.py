@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import architecture, catalog, chunking, facts, providers, retrieval, yamls
+from quillmark.operators import architecture, catalog, chunking, facts, providers, retrieval, upserts, yamls
 from quillmark.sources import files
 
 
@@ -36,13 +36,15 @@ def chunked(documents: DataFrame, embedder: providers.Embedder = providers.hashe
     return vectors.unionByName(parents).join(documents.select("document_id", "workspace_id", "source_type"), "document_id")
 
 
-def ingest(existing: DataFrame, incoming: DataFrame, embedder: providers.Embedder = providers.hashed_vectors) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classify incoming against existing documents, and chunk only what is new or changed, before any vector is made.
+def ingest(existing: DataFrame, incoming: DataFrame, embedder: providers.Embedder = providers.hashed_vectors, order: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classify incoming against existing documents and the rows before it in the batch, and chunk only what each new or
+    revised document is in the end, before any vector is made.
 
-    incoming has text, content_hash and the columns of catalog.classify. Returns (classified, chunks, revisions)."""
-    found = catalog.classify(existing, incoming)
-    fresh = found.filter(F.col("change").isin("created", "updated")).withColumn("document_id", F.col("target_id"))
-    return found, chunked(fresh, embedder), catalog.revisions(found)
+    incoming has text and the columns of upserts.classify. Returns (classified, chunks, revisions); the chunks take the
+    place of all that those documents had."""
+    found = upserts.classify(existing, incoming, order)
+    fresh = upserts.latest(found).withColumn("document_id", F.col("target_id"))
+    return found, chunked(fresh, embedder), upserts.revisions(found)
 
 
 def eligible(chunks: DataFrame, documents: DataFrame, scope: Scope, source_types: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Upserts as classify-then-rewrite, revisions, lifecycle, snapshots: DataFrames in, DataFrames out.
+"""Lifecycle, counts, snapshots: DataFrames in, DataFrames out.
 
-Parquet has no MERGE; each operation gives the new table, which the caller writes beside the old one and swaps.
+Parquet has no MERGE; each operation gives the new table, which the caller commits as the next version.
 """
 
 from __future__ import annotations
@@ -14,40 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-OWNERSHIP = ["workspace_id", "scope_type", "owner_user_id", "owner_department_id"]
-
-
 def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Equality of keys that holds between nulls too (still a hash or merge join)."""
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def classify(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming (document_id, source_path, content_hash, OWNERSHIP) against existing (the same, current_revision).
-
-    Returns incoming with target_id, change and revision: `unchanged` where path and hash match, `updated` where only
-    the path does, `reused` where the hash occurs elsewhere in the same ownership (least id), else `created`.
-    """
-    e = existing.select("document_id", "source_path", "content_hash", "current_revision", *OWNERSHIP)
-    place = e.select(*[F.col(c).alias(f"p_{c}") for c in e.columns])
-    content = e.groupBy("content_hash", *OWNERSHIP).agg(F.min_by(F.struct("document_id", "current_revision"), "document_id").alias("r")).select(*[F.col(c).alias(f"h_{c}") for c in ["content_hash", *OWNERSHIP]], "r")
-    on_place = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in ["source_path", *OWNERSHIP]])
-    on_hash = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in ["content_hash", *OWNERSHIP]])
-    both = incoming.join(place, on_place, "left").join(content, on_hash, "left")
-    found, same = F.col("p_document_id").isNotNull(), F.col("p_content_hash").eqNullSafe(F.col("content_hash"))
-    change = F.when(found & same, "unchanged").when(found, "updated").when(F.col("r").isNotNull(), "reused").otherwise("created")
-    return both.select(
-        *incoming.columns, change.alias("change"),
-        F.when(found, F.col("p_document_id")).otherwise(F.coalesce(F.col("r.document_id"), F.col("document_id"))).alias("target_id"),
-        F.when(found & ~same, F.col("p_current_revision") + 1).when(found, F.col("p_current_revision")).otherwise(F.coalesce(F.col("r.current_revision"), F.lit(1))).cast("long").alias("revision"),
-    )
-
-
-def revisions(classified: DataFrame) -> DataFrame:
-    """The rows to append to the revision log."""
-    return classified.filter(F.col("change").isin("created", "updated")).select(F.col("target_id").alias("document_id"), F.col("revision").alias("revision_no"), "content_hash", F.col("change").alias("change_type"))
-
-
 def set_status(documents: DataFrame, chosen: Column, to: str, reason: str | None = None) -> DataFrame:
     """Invalidate or restore the chosen rows, those of the opposite status only; adds `changed`."""
     hit = chosen & (F.col("status") == ("active" if to == "invalid" else "invalid"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import access, catalog, integrity
+from quillmark.operators import access, catalog, integrity, upserts
 from quillmark.plans.recall import SCOPED, scoped
 from quillmark.plans.registry import query, table
 
@@ -20,38 +20,92 @@ def null_safe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sizes, catalog.null_safe(rows, sizes, ["owner", "lang"])).select("doc_id", "n_same")
 
 
-STATE = "doc_id AS document_id, '/d/' || doc_id AS source_path, source AS workspace_id, 'workspace' AS scope_type, CAST(NULL AS VARCHAR) AS owner_user_id, CAST(NULL AS VARCHAR) AS owner_department_id"
+STATE = "doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'wiki' ELSE 'rag' END AS source_type, '/d/' || doc_id AS source_path, source AS workspace_id, 'workspace' AS scope_type, CAST(NULL AS VARCHAR) AS owner_user_id, CAST(NULL AS VARCHAR) AS owner_department_id, CASE WHEN doc_id % 4 < 3 THEN 'u' || doc_id % 2 END AS created_by_user_id"
 EXISTING = f"SELECT {STATE}, sha256(text) AS content_hash, CAST(1 + doc_id % 3 AS BIGINT) AS current_revision FROM documents WHERE doc_id % 2 = 0"
 INCOMING = f"SELECT {STATE}, sha256(CASE WHEN doc_id % 7 = 0 THEN 'changed ' || text ELSE text END) AS content_hash FROM documents"
 
 
 def states(docs: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("source_path"), F.col("source").alias("workspace_id"), F.lit("workspace").alias("scope_type"), none.alias("owner_user_id"), none.alias("owner_department_id"), "text")
+    none, id_ = F.lit(None).cast("string"), F.col("doc_id")
+    return docs.select(
+        id_.alias("document_id"), F.when(id_ % 3 == 0, "wiki").otherwise("rag").alias("source_type"), F.concat(F.lit("/d/"), id_.cast("string")).alias("source_path"), F.col("source").alias("workspace_id"), F.lit("workspace").alias("scope_type"),
+        none.alias("owner_user_id"), none.alias("owner_department_id"), F.when(id_ % 4 < 3, F.concat(F.lit("u"), (id_ % 2).cast("string"))).alias("created_by_user_id"), "lang", "n_chars", "text",
+    )
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = states(table(spark, sf_dir, "documents"))
-    existing = own.filter("document_id % 2 = 0").withColumn("content_hash", T.sha256(F.col("text"))).withColumn("current_revision", 1 + F.col("document_id") % 3).drop("text")
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = states(table(spark, sf_dir, "documents")).filter("document_id % 2 = 0")
+    return own.withColumn("content_hash", T.sha256(F.col("text"))).withColumn("current_revision", 1 + F.col("document_id") % 3).drop("text", "lang", "n_chars")
+
+
+def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("document_id") % 7 == 0, F.concat(F.lit("changed "), F.col("text"))).otherwise(F.col("text"))
-    return catalog.classify(existing, own.withColumn("content_hash", T.sha256(changed)).drop("text"))
+    return states(table(spark, sf_dir, "documents")).withColumn("content_hash", T.sha256(changed)).drop("text", "lang", "n_chars")
+
+
+OWNED = "workspace_id, scope_type, owner_user_id, owner_department_id, created_by_user_id"
+
+
+def one_by_one(existing: str, incoming: str) -> str:
+    """The rows one after another over a list of what each place holds; targets and revisions follow from the changes."""
+    keys = f"hash(source_type, source_path, {OWNED}) AS place, hash(content_hash, {OWNED}) AS content"
+    return f"""WITH RECURSIVE e AS (SELECT *, {keys} FROM ({existing})), i AS (SELECT *, {keys}, row_number() OVER (ORDER BY document_id) AS k FROM ({incoming})),
+run AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list({{'place': place, 'content': content}}) FROM e) AS docs, CAST(NULL AS VARCHAR) AS change
+ UNION ALL SELECT k, CASE change WHEN 'updated' THEN list_append(list_filter(docs, lambda x: x.place <> place), {{'place': place, 'content': content}}) WHEN 'created' THEN list_append(docs, {{'place': place, 'content': content}}) ELSE docs END, change
+ FROM (SELECT i.k, run.docs, i.place, i.content, CASE WHEN len(list_filter(docs, lambda x: x.place = i.place AND x.content = i.content)) > 0 THEN 'unchanged' WHEN len(list_filter(docs, lambda x: x.place = i.place)) > 0 THEN 'updated'
+  WHEN len(list_filter(docs, lambda x: x.content = i.content)) > 0 THEN 'reused' ELSE 'created' END AS change FROM run JOIN i ON i.k = run.k + 1)),
+c AS (SELECT i.*, change, lead(i.k) OVER (PARTITION BY place ORDER BY i.k) AS stop FROM i JOIN run ON run.k = i.k),
+p AS (SELECT place, document_id AS id, current_revision AS base FROM e UNION ALL SELECT place, document_id, 0 FROM c WHERE change = 'created'),
+s AS (SELECT c.k, id, content, stop, base + count(*) FILTER (change IN ('created', 'updated')) OVER (PARTITION BY place ORDER BY c.k) AS revision FROM c JOIN p USING (place) WHERE change <> 'reused'
+ UNION ALL SELECT 0, document_id, content, (SELECT min(k) FROM c WHERE c.place = e.place), current_revision FROM e),
+held AS (SELECT c.k, arg_min({{'id': s.id, 'revision': s.revision}}, (-coalesce(s.stop, 1000000000000), s.id)) AS h FROM c JOIN s ON s.content = c.content AND s.k < c.k AND (s.stop IS NULL OR s.stop > c.k) WHERE change = 'reused' GROUP BY c.k)
+SELECT c.document_id, c.content_hash, c.change, coalesce(h.id, s.id) AS target_id, CAST(coalesce(h.revision, s.revision) AS BIGINT) AS revision FROM c LEFT JOIN held USING (k) LEFT JOIN s ON s.k = c.k AND c.change <> 'reused'"""
+
 
+CLASSIFIED = one_by_one(EXISTING, INCOMING)
+# Paths that several rows of a batch share, and contents that come and go: what a row finds depends on the rows before it.
+CROWDED = f"SELECT * REPLACE ('/d/' || document_id % 53 AS source_path, 'w' AS workspace_id), sha256(lang || n_chars % 40) AS content_hash FROM (SELECT {STATE}, lang, n_chars FROM documents)"
+CROWDED_BEFORE = f"SELECT *, CAST(1 AS BIGINT) AS current_revision FROM ({CROWDED}) WHERE document_id < 25"
+CROWDED_BATCH = f"SELECT * FROM ({CROWDED}) WHERE document_id >= 25"
 
-CLASSIFIED = f"""WITH e AS ({EXISTING}), i AS ({INCOMING}), c AS (SELECT workspace_id, content_hash, min(document_id) AS document_id, arg_min(current_revision, document_id) AS current_revision FROM e GROUP BY ALL)
-SELECT i.document_id, CASE WHEN p.content_hash = i.content_hash THEN 'unchanged' WHEN p.document_id IS NOT NULL THEN 'updated' WHEN c.document_id IS NOT NULL THEN 'reused' ELSE 'created' END AS change,
- CASE WHEN p.document_id IS NOT NULL THEN p.document_id ELSE coalesce(c.document_id, i.document_id) END AS target_id,
- CASE WHEN p.content_hash = i.content_hash THEN p.current_revision WHEN p.document_id IS NOT NULL THEN p.current_revision + 1 ELSE coalesce(c.current_revision, 1) END AS revision, i.content_hash
-FROM i LEFT JOIN e p ON p.source_path = i.source_path AND p.workspace_id = i.workspace_id LEFT JOIN c ON c.workspace_id = i.workspace_id AND c.content_hash = i.content_hash"""
+
+def crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = states(table(spark, sf_dir, "documents")).withColumns({
+        "source_path": F.concat(F.lit("/d/"), (F.col("document_id") % 53).cast("string")), "workspace_id": F.lit("w"), "content_hash": T.sha256(F.concat("lang", (F.col("n_chars") % 40).cast("string"))),
+    }).drop("text", "lang", "n_chars")
+    return own.filter("document_id < 25").withColumn("current_revision", F.lit(1).cast("long")), own.filter("document_id >= 25")
 
 
 @query(f"SELECT document_id, change, target_id, revision FROM ({CLASSIFIED})")
 def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).select("document_id", "change", "target_id", "revision")
+    return upserts.classify(stored(spark, sf_dir), sent(spark, sf_dir)).select("document_id", "change", "target_id", "revision")
+
 
+@query(f"SELECT document_id, change, target_id, revision FROM ({one_by_one(CROWDED_BEFORE, CROWDED_BATCH)})")
+def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upserts.classify(*crowded(spark, sf_dir)).select("document_id", "change", "target_id", "revision")
 
-@query(f"SELECT target_id AS document_id, revision AS revision_no, content_hash, change AS change_type, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS nth FROM ({CLASSIFIED}) WHERE change IN ('created', 'updated')")
+
+@query(f"SELECT target_id AS document_id, revision AS revision_no, content_hash, change AS change_type, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS nth FROM ({one_by_one(CROWDED_BEFORE, CROWDED_BATCH)}) WHERE change IN ('created', 'updated')")
 def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.latest_first(catalog.revisions(classified(spark, sf_dir)), "document_id", "revision_no").withColumn("nth", F.col("nth").cast("long"))
+    return catalog.latest_first(upserts.revisions(upserts.classify(*crowded(spark, sf_dir))), "document_id", "revision_no").withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(f"""WITH c AS ({one_by_one(CROWDED_BEFORE, CROWDED_BATCH)}), n AS (SELECT target_id, max(revision) AS revision, arg_max(content_hash, revision) AS content_hash FROM c WHERE change IN ('created', 'updated') GROUP BY target_id),
+e AS (SELECT *, CASE WHEN document_id % 2 = 0 THEN 'invalid' ELSE 'active' END AS status FROM ({CROWDED_BEFORE}))
+SELECT coalesce(e.document_id, n.target_id) AS document_id, coalesce(n.content_hash, e.content_hash) AS content_hash, coalesce(n.revision, e.current_revision) AS current_revision, CASE WHEN n.target_id IS NULL THEN e.status ELSE 'active' END AS status, CASE WHEN n.target_id IS NULL AND e.status = 'invalid' THEN 'old' END AS invalid_reason
+FROM e FULL JOIN n ON n.target_id = e.document_id""")
+def upserted_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after the batch: what was invalid and is revised is active again."""
+    existing, batch = crowded(spark, sf_dir)
+    existing = existing.withColumn("status", F.when(F.col("document_id") % 2 == 0, "invalid").otherwise("active")).withColumn("invalid_reason", F.when(F.col("status") == "invalid", "old"))
+    return upserts.upserted(existing, upserts.classify(existing, batch)).select("document_id", "content_hash", "current_revision", "status", "invalid_reason")
+
+
+@query(f"""WITH e AS ({EXISTING}), i AS ({INCOMING}) SELECT i.document_id, coalesce((SELECT min(e.document_id) FROM e WHERE e.content_hash = i.content_hash AND e.source_type = i.source_type AND e.source_path = i.source_path AND e.workspace_id = i.workspace_id AND e.created_by_user_id IS NOT DISTINCT FROM i.created_by_user_id),
+ (SELECT min(e.document_id) FROM e WHERE e.content_hash = i.content_hash AND e.workspace_id = i.workspace_id AND e.created_by_user_id IS NOT DISTINCT FROM i.created_by_user_id)) AS reusable_id FROM i""")
+def reuse_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upserts.reusable(stored(spark, sf_dir), sent(spark, sf_dir)).select("document_id", "reusable_id")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'invalid' ELSE CASE WHEN d.doc_id % 5 = 0 THEN 'invalid' ELSE 'active' END END AS status, CASE WHEN l.quality = 0 AND d.doc_id % 5 <> 0 THEN 'low quality' END AS invalid_reason, coalesce(l.quality = 0 AND d.doc_id % 5 <> 0, false) AS changed

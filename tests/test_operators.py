@@ -200,8 +200,8 @@ def test_knowledge_base_end_to_end(spark, tmp_path):
 
     texts = ["kafka topics belong to the platform team. " * 30, "redis keys expire after a day. " * 40, "secret plans of one person. " * 20]
     none = None
-    rows = [(i, f"/d/{i}", T_hash(t), "w", "personal" if i == 2 else "workspace", "u9" if i == 2 else none, none, t, "rag", "active") for i, t in enumerate(texts)]
-    schema = "document_id long, source_path string, content_hash string, workspace_id string, scope_type string, owner_user_id string, owner_department_id string, text string, source_type string, status string"
+    rows = [(i, f"/d/{i}", T_hash(t), "w", "personal" if i == 2 else "workspace", "u9" if i == 2 else none, none, "u9", t, "rag", "active") for i, t in enumerate(texts)]
+    schema = "document_id long, source_path string, content_hash string, workspace_id string, scope_type string, owner_user_id string, owner_department_id string, created_by_user_id string, text string, source_type string, status string"
     incoming = spark.createDataFrame(rows, schema)
     empty = spark.createDataFrame([], schema.replace("text string", "current_revision long"))
     found, chunks, revisions = api.ingest(empty, incoming)
