@@ -1,7 +1,7 @@
 """The knowledge base as functions over tables: ingest, search, expand, scan, trace.
 
-A store is a folder of Parquet tables on any file system Spark reads; writes go to a new version beside the old one,
-then a pointer row is replaced, so readers never see half a write.
+Tables live on any file system Spark reads; `versions.Tables` commits several of them at once, so that readers never see
+half a write.
 """
 
 from __future__ import annotations
