@@ -63,3 +63,18 @@ SELECT event_id, admitted FROM w WHERE r > 0""")
 def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("k"), "ts", (F.col("event_type") == "purchase").alias("success"))
     return limiters.sliding_log_table(rows, "k", "ts", "event_id", 2, 900.0, "success").select("event_id", "admitted")
+
+
+KINDS = "SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'revoke' ELSE 'request' END AS kind FROM events"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ({KINDS})),
+w AS (SELECT user_id, 0::BIGINT AS r, 0::BIGINT AS event_id, 'none' AS kind, NULL::TIMESTAMP AS expires, NULL::TIMESTAMP AS idle, NULL::TIMESTAMP AS seen, false AS admitted, false AS touched FROM (SELECT DISTINCT user_id FROM o)
+ UNION ALL SELECT user_id, r, event_id, kind, CASE WHEN kind = 'login' THEN ts + INTERVAL 48 HOUR WHEN ok THEN expires END, CASE WHEN kind = 'login' THEN ts + INTERVAL 12 HOUR WHEN late THEN least(expires, ts + INTERVAL 12 HOUR) WHEN ok THEN idle END,
+  CASE WHEN kind = 'login' OR late THEN ts WHEN ok THEN seen END, ok, late FROM (SELECT o.user_id, o.r, o.event_id, o.kind, o.ts, w.expires, w.idle, w.seen, coalesce(o.kind = 'request' AND o.ts < w.idle, false) AS ok, coalesce(o.kind = 'request' AND o.ts < w.idle AND o.ts - w.seen > INTERVAL 5 MINUTE, false) AS late FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1))
+SELECT event_id, user_id, admitted, touched FROM w WHERE kind = 'request'""")
+def session_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as logins, errors as revocations, all else as requests of a user's session."""
+    kind = F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "error", "revoke").otherwise("request")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("kind"))
+    return limiters.session_requests(rows, "user_id", "ts", "event_id", "kind", 12 * 3600.0, 48 * 3600.0).select("event_id", "user_id", "admitted", "touched")

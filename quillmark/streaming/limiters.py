@@ -1,7 +1,7 @@
 """Stateful time rules: the same transitions for tables (a fold per key) and for streams (state per key).
 
-Rows of one key are taken in order of (time, id). Streams carry a watermark; what arrives later than it is counted and
-otherwise ignored. State is a few numbers for each key.
+Rows of one key are taken in order of (time, id). Streams carry a watermark; what arrives later than it is left out.
+State is a few numbers for each key and goes by a timer once it says nothing any more.
 """
 
 from __future__ import annotations
@@ -102,67 +102,160 @@ def checked_sessions(requests: DataFrame, now: Column, idle_minutes: int, touch_
     return rows.withColumn("idle_expires_at", F.when(F.col("touch"), later).otherwise(F.col("idle_expires_at")))
 
 
-class FixedWindow(StatefulProcessor):
-    """The fixed-window limiter as a keyed stateful operator. A key's state goes once nothing has come for longer than its
-    window: after that the next event begins a new one anyway."""
+class Keyed(StatefulProcessor):
+    """A key's state as one value, which goes by an event-time timer: once the watermark has passed the time from which on
+    it says nothing, no row can come any more that it would matter for, and the key takes no room."""
 
-    def __init__(self, limit: int, length: float = HOUR):
-        self.limit, self.length = limit, length
+    schema: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "started double, attempts long")
+        self.handle = handle
+        self.state = handle.getValueState("state", f"{self.schema}, until long")
+
+    def found(self) -> tuple | None:
+        return tuple(self.state.get())[:-1] if self.state.exists() else None
+
+    def keep(self, values: tuple | None, until: float, watermark: int) -> None:
+        """Hold the values until the second `until`, exclusively; None, or a time already past, holds nothing."""
+        at = int(until * 1000) + 1
+        before = self.state.get()[-1] if self.state.exists() else None
+        if before is not None and (values is None or before != at):
+            self.handle.deleteTimer(before)
+        if values is None or at <= watermark:
+            if before is not None:
+                self.state.clear()
+            return
+        if before != at:
+            self.handle.registerTimer(at)
+        self.state.update((*values, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.state.exists() and self.state.get()[-1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: Iterator[pd.DataFrame]) -> list:
+    return sorted((x for pdf in rows for x in pdf.itertuples(index=False)), key=lambda x: (x.t, x.event_id))
+
+
+class FixedWindow(Keyed):
+    """The fixed-window limiter as a keyed stateful operator. State goes with its window: the next event begins a new one
+    anyway."""
+
+    schema = "started double, attempts long"
+
+    def __init__(self, limit: int, length: float = HOUR):
+        self.limit, self.length = limit, length
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        started, n = self.state.get() if self.state.exists() else (None, 0)
+        started, n = self.found() or (None, 0)
         out = []
-        for r in sorted((x for pdf in rows for x in pdf.itertuples(index=False)), key=lambda x: (x.t, x.event_id)):
+        for r in in_order(rows):
             started, n = fixed_window(started, n, r.t / 1e6, self.length)
             out.append((key[0], r.event_id, n, n <= self.limit))
         if started is not None:
-            self.state.update((started, n))
+            self.keep((started, n), started + self.length, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["key", "event_id", "attempts", "admitted"])
 
-    def close(self) -> None:
-        pass
 
+class SlidingLog(Keyed):
+    """The sliding log as a keyed stateful operator: the stamps kept, `limit` at most, as one value, until the last one is
+    too old to count."""
 
-class SlidingLog(StatefulProcessor):
-    """The sliding log as a keyed stateful operator: the stamps kept, `limit` at most, as one value."""
+    schema = "stamps string"
 
     def __init__(self, limit: int, length: float):
         self.limit, self.length = limit, length
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("log", "stamps string")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        stamps = [float(x) for x in self.state.get()[0].split()] if self.state.exists() else []
+        stamps = [float(x) for x in (self.found() or ("",))[0].split()]
         out = []
-        for r in sorted((x for pdf in rows for x in pdf.itertuples(index=False)), key=lambda x: (x.t, x.event_id)):
+        for r in in_order(rows):
             stamps, ok = sliding_log(stamps, r.t / 1e6, self.length, self.limit)
             stamps = [] if ok and r.success else stamps
             out.append((key[0], r.event_id, ok))
-        if stamps:
-            self.state.update((" ".join(map(repr, stamps)),))
-        elif self.state.exists():
-            self.state.clear()
+        self.keep((" ".join(map(repr, stamps)),) if stamps else None, stamps[-1] + self.length if stamps else 0, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["key", "event_id", "admitted"])
 
-    def close(self) -> None:
-        pass
+
+class Sessions(Keyed):
+    """Sessions as keyed state: logins, requests and revocations of a key in order. A session's state goes with its idle
+    end, since no request can be admitted after it."""
+
+    schema = "expires double, idle double, seen double"
+
+    def __init__(self, idle: float, absolute: float, touch: float):
+        self.rule = idle, absolute, touch
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        session, out = self.found(), []
+        for r in in_order(rows):
+            session, admitted, touched = session_step(session, r.kind, r.t / 1e6, *self.rule)
+            if r.kind == "request":
+                out.append((key[0], r.event_id, admitted, touched))
+        self.keep(session, session[1] if session else 0, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=["key", "event_id", "admitted", "touched"])
+
+
+def session_step(session: tuple | None, kind: str, now: float, idle: float, absolute: float, touch: float) -> tuple[tuple | None, bool, bool]:
+    """(absolute end, idle end, last written), or None, after a row: also whether it is admitted, and whether it writes the
+    session anew, which a request does that comes more than `touch` seconds after the last one that did. A login begins a
+    session in place of any other; a revocation ends it; the idle end is never beyond the absolute one."""
+    if kind == "login":
+        return (now + absolute, min(now + absolute, now + idle), now), True, False
+    if kind != "request" or session is None or now >= session[1]:
+        return None, False, False
+    if now - session[2] > touch:
+        return (session[0], min(session[0], now + idle), now), True, True
+    return session, True, False
+
+
+def session_requests(events: DataFrame, key: str, time: str, order: str, kind: str, idle: float, absolute: float, touch: float = 300.0) -> DataFrame:
+    """The requests among events (kind: login, request or revoke) with admitted and touched, by the rule of `session_step`.
+    Arrow batches of one key, its session carried between them."""
+
+    def run(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = None
+        session: tuple | None = None
+        for rows in pdf:
+            out = []
+            for k, t, what in zip(rows[key], rows["_t"], rows[kind]):
+                if k != at:
+                    at, session = k, None
+                session, admitted, touched = session_step(session, what, t / 1e6, idle, absolute, touch)
+                out.append((admitted, touched))
+            yield rows.drop(columns="_t").assign(admitted=[x[0] for x in out], touched=[x[1] for x in out])[rows[kind].eq("request")]
+
+    own = events.withColumn("_t", micros(F.col(time))).repartition(key).sortWithinPartitions(key, "_t", order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    return own.mapInPandas(run, f"{schema}, admitted boolean, touched boolean")
+
+
+def _timed(events: DataFrame, key: str, time: str, *more: Column) -> DataFrame:
+    return events.select(F.col(key).cast("string").alias("key"), "event_id", micros(F.col(time)).alias("t"), *more, F.col(time).cast("timestamp").alias("_at")).withWatermark("_at", WATERMARK)
 
 
 def sliding_log_stream(events: DataFrame, key: str, time: str, limit: int, length: float, success: str | None = None) -> DataFrame:
-    """The sliding log over a stream of events (event_id, key, time): key, event_id, admitted."""
-    cleared = F.col(success) if success else F.lit(False)
-    own = events.select(F.col(key).cast("string").alias("key"), "event_id", micros(F.col(time)).alias("t"), cleared.alias("success"), F.col(time).cast("timestamp").alias("_at")).withWatermark("_at", WATERMARK)
-    return own.groupBy("key").transformWithStateInPandas(SlidingLog(limit, length), "key string, event_id long, admitted boolean", "Append", "None")
+    """The sliding log over a stream of events (event_id, key, time): key, event_id, admitted. Event-time timers: what comes
+    later than the watermark is left out."""
+    own = _timed(events, key, time, (F.col(success) if success else F.lit(False)).alias("success"))
+    return own.groupBy("key").transformWithStateInPandas(SlidingLog(limit, length), "key string, event_id long, admitted boolean", "Append", "EventTime")
 
 
 def fixed_window_stream(events: DataFrame, key: str, time: str, limit: int, length: float = HOUR) -> DataFrame:
     """The limiter over a stream of events (event_id, key, time): key, event_id, attempts, admitted."""
-    own = events.select(F.col(key).cast("string").alias("key"), "event_id", micros(F.col(time)).alias("t"), F.col(time).cast("timestamp").alias("_at")).withWatermark("_at", WATERMARK)
-    return own.groupBy("key").transformWithStateInPandas(FixedWindow(limit, length), "key string, event_id long, attempts long, admitted boolean", "Append", "None")
+    return _timed(events, key, time).groupBy("key").transformWithStateInPandas(FixedWindow(limit, length), "key string, event_id long, attempts long, admitted boolean", "Append", "EventTime")
+
+
+def session_stream(requests: DataFrame, revocations: DataFrame, key: str, time: str, kind: str, idle: float, absolute: float, touch: float = 300.0) -> DataFrame:
+    """Sessions over two streams, logins and requests (event_id, key, time, kind) and revocations (event_id, key, time): key,
+    event_id, admitted, touched of each request."""
+    rows = requests.select("event_id", key, time, F.col(kind).alias("kind")).unionByName(revocations.select("event_id", key, time, F.lit("revoke").alias("kind")))
+    return _timed(rows, key, time, F.col("kind")).groupBy("key").transformWithStateInPandas(Sessions(idle, absolute, touch), "key string, event_id long, admitted boolean, touched boolean", "Append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, key: str, time: str, length: str = "1 hour") -> DataFrame:
