@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import ast
+import heapq
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmark.functions.text import identity, is_config_path
+from quillmark.operators.running import before, key_of, width
 from quillmark.operators.yamls import COMPOSE_FILES, config_facts  # noqa: F401
+from quillmark.session import cut
 
 # Languages by suffix, the rules of components, and which facts a configured name is matched with.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go"}
@@ -164,16 +169,43 @@ def components(files: DataFrame, project: str) -> DataFrame:
 
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """points (keys, point_id, line) with the narrowest interval (keys, symbol_id, start_line, end_line) around them,
-    of equal ones the latest start; null if there is none.
+    of equal ones the latest start, then the least id; null if there is none. A key with null matches nothing.
 
-    A range condition alone is a nested loop, so lines are dealt to bins: an interval is in every bin it touches, a
-    point in its own, and the join is by keys and bin.
+    Starts and points pass in order of their lines, and a heap by width holds the intervals that are open; those that
+    have ended are dropped when they come to its top. A key is cut where no interval is open, so that a key with very many
+    rows is swept by several tasks.
     """
-    width = 64
-    bins = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
-    own = points.withColumn("_bin", F.floor(F.col(line) / width))
-    within = own.join(bins, [*keys, "_bin"]).filter(F.col(line).between(F.col("start_line"), F.col("end_line")))
-    best = within.groupBy("point_id").agg(F.min_by("symbol_id", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("s"), "symbol_id")).alias("symbol_id"))
+    key = key_of(*keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    whole = {"_start": F.lit(None).cast("long"), "_end": F.lit(None).cast("long"), "symbol_id": F.lit(None).cast(intervals.schema["symbol_id"].dataType), "point_id": F.lit(None).cast(points.schema["point_id"].dataType)}
+    side = lambda df, at, odd, own: df.filter(known & at.isNotNull()).select(key.alias("_key"), (at.cast("long") * 2 + odd).alias("_at"), *[own.get(c, v).alias(c) for c, v in whole.items()])
+    starts = side(intervals, F.col("start_line"), 0, {"_start": F.col("start_line").cast("long"), "_end": F.col("end_line").cast("long"), "symbol_id": F.col("symbol_id")})
+    rows = cut(starts.unionByName(side(points, F.col(line), 1, {"point_id": F.col("point_id")})))  # read several times
+    span = width(rows, "_at")
+    rows = before(rows, "_key", "_at", span, {"_open": (F.max, "_end")}, also="symbol_id")
+    begins = F.when(F.col("_start").isNotNull() & F.coalesce(F.col("_open") < F.col("_start"), F.lit(True)), F.col("_at"))
+    rows = before(rows.withColumn("_begins", begins), "_key", "_at", span, {"_part": (F.max, "_begins")}, also="symbol_id").withColumn("_part", F.coalesce("_begins", "_part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_ = None, []
+        for batch in batches:
+            ids, found = [], []
+            for k, part, place, start, end, symbol, point in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, part) != at:
+                    at, open_ = (k, part), []
+                if point is None:
+                    heapq.heappush(open_, (end - start, -start, symbol, end))
+                    continue
+                while open_ and open_[0][3] < place >> 1:
+                    heapq.heappop(open_)
+                if open_:
+                    ids.append(point)
+                    found.append(open_[0][2])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(found, kinds[1])], ["point_id", "symbol_id"])
+
+    kinds = [to_arrow_type(points.schema["point_id"].dataType), to_arrow_type(intervals.schema["symbol_id"].dataType)]
+    swept = rows.select("_key", "_part", "_at", "_start", "_end", "symbol_id", "point_id").repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at", F.asc_nulls_last("symbol_id"))
+    best = swept.mapInArrow(run, f"point_id {points.schema['point_id'].dataType.simpleString()}, symbol_id {intervals.schema['symbol_id'].dataType.simpleString()}")
     return points.join(best, "point_id", "left")
 
 

@@ -36,8 +36,8 @@ def before(rows: DataFrame, key: str, at: str, span: int, values: dict[str, tupl
     dealt = rows.withColumn("_bucket", F.floor(F.col(at) / F.lit(span)))
     value = lambda v: F.col(v) if isinstance(v, str) else v
     sums = dealt.groupBy(key, "_bucket").agg(*[f(value(v)).alias(f"_own_{n}") for n, (f, v) in values.items()])
-    sums = sums.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), *[f(F.col(f"_own_{n}")).over(earlier).alias(f"_before_{n}") for n, (f, _) in values.items()])
-    found = dealt.select("*", *[f(value(v)).over(inside).alias(f"_in_{n}") for n, (f, v) in values.items()]).join(sums, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of")), "left")
+    sums = sums.select(F.col(key).alias("_sum_key"), F.col("_bucket").alias("_sum_bucket"), *[f(F.col(f"_own_{n}")).over(earlier).alias(f"_before_{n}") for n, (f, _) in values.items()])
+    found = dealt.select("*", *[f(value(v)).over(inside).alias(f"_in_{n}") for n, (f, v) in values.items()]).join(sums, (F.col(key) == F.col("_sum_key")) & (F.col("_bucket") == F.col("_sum_bucket")), "left")
     return found.select(*rows.columns, *[_two(f, F.col(f"_before_{n}"), F.col(f"_in_{n}")).alias(n) for n, (f, _) in values.items()])
 
 

@@ -43,8 +43,8 @@ def classify(existing: DataFrame, incoming: DataFrame, order: str = "document_id
     own = incoming.withColumns({"_at": F.col(order).cast("long"), "_content": key_of(*CONTENT)})
     own = own.withColumn("_place", F.when(F.col("source_path").isNull(), F.concat(F.lit("row "), F.col("_at").cast("string"))).otherwise(key_of(*PLACE)))
     touched, still = _known(existing, own)
-    rows = own.select("_at", "document_id", "_place", "_content").join(touched, "_place", "left")
-    span = width(own, "_at")
+    rows = cut(own.select("_at", "document_id", "_place", "_content").join(touched, "_place", "left"))  # read several times
+    span = width(rows, "_at")
     # the place's row before and after, and how often its content has changed up to here
     rows = before(rows, "_place", "_at", span, {"_last": (F.max, F.struct("_at", "_content"))})
     rows = before(rows.withColumn("_back", -F.col("_at")), "_place", "_back", span, {"_next": (F.min, "_at")})

@@ -10,17 +10,18 @@ from quillmark.functions import text as T
 from quillmark.plans.chunks import SOURCES
 from quillmark.plans.registry import query, table
 
-INTERVALS = "SELECT i AS symbol_id, CAST((37 * i) % 1000 AS INTEGER) AS start_line, CAST((37 * i) % 1000 + (13 * i) % 200 AS INTEGER) AS end_line"
+# every line item is a symbol over as many lines as its quantity, and a place that asks for the symbol around it
+INTERVALS = "SELECT l_returnflag AS path, l_orderkey * 1000 + l_linenumber * 100 + ascii(l_returnflag) AS symbol_id, l_orderkey AS start_line, l_orderkey + CAST(max(l_quantity) AS BIGINT) AS end_line, l_orderkey + l_linenumber * 3 AS line FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber"
 
 
-@query(f"""WITH s AS ({INTERVALS} FROM range(1, 301) t(i)), p AS (SELECT i AS point_id, CAST(i AS INTEGER) AS line FROM range(1, 1001) t(i)),
-r AS (SELECT point_id, line, symbol_id, row_number() OVER (PARTITION BY point_id ORDER BY end_line - start_line, -start_line, symbol_id) AS n FROM p LEFT JOIN s ON line BETWEEN start_line AND end_line)
-SELECT point_id, line, symbol_id FROM r WHERE n = 1""")
+@query(f"""WITH s AS ({INTERVALS}), b AS (SELECT *, unnest(range(start_line // 32, end_line // 32 + 1)) AS bin FROM s)
+SELECT p.symbol_id AS point_id, p.line, arg_min(b.symbol_id, (b.end_line - b.start_line) * 1000000000000 - b.start_line * 1000 + b.symbol_id % 1000) AS symbol_id FROM s p LEFT JOIN b ON b.path = p.path AND b.bin = p.line // 32 AND p.line BETWEEN b.start_line AND b.end_line GROUP BY p.symbol_id, p.line""")
 def interval_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.lit("a.py").alias("path")
-    intervals = spark.range(1, 301).select(path, F.col("id").alias("symbol_id"), (F.col("id") * 37 % 1000).cast("int").alias("start_line"), (F.col("id") * 37 % 1000 + F.col("id") * 13 % 200).cast("int").alias("end_line"))
-    points = spark.range(1, 1001).select(path, F.col("id").alias("point_id"), F.col("id").cast("int").alias("line"))
-    return facts.innermost(points, intervals, ["path"]).select("point_id", "line", "symbol_id")
+    at, nth = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("path"), at, nth).agg((at + F.max("l_quantity").cast("long")).alias("end_line"))
+    rows = rows.select("path", (at * 1000 + nth * 100 + F.ascii("path")).alias("symbol_id"), at.alias("start_line"), "end_line", (at + nth * 3).alias("line"))
+    points = rows.select("path", F.col("symbol_id").alias("point_id"), "line")
+    return facts.innermost(points, rows.drop("line"), ["path"]).select("point_id", "line", "symbol_id")
 
 
 FACTS = """SELECT * FROM (VALUES
@@ -61,48 +62,71 @@ def component_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.components(table(spark, sf_dir, "documents").select("source", F.concat(F.lit("/p/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")), "source")
 
 
-N = 500
+# line items call parts of other orders; the seventh of an order calls what nobody knows
+CALLED = "SELECT l_orderkey * 10 + l_linenumber AS relation_id, l_partkey AS source_id, CASE WHEN l_linenumber <> 7 THEN l_orderkey % (SELECT max(p_partkey) FROM part) + 1 END AS target_id, l_returnflag AS target_ref, l_discount AS confidence FROM lineitem"
 
 
-def call_edges(spark: SparkSession) -> DataFrame:
-    ids = spark.range(N)
-    targets = F.posexplode(F.array((F.col("id") * 7 + 3) % N, (F.col("id") * 5 + 1) % N)).alias("k", "target_id")
-    edges = ids.select(F.col("id").alias("source_id"), targets)
-    return edges.select((F.col("source_id") * 2 + F.col("k")).alias("relation_id"), "source_id", "target_id", F.concat(F.lit("f"), F.col("target_id").cast("string")).alias("target_ref"), (1.0 - F.col("k") * 0.25).alias("confidence"))
+def called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), F.col("l_partkey").alias("source_id"), F.when(F.col("l_linenumber") != 7, F.col("l_orderkey") % parts + 1).alias("target_id"),
+        F.col("l_returnflag").alias("target_ref"), F.col("l_discount").alias("confidence"),
+    )
 
 
-EDGES = f"SELECT i AS source_id, (7 * i + 3) % {N} AS target_id FROM range(0, {N}) t(i) UNION ALL SELECT i, (5 * i + 1) % {N} FROM range(0, {N}) t(i)"
-REACH = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS symbol_id, 0 AS depth UNION SELECT e.target_id, depth + 1 FROM w JOIN e ON e.source_id = w.symbol_id WHERE depth < 5) SELECT symbol_id, min(depth) AS depth FROM w GROUP BY symbol_id"
+def starts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.col(key).cast("long").alias("start_id"))
 
 
-@query(REACH)
+def reached(start: str, depth: int) -> str:
+    return f"WITH RECURSIVE e AS (SELECT DISTINCT source_id, target_id FROM ({CALLED}) WHERE target_id IS NOT NULL), w AS (SELECT start_id, start_id AS symbol_id, 0 AS depth FROM ({start}) UNION SELECT w.start_id, e.target_id, depth + 1 FROM w JOIN e ON e.source_id = w.symbol_id WHERE depth < {depth}) SELECT start_id, symbol_id, min(depth) AS depth FROM w GROUP BY start_id, symbol_id"
+
+
+NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS start_id FROM nation"
+SUPPLIERS = "SELECT CAST(s_suppkey AS BIGINT) AS start_id FROM supplier"
+# one edge a step: what is found, how deep, by which path; which node is expanded, and how many of its edges are done
+TRACED = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, target_ref, relation_id) AS nth FROM ({CALLED})),
+w AS (SELECT start_id, [start_id] AS found, [0] AS depths, [[start_id]] AS paths, 1 AS i, CAST(0 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS relation_id, CAST(NULL AS BIGINT) AS target_id, CAST(NULL AS VARCHAR) AS kind FROM ({SUPPLIERS})
+ UNION ALL SELECT start_id, CASE WHEN kind = 'tree' THEN list_append(found, target_id) ELSE found END, CASE WHEN kind = 'tree' THEN list_append(depths, depths[i] + 1) ELSE depths END, CASE WHEN kind = 'tree' THEN list_append(paths, list_append(paths[i], target_id)) ELSE paths END,
+  CASE WHEN kind IS NULL THEN i + 1 ELSE i END, CASE WHEN kind IS NULL THEN 0 ELSE j + 1 END, relation_id, target_id, kind FROM (
+  SELECT w.start_id, w.found, w.depths, w.paths, w.i, w.j, e.relation_id, e.target_id, CASE WHEN e.nth IS NULL THEN NULL WHEN e.target_id IS NULL THEN 'unresolved' WHEN list_contains(w.paths[w.i], e.target_id) THEN 'cycle' WHEN list_contains(w.found, e.target_id) THEN 'known' WHEN len(w.found) >= 12 THEN 'over' ELSE 'tree' END AS kind
+  FROM w LEFT JOIN e ON e.source_id = w.found[w.i] AND e.nth = w.j + 1 AND e.nth <= 8 WHERE w.i <= len(w.found) AND w.depths[w.i] < 3))"""
+
+
+@query(reached(SUPPLIERS, 2))
 def bfs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(call_edges(spark), 1, 5)
+    return graph.reach(called(spark, sf_dir), starts(spark, sf_dir, "supplier", "s_suppkey"), 2)
 
 
-@query()
+@query(f"{TRACED}, n AS (SELECT start_id, arg_max(found, len(found)) AS found, arg_max(depths, len(found)) AS depths FROM w GROUP BY start_id) SELECT start_id, unnest(found) AS symbol_id, unnest(depths) AS depth, CAST(unnest(range(len(found))) AS INTEGER) AS queue_position FROM n")
 def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(call_edges(spark), 1, 8, 40).nodes
+    """From every supplier's number as a symbol, 12 nodes and three calls deep, 8 edges of a node."""
+    return graph.traces(called(spark, sf_dir), starts(spark, sf_dir, "supplier", "s_suppkey"), 3, 12, 8).nodes
+
+
+@query(f"{TRACED} SELECT start_id, relation_id, target_id, CAST(depths[i] + 1 AS INTEGER) AS depth, kind FROM w WHERE kind IS NOT NULL AND kind <> 'unresolved'")
+def bfs_capped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.traces(called(spark, sf_dir), starts(spark, sf_dir, "supplier", "s_suppkey"), 3, 12, 8).edges.drop("source_id")
 
 
-@query(f"SELECT r.symbol_id, r.depth, count(l.doc_id) AS n_facts, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS quality FROM ({REACH}) r LEFT JOIN labels l ON l.doc_id = r.symbol_id GROUP BY r.symbol_id, r.depth")
+@query(f"SELECT r.start_id, r.symbol_id, r.depth, count(l.doc_id) AS n_facts, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS quality FROM ({reached(NATIONS, 2)}) r LEFT JOIN labels l ON l.doc_id = r.symbol_id GROUP BY r.start_id, r.symbol_id, r.depth")
 def bfs_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graph.reach(call_edges(spark), 1, 5)
+    nodes = graph.reach(called(spark, sf_dir), starts(spark, sf_dir, "nation", "n_nationkey"), 2)
     per = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("symbol_id")).agg(F.count("*").alias("n_facts"), F.sum("quality").alias("quality"))
     return nodes.join(per, "symbol_id", "left").fillna(0, ["n_facts", "quality"])
 
 
-NODE_FACTS = f"SELECT l_orderkey % {N} AS symbol_id, l_linenumber AS source_line, l_returnflag AS fact_type, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS fact_id FROM lineitem"
+NODE_FACTS = "SELECT l_partkey AS symbol_id, l_linenumber AS source_line, l_returnflag AS fact_type, l_orderkey * 10 + l_linenumber AS fact_id FROM lineitem"
 
 
-@query(f"""WITH n AS ({REACH}), f AS ({NODE_FACTS}), k AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY source_line, fact_type, fact_id) AS nth FROM f)
-SELECT n.symbol_id, n.depth, coalesce(string_agg(k.fact_type || k.fact_id, ',' ORDER BY k.nth), '') AS facts FROM n LEFT JOIN k ON k.symbol_id = n.symbol_id AND k.nth <= 8 GROUP BY n.symbol_id, n.depth""")
+@query(f"""WITH n AS ({reached(NATIONS, 1)}), f AS ({NODE_FACTS}), k AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY source_line, fact_type, fact_id) AS nth FROM f)
+SELECT n.start_id, n.symbol_id, n.depth, coalesce(string_agg(k.fact_type || k.fact_id, ',' ORDER BY k.nth), '') AS facts FROM n LEFT JOIN k ON k.symbol_id = n.symbol_id AND k.nth <= 8 GROUP BY n.start_id, n.symbol_id, n.depth""")
 def nodes_with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reached nodes with their first eight facts."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % N).alias("symbol_id"), F.col("l_linenumber").alias("source_line"), F.col("l_returnflag").alias("fact_type"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("fact_id"))
-    found = graph.with_facts(graph.reach(call_edges(spark), 1, 5), rows)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol_id"), F.col("l_linenumber").alias("source_line"), F.col("l_returnflag").alias("fact_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"))
+    found = graph.with_facts(graph.reach(called(spark, sf_dir), starts(spark, sf_dir, "nation", "n_nationkey"), 1), rows)
     said = F.array_join(F.transform("facts", lambda f: F.concat(f["fact_type"], f["fact_id"].cast("string"))), ",")
-    return found.select("symbol_id", "depth", F.coalesce(said, F.lit("")).alias("facts"))
+    return found.select("start_id", "symbol_id", "depth", F.coalesce(said, F.lit("")).alias("facts"))
 
 
 @query("""WITH r AS (SELECT l_orderkey * 100000 + l_partkey AS relation_id, l_suppkey AS source_id, l_partkey % 100 + 1 AS target_id, l_returnflag AS target_ref, l_discount AS confidence FROM lineitem),

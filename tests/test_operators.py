@@ -120,7 +120,7 @@ def test_trace_is_bounded_and_names_cycles(spark):
     kinds = {r["relation_id"]: r["kind"] for r in t.edges.collect()}
     assert kinds == {1: "tree", 2: "cycle", 3: "tree", 4: "known", 6: "over"} and t.truncated
     assert [r["target_ref"] for r in t.unresolved.collect()] == ["lost"]
-    assert {r["symbol_id"] for r in graph.reach(edges, 1, 4).collect()} == {1, 2, 3, 4}
+    assert {r["symbol_id"] for r in graph.reach(edges, spark.createDataFrame([(1,)], "start_id long"), 4).collect()} == {1, 2, 3, 4}
     assert graph.neighbours(edges, 3).count() == 4
 
 
