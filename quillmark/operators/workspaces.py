@@ -109,21 +109,29 @@ def after_changes(memberships: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("applied") & F.col("action").isin("remove", "leave"), "disabled").otherwise(F.col("status"))).select(*memberships.columns, "applied")
 
 
-def transferred(memberships: DataFrame, transfers: DataFrame) -> DataFrame:
-    """memberships after transfers (workspace_id, owner_id, user_id): the owner becomes admin, an active member of the
-    same workspace the owner; others change nothing."""
+def transferred(memberships: DataFrame, workspaces: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Memberships and workspaces after transfers (workspace_id, owner_id, user_id), one for a workspace at most: the owner
+    becomes admin, an active member of the same workspace the owner, in both tables. Transfers by others than the
+    workspace's owner, and to users who own a workspace of that name already, change nothing."""
     member = memberships.filter("status = 'active'").select("workspace_id", "user_id", F.col("role").alias("_r"))
-    valid = transfers.join(member.filter("_r = 'owner'").select("workspace_id", F.col("user_id").alias("owner_id")), ["workspace_id", "owner_id"]).join(member.filter("_r <> 'owner'").select("workspace_id", "user_id"), ["workspace_id", "user_id"])
+    held = workspaces.select("workspace_id", F.col("owner_user_id").alias("owner_id"), "normalized_name")
+    valid = transfers.join(held, ["workspace_id", "owner_id"]).join(member.filter("_r = 'owner'").select("workspace_id", F.col("user_id").alias("owner_id")), ["workspace_id", "owner_id"])
+    valid = valid.filter("owner_id <> user_id").join(member.select("workspace_id", "user_id"), ["workspace_id", "user_id"])
+    taken = workspaces.select(F.col("owner_user_id").alias("user_id"), "normalized_name", F.col("workspace_id").alias("_other"))
+    valid = valid.join(taken, ["user_id", "normalized_name"], "left_anti").select("workspace_id", "owner_id", "user_id")
     to = valid.select("workspace_id", "user_id", F.lit("owner").alias("_to")).union(valid.select("workspace_id", F.col("owner_id").alias("user_id"), F.lit("admin").alias("_to")))
-    return memberships.join(to, ["workspace_id", "user_id"], "left").withColumn("role", F.coalesce("_to", "role")).select(*memberships.columns)
+    after = memberships.join(to, ["workspace_id", "user_id"], "left").withColumn("role", F.coalesce("_to", "role")).select(*memberships.columns)
+    spaces = workspaces.join(valid.select("workspace_id", F.col("user_id").alias("_owner")), "workspace_id", "left").withColumn("owner_user_id", F.coalesce("_owner", "owner_user_id"))
+    return after, spaces.select(*workspaces.columns)
 
 
-def accepted(memberships: DataFrame, invitations: DataFrame, tokens: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Memberships and invitations after the tokens (token_hash, user_id, normalized_email) have been handed in.
+def accepted(memberships: DataFrame, invitations: DataFrame, tokens: DataFrame, now: Column, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memberships, invitations and users after the tokens (token_hash, user_id, normalized_email) have been handed in.
 
     An invitation counts if it is open and was sent to that address. An active member keeps the role, a disabled one
-    comes back with the invitation's, others are added. Returns (memberships with joined_at of the change, invitations
-    with accepted_at and accepted_by_user_id)."""
+    comes back with the invitation's, others are added; a user without default workspace gets that of the first invitation
+    (the least id). Returns (memberships with joined_at of the change, invitations with accepted_at and
+    accepted_by_user_id, users)."""
     is_open = F.col("accepted_at").isNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > now)
     good = invitations.filter(is_open).join(tokens, ["token_hash", "normalized_email"]).select("invitation_id", "workspace_id", "user_id", F.col("role").alias("_role"))
     to = good.groupBy("workspace_id", "user_id").agg(F.min_by("_role", "invitation_id").alias("_role"))
@@ -132,7 +140,9 @@ def accepted(memberships: DataFrame, invitations: DataFrame, tokens: DataFrame,
     after = rows.withColumns({"role": F.when(moved, F.col("_role")).otherwise(F.col("role")), "joined_at": F.when(moved, now).otherwise(F.col("joined_at")), "status": F.when(moved, "active").otherwise(F.col("status"))})
     used = invitations.join(good.select("invitation_id", F.col("user_id").alias("_by")), "invitation_id", "left")
     used = used.withColumns({"accepted_at": F.when(F.col("_by").isNotNull(), now).otherwise(F.col("accepted_at")), "accepted_by_user_id": F.coalesce("_by", "accepted_by_user_id")})
-    return after.select(*memberships.columns), used.select(*invitations.columns)
+    first = good.groupBy("user_id").agg(F.min_by("workspace_id", "invitation_id").alias("_first"))
+    people = users.join(first, "user_id", "left").withColumn("default_workspace_id", F.coalesce("default_workspace_id", "_first"))
+    return after.select(*memberships.columns), used.select(*invitations.columns), people.select(*users.columns)
 
 
 def revoked(invitations: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:

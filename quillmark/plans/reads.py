@@ -14,17 +14,17 @@ KNOWN = f"SELECT doc_id AS document_id, source AS workspace_id, CASE WHEN doc_id
 
 
 @query(f"""SELECT document_id, title, (SELECT count(*) FROM conversations c WHERE c.conv_id = k.document_id AND c.role <> 'system') AS chunk_count FROM ({KNOWN}) k
-WHERE workspace_id = 'src3' AND source_type = 'rag' AND (scope_type = 'workspace' OR (scope_type = 'personal' AND owner_user_id = 'u2') OR (scope_type = 'department' AND owner_department_id = 'd1'))""")
+WHERE workspace_id = 'src4' AND source_type = 'rag' AND (scope_type = 'workspace' OR (scope_type = 'personal' AND owner_user_id = 'u2') OR (scope_type = 'department' AND owner_department_id = 'd1'))""")
 def knowledge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("role") == "system", "parent").otherwise("child").alias("chunk_level")
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), level)
-    return listing.knowledge(own(spark, sf_dir, KNOWN), chunks, "src3", "u2", "d1", source_type="rag").select("document_id", "title", "chunk_count")
+    return listing.knowledge(own(spark, sf_dir, KNOWN), chunks, "src4", "u2", "d1", source_type="rag").select("document_id", "title", "chunk_count")
 
 
-@query(f"SELECT document_id FROM ({KNOWN}) WHERE workspace_id = 'src5' AND scope_type = 'department' AND owner_department_id = 'd2'")
+@query(f"SELECT document_id FROM ({KNOWN}) WHERE workspace_id = 'src2' AND scope_type = 'department' AND owner_department_id = 'd2'")
 def knowledge_list_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.lit("child").alias("chunk_level"))
-    return listing.knowledge(own(spark, sf_dir, KNOWN), chunks, "src5", "nobody", "d2", scope_type="department").select("document_id")
+    return listing.knowledge(own(spark, sf_dir, KNOWN), chunks, "src2", "nobody", "d2", scope_type="department").select("document_id")
 
 
 @query("SELECT DISTINCT source AS workspace_id, lang AS source_type, CAST(doc_id % 3 AS VARCHAR) AS source_path FROM documents")

@@ -104,7 +104,8 @@ class Store:
         self.require(scope, "owner")
         one = self["memberships"].sparkSession.range(1)
         asked = one.select(F.lit(scope.workspace_id).alias("workspace_id"), F.lit(scope.user_id).alias("owner_id"), F.lit(user).alias("user_id"))
-        return self.but(memberships=workspaces.transferred(self["memberships"], asked))
+        members, spaces = workspaces.transferred(self["memberships"], self["workspaces"], asked)
+        return self.but(memberships=members, workspaces=spaces)
 
     def invite(self, scope: Scope, invitations: DataFrame) -> Store:
         from quillmark.operators.protocol import upsert_invitations
@@ -118,8 +119,8 @@ class Store:
         return self.but(invitations=workspaces.revoked(self["invitations"], asked, now))
 
     def accept_invitation(self, tokens: DataFrame, now: Column) -> Store:
-        members, used = workspaces.accepted(self["memberships"], self["invitations"], tokens, now)
-        return self.but(memberships=members, invitations=used)
+        members, used, users = workspaces.accepted(self["memberships"], self["invitations"], tokens, now, self["users"])
+        return self.but(memberships=members, invitations=used, users=users)
 
     def hand_over(self, handovers: DataFrame) -> Store:
         """Everything of the source users becomes the targets'; the sources are disabled."""

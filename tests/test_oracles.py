@@ -13,6 +13,10 @@ import pytest
 from quillmark import plans
 
 
+#: Queries that find nothing in the smallest tables; they do at the next size.
+SMALL: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
@@ -43,6 +47,7 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck, name):
     ours, theirs = plans.queries()[name](spark, sf_dir).toPandas(), duck.sql(plans.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
+    assert len(ours) or name in SMALL, "both sides are empty"
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))

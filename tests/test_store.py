@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import agent, controller, layout, providers, scip
 from quillmark.sources import scip as scip_files
 from quillmark.store import Denied, Store, document_metadata, uploaded
-from quillmark.streaming import limiters
+from quillmark.streaming import framing, limiters
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -60,8 +60,11 @@ def test_members_change_and_defaults_are_repaired(store):
     assert roles(store.change_member(editor, "u1", "remove"))["w1", "u1"] == ("owner", "active")
     after = store.change_member(editor, "u2", "leave")
     assert roles(after)["w1", "u2"] == ("editor", "disabled") and after["users"].filter("user_id = 'u2'").first()["default_workspace_id"] == "w2"
-    moved = roles(store.transfer_ownership(owner, "u2"))
-    assert moved["w1", "u1"][0] == "admin" and moved["w1", "u2"][0] == "owner"
+    given = store.transfer_ownership(owner, "u2")
+    moved, held = roles(given), {r["workspace_id"]: r["owner_user_id"] for r in given["workspaces"].collect()}
+    assert moved["w1", "u1"][0] == "admin" and moved["w1", "u2"][0] == "owner" and held == {"w1": "u2", "w2": "u2", "w9": "u1"}
+    named = store.but(workspaces=store["workspaces"].withColumn("normalized_name", F.lit("same")))
+    assert roles(named.transfer_ownership(owner, "u2"))["w1", "u2"][0] == "editor"
     assert store.switch_default("u2", "w2")["users"].filter("user_id = 'u2'").first()["default_workspace_id"] == "w2"
     assert store.switch_default("u2", "w9")["users"].filter("user_id = 'u2'").first()["default_workspace_id"] == "w9"  # not valid: as it was
     with pytest.raises(Denied):
@@ -82,6 +85,7 @@ def test_invitations_and_handover(store, spark):
     now = F.lit(DAY + dt.timedelta(1))
     tokens = spark.createDataFrame([("t1", "u3", "c@x")], "token_hash string, user_id string, normalized_email string")
     after = store.accept_invitation(tokens, now)
+    assert {r["user_id"]: r["default_workspace_id"] for r in after["users"].collect()} == {"u1": "w1", "u2": "w9", "u3": "w1"}
     assert after.scope("u3").workspace_id == "w1" and after["invitations"].first()["accepted_by_user_id"] == "u3"
     assert store.accept_invitation(tokens.withColumn("normalized_email", F.lit("z@x")), now)["memberships"].count() == 4
     assert store.revoke_invitation(store.scope("u1"), "i1", now)["invitations"].first()["revoked_at"] is not None
@@ -209,7 +213,7 @@ def test_frames_cut_anywhere(spark):
     body = "event: step\ndata: {\"a\": 1}\n\ndata: plain\n\nevent: done\ndata: {}\n\nevent: open"
     for size in (1, 3, 7, 1000):
         chunks = [(1, i, body[a : a + size]) for i, a in enumerate(range(0, len(body), size))]
-        got = controller.frames_of_chunks(spark.createDataFrame(chunks, "stream_id int, seq int, body string")).orderBy("nth").collect()
+        got = framing.frames(spark.createDataFrame(chunks, "stream_id int, seq int, body string")).orderBy("nth").collect()
         assert [(r["event"], r["data"]) for r in got] == [("step", '{"a": 1}'), ("message", "plain"), ("done", "{}")]
         ends = [body.index("\n\n", at) + 1 for at in (0, 30, 45)]
         assert [r["seq"] for r in got] == [e // size for e in ends]
