@@ -75,9 +75,34 @@ def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(URLS).select("id", r["url"].alias("url"), F.lower(F.concat(r["owner"], F.lit("/"), r["name"])).alias("repository_key"))
 
 
-@query()
+# line items are the symbols of three files, orders what an index says of them: every fourth defines, every fourth imports
+SYMBOLS = "SELECT l_returnflag AS path, l_orderkey * 1000 + l_linenumber * 100 + ascii(l_returnflag) AS symbol_id, 'n' || l_linenumber AS name, 'function' AS kind, l_orderkey AS start_line, l_orderkey + CAST(max(l_quantity) AS BIGINT) AS end_line FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber"
+INDEXED = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS path, 'pkg/n' || o_orderkey % 11 || '/' || o_custkey % 300 || '#' AS symbol, 'n' || o_orderkey % 11 AS name, o_custkey % 300 AS k, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS roles, o_orderkey AS place FROM orders"
+
+
+@query(f"""WITH s AS ({SYMBOLS}), o AS (SELECT DISTINCT *, place + 1 AS line FROM ({INDEXED})), d AS (SELECT * FROM o WHERE roles = 1 AND k % 10 <> 0),
+h AS (SELECT d.path, d.name, d.line, arg_min(s.symbol_id, (s.start_line, s.symbol_id)) AS symbol_id FROM d JOIN s ON s.path = d.path AND s.name = d.name AND d.line BETWEEN s.start_line AND s.end_line GROUP BY ALL),
+n AS (SELECT DISTINCT d.path, d.name, d.line FROM d LEFT JOIN h USING (path, name, line) WHERE h.symbol_id IS NULL),
+known AS (SELECT d.symbol, arg_max(coalesce(CAST(h.symbol_id AS VARCHAR), d.path || d.name || '@' || d.line), (d.path, d.line)) AS target FROM d LEFT JOIN h USING (path, name, line) GROUP BY d.symbol),
+spans AS (SELECT path, CAST(symbol_id AS VARCHAR) AS said, start_line, end_line, symbol_id FROM s UNION ALL SELECT path, path || name || '@' || line, line, line + 60, 0 FROM n),
+b AS (SELECT *, unnest(range(start_line // 32, end_line // 32 + 1)) AS bin FROM spans), u AS (SELECT DISTINCT path, symbol, line, roles FROM o WHERE roles <> 1),
+near AS (SELECT p.path, p.line, arg_min(said, (end_line - start_line) * 1000000000000 - start_line * 1000 + symbol_id % 1000) AS source FROM (SELECT DISTINCT path, line FROM u) p JOIN b ON b.path = p.path AND b.bin = p.line // 32 AND p.line BETWEEN start_line AND end_line GROUP BY ALL)
+SELECT DISTINCT coalesce(near.source, 'file ' || u.path) AS source, CASE WHEN roles = 2 THEN 'imports' ELSE 'references' END AS relation_type, known.target, u.symbol AS target_ref, u.line FROM u LEFT JOIN near USING (path, line) LEFT JOIN known USING (symbol)""")
 def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions and references of a code index joined with the symbols found in the sources."""
-    symbols = spark.createDataFrame([(1, "a.py", "file", "file", 1, 20), (2, "a.py", "run", "function", 2, 6), (3, "a.py", "stop", "function", 8, 9)], "symbol_id long, path string, name string, kind string, start_line int, end_line int")
-    occurrences = spark.createDataFrame([("a.py", "pkg/run().", 1, [1, 4, 7]), ("a.py", "pkg/stop().", 1, [7, 4, 8]), ("a.py", "pkg/stop().", 0, [3, 4, 8]), ("a.py", "ext/print().", 8, [3, 1, 5]), ("a.py", "pkg/run().", 0, [14, 0, 3])], "path string, symbol string, roles int, range array<int>")
-    return scip.references(occurrences, symbols)
+    key, nth = F.col("l_orderkey"), F.col("l_linenumber")
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("path"), key, nth).agg((key + F.max("l_quantity").cast("long")).alias("end_line"))
+    found = found.select("path", (key * 1000 + nth * 100 + F.ascii("path")).alias("symbol_id"), F.concat(F.lit("n"), nth.cast("string")).alias("name"), F.lit("function").alias("kind"), key.alias("start_line"), "end_line")
+    files = found.select("path").distinct().select("path", (-F.ascii("path")).cast("long").alias("symbol_id"), F.lit("file").alias("name"), F.lit("file").alias("kind"), F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"))
+    at, k = F.col("o_orderkey"), F.col("o_custkey") % 300
+    name = F.concat(F.lit("n"), (at % 11).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(at % 3 == 0, "A").when(at % 3 == 1, "N").otherwise("R").alias("path"), F.concat(F.lit("pkg/"), name, F.lit("/"), k.cast("string"), F.lit("#")).alias("symbol"), name.alias("display_name"), F.when(k % 10 == 0, "variable").otherwise("method").alias("kind_name"),
+        F.when(at % 4 == 0, 1).when(at % 4 == 1, 2).otherwise(0).alias("roles"), F.array(at, F.lit(0), F.lit(5)).cast("array<int>").alias("range"), F.array(at, F.lit(0), at + 60, F.lit(1)).cast("array<int>").alias("enclosing"),
+    )
+    infos = rows.select("symbol", "kind_name", "display_name", F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("documentation")).distinct()
+    occurrences, symbols = rows.select("path", "symbol", "roles", "range", "enclosing"), found.unionByName(files)
+    added = scip.enriched(infos, occurrences, symbols).select(F.col("symbol_id").alias("_id"), F.concat("path", "qualified_name").alias("_said"))
+    names = added.union(files.select("symbol_id", F.concat(F.lit("file "), "path")))
+    said = lambda df, c, to: df.join(names, F.col(c) == F.col("_id"), "left").withColumn(to, F.coalesce("_said", F.col(c).cast("string"))).drop("_id", "_said")
+    return said(said(scip.references(infos, occurrences, symbols), "source_id", "source"), "target_id", "target").select("source", "relation_type", "target", "target_ref", F.col("line").cast("long").alias("line"))

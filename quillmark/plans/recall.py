@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, evaluation, providers, retrieval
+from quillmark.operators import chunking, evaluation, providers, retrieval, similar
 from quillmark.plans.chunks import CHILDREN, PARENTS
 from quillmark.plans.registry import query, table
 
@@ -193,3 +193,16 @@ SELECT id, coalesce(list_filter(tries, lambda t: t <> '' AND lower(t) <> lower(q
 def query_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = retrieval.rewrites(F.col("q"))
     return spark.sql(ASKS).select("id", F.coalesce(F.get(tries, F.lit(0)), F.lit("")).alias("first_rewrite"), F.size(tries).cast("long").alias("n_rewrites"))
+
+
+LINED = "SELECT doc_id * 100000 + i AS line_id, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark), t AS (SELECT term, list_distinct({grams_sql('term')}) AS h FROM w), l AS (SELECT line_id, list_distinct({grams_sql('content')}) AS g FROM ({LINED}))
+SELECT term, line_id, round({similar_sql('g', 'h')}, 6) AS similarity FROM l JOIN t ON len(g) <= len(h) / 0.3 AND len(h) <= len(g) / 0.3 WHERE len(g) > 0 AND len(h) > 0 AND {similar_sql('g', 'h')} >= 0.3""")
+def term_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark with the lines of all documents that are like it."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).distinct()
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    lines = lines.select((F.col("doc_id") * 100_000 + F.col("i") + 1).alias("line_id"), "content")
+    return similar.similar(words, lines, 0.3, ("term", "line_id"), ("term", "content")).withColumn("similarity", F.round("similarity", 6))

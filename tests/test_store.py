@@ -179,18 +179,18 @@ def encoded(*parts: tuple[int, object]) -> bytes:
 def test_binary_index_is_read_and_merged(spark):
     info = lambda name, kind, *more: encoded((1, name), (5, kind), *more)
     occurrence = lambda name, roles, *where: encoded((1, bytes(where)), (2, name), (3, roles))
-    document = encoded((1, "src/a.go"), (2, occurrence("pkg/Run().", 1, 1, 0, 3)), (2, occurrence("pkg/Base#", 1, 7, 0, 4)), (2, occurrence("pkg/Base#", 0, 2, 0, 4)), (2, occurrence("pkg/Fresh#", 1, 30, 0, 200, 1)), (3, info("pkg/Run().", 17, (4, encoded((1, "pkg/Base#"), (3, 1), (4, 1))), (4, encoded((1, "ext/X#"), (2, 1))))), (3, info("pkg/Fresh#", 7, (6, "Fresh"), (3, "doc"), (7, encoded((5, "type Fresh struct"))))))
+    document = encoded((1, "src/a.go"), (2, occurrence("pkg/Run().", 1, 1, 0, 3)), (2, occurrence("pkg/Base#", 1, 7, 0, 4)), (2, occurrence("pkg/Base#", 0, 2, 0, 4)), (2, occurrence("pkg/Fresh#", 1, 30, 0, 200, 1)), (3, info("pkg/Run().", 17, (4, encoded((1, "pkg/Base#"), (3, 1), (4, 1))), (4, encoded((1, "ext/X#"), (2, 1))))), (3, info("pkg/Base#", 7)), (3, info("pkg/Fresh#", 7, (6, "Fresh"), (3, "doc"), (7, encoded((5, "type Fresh struct"))))))
     raw = encoded((1, encoded((3, "root"))), (2, document), (3, info("ext/X#", 0)))
     rows = scip_files.index(spark.createDataFrame([("mod", bytearray(raw)), ("", None)], "prefix string, content binary"))
-    occurrences = rows.filter("record = 'occurrence'").select("path", "symbol", "roles", "range")
+    occurrences = rows.filter("record = 'occurrence'").select("path", "symbol", "roles", "range", "enclosing")
     assert occurrences.count() == 4 and occurrences.first()["path"] == "mod/src/a.go" and occurrences.first()["range"] == [1, 0, 3]
     symbols = spark.createDataFrame([(1, "mod/src/a.go", "file", "file", 1, 40), (2, "mod/src/a.go", "Run", "function", 2, 5), (3, "mod/src/a.go", "Base", "type", 8, 9)], "symbol_id long, path string, name string, kind string, start_line int, end_line int")
-    related = scip.related(rows.filter("record = 'relation'").select("symbol", "target", "relations"), occurrences, symbols)
-    assert {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"]) for r in related.collect()} == {(2, "implements", 3, "pkg/Base#"), (2, "type_definition", 3, "pkg/Base#"), (2, "related_reference", None, "ext/X#")}
     infos = rows.filter("record = 'symbol'").select("symbol", scip_files.kind_name(F.col("kind")).alias("kind_name"), "display_name", "signature", "documentation")
-    assert {(r["symbol"], r["kind_name"]) for r in infos.collect()} == {("pkg/Run().", "function"), ("pkg/Fresh#", "class"), ("ext/X#", "symbol")}
+    assert {(r["symbol"], r["kind_name"]) for r in infos.collect()} == {("pkg/Run().", "function"), ("pkg/Fresh#", "class"), ("pkg/Base#", "class"), ("ext/X#", "symbol")}
+    related = scip.related(rows.filter("record = 'relation'").select("symbol", "target", "relations"), infos, occurrences, symbols)
+    assert {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"]) for r in related.collect()} == {(2, "implements", 3, "pkg/Base#"), (2, "type_definition", 3, "pkg/Base#"), (2, "related_reference", None, "ext/X#")}
     fresh = scip.enriched(infos, occurrences, symbols).collect()
-    assert [(r["name"], r["qualified_name"], r["kind"], r["signature"], r["docstring"]) for r in fresh] == [("Fresh", "Fresh@31", "class", "type Fresh struct", "doc")]
+    assert [(r["name"], r["qualified_name"], r["kind"], r["signature"], r["docstring"], r["start_line"], r["end_line"]) for r in fresh] == [("Fresh", "Fresh@31", "class", "type Fresh struct", "doc", 1, 1)]
     name = lambda s, d: spark.range(1).select(scip.display_name(F.lit(s), F.lit(d)).alias("n")).first()["n"]
     assert (name("local 3", ""), name("a b `p`/Box#get().", ""), name("x", "Shown")) == ("3", "get", "Shown")
 
@@ -279,3 +279,17 @@ def test_tools_stay_in_their_project_and_version(store, spark):
             tools.call(at, name, arguments)
     with pytest.raises(tools.Refused):
         tools.call(tools.Pinned(store, store.scope("u1"), "p1", " "), "list_project_files", {})
+
+
+def test_references_of_an_index(spark):
+    """Recursion stays, two unknown symbols of one short name are two relations, other kinds are no targets, definitions
+    reach as far as their enclosing range."""
+    symbols = spark.createDataFrame([(1, "a", "file", "file", 1, 90, None, None), (2, "a", "run", "function", 3, 9, None, "own")], "symbol_id long, path string, name string, kind string, start_line int, end_line int, signature string, docstring string")
+    rows = [("a", "p/run().", 1, [2, 4, 7], [2, 0, 8, 1]), ("a", "p/run().", 0, [5, 0, 3], None), ("a", "x/print().", 0, [5, 0, 3], None), ("a", "y/print().", 0, [5, 4, 9], None), ("a", "y/print().", 8, [5, 12, 17], None), ("a", "p/Box#", 1, [19, 0, 3], [19, 0, 29, 1]), ("a", "p/Box#n.", 1, [21, 0, 3], None), ("a", "p/Box#n.", 0, [24, 0, 3], None), ("a", "p/Box#", 2, [80, 0, 3], None)]
+    occurrences = spark.createDataFrame(rows, "path string, symbol string, roles int, range array<int>, enclosing array<int>")
+    infos = spark.createDataFrame([("p/run().", "function", "run", "def run()", "doc"), ("p/Box#", "class", "Box", None, None), ("p/Box#n.", "variable", "n", None, None)], "symbol string, kind_name string, display_name string, signature string, documentation string")
+    box = scip.enriched(infos, occurrences, symbols).collect()
+    assert [(r["name"], r["start_line"], r["end_line"]) for r in box] == [("Box", 20, 30)]
+    found = {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"], r["line"]) for r in scip.references(infos, occurrences, symbols).collect()}
+    assert found == {(2, "references", 2, "p/run().", 6), (2, "references", None, "x/print().", 6), (2, "references", None, "y/print().", 6), (box[0]["symbol_id"], "references", None, "p/Box#n.", 25), (1, "imports", box[0]["symbol_id"], "p/Box#", 81)}
+    assert {(r["symbol_id"], r["signature"], r["docstring"]) for r in scip.completed(infos, occurrences, symbols).collect()} == {(1, None, None), (2, "def run()", "own")}
