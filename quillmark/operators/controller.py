@@ -126,31 +126,6 @@ def budget_prefix(parts: DataFrame, group: str, order: str, size: str, total: in
     return parts.withColumn("kept", F.greatest(F.lit(0), F.least(cut, F.lit(total) - before))).filter("kept > 0")
 
 
-def frames_of_chunks(chunks: DataFrame) -> DataFrame:
-    """chunks (stream_id, seq, body) as they arrived, cut anywhere: the frames, in order: stream_id, nth, event (`message`
-    if none is named), data, and seq, the chunk that ended the frame. What follows the last blank line is not a frame yet.
-
-    A frame ends in the chunk that brings its blank line, so frames are found in one stream's text and placed by the
-    running length of its chunks."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    ends = chunks.withColumn("_end", F.sum(F.length("body")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = ends.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body", "_end"))).alias("c"))
-    text = F.array_join(F.transform("c", lambda x: x["body"]), "")
-    rows = whole.select("stream_id", "c", F.posexplode(F.slice(F.split(text, "\n\n"), F.lit(1), F.size(F.split(text, "\n\n")) - 1)).alias("i", "frame"))
-    at = F.sum(F.length("frame") + 2).over(Window.partitionBy("stream_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    done = F.get(F.filter("c", lambda x: x["_end"] >= F.col("_at")), F.lit(0))["seq"]
-    found = rows.withColumn("_at", at).withColumn("seq", done).filter(F.trim("frame") != "")
-    event = F.regexp_extract("frame", r"(?m)^event:[ \t]*(.*)$", 1)
-    nth = F.row_number().over(Window.partitionBy("stream_id").orderBy("i")) - 1
-    return found.select("stream_id", nth.alias("nth"), F.when(event == "", "message").otherwise(F.trim(event)).alias("event"), F.trim(F.regexp_extract("frame", r"(?m)^data:(.*)$", 1)).alias("data"), "seq")
-
-
-def frames(streams: DataFrame) -> DataFrame:
-    """streams (stream_id, body): the `event:`/`data:` frames, in order: stream_id, nth, event, data."""
-    exploded = streams.select("stream_id", F.posexplode(F.split("body", r"\n\n")).alias("nth", "frame")).filter(F.trim("frame") != "")
-    return exploded.select("stream_id", "nth", F.regexp_extract("frame", r"(?m)^event: ?(.*)$", 1).alias("event"), F.regexp_extract("frame", r"(?m)^data: ?(.*)$", 1).alias("data"))
-
-
 def merge_deltas(deltas: DataFrame) -> DataFrame:
     """Streamed tool calls (stream_id, seq, call_index, id, name, arguments): one row for each call with its pieces in order."""
     piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "arguments"))), lambda s: F.coalesce(s["arguments"], F.lit(""))), "")

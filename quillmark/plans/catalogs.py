@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators import access, catalog, integrity, upserts
 from quillmark.plans.recall import SCOPED, scoped
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
 WITH_OWNER = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS owner, lang FROM documents"
 
@@ -176,12 +176,12 @@ def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.page(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_brand", "p_partkey"], 25, 50)
 
 
-GRANTS = "SELECT * FROM (VALUES (1, 'p1', 'read'), (1, 'p1', 'admin'), (1, 'p2', 'write'), (2, 'p1', 'read'), (2, 'p1', 'write'), (3, 'p3', 'read')) AS t(user_id, project_id, permission)"
+GRANTS = "SELECT l_suppkey AS user_id, 'p' || l_partkey AS project_id, CASE l_linenumber % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'read' ELSE 'write' END AS permission FROM lineitem UNION ALL SELECT * FROM (VALUES (1, 'p1', 'read'), (1, 'p1', 'admin'), (1, 'p2', 'write'), (2, 'p1', 'read'), (2, 'p1', 'write'), (3, 'p3', 'read')) AS t(user_id, project_id, permission)"
 
 
 @query(f"SELECT user_id, project_id, CASE max(CASE permission WHEN 'admin' THEN 3 WHEN 'write' THEN 2 ELSE 1 END) WHEN 3 THEN 'admin' WHEN 2 THEN 'write' ELSE 'read' END AS permission FROM ({GRANTS}) GROUP BY user_id, project_id")
 def permission_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.strongest(spark.sql(GRANTS), ["user_id", "project_id"], "permission", access.PERMISSIONS)
+    return catalog.strongest(own(spark, sf_dir, GRANTS), ["user_id", "project_id"], "permission", access.PERMISSIONS)
 
 
 @query("SELECT c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) AS c_custkey FROM customer GROUP BY c_nationkey")
@@ -214,13 +214,14 @@ def restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.set_status(docs, F.col("doc_id") % 2 == 0, "active").drop("invalid_reason")
 
 
-MEMBERS = """SELECT * FROM (VALUES ('w1', 'u1', 'owner', 'active', 3), ('w2', 'u1', 'viewer', 'active', 1), ('w3', 'u1', 'admin', 'left', 0), ('w1', 'u2', 'editor', 'active', 2), ('w2', 'u3', 'owner', 'active', 2)) AS t(workspace_id, user_id, role, status, joined_at)"""
+MEMBERS = """SELECT 'w' || o_orderkey % 25 AS workspace_id, 'c' || o_custkey AS user_id, CASE min(o_orderpriority) WHEN '1-URGENT' THEN 'owner' WHEN '2-HIGH' THEN 'admin' WHEN '3-MEDIUM' THEN 'editor' ELSE 'viewer' END AS role, CASE WHEN max(o_orderstatus) = 'F' THEN 'left' ELSE 'active' END AS status, CAST(min(o_orderkey) AS INTEGER) AS joined_at FROM orders GROUP BY 1, 2
+ UNION ALL SELECT * FROM (VALUES ('w1', 'u1', 'owner', 'active', 3), ('w2', 'u1', 'viewer', 'active', 1), ('w3', 'u1', 'admin', 'left', 0), ('w1', 'u2', 'editor', 'active', 2), ('w2', 'u3', 'owner', 'active', 2)) AS t(workspace_id, user_id, role, status, joined_at)"""
 
 
 @query(f"""SELECT 'earliest' AS asked, workspace_id, role FROM (SELECT * FROM ({MEMBERS}) WHERE user_id = 'u1' AND status = 'active' ORDER BY joined_at, workspace_id LIMIT 1)
 UNION ALL SELECT 'default', workspace_id, role FROM ({MEMBERS}) WHERE user_id = 'u1' AND status = 'active' AND workspace_id = 'w1' UNION ALL SELECT 'requested', workspace_id, role FROM ({MEMBERS}) WHERE user_id = 'u2' AND status = 'active' AND workspace_id = 'w1'""")
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cols = spark.sql(MEMBERS), ["workspace_id", "role"]
+    rows, cols = own(spark, sf_dir, MEMBERS), ["workspace_id", "role"]
     earliest = access.member_workspace(rows, "u1").select(F.lit("earliest").alias("asked"), *cols)
     default = access.member_workspace(rows, "u1", default="w1").select(F.lit("default").alias("asked"), *cols)
     return earliest.union(default).union(access.member_workspace(rows, "u2", requested="w1").select(F.lit("requested").alias("asked"), *cols))
@@ -228,7 +229,7 @@ def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT workspace_id, user_id, role, row_number() OVER (PARTITION BY workspace_id ORDER BY CASE role WHEN 'owner' THEN 4 WHEN 'admin' THEN 3 WHEN 'editor' THEN 2 ELSE 1 END DESC, user_id) AS nth FROM ({MEMBERS}) WHERE status = 'active'")
 def member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.members(spark.sql(MEMBERS).filter("status = 'active'")).select("workspace_id", "user_id", "role", F.col("nth").cast("long").alias("nth"))
+    return access.members(own(spark, sf_dir, MEMBERS).filter("status = 'active'")).select("workspace_id", "user_id", "role", F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'")

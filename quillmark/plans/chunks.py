@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import chunking
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
 URL_SPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -68,7 +68,7 @@ def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.uuid5(URL_SPACE, F.concat(F.lit("document:"), F.col("doc_id").cast("string"))).alias("uuid"))
 
 
-SECRETS = """SELECT * FROM (VALUES
+SECRETS = """SELECT doc_id + 1000 AS id, CASE WHEN doc_id % 7 = 0 THEN 'api_key' ELSE source END AS name, text AS value FROM documents UNION ALL SELECT conv_id * 1000 + turn + 100000000, role, 'token: ' || conv_id || '; ' || text FROM conversations UNION ALL SELECT * FROM (VALUES
  (1, 'password', '"password=hunter2; host=db"'), (2, 'dsn', 'postgres://app:s3cret@db.local:5432/kb'), (3, 'url', 'https://x.test/a?token=abc123&page=2'),
  (4, 'api_key', 'plain'), (5, 'note', 'api-key: 12345, owner: ops'), (6, 'long', 'aaaaaaaaaabbbbbbbbbbccccccccccddddddddddeeeeeeeeeeffffffffffgggggggggghhhhhhhhhhiiiiiiiiiijjjjjjjjjjkkkkkkkkkkllllllllllmmmmmmmmmmnnnnnnnnnnooooooooooppppppppppqqqqqqqqqqrrrrrrrrrrssssssssssttttttttttt'), (7, 'empty', '')
 ) AS t(id, name, value)"""
@@ -78,10 +78,10 @@ SECRETS = """SELECT * FROM (VALUES
  '(?i)(password|passwd|pwd|token|secret|api[_-]?key)\\s*[:=]\\s*([^;,&\\s]+)', '\\1=[REDACTED]', 'g'), '(?i)(://[^:/\\s]+:)[^@/\\s]+@', '\\1[REDACTED]@', 'g'), '(?i)([?&](?:token|key|signature|sig|credential)=)[^&#\\s]+', '\\1[REDACTED]', 'g') AS clean FROM ({SECRETS}))
 SELECT id, CASE WHEN length(clean) > 180 THEN substr(clean, 1, 177) || '...' ELSE clean END AS safe, CASE WHEN regexp_matches(name, '(?i)(password|passwd|pwd|token|secret|api[_-]?key|credential)') THEN '[REDACTED]' ELSE substr(trim(value), 1, 500) END AS named FROM c""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SECRETS).select("id", T.redact(F.col("value")).alias("safe"), T.redact_named(F.col("name"), F.col("value")).alias("named"))
+    return own(spark, sf_dir, SECRETS).select("id", T.redact(F.col("value")).alias("safe"), T.redact_named(F.col("name"), F.col("value")).alias("named"))
 
 
-QUESTIONS = """SELECT * FROM (VALUES (1, '这个项目是否符合规范'), (2, '报销流程是什么'), (3, '订单服务的依赖'), (4, 'hello world'), (5, 'SOP for Kafka topic'), (6, '为什么 redis 慢'), (7, 'topic owners'), (8, '架构')) AS t(id, q)"""
+QUESTIONS = """SELECT conv_id * 1000 + turn + 100 AS id, CASE conv_id % 4 WHEN 0 THEN 'topic ' WHEN 1 THEN 'SOP ' ELSE '' END || text AS q FROM conversations UNION ALL SELECT doc_id + 100000000, text FROM documents UNION ALL SELECT * FROM (VALUES (1, '这个项目是否符合规范'), (2, '报销流程是什么'), (3, '订单服务的依赖'), (4, 'hello world'), (5, 'SOP for Kafka topic'), (6, '为什么 redis 慢'), (7, 'topic owners'), (8, '架构')) AS t(id, q)"""
 
 
 def any_sql(words: list[str], column: str) -> str:
@@ -90,7 +90,7 @@ def any_sql(words: list[str], column: str) -> str:
 
 @query(f"SELECT id, CASE WHEN {any_sql(T.BOTH_WORDS, 'q')} AND {any_sql(T.BOTH_TARGETS, 'lower(q)')} THEN 'hybrid' WHEN {any_sql(T.DOCUMENT_WORDS, 'lower(q)')} THEN 'rag' WHEN {any_sql(T.CODE_WORDS, 'lower(q)')} THEN 'wiki' ELSE 'hybrid' END AS route FROM ({QUESTIONS})")
 def route_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUESTIONS).select("id", T.route(F.col("q")).alias("route"))
+    return own(spark, sf_dir, QUESTIONS).select("id", T.route(F.col("q")).alias("route"))
 
 
 TERM_SOURCE = "SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES (100001, '知识库检索 how to use Kafka_topic'), (100002, 'a b 流程'), (100003, '')) AS t(item_id, text)"
@@ -124,9 +124,13 @@ Intro words.
 tail"""
 
 
-@query()
+TITLED = "SELECT p_partkey AS doc_id, '# Title ' || p_partkey || chr(10) || chr(10) || 'Body: ' || p_type || ' end' || chr(10) || chr(10) || '## Part ' || p_size || ' ##' || chr(10) || chr(10) || 'More of ' || p_name || '.' || chr(10) AS text FROM part"
+
+
+@query("""SELECT p_partkey AS doc_id, 0 AS chunk_index, 'Title ' || p_partkey AS ref, '# Title ' || p_partkey || chr(10) || chr(10) || 'Body: ' || p_type || ' end' AS content FROM part
+UNION ALL SELECT p_partkey, 1, 'Title ' || p_partkey || ' > Part ' || p_size, '## Part ' || p_size || ' ##' || chr(10) || chr(10) || 'More of ' || p_name || '.' FROM part""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.exploded(spark.createDataFrame([(1, MARKDOWN)], "doc_id long, text string"), chunking.markdown, ["doc_id"], ["text"])
+    return chunking.exploded(own(spark, sf_dir, TITLED), chunking.markdown, ["doc_id"], ["text"])
 
 
 SOURCES = [

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import access, architecture, facts, graph
 from quillmark.functions import text as T
-from quillmark.plans.chunks import SOURCES
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
 # every line item is a symbol over as many lines as its quantity, and a place that asks for the symbol around it
 INTERVALS = "SELECT l_returnflag AS path, l_orderkey * 1000 + l_linenumber * 100 + ascii(l_returnflag) AS symbol_id, l_orderkey AS start_line, l_orderkey + CAST(max(l_quantity) AS BIGINT) AS end_line, l_orderkey + l_linenumber * 3 AS line FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber"
@@ -24,7 +23,9 @@ def interval_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.innermost(points, rows.drop("line"), ["path"]).select("point_id", "line", "symbol_id")
 
 
-FACTS = """SELECT * FROM (VALUES
+FACTS = """SELECT k * 100 + n AS fact_id, CASE n WHEN 1 THEN 'client_initialization' WHEN 2 THEN 'downstream_call' WHEN 3 THEN 'endpoint_config' WHEN 4 THEN 'kafka_topic_config' WHEN 5 THEN 'kafka_topic_producer' WHEN 6 THEN 'kafka_topic_consumer' ELSE 'mongo_collection' END AS fact_type,
+ CASE n WHEN 1 THEN 'Svc' || p || 'ServiceClient' WHEN 3 THEN 'SVC' || p || '_SERVICE_ADDR' ELSE 't' || p END AS name, CASE WHEN n < 3 THEN 'v' || k % 2 ELSE 'T' || p END AS value, CASE WHEN n IN (3, 4) OR (n = 7 AND k % 2 = 0) THEN 'deploy/f' || k || '.yaml' ELSE 'src/f' || k || '.py' END AS path
+ FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber) UNION ALL SELECT * FROM (VALUES
  (1, 'client_initialization', 'CartServiceClient', 'cart', 'src/app.py'), (2, 'downstream_call', 'GetCart', 'cart', 'src/app.py'), (3, 'downstream_call', 'GetCart', 'cart', 'src/b.py'),
  (4, 'endpoint_config', 'CART_SERVICE_ADDR', 'cart:70', 'deploy/values.yaml'), (5, 'endpoint_config', 'cart_addr', 'cart:70', 'deploy/compose.yml'), (6, 'kafka_topic_config', 'orders', 'orders', 'conf/app.yaml'),
  (7, 'kafka_topic_producer', 'orders', 'Orders', 'src/p.go'), (8, 'kafka_topic_consumer', 'orders', 'orders', 'src/c.go'), (9, 'mongo_collection', 'carts', 'carts', 'conf/app.yaml'), (10, 'mongo_collection', 'carts', 'carts', 'src/m.py'), (11, 'downstream_grpc', 'grpc-cart', 'cart:70', '.env.local')
@@ -39,16 +40,16 @@ SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'client_invokes' AS relat
 UNION SELECT a.fact_id, b.fact_id, 'configures_client', 0.9 FROM g a JOIN g b ON a.fact_type IN ('downstream_grpc', 'endpoint_config') AND a.config AND b.fact_type = 'client_initialization' AND a.identity = b.identity AND b.identity <> ''
 UNION SELECT a.fact_id, b.fact_id, 'configures_usage', 0.98 FROM g a JOIN g b ON a.config AND NOT b.config AND a.resource = b.resource AND ((a.fact_type = 'kafka_topic_config' AND b.fact_type IN ('kafka_topic_producer', 'kafka_topic_consumer')) OR (a.fact_type = 'mongo_collection' AND b.fact_type = 'mongo_collection'))""")
 def fact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.links(spark.sql(FACTS))
+    return facts.links(own(spark, sf_dir, FACTS))
 
 
-SYMBOLS = "SELECT * FROM (VALUES (1, 'a.py::run', 'run', 'run', 0), (2, 'b.py::run', 'run', 'run', 1), (3, 'b.py::Box.get', 'get', 'Box.get', 2), (4, 'c.py::get', 'get', 'get', 3), (5, 'c.py::get', 'get', 'get', 4)) AS t(symbol_id, \"key\", name, qualified_name, ordinal)"
-CALLS = "SELECT * FROM (VALUES (1, 'b.py::run', 'run'), (2, NULL, 'run'), (3, NULL, 'Box.get'), (4, NULL, 'missing'), (5, 'c.py::get', 'x'), (6, 'gone', 'get')) AS t(relation_id, target_key, target_ref)"
+SYMBOLS = "SELECT p_partkey + 100 AS symbol_id, 'f' || p_size || '::' || p_brand AS \"key\", p_brand AS name, p_type AS qualified_name, p_partkey + 100 AS ordinal FROM part UNION ALL SELECT * FROM (VALUES (1, 'a.py::run', 'run', 'run', 0), (2, 'b.py::run', 'run', 'run', 1), (3, 'b.py::Box.get', 'get', 'Box.get', 2), (4, 'c.py::get', 'get', 'get', 3), (5, 'c.py::get', 'get', 'get', 4)) AS t(symbol_id, \"key\", name, qualified_name, ordinal)"
+CALLS = "SELECT o.o_orderkey + 100 AS relation_id, CASE WHEN o.o_orderkey % 3 = 0 THEN 'f' || p.p_size || '::' || p.p_brand END AS target_key, CASE o.o_orderkey % 4 WHEN 0 THEN p.p_brand WHEN 1 THEN p.p_type WHEN 2 THEN 'missing' ELSE p.p_name END AS target_ref FROM orders o JOIN part p ON p.p_partkey = o.o_custkey UNION ALL SELECT * FROM (VALUES (1, 'b.py::run', 'run'), (2, NULL, 'run'), (3, NULL, 'Box.get'), (4, NULL, 'missing'), (5, 'c.py::get', 'x'), (6, 'gone', 'get')) AS t(relation_id, target_key, target_ref)"
 
 
 @query(f"""WITH s AS ({SYMBOLS}), r AS ({CALLS}) SELECT relation_id, coalesce((SELECT arg_max(symbol_id, ordinal) FROM s WHERE s."key" = r.target_key), (SELECT arg_min(symbol_id, ordinal) FROM s WHERE s.name = r.target_ref), (SELECT arg_min(symbol_id, ordinal) FROM s WHERE s.qualified_name = r.target_ref)) AS target_id FROM r""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.resolve(spark.sql(CALLS), spark.sql(SYMBOLS.replace('"', "`"))).select("relation_id", "target_id")
+    return facts.resolve(own(spark, sf_dir, CALLS), own(spark, sf_dir, SYMBOLS.replace('"', "`"))).select("relation_id", "target_id")
 
 
 PROJECT_FILES = "SELECT source, '/p/' || doc_id AS path, CASE doc_id % 6 WHEN 0 THEN 'app = FastAPI()' WHEN 1 THEN 'import psycopg' WHEN 2 THEN 'select vector(3)' ELSE text END AS content FROM documents"
@@ -137,14 +138,22 @@ def symbol_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(rows, 7).select("side", "relation_id", F.col("nth").cast("long").alias("nth"))
 
 
-@query()
+# each part is a module with a function and a class
+MODULES = """SELECT 'src/m' || p_partkey || '.py' AS path, 'import m' || p_size || chr(10) || chr(10) || chr(10) || 'def f' || p_partkey || '(a):' || chr(10) || '    ' || repeat(chr(34), 3) || 'Doc ' || p_size || '.' || repeat(chr(34), 3) || chr(10) || '    return g' || p_size || '(a)' || chr(10) || chr(10) || chr(10)
+ || 'class C' || p_size || ':' || chr(10) || '    def run(self):' || chr(10) || '        return f' || p_partkey || '(self)' || chr(10) AS content FROM part"""
+
+
+@query("""WITH m AS (SELECT 'src/m' || p_partkey || '.py' AS path, 'f' || p_partkey AS f, 'C' || p_size AS c, 'Doc ' || p_size || '.' AS doc FROM part)
+SELECT path, path AS name, 'file' AS qualified_name, 'file' AS kind, NULL AS signature, 1 AS start_line, 11 AS end_line, NULL AS parent, NULL AS docstring FROM m UNION ALL SELECT path, f, f, 'function', 'def ' || f || '(a):', 4, 6, NULL, doc FROM m
+UNION ALL SELECT path, c, c, 'class', 'class ' || c || ':', 9, 11, NULL, NULL FROM m UNION ALL SELECT path, 'run', c || '.run', 'function', 'def run(self):', 10, 11, c, NULL FROM m""")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.symbols(facts.extract(spark.createDataFrame(SOURCES, "path string, content string")))
+    return facts.symbols(facts.extract(own(spark, sf_dir, MODULES)))
 
 
-@query()
+@query("""WITH m AS (SELECT 'src/m' || p_partkey || '.py' AS path, 'f' || p_partkey AS f, p_size AS n FROM part)
+SELECT path, 'file' AS source, 'imports' AS relation_type, 'm' || n AS target_ref, 1 AS line, CAST(1.0 AS DOUBLE) AS confidence FROM m UNION ALL SELECT path, f, 'calls', 'g' || n, 6, 0.85 FROM m UNION ALL SELECT path, 'C' || n || '.run', 'calls', f, 11, 0.85 FROM m""")
 def code_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.relations(facts.extract(spark.createDataFrame(SOURCES, "path string, content string")))
+    return facts.relations(facts.extract(own(spark, sf_dir, MODULES)))
 
 
 CONFIGS = [
@@ -156,9 +165,13 @@ CONFIGS = [
 ]
 
 
-@query()
+SETTINGS = "SELECT 'conf/app' || p_partkey || '.yaml' AS path, 'image:' || chr(10) || '  tag: v' || p_size || chr(10) || 'replicas: ' || p_size || chr(10) || 'password: x' || p_partkey || chr(10) AS content FROM part"
+
+
+@query("""WITH f AS (SELECT 'conf/app' || p_partkey || '.yaml' AS path, p_size AS n FROM part), r AS (SELECT path, 3 AS line, 'replicas' AS key_path, CAST(n AS VARCHAR) AS value FROM f UNION ALL SELECT path, 4, 'password', '[REDACTED]' FROM f UNION ALL SELECT path, 2, 'image.tag', 'v' || n FROM f)
+SELECT *, 'yaml' AS parser_name, 'yaml' AS config_format, 'config_key' AS fact_type, 'scalar' AS value_kind, 'parsed' AS parse_status FROM r""")
 def config_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.config_facts(spark.createDataFrame(CONFIGS, "path string, content string"))
+    return facts.config_facts(own(spark, sf_dir, SETTINGS))
 
 
 PROJECT = [
@@ -195,11 +208,11 @@ def parser_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(size <= 10).alias("parsed"), F.count_if((size > 10) & (size <= 30)).alias("inventoried"), F.count_if(size > 30).alias("unsupported"))
 
 
-SCIP = "SELECT * FROM (VALUES (1, '3,0,9'), (2, '3,0,5,0'), (3, '3,0,5,2'), (4, '3,0,3,0'), (5, '3')) AS t(id, r)"
+SCIP = "SELECT o_orderkey + 100 AS id, o_custkey || CASE o_orderkey % 5 WHEN 0 THEN ',0,9' WHEN 1 THEN ',0,' || (o_custkey + o_orderkey % 3) || ',0' WHEN 2 THEN ',0,' || (o_custkey + 4) || ',2' WHEN 3 THEN ',7,8' ELSE '' END AS r FROM orders UNION ALL SELECT * FROM (VALUES (1, '3,0,9'), (2, '3,0,5,0'), (3, '3,0,5,2'), (4, '3,0,3,0'), (5, '3')) AS t(id, r)"
 
 
 @query(f"""WITH s AS (SELECT id, list_transform(string_split(r, ','), lambda x: CAST(x AS INTEGER)) AS a FROM ({SCIP}))
 SELECT id, CASE WHEN len(a) IN (3, 4) THEN a[1] + 1 ELSE 1 END AS start_line, CASE WHEN len(a) = 3 THEN a[1] + 1 WHEN len(a) = 4 THEN CASE WHEN a[4] = 0 AND a[3] > a[1] THEN a[3] ELSE a[3] + 1 END ELSE 1 END AS end_line FROM s""")
 def scip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = facts.scip_lines(F.transform(F.split("r", ","), lambda x: x.cast("int")))
-    return spark.sql(SCIP).select("id", lines["start"].alias("start_line"), lines["stop"].alias("end_line"))
+    return own(spark, sf_dir, SCIP).select("id", lines["start"].alias("start_line"), lines["stop"].alias("end_line"))

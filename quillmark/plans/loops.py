@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import controller, layout
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
+from quillmark.streaming import framing
 
-FRAMES = """SELECT 1 AS stream_id, 'event: status' || chr(10) || 'data: {"a":1}' || chr(10) || chr(10) || 'event: delta' || chr(10) || 'data: hello' || chr(10) || chr(10) AS body UNION ALL SELECT 2, 'data: bare' || chr(10) || chr(10) || 'event: done' || chr(10) || 'data: {}'"""
+# each turn is a frame, cut in the middle of its second line
+PIECES = "SELECT conv_id AS stream_id, turn * 2 AS seq, 'event: ' || role || chr(10) || 'da' AS body FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'ta: ' || replace(text, chr(10), ' ') || chr(10) || chr(10) FROM conversations"
 
 
-@query(f"""SELECT stream_id, CAST(i - 1 AS INTEGER) AS nth, regexp_extract(parts[i], '(?m)^event: ?(.*)$', 1) AS event, regexp_extract(parts[i], '(?m)^data: ?(.*)$', 1) AS data FROM (SELECT stream_id, string_split(body, chr(10) || chr(10)) AS parts FROM ({FRAMES})), generate_series(1, 9) g(i) WHERE i <= len(parts) AND trim(parts[i]) <> ''""")
+@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, role AS event, trim(replace(text, chr(10), ' ')) AS data, turn * 2 + 1 AS seq FROM conversations")
 def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controller.frames(spark.sql(FRAMES.replace("chr(10)", "char(10)")))
+    return framing.frames(own(spark, sf_dir, PIECES))
 
 
-CITED = "SELECT * FROM (VALUES (1, 'one [E1] and [E2], again [E1]', 'E1|E2', 'E1'), (2, 'none', 'E1', 'E1'), (3, 'bad [X9]', 'E1', ''), (4, '[a-b_c] [1]', '1|a-b_c', '1')) AS t(id, answer, allowed, required)"
+CITED = "SELECT conv_id * 1000 + turn + 10 AS id, text || ' [E' || turn % 3 || '] and [' || role || '-' || conv_id % 2 || '] [' || role || '!]' AS answer, 'E0|E1|user-0|assistant-0' AS allowed, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'E1' END AS required FROM conversations UNION ALL SELECT * FROM (VALUES (1, 'one [E1] and [E2], again [E1]', 'E1|E2', 'E1'), (2, 'none', 'E1', 'E1'), (3, 'bad [X9]', 'E1', ''), (4, '[a-b_c] [1]', '1|a-b_c', '1')) AS t(id, answer, allowed, required)"
 
 
 @query(f"""WITH c AS (SELECT id, list_sort(list_distinct(regexp_extract_all(answer, '\\[([A-Za-z0-9][A-Za-z0-9_-]{{0,80}})\\]', 1))) AS cited, string_split(allowed, '|') AS a, list_filter(string_split(required, '|'), lambda x: x <> '') AS r FROM ({CITED}))
@@ -25,15 +27,16 @@ SELECT id, array_to_string(cited, ',') AS cited, len(list_filter(cited, lambda x
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = T.citations(F.col("answer"))
     required = F.filter(F.split("required", "[|]"), lambda x: x != "")
-    return spark.sql(CITED).select("id", F.array_join(cited, ",").alias("cited"), (F.size(F.array_except(cited, F.split("allowed", "[|]"))) == 0).alias("all_allowed"), (F.size(F.array_except(required, cited)) == 0).alias("required_cited"))
+    return own(spark, sf_dir, CITED).select("id", F.array_join(cited, ",").alias("cited"), (F.size(F.array_except(cited, F.split("allowed", "[|]"))) == 0).alias("all_allowed"), (F.size(F.array_except(required, cited)) == 0).alias("required_cited"))
 
 
-EVIDENCE = """SELECT * FROM (VALUES
+EVIDENCE = """SELECT conv_id + 10 AS case_id, 'E' || turn AS evidence_id, CASE conv_id % 5 WHEN 0 THEN 'partial' WHEN 1 THEN 'error' ELSE 'success' END AS status, CASE WHEN turn % 2 = 0 THEN 'retrieve_rag' ELSE 'query_code_wiki' END AS capability, CASE WHEN turn % 2 = 0 THEN 'rag' ELSE 'code_wiki' END AS source_type, role AS locator, text AS content, conv_id % 11 <> 0 AS project_allowed, CASE WHEN conv_id % 13 <> 0 THEN 'c' END AS commit_id FROM conversations
+ UNION ALL SELECT * FROM (VALUES
  (1, 'E1', 'success', 'retrieve_rag', 'rag', 'doc#1', 'text', true, 'c'), (1, 'E2', 'partial', 'query_code_wiki', 'code_wiki', 'a.py:3', 'fact', true, 'c'), (2, 'E1', 'success', 'retrieve_rag', 'rag', 'doc#1', 'text', true, 'c'),
  (3, 'E1', 'error', 'retrieve_rag', 'rag', 'doc#1', 'text', true, 'c'), (4, 'E1', 'success', 'query_code_wiki', 'code_wiki', 'a.py', 'f', false, 'c'), (5, 'E1', 'success', 'retrieve_rag', 'rag', '', 'text', true, 'c'), (6, 'E1', 'success', 'retrieve_rag', 'rag', 'd', 't', true, 'c')
 ) AS t(case_id, evidence_id, status, capability, source_type, locator, content, project_allowed, commit_id)"""
-CLAIMS = "SELECT * FROM (VALUES (1, 1, 'claim one', 'E1'), (1, 2, 'claim two', 'E1|E2'), (2, 1, 'claim', 'E9'), (3, 1, 'claim', 'E1'), (4, 1, 'claim', 'E1'), (5, 1, 'claim', 'E1'), (6, 1, 'claim', 'E1')) AS t(case_id, claim_id, text, ids)"
-ASKED = "SELECT * FROM (VALUES (1, 'E1|E2'), (2, 'E9'), (3, 'E1'), (4, 'E1'), (5, 'E1'), (6, 'E1|E2'), (7, 'E1')) AS t(case_id, ids)"
+CLAIMS = "SELECT conv_id + 10 AS case_id, turn + 1 AS claim_id, 'claim' AS text, CASE WHEN turn = 0 THEN 'E0' ELSE 'E0|E' || turn END AS ids FROM conversations WHERE turn < 2 UNION ALL SELECT * FROM (VALUES (1, 1, 'claim one', 'E1'), (1, 2, 'claim two', 'E1|E2'), (2, 1, 'claim', 'E9'), (3, 1, 'claim', 'E1'), (4, 1, 'claim', 'E1'), (5, 1, 'claim', 'E1'), (6, 1, 'claim', 'E1')) AS t(case_id, claim_id, text, ids)"
+ASKED = "SELECT conv_id + 10 AS case_id, CASE WHEN conv_id % 7 = 0 THEN 'E0|E9' ELSE 'E0|E1' END AS ids FROM conversations GROUP BY conv_id UNION ALL SELECT * FROM (VALUES (1, 'E1|E2'), (2, 'E9'), (3, 'E1'), (4, 'E1'), (5, 'E1'), (6, 'E1|E2'), (7, 'E1')) AS t(case_id, ids)"
 
 
 @query(f"""WITH have AS (SELECT case_id, evidence_id FROM ({EVIDENCE}) WHERE (status = 'success' OR (status = 'partial' AND capability = 'query_code_wiki')) AND locator <> '' AND trim(content) <> '' AND (source_type <> 'code_wiki' OR (project_allowed AND commit_id IS NOT NULL))),
@@ -42,7 +45,7 @@ SELECT q.case_id, EXISTS (SELECT 1 FROM c WHERE c.case_id = q.case_id) AND NOT E
  AND NOT EXISTS (SELECT 1 FROM c WHERE c.case_id = q.case_id AND c.id NOT IN (SELECT id FROM a WHERE a.case_id = q.case_id)) AND NOT EXISTS (SELECT 1 FROM a WHERE a.case_id = q.case_id AND a.id NOT IN (SELECT id FROM c WHERE c.case_id = q.case_id)) AS can_answer FROM ({ASKED}) q""")
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.split("ids", "[|]").alias("evidence_ids")
-    return controller.answerable(spark.sql(EVIDENCE), spark.sql(CLAIMS).select("case_id", "claim_id", "text", ids), spark.sql(ASKED).select("case_id", ids))
+    return controller.answerable(own(spark, sf_dir, EVIDENCE), own(spark, sf_dir, CLAIMS).select("case_id", "claim_id", "text", ids), own(spark, sf_dir, ASKED).select("case_id", ids))
 
 
 PACKED = "SELECT conv_id AS case_id, turn AS ordinal, CASE length(text) % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'b|c' WHEN 2 THEN 'c' ELSE 'c|d' END AS ids FROM conversations"
@@ -78,14 +81,14 @@ def answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.contract(spark.createDataFrame(CONTRACTS, "case_id int, answer string, claims array<struct<text: string, evidence_ids: array<string>>>, allowed array<string>"))
 
 
-RESULTS = "SELECT * FROM (VALUES (1, 1, 1, 'a', 2), (1, 2, 1, 'b', 0), (1, 3, 2, 'a', 3), (1, 4, 3, 'c', 0), (1, 5, 4, 'd', 1), (2, 1, 1, 'a', 0), (2, 2, 2, 'b', 0), (2, 3, 3, 'b', 4)) AS t(loop_id, seq, round, fingerprint, evidence_count)"
+RESULTS = "SELECT user_id + 10 AS loop_id, event_id AS seq, CAST(floor(event_id / 700) AS INTEGER) AS round, event_type || event_id % 3 AS fingerprint, CAST(event_id % 4 AS INTEGER) AS evidence_count FROM events UNION ALL SELECT * FROM (VALUES (1, 1, 1, 'a', 2), (1, 2, 1, 'b', 0), (1, 3, 2, 'a', 3), (1, 4, 3, 'c', 0), (1, 5, 4, 'd', 1), (2, 1, 1, 'a', 0), (2, 2, 2, 'b', 0), (2, 3, 3, 'b', 4)) AS t(loop_id, seq, round, fingerprint, evidence_count)"
 
 
 @query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY loop_id, fingerprint ORDER BY seq) = 1 AND evidence_count > 0 AS moved FROM ({RESULTS})),
 r AS (SELECT loop_id, round, count(*) AS n_results, bool_or(moved) AS progress FROM p GROUP BY loop_id, round), g AS (SELECT *, sum(progress::INT) OVER (PARTITION BY loop_id ORDER BY round) AS k FROM r)
 SELECT loop_id, round, n_results, progress, s AS stale_rounds, CASE WHEN s >= 2 THEN 'no_new_evidence' END AS stop_reason FROM (SELECT *, CAST(sum((NOT progress)::INT) OVER (PARTITION BY loop_id, k ORDER BY round) AS BIGINT) AS s FROM g)""")
 def loop_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controller.progress(spark.sql(RESULTS))
+    return controller.progress(own(spark, sf_dir, RESULTS))
 
 
 ADMITTED = "SELECT user_id * 100 + day(ts) AS loop_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'list_project_files' ELSE event_type END AS name, 'q' || event_id % 4 AS arguments, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS query, 0 AS page_offset, event_id % 5 < 2 AS progress, CAST(event_id // 900 AS INTEGER) AS round FROM events"
@@ -107,12 +110,12 @@ def loop_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.admissions(calls)
 
 
-DELTAS = "SELECT * FROM (VALUES (1, 1, 0, 'c1', 'search', '{\"q\":'), (1, 2, 0, NULL, NULL, '\"a\"}'), (1, 3, 1, 'c2', 'finish', '{'), (1, 4, 1, NULL, NULL, '}'), (2, 1, 0, 'd1', 'search', NULL)) AS t(stream_id, seq, call_index, id, name, arguments)"
+DELTAS = "SELECT conv_id + 10 AS stream_id, turn AS seq, turn % 2 AS call_index, CASE WHEN turn < 2 THEN 'c' || conv_id END AS id, CASE WHEN turn < 2 THEN role END AS name, text AS arguments FROM conversations UNION ALL SELECT * FROM (VALUES (1, 1, 0, 'c1', 'search', '{\"q\":'), (1, 2, 0, NULL, NULL, '\"a\"}'), (1, 3, 1, 'c2', 'finish', '{'), (1, 4, 1, NULL, NULL, '}'), (2, 1, 0, 'd1', 'search', NULL)) AS t(stream_id, seq, call_index, id, name, arguments)"
 
 
 @query(f"SELECT stream_id, call_index, arg_min(id, seq) AS id, arg_min(name, seq) AS name, coalesce(string_agg(arguments, '' ORDER BY seq), '') AS arguments FROM ({DELTAS}) GROUP BY stream_id, call_index")
 def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controller.merge_deltas(spark.sql(DELTAS))
+    return controller.merge_deltas(own(spark, sf_dir, DELTAS))
 
 
 WORDS = [(page, 100.0 if i % 2 else 500.0, 50.0 + 60 * (i // 2), f"w{page}{i}") for page in (1, 2) for i in range(10)] + [(p, 200.0, 5.0, "Annual") for p in (1, 2)] + [(p, 260.0, 6.0, "Report") for p in (1, 2)] + [(p, 300.0, 780.0, str(p)) for p in (1, 2)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import access, catalog, controller, evaluation, facts, scip
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
 CITED = "SELECT conv_id AS answer_id, turn, role AS symbol, CAST(length(text) % 7 AS INTEGER) AS line FROM conversations"
 
@@ -37,15 +37,15 @@ def delete_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(catalog.without(projects, asked, ["c_custkey"]), "projects").union(count(kept_files, "files")).union(count(kept_symbols, "symbols"))
 
 
-CONFIG = "SELECT * FROM (VALUES ('a/compose.yml', 3, 'compose_image', 'services.web.image', 'web:1', 'docker_compose'), ('a/compose.yml', 9, 'dependency', 'services.web', 'db', 'docker_compose'), ('b/values.yaml', 1, 'helm_value', 'image.tag', 'v1', 'helm_values'), ('b/x.yaml', 4, 'config_key', 'db.host', 'Database-1', 'yaml'), ('b/x.yaml', 5, 'config_key', 'port', '80', 'yaml')) AS t(path, line, fact_type, key_path, value, config_format)"
+CONFIG = "SELECT CASE WHEN p_size % 2 = 0 THEN 'a/f' || p_size || '.yml' ELSE 'b/x' || p_size END AS path, CAST(p_partkey AS INTEGER) AS line, CASE p_size % 3 WHEN 0 THEN 'config_key' WHEN 1 THEN 'dependency' ELSE 'helm_value' END AS fact_type, p_brand AS key_path, 'db-' || p_type AS value, 'yaml' AS config_format FROM part UNION ALL SELECT * FROM (VALUES ('a/compose.yml', 3, 'compose_image', 'services.web.image', 'web:1', 'docker_compose'), ('a/compose.yml', 9, 'dependency', 'services.web', 'db', 'docker_compose'), ('b/values.yaml', 1, 'helm_value', 'image.tag', 'v1', 'helm_values'), ('b/x.yaml', 4, 'config_key', 'db.host', 'Database-1', 'yaml'), ('b/x.yaml', 5, 'config_key', 'port', '80', 'yaml')) AS t(path, line, fact_type, key_path, value, config_format)"
 
 
-@query(f"""SELECT path, line, key_path, count(*) OVER () AS matches FROM ({CONFIG}) WHERE (contains(lower(path || ' ' || key_path || ' ' || value), 'db') OR contains(lower(path || ' ' || key_path || ' ' || value), 'database')) AND (starts_with(path, 'a/') OR starts_with(path, 'b/x')) AND fact_type IN ('config_key', 'dependency') ORDER BY path, line LIMIT 1 OFFSET 1""")
+@query(f"""SELECT path, line, key_path, count(*) OVER () AS matches FROM ({CONFIG}) WHERE (contains(lower(path || ' ' || key_path || ' ' || value), 'db') OR contains(lower(path || ' ' || key_path || ' ' || value), 'database')) AND (starts_with(path, 'a/') OR starts_with(path, 'b/x')) AND fact_type IN ('config_key', 'dependency') ORDER BY path, line LIMIT 40 OFFSET 5""")
 def config_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(CONFIG)
+    rows = own(spark, sf_dir, CONFIG)
     hits = rows.filter(T.has_any(F.lower(F.concat_ws(" ", "path", "key_path", "value")), ["db", "database"]) & (F.startswith("path", F.lit("a/")) | F.startswith("path", F.lit("b/x"))) & F.col("fact_type").isin("config_key", "dependency"))
     total = hits.agg(F.count("*").alias("matches"))
-    return access.page(hits.join(F.broadcast(total)).select("path", "line", "key_path", "matches"), ["path", "line"], 1, 1, 100)
+    return access.page(hits.join(F.broadcast(total)).select("path", "line", "key_path", "matches"), ["path", "line"], 40, 5, 100)
 
 
 @query("""SELECT count(*) AS n_queries, round(avg(precision_at_k), 4) AS precision_at_k, round(avg(reciprocal_rank), 4) AS reciprocal_rank, round(avg(ndcg), 4) AS ndcg, round(avg(CAST(hit AS DOUBLE)), 4) AS hit_rate FROM (
@@ -65,14 +65,14 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.first_seen(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey"), ["l_orderkey", "l_returnflag"], "l_linenumber").drop("l_returnflag")
 
 
-URLS = "SELECT * FROM (VALUES (1, 'https://github.com/Own/repo.git'), (2, 'https://github.com/own/repo/'), (3, 'http://github.com/own/repo'), (4, 'https://github.com/own'), (5, 'https://evil.test/own/repo'), (6, ' https://github.com/a-b/c.d ')) AS t(id, u)"
+URLS = "SELECT page_id + 10 AS id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/Own' || page_id || '/repo.' || page_id % 7 || '.git' WHEN 1 THEN ' https://github.com/a-b/c' || page_id || '/ ' WHEN 2 THEN url ELSE 'http://github.com/x/' || page_id END AS u FROM pages UNION ALL SELECT * FROM (VALUES (1, 'https://github.com/Own/repo.git'), (2, 'https://github.com/own/repo/'), (3, 'http://github.com/own/repo'), (4, 'https://github.com/own'), (5, 'https://evil.test/own/repo'), (6, ' https://github.com/a-b/c.d ')) AS t(id, u)"
 
 
 @query(f"""WITH m AS (SELECT id, regexp_extract(trim(u), '^(?i)https://github\\.com/([A-Za-z0-9][A-Za-z0-9-]{{0,38}})/([A-Za-z0-9._-]+?)(?:\\.git)?/?$', 1) AS o, regexp_extract(trim(u), '^(?i)https://github\\.com/([A-Za-z0-9][A-Za-z0-9-]{{0,38}})/([A-Za-z0-9._-]+?)(?:\\.git)?/?$', 2) AS n FROM ({URLS}))
 SELECT id, CASE WHEN o <> '' THEN 'https://github.com/' || o || '/' || n || '.git' END AS url, CASE WHEN o <> '' THEN lower(o || '/' || n) END AS repository_key FROM m""")
 def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T.repository_url(F.col("u"))
-    return spark.sql(URLS).select("id", r["url"].alias("url"), F.lower(F.concat(r["owner"], F.lit("/"), r["name"])).alias("repository_key"))
+    return own(spark, sf_dir, URLS).select("id", r["url"].alias("url"), F.lower(F.concat(r["owner"], F.lit("/"), r["name"])).alias("repository_key"))
 
 
 # line items are the symbols of three files, orders what an index says of them: every fourth defines, every fourth imports

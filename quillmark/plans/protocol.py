@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators import protocol
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
-STATUSES = "SELECT * FROM (VALUES (400), (401), (418), (429), (503)) AS t(status)"
+STATUSES = "SELECT o_orderkey, CAST(400 + o_orderkey % 120 AS INTEGER) AS status FROM orders"
+CODES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in protocol.ERROR_CODES.items())
 
 
-@query(f"SELECT status, CASE status WHEN 400 THEN 'BAD_REQUEST' WHEN 401 THEN 'AUTHENTICATION_REQUIRED' WHEN 429 THEN 'RATE_LIMITED' WHEN 503 THEN 'SERVICE_UNAVAILABLE' ELSE 'HTTP_ERROR' END AS code, status IN (429, 502, 503, 504) AS retryable FROM ({STATUSES})")
+@query(f"SELECT o_orderkey, status, CASE status {CODES} ELSE 'HTTP_ERROR' END AS code, status IN (429, 502, 503, 504) AS retryable FROM ({STATUSES})")
 def error_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(STATUSES).select("status", protocol.error_code(F.col("status")).alias("code"), protocol.retryable(F.col("status")).alias("retryable"))
+    return own(spark, sf_dir, STATUSES).select("o_orderkey", "status", protocol.error_code(F.col("status")).alias("code"), protocol.retryable(F.col("status")).alias("retryable"))
 
 
-DECISIONS = [
-    (1, '{"next_action": "retrieve_rag", "route": "rag", "queries": [" a ", "", "b", "c", "d"], "reason": "r"}'), (2, '```json\n{"next_action": "answer", "claims": [{"text": "t", "evidence_ids": ["E1"]}]}\n```'),
-    (3, '{"next_action": "fly"}'), (4, '{"next_action": "query_code_wiki", "route": "rag"}'), (5, "not json"), (6, '{"next_action": "answer", "claims": [{"text": ""}]}'), (7, '{"next_action": "answer", "scope_mode": "all"}'),
-]
+SAID = """SELECT conv_id * 1000 + turn AS case_id, CASE turn % 3 WHEN 0 THEN '{"next_action": "retrieve_rag", "route": "rag", "queries": [" c' || conv_id || ' ", "", "' || role || '"], "reason": "r' || turn || '"}'
+ WHEN 1 THEN '{"next_action": "fly' || conv_id || '"}' ELSE '{"next_action": "answer", "claims": [{"text": "' || role || '", "evidence_ids": ["E1"]}]}' END AS answer FROM conversations"""
 
 
-@query()
+@query("""SELECT conv_id * 1000 + turn AS case_id, CASE turn % 3 WHEN 0 THEN 'retrieve_rag' WHEN 1 THEN 'fly' || conv_id ELSE 'answer' END AS next_action, CASE WHEN turn % 3 = 0 THEN 'rag' END AS route, CASE WHEN turn % 3 = 0 THEN 'c' || conv_id || '|' || role ELSE '' END AS queries,
+ CASE WHEN turn % 3 = 0 THEN 'r' || turn ELSE '' END AS reason, CASE WHEN turn % 3 = 1 THEN 'unsupported_action' END AS problem FROM conversations""")
 def decision_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.decisions(spark.createDataFrame(DECISIONS, "case_id int, answer string"), ["retrieve_rag", "query_code_wiki", "answer", "refuse"], ["rag", "wiki", "hybrid"])
+    found = protocol.decisions(own(spark, sf_dir, SAID), ["retrieve_rag", "query_code_wiki", "answer", "refuse"], ["rag", "wiki", "hybrid"])
+    return found.select("case_id", "next_action", "route", F.array_join("queries", "|").alias("queries"), "reason", "problem")
 
 
 EVIDENCE = "SELECT doc_id % 9 AS loop_id, doc_id AS evidence_id, CASE WHEN doc_id % 2 = 0 THEN 'code_wiki' ELSE 'rag' END AS source_type, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS project_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS commit_id, 'src1' AS anchor_project, 'en' AS anchor_commit FROM documents"

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import evaluation, integrity, listing
 from quillmark.plans.recall import SCOPED
-from quillmark.plans.registry import query, table
-from quillmark.plans.spaces import own
+from quillmark.plans.registry import own, query, table
 
 KNOWN = f"SELECT doc_id AS document_id, source AS workspace_id, CASE WHEN doc_id % 2 = 0 THEN 'rag' ELSE 'wiki' END AS source_type, scope_type, owner_user_id, owner_department_id, lang AS title, n_chars AS imported_at FROM ({SCOPED})"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators import chunking, evaluation, providers, retrieval, similar
 from quillmark.plans.chunks import CHILDREN, PARENTS
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
 
 def first_vector(vectors: DataFrame, vec_id: int) -> list[float]:
@@ -152,7 +152,8 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ranked_metrics(found.withColumn("hit", F.col("label") == F.col("wanted")), 5)
 
 
-ANSWERS = """SELECT * FROM (VALUES
+ANSWERS = """SELECT conv_id * 1000 + turn + 10 AS case_id, text || ' [' || turn % 4 || ']' || CASE WHEN conv_id % 9 = 0 THEN ' 未找到' ELSE '' END AS answer, CASE WHEN turn % 2 = 0 THEN 'the|ein|que' ELSE '' END AS terms, 'use|assi' AS source_terms, role || '|' || CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE 'none' END AS sources, conv_id % 9 = 0 AS should_refuse FROM conversations
+ UNION ALL SELECT * FROM (VALUES
  (1, 'Kafka topics are owned by ops [1] and [2].', 'kafka|owned', 'ops-guide', 'ops-guide kafka|other text', false),
  (2, '证据不足，无法回答。', 'x', 'y', 'y', true), (3, 'Nothing cited here', 'nothing|missing', 'a', 'a', false), (4, 'Wrong [9] and right [1]', '', 'zebra', 'a zebra', false)
 ) AS t(case_id, answer, terms, source_terms, sources, should_refuse)"""
@@ -164,7 +165,7 @@ SELECT case_id, round(CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda t: c
  len(list_filter(cited, lambda i: i >= 1 AND i <= len(ss) AND len(list_filter(st, lambda t: contains(lower(ss[i]), t))) > 0)) > 0 AS citation_correct, refused AS refusal_detected, refused = should_refuse AS refusal_correct FROM a""")
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "[|]"))
-    return evaluation.answer_metrics(spark.sql(ANSWERS).withColumns({c: parts(c) for c in ("terms", "source_terms", "sources")}))
+    return evaluation.answer_metrics(own(spark, sf_dir, ANSWERS).withColumns({c: parts(c) for c in ("terms", "source_terms", "sources")}))
 
 
 @query("""SELECT conv_id, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / 1000.0::DOUBLE * p), 8) AS cost FROM (SELECT conv_id, CAST(ceil(length(text) / 2.0) AS BIGINT) AS t, CASE role WHEN 'assistant' THEN 0.006::DOUBLE WHEN 'system' THEN 0.001::DOUBLE ELSE 0.002::DOUBLE END AS p FROM conversations) GROUP BY conv_id""")
@@ -184,15 +185,15 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.reranked(hits, "with the of that", 5, score).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
 
 
-ASKS = "SELECT * FROM (VALUES (1, 'how do the teams rotate their signing keys in production every year or so then?'), (2, 'rotate keys'), (3, 'a b'), (4, 'one two three')) AS t(id, q)"
+ASKS = "SELECT conv_id * 1000 + turn + 10 AS id, text AS q FROM conversations UNION ALL SELECT * FROM (VALUES (1, 'how do the teams rotate their signing keys in production every year or so then?'), (2, 'rotate keys'), (3, 'a b'), (4, 'one two three')) AS t(id, q)"
 
 
-@query(f"""WITH w AS (SELECT id, q, list_filter(regexp_split_to_array(trim(regexp_replace(q, '[^\\w\\s]+', ' ', 'g')), '\\s+'), lambda x: length(x) > 1) AS ws FROM ({ASKS})),
+@query(f"""WITH w AS (SELECT id, q, list_filter(regexp_split_to_array(trim(regexp_replace(q, '[^\\pL\\pN_\\s]+', ' ', 'g')), '\\s+'), lambda x: length(x) > 1) AS ws FROM ({ASKS})),
 c AS (SELECT id, q, [array_to_string(ws[1:12], ' '), array_to_string(ws[1:greatest(len(ws) - 1, 0)], ' '), array_to_string(ws[2:], ' '), array_to_string(ws[greatest(len(ws) - 7, 1):], ' ')] AS tries FROM w)
 SELECT id, coalesce(list_filter(tries, lambda t: t <> '' AND lower(t) <> lower(q))[1], '') AS first_rewrite, len(list_distinct(list_filter(tries, lambda t: t <> '' AND lower(t) <> lower(q)))) AS n_rewrites FROM c""")
 def query_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = retrieval.rewrites(F.col("q"))
-    return spark.sql(ASKS).select("id", F.coalesce(F.get(tries, F.lit(0)), F.lit("")).alias("first_rewrite"), F.size(tries).cast("long").alias("n_rewrites"))
+    return own(spark, sf_dir, ASKS).select("id", F.coalesce(F.get(tries, F.lit(0)), F.lit("")).alias("first_rewrite"), F.size(tries).cast("long").alias("n_rewrites"))
 
 
 LINED = "SELECT doc_id * 100000 + i AS line_id, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+OWN = re.compile(r"(FROM|JOIN) (region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\b")
+
+
+def own(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a text that both engines read alike."""
+    names = {name for _, name in OWN.findall(sql)}
+    return spark.sql(OWN.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")), **{n: table(spark, sf_dir, n) for n in names})

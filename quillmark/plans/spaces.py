@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators import workspaces as W
-from quillmark.plans.registry import query, table
+from quillmark.plans.registry import own, query, table
 
-OWN = re.compile(r"(FROM|JOIN) (region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\b")
 USERS = "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS default_workspace_id, c_mktsegment AS department_id FROM customer"
 SPACES = "SELECT n_nationkey AS workspace_id, n_name AS workspace_name, CASE WHEN n_nationkey % 2 = 0 THEN 'personal' ELSE 'team' END AS workspace_type, lower(n_name) AS normalized_name, CAST(n_nationkey * 5 + 1 AS BIGINT) AS owner_user_id, CASE WHEN n_nationkey % 7 = 6 THEN 'closed' ELSE 'active' END AS status FROM nation"
 MEMBERS = """SELECT CAST(o_orderkey % 25 AS INTEGER) AS workspace_id, o_custkey AS user_id, CASE min(o_orderpriority) WHEN '1-URGENT' THEN 'owner' WHEN '2-HIGH' THEN 'admin' WHEN '3-MEDIUM' THEN 'editor' ELSE 'viewer' END AS role,
@@ -20,12 +17,6 @@ GRANTS = "SELECT l_partkey AS project_id, l_suppkey AS user_id, CASE max(l_linen
 ACTIVE = f"SELECT m.workspace_id, m.user_id, m.role, m.joined_at, w.workspace_name FROM ({MEMBERS}) m JOIN ({SPACES}) w ON w.workspace_id = m.workspace_id WHERE m.status = 'active' AND w.status = 'active'"
 
 
-def own(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of one of the texts above, which both engines read alike."""
-    names = {name for _, name in OWN.findall(sql)}
-    return spark.sql(OWN.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")), **{n: table(spark, sf_dir, n) for n in names})
-
-
 def spaces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return own(spark, sf_dir, USERS), own(spark, sf_dir, MEMBERS), own(spark, sf_dir, SPACES)
 

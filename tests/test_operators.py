@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import access, catalog, chunking, controller, facts, graph, layout, retrieval
+from quillmark.operators import access, catalog, chunking, controller, facts, graph, layout, protocol, retrieval
 from quillmark.plans import code, loops
 from quillmark.plans.chunks import MARKDOWN, SOURCES
 from quillmark.sources import files
@@ -253,3 +253,15 @@ def test_index_merge(spark):
 
     rows = {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"], r["line"]) for r in more.index_merge(spark, "").collect()}
     assert rows == {(2, "references", 3, "stop", 4), (1, "references", 2, "run", 15), (2, "references", None, "print", 4)}
+
+
+DECISIONS = [
+    (1, '{"next_action": "retrieve_rag", "route": "rag", "queries": [" a ", "", "b", "c", "d"], "reason": "r"}'), (2, '```json\n{"next_action": "answer", "claims": [{"text": "t", "evidence_ids": ["E1"]}]}\n```'),
+    (3, '{"next_action": "fly"}'), (4, '{"next_action": "query_code_wiki", "route": "rag"}'), (5, "not json"), (6, '{"next_action": "answer", "claims": [{"text": ""}]}'), (7, '{"next_action": "answer", "scope_mode": "all"}'),
+]
+
+
+def test_decisions_are_validated(spark):
+    found = protocol.decisions(spark.createDataFrame(DECISIONS, "case_id int, answer string"), ["retrieve_rag", "query_code_wiki", "answer", "refuse"], ["rag", "wiki", "hybrid"]).collect()
+    assert {r["case_id"]: r["problem"] for r in found} == {1: None, 2: None, 3: "unsupported_action", 4: "route_action_mismatch", 5: "not_an_object", 6: "bad_claim", 7: "unsupported_scope_mode"}
+    assert {r["case_id"]: r["queries"] for r in found}[1] == ["a", "b", "c"]

@@ -6,7 +6,10 @@ import random
 
 import pytest
 
-from quillmark.operators import facts, graph, running
+from pyspark.sql import functions as F
+
+from quillmark.functions import text as T
+from quillmark.operators import facts, graph, running, similar
 
 
 @pytest.mark.parametrize("bucket", [65_536, 4])
@@ -48,3 +51,16 @@ def test_traces_equal_a_queue(spark):
     assert {(x["start_id"], x["symbol_id"], x["depth"], x["queue_position"]) for x in found.nodes.collect()} == set().union(*nodes)
     lost = {(x["start_id"], x["relation_id"], "unresolved", x["depth"]) for x in found.unresolved.collect()}
     assert {(x["start_id"], x["relation_id"], x["kind"], x["depth"]) for x in found.edges.collect()} | lost == set().union(*steps)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1.0])
+def test_similar_texts_equal_all_pairs(spark, threshold):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 7)))
+    make = lambda n, name: spark.createDataFrame([(k, r.choice([None, "", "same line", " ".join(word() for _ in range(r.randint(1, 3)))])) for k in range(n)], f"{name} int, content string")
+    left, right = make(60, "left_id"), make(90, "right_id")
+    grams = lambda df, c: df.select(df.columns[0], F.array_distinct(T.trigrams(F.col("content"))).alias(c)).filter(F.size(c) > 0)
+    pairs = grams(left, "g").join(grams(right, "h"), F.lit(True)).withColumn("s", similar.jaccard(F.col("g"), F.col("h"))).filter(F.col("s") >= threshold)
+    got = {(x["left_id"], x["right_id"]): x["similarity"] for x in similar.similar(left, right, threshold).collect()}
+    assert got == {(x["left_id"], x["right_id"]): x["s"] for x in pairs.collect()} and got
+    assert similar.similar(left.limit(0), right, threshold).count() == similar.similar(left, right.limit(0), threshold).count() == 0
