@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import architecture, catalog, chunking, facts, providers, retrieval, upserts, yamls
+from quillmark.session import cut
 from quillmark.sources import files
 
 
@@ -80,9 +81,9 @@ def scan(spark: SparkSession, root: str, project_id: str) -> dict[str, DataFrame
     inventory = files.inventory(tree)
     version = catalog.fingerprint(inventory.withColumn("project_id", F.lit(project_id)), "project_id").select("project_id", F.col("version").alias("commit_hash"))
     source = files.sources(tree)
-    found = facts.extract(source.select("path", "content"))
+    found = cut(facts.extract(source.select("path", "content")))  # both are read several times below
     everything = tree.filter(files.looked_into(F.col("path"))).select("path", files.text_of(F.col("content")).alias("content"))
-    arch = architecture.extract(everything).withColumn("fact_id", F.xxhash64("fact_type", "name", "value", "path", "line"))
+    arch = cut(architecture.extract(everything)).withColumn("fact_id", F.xxhash64("fact_type", "name", "value", "path", "line"))
     symbols = facts.symbols(found).withColumn("symbol_id", F.xxhash64("path", "qualified_name", "start_line"))
     spans = symbols.filter("kind <> 'file'").select("path", "symbol_id", "start_line", "end_line")
     attached = facts.innermost(arch.withColumn("point_id", F.col("fact_id")), spans, ["path"])
