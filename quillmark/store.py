@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import access, catalog, graph, integrity, listing, providers, retrieval, workspaces
+from quillmark.session import cut
 from quillmark.sources import files as sources
 
 
@@ -240,17 +241,25 @@ class Store:
 
     def evidence(self, scope: Scope, question: str, embedder: providers.Embedder = providers.hashed_vectors, top: int = 8, budget: int = 6_000, candidates: int = 20, rerank: Column | None = None) -> DataFrame:
         """Documents' evidence for a question: recall by vector and words under the scope, fused, reranked, as context
-        under the budget: evidence_id, rank, document_id, content, context_level, context_tokens. Without a parent, or
-        past the budget, a hit's own text stands for its context; an empty search gives no rows."""
+        under the budget: evidence_id, rank, document_id, content, context_level, context_tokens, warning.
+
+        Without a parent, or past the budget, a hit's own text stands for its context. If the reranker fails, the first
+        `top` of the fused ranking are taken and warning says `reranker_fallback`; if no context comes of them, the ranked
+        hits themselves are the evidence. An empty search gives no rows."""
         from quillmark import api
 
         who = api.Scope(scope.workspace_id, scope.user_id, scope.department_id)
         vector = [float(x) for x in embedder([question])[0]]
-        hits = api.search(self["chunks"], self["documents"], who, vector, question, ["rag"], candidates)
-        best = providers.reranked(hits, question, top, rerank).drop("rank").withColumnRenamed("new_rank", "rank")
-        found = retrieval.expand(best, self["chunks"].filter("chunk_level = 'parent'").select("chunk_id", "content"), budget)
+        hits = cut(api.search(self["chunks"], self["documents"], who, vector, question, ["rag"], candidates))
+        try:
+            best, warning = cut(providers.reranked(hits, question, top, rerank).drop("rank").withColumnRenamed("new_rank", "rank")), None
+        except Exception:  # noqa: BLE001  whatever the reranker is, its failure costs the order only
+            best, warning = hits.filter(F.col("rank") <= top), "reranker_fallback"
+        found = cut(retrieval.expand(best, self["chunks"].filter("chunk_level = 'parent'").select("chunk_id", "content"), budget))
+        if found.isEmpty():
+            found = best.select("rank", "chunk_id", "content", F.lit("child").alias("context_level"), T.token_estimate(F.col("content")).alias("context_tokens"))
         named = found.join(self["chunks"].select("chunk_id", "document_id"), "chunk_id")
-        return named.select(F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"), "rank", "document_id", "content", "context_level", "context_tokens")
+        return named.select(F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"), "rank", "document_id", "content", "context_level", "context_tokens", F.lit(warning).cast("string").alias("warning"))
 
     # operation
 

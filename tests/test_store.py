@@ -293,3 +293,18 @@ def test_references_of_an_index(spark):
     found = {(r["source_id"], r["relation_type"], r["target_id"], r["target_ref"], r["line"]) for r in scip.references(infos, occurrences, symbols).collect()}
     assert found == {(2, "references", 2, "p/run().", 6), (2, "references", None, "x/print().", 6), (2, "references", None, "y/print().", 6), (box[0]["symbol_id"], "references", None, "p/Box#n.", 25), (1, "imports", box[0]["symbol_id"], "p/Box#", 81)}
     assert {(r["symbol_id"], r["signature"], r["docstring"]) for r in scip.completed(infos, occurrences, symbols).collect()} == {(1, None, None), (2, "def run()", "own")}
+
+
+def test_evidence_survives_its_reranker(spark, store):
+    from quillmark import api
+
+    texts = [(k, "rag", f"{word} are kept in the cellar. " * 12) for k, word in enumerate(("lamps", "ropes", "maps"))]
+    docs = spark.createDataFrame([(k, "w1", kind, text, "workspace", None, None, "active") for k, kind, text in texts], "document_id long, workspace_id string, source_type string, text string, scope_type string, owner_user_id string, owner_department_id string, status string")
+    own = store.but(documents=docs, chunks=api.chunked(docs).cache())
+    scope = own.scope("u1")
+    good = own.evidence(scope, "where are the ropes", top=2).orderBy("rank").collect()
+    assert good[0]["document_id"] == 1 and {r["warning"] for r in good} == {None} and good[0]["context_level"] == "parent"
+    down = own.evidence(scope, "where are the ropes", top=2, rerank=F.raise_error(F.lit("down")).cast("double")).orderBy("rank").collect()
+    assert 1 <= len(down) <= 2 and {r["warning"] for r in down} == {"reranker_fallback"}
+    bare = own.evidence(scope, "where are the ropes", top=2, budget=0).collect()
+    assert bare and {r["context_level"] for r in bare} == {"child"}
