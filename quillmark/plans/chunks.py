@@ -141,7 +141,10 @@ SOURCES = [
 ]
 
 
+SCRIPTS = "SELECT 'src/m' || p_partkey || '.py' AS path, 'import m' || p_size || chr(10) || chr(10) || chr(10) || 'def f' || p_partkey || '(a):' || chr(10) || '    return a' || chr(10) || chr(10) || chr(10) || 'def g' || p_size || '(a):' || chr(10) || '    return f' || p_partkey || '(a)' || chr(10) AS text, 'py' AS suffix FROM part"
+
+
 @query()
 def code_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p, t, p.rpartition(".")[2]) for p, t in SOURCES], "path string, text string, suffix string")
-    return chunking.exploded(rows, chunking.by_suffix, ["path"], ["text", "suffix"])
+    return chunking.exploded(own(spark, sf_dir, SCRIPTS), chunking.by_suffix, ["path"], ["text", "suffix"])
+

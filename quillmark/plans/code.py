@@ -186,11 +186,14 @@ PROJECT = [
 ]
 
 
-@query()
-def architecture_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return architecture.extract(spark.createDataFrame(PROJECT, "path string, content string"))
+SERVICES = """SELECT 'svc/p' || p_partkey || '.py' AS path, 'app' || p_size || ' = FastAPI()' || chr(10) || chr(10) || '@app' || p_size || '.get("/items/' || p_partkey || '")' || chr(10) || 'def item' || p_partkey || '():' || chr(10) || '    return 1' || chr(10) AS content FROM part"""
 
 
+@query("""SELECT 'entrypoint' AS fact_type, 'app' || p_size AS name, 'FastAPI application' AS value, 'svc/p' || p_partkey || '.py' AS path, 1 AS line FROM part
+UNION ALL SELECT 'http_api', 'item' || p_partkey, 'GET /items/' || p_partkey, 'svc/p' || p_partkey || '.py', 4 FROM part""")
+def architecture_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a service of its own."""
+    return architecture.extract(own(spark, sf_dir, SERVICES)).select("fact_type", "name", "value", "path", "line")
 
 
 @query("""SELECT p_partkey, p_type, (SELECT count(*) FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'steel') OR contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1')) AS matches

@@ -70,15 +70,14 @@ def claim_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.pack_claims(claims, evidence, 200)
 
 
-CONTRACTS = [
-    (1, "- Kafka is used [E1]\n- Redis too [E2]", [("Kafka is used", ["E1"]), ("Redis too", ["E2"])], ["E1", "E2"]),
-    (2, "Kafka [E9]", [("Kafka", ["E1"])], ["E1"]), (3, "Kafka", [("Kafka", ["E1"])], ["E1"]), (4, "Other text [E1]", [("Kafka", ["E1"])], ["E1"]), (5, "", [("Kafka", ["E1"])], ["E1"]),
-]
+ANSWERED = "SELECT conv_id * 1000 + turn AS case_id, role, CASE turn % 4 WHEN 0 THEN '- ' || role || ' said [E1]' WHEN 1 THEN role || ' said [E9]' WHEN 2 THEN role || ' said' ELSE 'Other words [E1]' END AS answer FROM conversations"
 
 
-@query()
+@query("SELECT conv_id * 1000 + turn AS case_id, CASE turn % 4 WHEN 0 THEN 'validated' WHEN 1 THEN 'unapproved_citation' WHEN 2 THEN 'missing_required_citation' ELSE 'claim_text_or_mapping_changed' END AS reason FROM conversations")
 def answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controller.contract(spark.createDataFrame(CONTRACTS, "case_id int, answer string, claims array<struct<text: string, evidence_ids: array<string>>>, allowed array<string>"))
+    ids = F.array(F.lit("E1"))
+    claims = F.array(F.struct(F.concat("role", F.lit(" said")).alias("text"), ids.alias("evidence_ids"))).alias("claims")
+    return controller.contract(own(spark, sf_dir, ANSWERED).select("case_id", "answer", claims, ids.alias("allowed"))).select("case_id", "reason")
 
 
 RESULTS = "SELECT user_id + 10 AS loop_id, event_id AS seq, CAST(floor(event_id / 700) AS INTEGER) AS round, event_type || event_id % 3 AS fingerprint, CAST(event_id % 4 AS INTEGER) AS evidence_count FROM events UNION ALL SELECT * FROM (VALUES (1, 1, 1, 'a', 2), (1, 2, 1, 'b', 0), (1, 3, 2, 'a', 3), (1, 4, 3, 'c', 0), (1, 5, 4, 'd', 1), (2, 1, 1, 'a', 0), (2, 2, 2, 'b', 0), (2, 3, 3, 'b', 4)) AS t(loop_id, seq, round, fingerprint, evidence_count)"
@@ -118,10 +117,10 @@ def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controller.merge_deltas(own(spark, sf_dir, DELTAS))
 
 
-WORDS = [(page, 100.0 if i % 2 else 500.0, 50.0 + 60 * (i // 2), f"w{page}{i}") for page in (1, 2) for i in range(10)] + [(p, 200.0, 5.0, "Annual") for p in (1, 2)] + [(p, 260.0, 6.0, "Report") for p in (1, 2)] + [(p, 300.0, 780.0, str(p)) for p in (1, 2)]
-
-
 @query()
 def page_decoration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(1, p, 600.0, 800.0, x, x + 40, t, t + 10, w) for p, x, t, w in WORDS], "doc_id int, page int, width double, height double, x0 double, x1 double, top double, bottom double, text string")
-    return layout.page_text(layout.lines(words))
+    """Each turn of a conversation as a page, its words set in lines of ten."""
+    at = F.col("i")
+    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.posexplode(F.split("text", "[ \\n]+")).alias("i", "text")).filter("text <> ''")
+    x, top = (40.0 + at % 10 * 50).alias("x0"), (60.0 + F.floor(at / 10) * 12).cast("double")
+    return layout.page_text(layout.lines(words.select("doc_id", "page", F.lit(600.0).alias("width"), F.greatest(F.lit(800.0), top + 60).alias("height"), x, (80.0 + at % 10 * 50).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), "text")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import access, catalog, chunking, controller, facts, graph, layout, protocol, retrieval
-from quillmark.plans import code, loops
+from quillmark.plans import code
 from quillmark.plans.chunks import MARKDOWN, SOURCES
 from quillmark.sources import files
 from quillmark.streaming import limiters
@@ -129,7 +129,7 @@ def test_controller_cases(spark):
     evidence = spark.createDataFrame([(1, "a", 40), (1, "b", 40), (1, "c", 90), (1, "d", 10)], "case_id int, evidence_id string, length int")
     packed = {(r["case_id"], r["ordinal"]): r["taken"] for r in controller.pack_claims(claims, evidence, 120).collect()}
     assert packed == {(1, 1): True, (1, 2): False, (1, 3): True, (1, 4): False, (2, 1): False}
-    assert [r["reason"] for r in sorted(loops.answer_contract(spark, "").collect(), key=lambda r: r["case_id"])] == ["validated", "unapproved_citation", "missing_required_citation", "claim_text_or_mapping_changed", "empty_answer_contract"]
+    assert [r["reason"] for r in sorted(controller.contract(spark.createDataFrame(CONTRACTS, "case_id int, answer string, claims array<struct<text: string, evidence_ids: array<string>>>, allowed array<string>")).collect(), key=lambda r: r["case_id"])] == ["validated", "unapproved_citation", "missing_required_citation", "claim_text_or_mapping_changed", "empty_answer_contract"]
     log = [
         (1, 1, "search", '{"q":"a"}', "a", 0, True, 1), (1, 2, "search", '{"q":"a"}', "a", 0, False, 1), (1, 3, "list_project_files", "{}", "", 0, True, 2), (1, 4, "list_project_files", '{"offset":0}', "", 0, True, 2),
         (1, 5, "list_project_files", '{"offset":50}', "", 50, False, 3), (1, 6, "search", '{"q":"b"}', "b", 0, False, 4), (1, 7, "search", '{"q":"c"}', "c", 0, True, 5), (2, 1, "search", '{"q":"a"}', "a", 0, True, 1),
@@ -142,7 +142,8 @@ def test_controller_cases(spark):
 
 
 def test_layout_reads_columns_and_drops_headers(spark):
-    pages = loops.page_decoration(spark, "").collect()
+    words = spark.createDataFrame([(1, p, 600.0, 800.0, x, x + 40, t, t + 10, w) for p, x, t, w in WORDS], "doc_id int, page int, width double, height double, x0 double, x1 double, top double, bottom double, text string")
+    pages = layout.page_text(layout.lines(words)).collect()
     assert all(p["two_columns"] and "Annual" not in p["text"] and p["text"].startswith(f"w{p['page']}1") for p in pages)
     assert layout.SAME_LINE == 3.0
 
@@ -253,3 +254,10 @@ def test_decisions_are_validated(spark):
     found = protocol.decisions(spark.createDataFrame(DECISIONS, "case_id int, answer string"), ["retrieve_rag", "query_code_wiki", "answer", "refuse"], ["rag", "wiki", "hybrid"]).collect()
     assert {r["case_id"]: r["problem"] for r in found} == {1: None, 2: None, 3: "unsupported_action", 4: "route_action_mismatch", 5: "not_an_object", 6: "bad_claim", 7: "unsupported_scope_mode"}
     assert {r["case_id"]: r["queries"] for r in found}[1] == ["a", "b", "c"]
+
+
+CONTRACTS = [
+    (1, "- Kafka is used [E1]\n- Redis too [E2]", [("Kafka is used", ["E1"]), ("Redis too", ["E2"])], ["E1", "E2"]),
+    (2, "Kafka [E9]", [("Kafka", ["E1"])], ["E1"]), (3, "Kafka", [("Kafka", ["E1"])], ["E1"]), (4, "Other text [E1]", [("Kafka", ["E1"])], ["E1"]), (5, "", [("Kafka", ["E1"])], ["E1"]),
+]
+WORDS = [(page, 100.0 if i % 2 else 500.0, 50.0 + 60 * (i // 2), f"w{page}{i}") for page in (1, 2) for i in range(10)] + [(p, 200.0, 5.0, "Annual") for p in (1, 2)] + [(p, 260.0, 6.0, "Report") for p in (1, 2)] + [(p, 300.0, 780.0, str(p)) for p in (1, 2)]
