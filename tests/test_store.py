@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import agent, controller, layout, providers, scip
+from quillmark.operators import agent, layout, providers, scip
 from quillmark.sources import scip as scip_files
 from quillmark.store import Denied, Store, document_metadata, uploaded
 from quillmark.streaming import framing, limiters

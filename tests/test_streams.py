@@ -6,7 +6,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillmark.operators import controller
 from quillmark.streaming import framing, limiters
