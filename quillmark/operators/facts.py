@@ -121,6 +121,19 @@ def go_facts(source: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, relations
 
 
+def file_facts(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
+    """Symbols and relations of one file by its suffix, the file itself first; they have the columns of SYMBOL and RELATION
+    after the path. Of symbols with one qualified name and line the first counts."""
+    suffix = path.rpartition(".")[2].lower()
+    try:
+        found = python_facts(source) if suffix == "py" else go_facts(source) if suffix == "go" else generic_facts(source)
+    except (SyntaxError, ValueError):
+        found = generic_facts(source, "python_syntax_error")
+    n = max(1, len(source.splitlines()))
+    first = {(s[1], s[4]): s for s in reversed(found[0])}
+    return [(path, "file", "file", None, 1, n, None, None), *sorted(first.values(), key=lambda s: (s[4], s[1]))], found[1]
+
+
 def extract(sources: DataFrame) -> DataFrame:
     """sources (path, content): rows (record, symbol struct, relation struct) of all files, Arrow-batched; split them
     with `symbols` and `relations`. Of symbols with one qualified name and line the first counts."""
@@ -129,17 +142,9 @@ def extract(sources: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                source, suffix = source or "", (path or "").rpartition(".")[2].lower()
-                try:
-                    found = python_facts(source) if suffix == "py" else go_facts(source) if suffix == "go" else generic_facts(source)
-                except (SyntaxError, ValueError):
-                    found = generic_facts(source, "python_syntax_error")
-                n = max(1, len(source.splitlines()))
-                first = {(s[1], s[4]): s for s in reversed(found[0])}
-                kept = sorted(first.values(), key=lambda s: (s[4], s[1]))
-                for s in [(path, "file", "file", None, 1, n, None, None), *kept]:
-                    out.append(("symbol", path, *s, None, None, None, None, None))
-                out += [("relation", path, *[None] * 8, *r) for r in found[1]]
+                symbols, relations = file_facts(path or "", source or "")
+                out += [("symbol", path, *s, None, None, None, None, None) for s in symbols]
+                out += [("relation", path, *[None] * 8, *r) for r in relations]
             names = ["record", "path", "name", "qualified_name", "kind", "signature", "start_line", "end_line", "parent", "docstring", "source", "relation_type", "target_ref", "line", "confidence"]
             types = [pa.string()] * 6 + [pa.int32(), pa.int32()] + [pa.string()] * 5 + [pa.int32(), pa.float64()]
             cols = list(zip(*out)) if out else [()] * len(names)

@@ -30,44 +30,46 @@ def children(node: yaml.Node) -> list[tuple[str, yaml.Node, int | None]]:
     return [(str(i), v, None) for i, v in enumerate(node.value)] if isinstance(node, yaml.SequenceNode) else []
 
 
+def content(node: yaml.Node) -> str | None:
+    try:
+        return str(yaml.constructor.SafeConstructor().construct_document(node))
+    except yaml.YAMLError:
+        return None
+
+
+def node_rows(path: str, text: str) -> Iterator[tuple]:
+    try:
+        root = yaml.compose(text)
+    except yaml.YAMLError:
+        yield path, 0, [], [], "error", None, 1, 1, 1
+        return
+    stack = [iter([([], [], child, 1) for child in ([root] if root is not None else [])])]
+    nth = 0
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        keys, names, node, own_line = step
+        below = []
+        for key, child, line in children(node):
+            below.append(([*keys, key], names if line is None else [*names, key], child, line or own_line))
+        for k, n, child, line in below:
+            kind = "mapping" if isinstance(child, yaml.MappingNode) else "list" if isinstance(child, yaml.SequenceNode) else "scalar"
+            shown = str(child.value) if kind == "scalar" else content(child) if len(k) <= SHOWN else None
+            nth += 1
+            yield path, nth, k, n, kind, shown, child.start_mark.line + 1, line, own_line
+        stack.append(iter([x for x in below if not isinstance(x[2], yaml.ScalarNode)]))
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """files (path, content): NODE rows; a file that can't be read gives one row of kind `error`."""
 
-    def content(node: yaml.Node) -> str | None:
-        try:
-            return str(yaml.constructor.SafeConstructor().construct_document(node))
-        except yaml.YAMLError:
-            return None
-
-    def rows(path: str, text: str) -> Iterator[tuple]:
-        try:
-            root = yaml.compose(text)
-        except yaml.YAMLError:
-            yield path, 0, [], [], "error", None, 1, 1, 1
-            return
-        stack = [iter([([], [], child, 1) for child in ([root] if root is not None else [])])]
-        nth = 0
-        while stack:
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                continue
-            keys, names, node, own_line = step
-            below = []
-            for key, child, line in children(node):
-                below.append(([*keys, key], names if line is None else [*names, key], child, line or own_line))
-            for k, n, child, line in below:
-                kind = "mapping" if isinstance(child, yaml.MappingNode) else "list" if isinstance(child, yaml.SequenceNode) else "scalar"
-                shown = str(child.value) if kind == "scalar" else content(child) if len(k) <= SHOWN else None
-                nth += 1
-                yield path, nth, k, n, kind, shown, child.start_mark.line + 1, line, own_line
-            stack.append(iter([x for x in below if not isinstance(x[2], yaml.ScalarNode)]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in NODE.split(", ")]
         types = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
-            found = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows(p or "", t or "")]
+            found = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in node_rows(p or "", t or "")]
             cols = list(zip(*found)) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 

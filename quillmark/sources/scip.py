@@ -17,6 +17,7 @@ REL_SYMBOL, REL_REFERENCE, REL_IMPLEMENTATION, REL_TYPE, REL_DEFINITION, SIGNATU
 KINDS = "array assertion associatedtype attribute axiom boolean class constant constructor datafamily enum enummember event fact field file function getter grammar instance interface key lang lemma macro method methodreceiver message module namespace null number object operator package packageobject parameter parameterlabel pattern predicate property protocol quasiquoter selfparameter setter signature subscript string struct".split()
 
 ROW = "record string, path string, symbol string, roles int, range array<int>, enclosing array<int>, kind int, display_name string, signature string, documentation string, target string, relations array<string>"
+TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -86,17 +87,63 @@ def symbol_rows(path: str | None, data: bytes) -> Iterator[tuple]:
         yield "relation", path, text(m, SYM_NAME), None, None, None, None, None, None, None, text(r, REL_SYMBOL), said
 
 
+def record_rows(number: int, value: bytes, prefix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
+    """The rows of one record of an index; wanted names the kinds of rows to make (None: all)."""
+    if wanted is None:
+        wanted = frozenset(("occurrence", "symbol", "relation"))
+    symbols = bool({"symbol", "relation"} & wanted)
+    if number == EXTERNAL:
+        yield from (r for r in (symbol_rows(None, value) if symbols else ()) if r[0] in wanted)
+    elif number == DOCUMENTS:
+        m = message(value)
+        path = "/".join(p for p in (prefix, (text(m, DOC_PATH) or "").replace("\\", "/")) if p)
+        for o in map(message, m.get(DOC_OCCURRENCES, []) if "occurrence" in wanted else []):
+            yield "occurrence", path, text(o, OCC_SYMBOL), o.get(OCC_ROLES, [0])[-1], numbers(o.get(OCC_RANGE, [])), numbers(o.get(OCC_ENCLOSING, [])), None, None, None, None, None, None
+        for s in m.get(DOC_SYMBOLS, []) if symbols else []:
+            yield from (r for r in symbol_rows(path, s) if r[0] in wanted)
+
+
 def index_rows(data: bytes, prefix: str) -> Iterator[tuple]:
     for number, value in fields(data):
-        if number == EXTERNAL:
-            yield from symbol_rows(None, value)
-        elif number == DOCUMENTS:
-            m = message(value)
-            path = "/".join(p for p in (prefix, (text(m, DOC_PATH) or "").replace("\\", "/")) if p)
-            for o in map(message, m.get(DOC_OCCURRENCES, [])):
-                yield "occurrence", path, text(o, OCC_SYMBOL), o.get(OCC_ROLES, [0])[-1], numbers(o.get(OCC_RANGE, [])), numbers(o.get(OCC_ENCLOSING, [])), None, None, None, None, None, None
-            for s in m.get(DOC_SYMBOLS, []):
-                yield from symbol_rows(path, s)
+        if number in (DOCUMENTS, EXTERNAL):
+            yield from record_rows(number, value, prefix)
+
+
+def number_bytes(value: int) -> bytes:
+    out = bytearray()
+    while value > 0x7F:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def field(number: int, value: int | str | bytes | None) -> bytes:
+    """A field of a message; null, empty and zero values are left out."""
+    if not value:
+        return b""
+    if isinstance(value, int):
+        return number_bytes(number << 3) + number_bytes(value)
+    data = value.encode() if isinstance(value, str) else value
+    return number_bytes(number << 3 | 2) + number_bytes(len(data)) + data
+
+
+def encoded(path: str | None, rows: list[tuple]) -> bytes:
+    """The records of an index that give these ROW rows of a path; without path: a record for each external symbol."""
+    relations: dict[str | None, list[bytes]] = {}
+    for r in rows:
+        if r[0] == "relation":
+            said = set(r[11] or ())
+            flags = b"".join(field(n, int(name in said)) for n, name in ((REL_REFERENCE, "related_reference"), (REL_IMPLEMENTATION, "implements"), (REL_TYPE, "type_definition"), (REL_DEFINITION, "related_definition")))
+            relations.setdefault(r[2], []).append(field(SYM_RELATIONS, field(REL_SYMBOL, r[10]) + flags))
+    symbols = [
+        b"".join([field(SYM_NAME, r[2]), field(SYM_DOCS, r[9]), *relations.pop(r[2], []), field(SYM_KIND, r[6]), field(SYM_DISPLAY, r[7]), field(SYM_SIGNATURE, field(SIGNATURE_TEXT, r[8]))])
+        for r in rows if r[0] == "symbol"
+    ]
+    if path is None:
+        return b"".join(field(EXTERNAL, s) for s in symbols)
+    packed = lambda values: b"".join(map(number_bytes, values or ()))
+    found = [field(OCC_RANGE, packed(r[4])) + field(OCC_SYMBOL, r[2]) + field(OCC_ROLES, r[3]) + field(OCC_ENCLOSING, packed(r[5])) for r in rows if r[0] == "occurrence"]
+    return field(DOCUMENTS, b"".join([field(DOC_PATH, path), *(field(DOC_OCCURRENCES, o) for o in found), *(field(DOC_SYMBOLS, s) for s in symbols)]))
 
 
 def index(files: DataFrame) -> DataFrame:
@@ -105,12 +152,11 @@ def index(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ROW.split(", ")]
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
         for batch in batches:
             for prefix, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = list(index_rows(content or b"", prefix or ""))
                 cols = list(zip(*rows)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names)
 
     return files.select(F.col("prefix").cast("string"), F.col("content").cast("binary")).mapInArrow(run, ROW)
 
