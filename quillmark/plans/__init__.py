@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import catalogs, chunks, code, commits, loops, more, protocol, reads, recall, spaces, state, timed  # noqa: F401
+from quillmark.plans import catalogs, chunks, code, commits, loops, more, protocol, reads, recall, spaces, state, tabular, timed  # noqa: F401
 from quillmark.plans.registry import ORACLES, QUERIES, Query
 
 

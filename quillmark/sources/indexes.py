@@ -2,8 +2,10 @@
 
 An index is a message of length-delimited records, one for each document. `spans` walks the records' headers only and cuts
 an index between documents into ranges of about `split_bytes`; a task reads one range, record by record, so memory is
-bounded by the largest document, not by the index. Conditions on `path` and `record` are answered in the reader: what is
-not asked for is not decoded. Files are opened through Arrow's file systems, by path or URI.
+bounded by the largest document, not by the index. The options `records` and `only` (paths; both comma-separated) and `starts` (what a
+path begins with) are answered in the reader: what is not asked for is not decoded. They are options and not pushed
+filters, since Spark keeps one pushed state for a loaded frame: a frame that is filtered twice in one query, as in a
+self-join, would read both sides by the last filter. Files are opened through Arrow's file systems, by path or URI.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from quillmark.sources import scip
 
@@ -133,32 +135,26 @@ def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Wanted:
-    """Conditions that the reader answers: kinds of records, and paths by value or beginning. None: all."""
+    """What the reader is asked for: kinds of records, paths by value or beginning. None and empty: all."""
 
     records: frozenset[str] | None = None
     paths: frozenset[str] | None = None
-    starts: tuple[str, ...] = ()
+    starts: str = ""
+
+    @staticmethod
+    def of(options: dict[str, str]) -> Wanted:
+        listed_ = lambda name: frozenset(options[name].split(",")) if name in options else None
+        wanted = Wanted(listed_("records"), listed_("only"), options.get("starts", ""))
+        if wrong := (wanted.records or frozenset()) - {"occurrence", "symbol", "relation"}:
+            raise ValueError(f"records: {', '.join(sorted(wrong))} is not a kind of record")
+        return wanted
 
     @property
     def paths_only(self) -> bool:
         return self.paths is not None or bool(self.starts)
 
     def path(self, value: str) -> bool:
-        return (self.paths is None or value in self.paths) and all(value.startswith(s) for s in self.starts)
-
-    def take(self, filter_: Filter) -> bool:
-        """Whether the condition is one of those; it is kept then."""
-        column = filter_.attribute[0] if len(getattr(filter_, "attribute", ())) == 1 else None
-        values = {filter_.value} if isinstance(filter_, EqualTo) else set(filter_.value) if isinstance(filter_, In) else None
-        if column == "path" and isinstance(filter_, StringStartsWith):
-            self.starts += (filter_.value,)
-        elif values is None or column not in ("path", "record"):
-            return False
-        elif column == "path":
-            self.paths = frozenset(values if self.paths is None else self.paths & values)
-        else:
-            self.records = frozenset(values if self.records is None else self.records & values)
-        return True
+        return (self.paths is None or value in self.paths) and value.startswith(self.starts)
 
 
 class Span(InputPartition):
@@ -171,10 +167,7 @@ class IndexReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.location, self.prefix = options["path"], options.get("prefix", "")
         self.split_bytes = int(options.get("split_bytes", SPLIT))
-        self.wanted = Wanted()
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        yield from (f for f in filters if not self.wanted.take(f))
+        self.wanted = Wanted.of(options)
 
     def partitions(self) -> list[Span]:
         return [Span(path, *ends) for path, size in listed(self.location) for ends in cut_points(path, size, self.split_bytes) if size]
@@ -246,7 +239,6 @@ class IndexSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(IndexSource)
 
 

@@ -83,12 +83,15 @@ def test_index_is_read_as_it_was_written(spark, written):
 
 def test_conditions_are_answered_in_the_reader(spark, written, monkeypatch):
     folder, rows = written
-    df = spark.read.format("code_index").load(folder)
-    for condition in ("record = 'symbol'", "record IN ('relation', 'occurrence') AND path = 'src/m0003.go'", "path LIKE 'src/m00%' AND roles = 1", "path IS NULL", "path = 'src/m0001.go' AND path = 'src/m0002.go'", "record = 'none'"):
-        assert same(df.filter(condition), rows.filter(condition))
-    wanted = indexes.Wanted()
-    left = list(indexes.IndexReader({"path": folder}).pushFilters([indexes.EqualTo(("path",), "x"), indexes.EqualTo(("roles",), 1)]))
-    assert [f.attribute for f in left] == [("roles",)] and not wanted.paths_only
+    load = lambda **options: spark.read.format("code_index").options(**options).load(folder)
+    assert same(load(records="symbol"), rows.filter("record = 'symbol'"))
+    assert same(load(records="relation,occurrence", only="src/m0003.go,src/none.go"), rows.filter("record IN ('relation', 'occurrence') AND path = 'src/m0003.go'"))
+    assert same(load(starts="src/m00"), rows.filter("path LIKE 'src/m00%'"))
+    whole = load()
+    both = whole.filter("record = 'symbol'").alias("s").join(whole.filter("record = 'occurrence'").alias("o"), ["path", "symbol"])
+    assert both.count() == 400
+    with pytest.raises(Exception, match="not a kind of record"):
+        load(records="symbols").collect()
     decoded = []
     real = scip.record_rows
     monkeypatch.setattr(scip, "record_rows", lambda *a: decoded.append(1) or real(*a))
