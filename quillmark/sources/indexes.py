@@ -4,8 +4,8 @@ An index is a message of length-delimited records, one for each document. `spans
 an index between documents into ranges of about `split_bytes`; a task reads one range, record by record, so memory is
 bounded by the largest document, not by the index. The options `records` and `only` (paths; both comma-separated) and `starts` (what a
 path begins with) are answered in the reader: what is not asked for is not decoded. They are options and not pushed
-filters, since Spark keeps one pushed state for a loaded frame: a frame that is filtered twice in one query, as in a
-self-join, would read both sides by the last filter. Files are opened through Arrow's file systems, by path or URI.
+filters: with those, a query that filtered one loaded frame twice and joined the two gave no rows, presumably since Spark
+keeps one pushed state for a frame. Files are opened through Arrow's file systems, by path or URI.
 """
 
 from __future__ import annotations
