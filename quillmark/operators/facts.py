@@ -239,9 +239,9 @@ def links(facts: DataFrame) -> DataFrame:
     return invokes.select(cols).unionByName(configures.select(cols)).unionByName(usage.select(cols)).filter("source_id <> target_id").distinct()
 
 
-def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+def first_seen(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key. Rows that the order leaves equal are interchangeable: end it with the place in the source."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def scip_lines(range_: Column) -> Column:

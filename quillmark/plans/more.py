@@ -62,7 +62,10 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem) WHERE n = 1")
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.first_seen(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey"), ["l_orderkey", "l_returnflag"], "l_linenumber").drop("l_returnflag")
+    """Of rows with one line number the first in the file counts, as where a single thread reads it."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", *place)
+    return facts.first_seen(rows, ["l_orderkey", "l_returnflag"], "l_linenumber", "_file", "_row").drop("l_returnflag", "_file", "_row")
 
 
 URLS = "SELECT page_id + 10 AS id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/Own' || page_id || '/repo.' || page_id % 7 || '.git' WHEN 1 THEN ' https://github.com/a-b/c' || page_id || '/ ' WHEN 2 THEN url ELSE 'http://github.com/x/' || page_id END AS u FROM pages UNION ALL SELECT * FROM (VALUES (1, 'https://github.com/Own/repo.git'), (2, 'https://github.com/own/repo/'), (3, 'http://github.com/own/repo'), (4, 'https://github.com/own'), (5, 'https://evil.test/own/repo'), (6, ' https://github.com/a-b/c.d ')) AS t(id, u)"
