@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import is_page_number, line_fingerprint
+from quillmark.session import cut, spread
 
 SAME_LINE, GAP, MARGIN, MIDDLE = 3.0, 0.12, 0.14, 0.04
 LINES = "doc_id int, page int, width double, height double, top double, bottom double, x0 double, x1 double, text string"
@@ -42,7 +43,7 @@ def lines(words: DataFrame) -> DataFrame:
         if open_:
             yield pd.DataFrame([closed(open_)], columns=cols)
 
-    own = words.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0")
+    own = spread(words, "doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0")
     return own.mapInPandas(run, LINES)
 
 
@@ -59,6 +60,7 @@ def decorations(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def page_text(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """doc_id, page, two_columns, text: without page numbers and decorations; two columns are read one after the other.
     Every page is there, an emptied one with an empty text; pages (doc_id, page), if given, adds those without lines."""
+    rows = cut(rows)  # read four times
     kept = rows.withColumn("fingerprint", line_fingerprint(F.col("text"))).filter(~is_page_number(F.col("text"))).join(decorations(rows, pages), ["doc_id", "fingerprint"], "left_anti")
     mid, band = F.col("width") / 2, F.col("width") * MIDDLE
     shape = kept.groupBy("doc_id", "page").agg(

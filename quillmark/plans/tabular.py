@@ -11,7 +11,7 @@ from quillmark.functions import tables
 from quillmark.operators import layout
 from quillmark.plans.chunks import CHILDREN, PARENTS, SCRIPTS, TITLED
 from quillmark.plans.registry import own, query, table
-from quillmark.session import shared_folder
+from quillmark.session import shared_folder, spread
 from quillmark.sources import indexes, pdf, scip
 
 
@@ -71,7 +71,7 @@ def page_files(parts: DataFrame) -> DataFrame:
     place = [sum(sizes[:i], F.lit(len(head))) for i in range(len(objects) + 1)]
     table_ = [F.concat(F.lpad(p.cast("string"), 10, "0"), F.lit(" 00000 n \n")) for p in place[:-1]]
     whole = F.concat(F.lit(head), *objects, F.lit(f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n"), *table_, F.lit(f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n"), place[-1].cast("string"), F.lit("\n%%EOF\n"))
-    return parts.select(F.col("p_partkey").cast("int").alias("doc_id"), whole.cast("binary").alias("content"))
+    return spread(parts.select("p_partkey", "p_name", "p_type"), "p_partkey").select(F.col("p_partkey").cast("int").alias("doc_id"), whole.cast("binary").alias("content"))
 
 
 @query("""SELECT CAST(p_partkey AS INTEGER) AS doc_id, 1 AS page, 'Part ' || p_partkey || chr(10) || p_name AS text FROM part

@@ -34,6 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows that cost much more time than bytes over all cores: a small file is read by one task, and what follows in
+    that task would be too. The number of parts is given, since adaptive execution joins parts by their bytes."""
+    session = df.sparkSession
+    parts = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; survives lost executors."""
     shared_folder(df.sparkSession)

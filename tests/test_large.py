@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from quillmark import plans
+from quillmark.operators import architecture, facts, layout, yamls
+from quillmark.plans import tabular
+from quillmark.sources import pdf
 
 
 def test_ties_of_first_wins_go_to_the_first_in_the_file(spark, tmp_path):
@@ -16,3 +23,20 @@ def test_ties_of_first_wins_go_to_the_first_in_the_file(spark, tmp_path):
         next((tmp_path / "made" / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     got = {r["l_orderkey"]: r["l_partkey"] for r in plans.queries()["first_wins"](spark, str(tmp_path)).collect()}
     assert got == {k: k if k < 20 else 1_000 + k for k in range(400)}
+
+
+def tasks(rows) -> int:
+    return rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_the_files_of_a_small_table_are_read_by_many_tasks(spark):
+    parts = spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("red blue").alias("p_name"), F.lit("TIN").alias("p_type")).coalesce(1)
+    rows = pdf.read(tabular.page_files(parts))
+    assert tasks(rows) > 8 and tasks(layout.lines(pdf.words(rows))) > 8
+
+
+@pytest.mark.parametrize("made", [facts.extract, yamls.nodes, architecture.matches])
+def test_many_small_sources_are_parsed_by_many_tasks(spark, made):
+    text = {facts.extract: "def f(): pass", yamls.nodes: "a: 1", architecture.matches: "app = FastAPI()"}[made]
+    files = spark.range(200).select(F.format_string("src/f%d.py", "id").alias("path"), F.lit(text).alias("content")).coalesce(1)
+    assert tasks(made(files)) > 8
