@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import redact_named
+from quillmark.session import cut, spread
 
 NODE = "path string, nth int, keys array<string>, names array<string>, kind string, value string, line int, key_line int, parent_line int"
 # How Compose files are called, and the fields of a service that are facts.
 COMPOSE_FILES = ["compose.yml", "compose.yaml", "docker-compose.yml", "docker-compose.yaml"]
 COMPOSE_FIELDS = ["image", "build", "ports", "environment", "depends_on", "networks", "volumes"]
+#: The parser in C gives the same nodes in a fraction of the time; not every build of the library has it.
+LOADER = getattr(yaml, "CLoader", yaml.Loader)
 #: Containers up to this depth get their content as text.
 SHOWN = 3
 
@@ -39,7 +42,7 @@ def content(node: yaml.Node) -> str | None:
 
 def node_rows(path: str, text: str) -> Iterator[tuple]:
     try:
-        root = yaml.compose(text)
+        root = yaml.compose(text, LOADER)
     except yaml.YAMLError:
         yield path, 0, [], [], "error", None, 1, 1, 1
         return
@@ -73,7 +76,7 @@ def nodes(files: DataFrame) -> DataFrame:
             cols = list(zip(*found)) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, NODE)
+    return spread(files.select(F.col("path").cast("string"), F.col("content").cast("string")), "path").mapInArrow(run, NODE)
 
 
 def dialect(path: Column) -> Column:
@@ -98,7 +101,7 @@ def config_facts(files: DataFrame) -> DataFrame:
     parse_status, values hidden by the name of their key. Compose services and their fields, and what Helm templates
     use, come beside the plain keys. Other files than YAML give no rows."""
     own = files.select("path", F.col("content").cast("string").alias("content"), dialect(F.col("path")).alias("dialect")).filter("dialect is not null")
-    tree = nodes(own.select("path", "content")).withColumn("dialect", dialect(F.col("path")))
+    tree = cut(nodes(own.select("path", "content"))).withColumn("dialect", dialect(F.col("path")))  # read five times
     said = lambda parser, fmt, fact, key, value, how, status="parsed": [F.lit(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in zip(("parser_name", "config_format", "fact_type", "key_path", "value", "value_kind", "parse_status"), (parser, fmt, fact, key, value, how, status))]
     of_values, of_compose = F.col("dialect") == "values", F.col("dialect") == "compose"
     broken = tree.filter("kind = 'error'").select("path", "line", *said(F.when(of_compose, "docker-compose").when(of_values, "helm-values").otherwise("yaml"), F.when(of_compose, "docker_compose").when(of_values, "helm_values").otherwise("yaml"), F.when(of_values, "helm_value").otherwise("parse_error"), "$", F.when(of_compose, "Compose parse failed").otherwise("YAML parse failed"), "error", "partial"))
