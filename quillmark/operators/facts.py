@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillmark.functions.text import identity, is_config_path
 from quillmark.operators.running import before, key_of, width
 from quillmark.operators.yamls import COMPOSE_FILES, config_facts  # noqa: F401
-from quillmark.session import cut
+from quillmark.session import cut, spread
 
 # Languages by suffix, the rules of components, and which facts a configured name is matched with.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go"}
@@ -151,7 +151,7 @@ def extract(sources: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     schema = f"record string, {SYMBOL}, {RELATION.replace('path string, ', '')}"
-    return sources.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+    return spread(sources.select(F.col("path").cast("string"), F.col("content").cast("string")), "path").mapInArrow(run, schema)
 
 
 def symbols(extracted: DataFrame) -> DataFrame:
