@@ -6,7 +6,7 @@
 
 All columns of the table but the text go along; one that is named as a made column gives way to it. Null texts count as
 empty. Rows are split one by one, so no partitioning is needed; with PARTITION BY they are only dealt anew. The rows go to
-and from Python in Arrow batches.
+and from Python pickled: as Arrow batches each input row's few results would be a batch of their own.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def table_function(rows_of: Callable[..., Iterator[tuple]], made: str, inputs: t
             for row in rows_of(*(table[n] or "" for n in self.plan.inputs), *self.plan.options):
                 yield (*own, *row)
 
-    return udtf(Function, useArrow=True)
+    return udtf(Function, useArrow=False)
 
 
 def window_rows(text: str, size: int, overlap: int) -> Iterator[tuple]:

@@ -27,7 +27,7 @@ def sql_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents have a section of each name."""
     tables.register(spark)
-    return spark.sql("SELECT substring_index(ref, ' > ', -1) AS section, count(DISTINCT doc_id) AS n FROM split_markdown(TABLE({docs}) PARTITION BY doc_id, text => 'text') WHERE chunk_index = 1 GROUP BY 1", docs=own(spark, sf_dir, TITLED))
+    return spark.sql("SELECT substring_index(ref, ' > ', -1) AS section, count(DISTINCT doc_id) AS n FROM split_markdown(TABLE({docs}) PARTITION BY doc_id, text => 'text') WHERE chunk_index = 1 GROUP BY 1", docs=spread(own(spark, sf_dir, TITLED), "doc_id"))
 
 
 @query("""SELECT 'g' || p_size AS name, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS least FROM part GROUP BY p_size
@@ -35,7 +35,7 @@ UNION ALL SELECT 'f' || p_partkey, 1, CAST(p_partkey AS BIGINT) FROM part""")
 def sql_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions by name over all sources."""
     tables.register(spark)
-    return spark.sql("SELECT name, count(*) AS n, min(CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT)) AS least FROM code_symbols(TABLE({s}), path => 'path', text => 'text') WHERE kind = 'function' GROUP BY name", s=own(spark, sf_dir, SCRIPTS))
+    return spark.sql("SELECT name, count(*) AS n, min(CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT)) AS least FROM code_symbols(TABLE({s}), path => 'path', text => 'text') WHERE kind = 'function' GROUP BY name", s=spread(own(spark, sf_dir, SCRIPTS), "path"))
 
 
 @query("""SELECT 'src/m' || p_partkey || '.go' AS path, 'pkg/F' || p_partkey || '().' AS symbol, CAST(p_size AS BIGINT) AS line, p_name AS documentation FROM part WHERE p_size % 5 <> 0""")
@@ -48,7 +48,7 @@ def index_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"record": F.explode(F.array(F.lit("occurrence"), F.lit("symbol"))), "path": path, "symbol": symbol, "roles": F.when(F.col("p_size") % 5 == 0, 0).otherwise(1), "range": place, "kind": F.lit(17), "documentation": F.col("p_name")}
     rows = table(spark, sf_dir, "part").select(*[made.get(name, none).cast(kind).alias(name) if name != "record" else made["record"].alias(name) for name, kind in (c.split() for c in scip.ROW.split(", "))])
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows.sortWithinPartitions("path").write.format("code_index").mode("append").save(folder)  # the rows of a path are in one partition
+    spread(rows, "path").sortWithinPartitions("path").write.format("code_index").mode("append").save(folder)  # the rows of a path are in one partition
     read = lambda records: spark.read.format("code_index").option("split_bytes", 1 << 20).option("records", records).load(folder)
     defined = read("occurrence").filter("roles = 1").select("path", "symbol", F.col("range")[0].cast("long").alias("line"))
     said = read("symbol").select("path", "symbol", "documentation")
