@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmark.functions.text import identity, is_config_path
-from quillmark.operators.running import before, key_of, width
+from quillmark.operators.running import key_of
 from quillmark.operators.yamls import COMPOSE_FILES, config_facts  # noqa: F401
 from quillmark.session import cut, spread
 
@@ -29,6 +29,9 @@ COMPONENTS = [
 ]
 RESOURCES = {"kafka_topic_config": ["kafka_topic_producer", "kafka_topic_consumer"], "mongo_collection": ["mongo_collection"]}
 
+#: Bits of the lines of a sweep's smallest tiles, how many more the next have, and how many sizes there are before the last.
+TILE_BITS, LEVEL_BITS, LEVELS = 12, 5, 9
+
 SYMBOL = "path string, name string, qualified_name string, kind string, signature string, start_line int, end_line int, parent string, docstring string"
 RELATION = "path string, source string, relation_type string, target_ref string, line int, confidence double"
 
@@ -174,44 +177,56 @@ def components(files: DataFrame, project: str) -> DataFrame:
 
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """points (keys, point_id, line) with the narrowest interval (keys, symbol_id, start_line, end_line) around them,
-    of equal ones the latest start, then the least id; null if there is none. A key with null matches nothing.
+    of equal ones the latest start, then the least id; null if there is none. A key with null matches nothing."""
+    return around(points, intervals, keys, (F.col("end_line").cast("long") - F.col("start_line"), -F.col("start_line")), line)
+
+
+def around(points: DataFrame, intervals: DataFrame, keys: list[str], order: tuple[Column, Column], line: str = "line") -> DataFrame:
+    """points with the interval around them that comes first in the order, then by its id.
 
-    Starts and points pass in order of their lines, and a heap by width holds the intervals that are open; those that
-    have ended are dropped when they come to its top. A key is cut where no interval is open, so that a key with very many
-    rows is swept by several tasks.
+    Lines are cut into tiles, wide enough that an interval touches two at most: intervals of very different lengths have
+    tiles of their own, LEVEL_BITS apart, and a point is met at each level that occurs. In a tile starts and points pass in
+    order of their lines, and a heap holds the intervals that are open; those that have ended are dropped when they come to
+    its top. So a key with very many rows is swept by many tasks, also where intervals are open all along.
     """
-    key = key_of(*keys)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    whole = {"_start": F.lit(None).cast("long"), "_end": F.lit(None).cast("long"), "symbol_id": F.lit(None).cast(intervals.schema["symbol_id"].dataType), "point_id": F.lit(None).cast(points.schema["point_id"].dataType)}
-    side = lambda df, at, odd, own: df.filter(known & at.isNotNull()).select(key.alias("_key"), (at.cast("long") * 2 + odd).alias("_at"), *[own.get(c, v).alias(c) for c, v in whole.items()])
-    starts = side(intervals, F.col("start_line"), 0, {"_start": F.col("start_line").cast("long"), "_end": F.col("end_line").cast("long"), "symbol_id": F.col("symbol_id")})
-    rows = cut(starts.unionByName(side(points, F.col(line), 1, {"point_id": F.col("point_id")})))  # read several times
-    span = width(rows, "_at")
-    rows = before(rows, "_key", "_at", span, {"_open": (F.max, "_end")}, also="symbol_id")
-    begins = F.when(F.col("_start").isNotNull() & F.coalesce(F.col("_open") < F.col("_start"), F.lit(True)), F.col("_at"))
-    rows = before(rows.withColumn("_begins", begins), "_key", "_at", span, {"_part": (F.max, "_begins")}, also="symbol_id").withColumn("_part", F.coalesce("_begins", "_part"))
+    symbol, point = intervals.schema["symbol_id"].dataType, points.schema["point_id"].dataType
+    start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    level = F.coalesce(*[F.when(end - start < 1 << TILE_BITS + LEVEL_BITS * i, i) for i in range(LEVELS)], F.lit(LEVELS))
+    tile = lambda at: F.expr(f"shiftright({at}, {TILE_BITS} + {LEVEL_BITS} * _level)")
+    spans = intervals.filter(known & (start <= end)).select(key_of(*keys).alias("_key"), level.alias("_level"), start.alias("_start"), end.alias("_end"), *[c.cast("long").alias(n) for c, n in zip(order, ("_a", "_b"))], "symbol_id")
+    spans = cut(spans)  # read for the levels and for the sweep
+    levels = sorted(r["_level"] for r in spans.select("_level").distinct().collect())
+    if not levels:
+        return points.withColumn("symbol_id", F.lit(None).cast(symbol))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    starts = spans.withColumn("_tile", F.explode(F.array_distinct(F.array(tile("_start"), tile("_end"))))).select("_key", "_level", "_tile", (F.col("_start") * 2).alias("_at"), "_end", "_a", "_b", "symbol_id", none(point, "point_id"))
+    spots = points.filter(known & F.col(line).isNotNull()).select(key_of(*keys).alias("_key"), F.col(line).cast("long").alias("_line"), "point_id", F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    spots = spots.select("_key", "_level", tile("_line").alias("_tile"), (F.col("_line") * 2 + 1).alias("_at"), *[none("long", n) for n in ("_end", "_a", "_b")], none(symbol, "symbol_id"), "point_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, open_ = None, []
         for batch in batches:
-            ids, found = [], []
-            for k, part, place, start, end, symbol, point in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, part) != at:
-                    at, open_ = (k, part), []
+            found = []
+            for k, lev, part, place, end, a, b, symbol, point in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, lev, k) != at:
+                    at, open_ = (part, lev, k), []
                 if point is None:
-                    heapq.heappush(open_, (end - start, -start, symbol, end))
+                    heapq.heappush(open_, (a, b, symbol, end))
                     continue
                 while open_ and open_[0][3] < place >> 1:
                     heapq.heappop(open_)
                 if open_:
-                    ids.append(point)
-                    found.append(open_[0][2])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(found, kinds[1])], ["point_id", "symbol_id"])
-
-    kinds = [to_arrow_type(points.schema["point_id"].dataType), to_arrow_type(intervals.schema["symbol_id"].dataType)]
-    swept = rows.select("_key", "_part", "_at", "_start", "_end", "symbol_id", "point_id").repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at", F.asc_nulls_last("symbol_id"))
-    best = swept.mapInArrow(run, f"point_id {points.schema['point_id'].dataType.simpleString()}, symbol_id {intervals.schema['symbol_id'].dataType.simpleString()}")
-    return points.join(best, "point_id", "left")
+                    found.append((point, *open_[0][:3]))
+            cols = list(zip(*found)) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["point_id", "_a", "_b", "symbol_id"])
+
+    kinds = [to_arrow_type(point), pa.int64(), pa.int64(), to_arrow_type(symbol)]
+    swept = spread(starts.unionByName(spots), "_key", "_level", "_tile").sortWithinPartitions("_key", "_level", "_tile", "_at")
+    best = swept.mapInArrow(run, f"point_id {point.simpleString()}, _a long, _b long, symbol_id {symbol.simpleString()}")
+    if len(levels) > 1:
+        best = best.groupBy("point_id").agg(F.min(F.struct("_a", "_b", "symbol_id")).alias("_best")).select("point_id", "_best.symbol_id")
+    return points.join(best.select("point_id", "symbol_id"), "point_id", "left")
 
 
 def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -55,3 +57,18 @@ def test_totals_of_scopes_equal_the_lists(spark):
     lists = {r["user_id"]: r["allowed_project_ids"] for r in workspaces.scopes(*args).collect()}
     got = {r["user_id"]: (r["n_projects"], r["ids"]) for r in workspaces.scope_totals(*args).collect()}
     assert got == {k: (len(v), sum(v)) for k, v in lists.items()}
+
+
+@pytest.mark.parametrize("bits", [12, 1])
+def test_intervals_that_are_open_all_along_are_swept_by_many_tasks(spark, monkeypatch, bits):
+    monkeypatch.setattr(facts, "TILE_BITS", bits)
+    r = random.Random(bits)
+    spans = [(k, s := r.randrange(-50, 60_000), s + r.choice([-1, 0, 3, 40, 700, 9_000, 10**12])) for k in range(400)]
+    spots = [(1_000 + k, r.randrange(-60, 70_000)) for k in range(300)]
+    intervals = spark.createDataFrame([("f", *x) for x in spans], "path string, symbol_id long, start_line long, end_line long")
+    points = spark.createDataFrame([("f", *x) for x in spots], "path string, point_id long, line long")
+    first = facts.around(points, intervals, ["path"], (F.col("start_line"), F.lit(0)))
+    within = lambda line: [(k, s, e) for k, s, e in spans if s <= line <= e]
+    assert {x["point_id"]: x["symbol_id"] for x in first.collect()} == {k: min(((s, i) for i, s, _ in within(line)), default=(0, None))[1] for k, line in spots}
+    narrow = facts.innermost(points, intervals, ["path"])
+    assert {x["point_id"]: x["symbol_id"] for x in narrow.collect()} == {k: min(((e - s, -s, i) for i, s, e in within(line)), default=(0, 0, None))[2] for k, line in spots}
