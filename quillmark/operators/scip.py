@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.facts import innermost, scip_lines
+from quillmark.operators.facts import around, innermost, scip_lines
+from quillmark.operators.running import key_of
 from quillmark.session import cut
 
 DEFINITION, IMPORT = 1, 2
@@ -45,13 +46,15 @@ def defined(infos: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> Dat
     name = display_name(F.col("symbol"), F.coalesce("display_name", F.lit("")))
     found = located(occurrences).filter("defines").join(infos, "symbol").withColumn("name", name).filter(F.col("kind_name").isin(KINDS) & (F.col("name") != "unknown"))
     found = found.select("path", "symbol", "line", "name", F.col("kind_name").alias("kind"), "signature", F.col("documentation").alias("docstring"), "start_line", "end_line")
-    have = symbols.filter("kind <> 'file'").select("path", "name", "symbol_id", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    around = found.select("path", "name", "line").distinct().join(have, ["path", "name"]).filter(F.col("line").between(F.col("_a"), F.col("_b")))
-    first = around.groupBy("path", "name", "line").agg(F.min_by("symbol_id", F.struct("_a", "symbol_id")).alias("_have"))
-    rows = found.join(first, ["path", "name", "line"], "left")
+    found = cut(found)  # read for the places and for the rows
+    places = lambda rows: rows.select("path", "name", "line").distinct().withColumn("point_id", key_of("path", "name", "line"))
+    have = symbols.filter("kind <> 'file'").select("path", "name", "symbol_id", "start_line", "end_line")
+    first = around(places(found), have, ["path", "name"], (F.col("start_line"), F.lit(0))).filter("symbol_id is not null").select("path", "name", "line", F.col("symbol_id").alias("_have"))
+    rows = cut(found.join(first, ["path", "name", "line"], "left"))
     new = rows.filter("_have is null").groupBy("path", "name", F.col("line").alias("_line")).agg(F.min("start_line").alias("_a"), F.max("end_line").alias("_b"))
-    inside = rows.filter("_have is null").select("path", "name", "line").distinct().join(new, ["path", "name"]).filter((F.col("line") == F.col("_line")) | ((F.col("_line") < F.col("line")) & F.col("line").between(F.col("_a"), F.col("_b"))))
-    rows = rows.join(inside.groupBy("path", "name", "line").agg(F.min("_line").alias("_line")), ["path", "name", "line"], "left")
+    earlier = new.select("path", "name", F.col("_line").cast("long").alias("symbol_id"), F.greatest("_a", F.col("_line") + 1).alias("start_line"), F.col("_b").alias("end_line"))
+    inside = around(places(rows.filter("_have is null")), earlier, ["path", "name"], (F.col("symbol_id"), F.lit(0))).select("path", "name", "line", F.coalesce(F.col("symbol_id").cast(rows.schema["line"].dataType), "line").alias("_line"))
+    rows = rows.join(inside, ["path", "name", "line"], "left")
     made = F.xxhash64("path", "name", "_line")
     return rows.select(*found.columns, F.coalesce("_have", made).alias("symbol_id"), (F.col("_have").isNull() & (F.col("line") == F.col("_line"))).alias("fresh"))
 
