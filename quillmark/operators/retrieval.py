@@ -14,6 +14,8 @@ from quillmark.functions.text import TRIGRAM_THRESHOLD, cosine, keyword_terms, t
 RRF_K, PER_DOCUMENT = 60, 3
 #: Queries that are sent to the executors at a time.
 QUERY_BLOCK = 4_096
+#: Scores of a batch of vectors with queries that a worker holds at a time (8 bytes each).
+SCORES_AT_ONCE = 1 << 20
 
 
 def visible(user: str | None, department: str | None) -> Column:
@@ -31,7 +33,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = QU
     rank, ties by vec_id. Vectors without length, and of another length than the query, have no score.
 
     Queries are handled `block` at a time, which bounds what is sent to the executors. There a batch of vectors meets the
-    block in one matrix product, and only a batch's k best of each query leave it. The scan is repeated for each block.
+    block in matrix products of bounded size, and only a batch's k best of each query leave it. The scan is repeated for each block.
     """
     rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
     n = rows.count()
@@ -66,10 +68,12 @@ def _best_of_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]],
                 v = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
                 length = np.sqrt((v * v).sum(axis=1))
                 rows, v = rows[length > 0], v[length > 0] / length[length > 0, None]
-                scores = m @ v.T
-                for name, s in zip(names, scores):
-                    top = np.lexsort((ids[rows], -s))[:k] if len(s) <= 4 * k else _top(s, ids[rows], k)
-                    out.append((np.full(len(top), name, np.int64), ids[rows][top], s[top]))
+                own = ids[rows]
+                step = max(1, SCORES_AT_ONCE // max(1, len(v)))
+                for at in range(0, len(names), step):
+                    for name, s in zip(names[at : at + step], m[at : at + step] @ v.T):
+                        top = np.lexsort((own, -s))[:k] if len(s) <= 4 * k else _top(s, own, k)
+                        out.append((np.full(len(top), name, np.int64), own[top], s[top]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, vec_id long, score double")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from quillmark import plans
-from quillmark.operators import architecture, facts, layout, workspaces, yamls
+from quillmark.operators import architecture, chunking, facts, layout, retrieval, workspaces, yamls
 from quillmark.plans import tabular
 from quillmark.sources import pdf
 
@@ -72,3 +74,39 @@ def test_intervals_that_are_open_all_along_are_swept_by_many_tasks(spark, monkey
     assert {x["point_id"]: x["symbol_id"] for x in first.collect()} == {k: min(((s, i) for i, s, _ in within(line)), default=(0, None))[1] for k, line in spots}
     narrow = facts.innermost(points, intervals, ["path"])
     assert {x["point_id"]: x["symbol_id"] for x in narrow.collect()} == {k: min(((e - s, -s, i) for i, s, e in within(line)), default=(0, 0, None))[2] for k, line in spots}
+
+
+class Caught:
+    """Stands for a table: keeps the function that would run on its batches."""
+
+    schema = {"doc_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})()}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_pieces_of_a_large_batch_leave_in_small_ones(spark):
+    caught = chunking.exploded(Caught(), lambda text: [(w, "") for w in chunking.windows(text, 50, 0)], ["doc_id"], ["text"])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1_000)), "text": ["some words " * 20] * 1_000})
+    made = list(caught.run(iter([batch])))
+    assert max(len(set(b.column("doc_id").to_pylist())) for b in made) <= 128
+    assert sorted({i for b in made for i in b.column("doc_id").to_pylist()}) == list(range(1_000))
+
+
+def test_scores_of_many_queries_are_held_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 5_000)
+    r = np.random.default_rng(1)
+    v = r.normal(size=(1_000, 8))
+    caught = retrieval._best_of_batches(Caught(), [(i, list(q)) for i, q in enumerate(v[:40])], 3)
+    widest = []
+    top = retrieval._top
+    monkeypatch.setattr(retrieval, "_top", lambda s, ids, k: widest.append(s.base.size) or top(s, ids, k))
+    found = next(caught.run(iter([pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(v.tolist())], ["a", "b"])]))).to_pydict()
+    assert max(widest) <= 5_000
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = np.argsort(-(unit[:40] @ unit.T), axis=1)[:, :3]
+    assert found["query_id"] == [i for i in range(40) for _ in range(3)] and found["vec_id"] == best.ravel().tolist()
