@@ -23,7 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.kept(docs, language.fit(docs), LEAST_KNOWN)
+    """What is in no learnt language goes; the others carry the language found, by which the last stage packs."""
+    return language.named(docs, language.fit(docs), LEAST_KNOWN)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096, by="lang")
 
 
 STAGES = [("toxicity", toxicity_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("substrings", substring_stage), ("packing", packing_stage)]

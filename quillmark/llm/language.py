@@ -130,6 +130,21 @@ def kept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     return docs.filter(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
+def named(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """As kept, with the language found in place of docs' own column lang (which stays if nothing was learnt)."""
+    rows = kept(docs, model, least)
+    if model is None:
+        return rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(lambda batches: (pd.Series(best(shared.value, b.tolist())[0], dtype=object) for b in batches))(texts)
+
+    said = found(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rows.select(*[said.alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of each row of docs (columns doc_id, text; others are ignored).
 

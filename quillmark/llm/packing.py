@@ -169,44 +169,56 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """Cut each document's ids (its text's, then `end_id`) into full windows and one rest: one row for each piece."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, by: str | None = None) -> DataFrame:
+    """Cut each document's ids (its text's, then `end_id`) into full windows and one rest: one row for each piece, with the
+    document's value of `by` as part (empty without one)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            out: list[tuple[int | None, int, int, int, int]] = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            out: list[tuple[int | None, int, int, int, int, str]] = []
+            for doc_id, part, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += end
                 n = len(raw) // 4
-                out.extend((doc_id, a, min(window, n - a), zlib.crc32(raw[4 * a : 4 * (a + window)]), n) for a in range(0, n, window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                out.extend((doc_id, a, min(window, n - a), zlib.crc32(raw[4 * a : 4 * (a + window)]), n, part) for a in range(0, n, window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int64()] * 5 + [pa.string()])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut_up), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    part = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part")).mapInArrow(tidy(cut_up), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part string")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, by: str | None = None) -> DataFrame:
     """Pack documents (columns doc_id, text; others are ignored) into sequences of at most `window` tokens.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty
     text is the end id alone. An empty table gives no rows. Repeated rows are packed as often as they occur; null ids
     are kept. Pieces of one length are numbered in order of (doc_id, start, ids_crc32); rows equal in all three are
-    interchangeable.
+    interchangeable. A sequence holds documents of one value of the column `by` (few values), if it is given.
     """
     ready(docs.sparkSession)
-    cutted = cut(pieces(docs, tokenizer, end_id, window))
-    counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rules = plan(counts, window)
-    keys = rules[:, 0] << 48 | rules[:, 1]
+    cutted = cut(pieces(docs, tokenizer, end_id, window, by))
+    counts: dict[str, dict[int, int]] = {}
+    for r in cutted.groupBy("part", "length").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["part"], {})[r["length"]] = r["n"]
+    plans, first = {}, 0
+    for part in sorted(counts):  # the sequences of a part follow those of the part before
+        rules = plan(counts[part], window)
+        rules[:, 2] += first
+        last = [rule[2] + -(-(n - rule[1]) // rule[4]) for rule, n in zip(rules, [*np.where(rules[1:, 0] == rules[:-1, 0], rules[1:, 1], [counts[part][x] for x in rules[:-1, 0].tolist()]), counts[part][int(rules[-1, 0])]])]
+        plans[part], first = (rules, rules[:, 0] << 48 | rules[:, 1]), int(max(last))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            rule = rules[np.searchsorted(keys, length << 48 | rank, side="right") - 1]
+            parts, rule = np.array(batch.column("part").to_pylist(), dtype=object), np.zeros((batch.num_rows, 5), np.int64)
+            for part in set(parts.tolist()):
+                own = parts == part
+                rules, keys = plans[part]
+                rule[own] = rules[np.searchsorted(keys, length[own] << 48 | rank[own], side="right") - 1]
             nth, each = rank - rule[:, 1], rule[:, 4]
             cols |= {"sequence_id": pa.array(rule[:, 2] + nth // each), "offset": pa.array(rule[:, 3] + nth % each * length)}
             yield pa.RecordBatch.from_pydict(cols)
 
-    ranked = numbered(cutted, ["length"], ["doc_id", "start", "ids_crc32"], "rank", sum(counts.values()))
+    ranked = numbered(cutted, ["part", "length"], ["doc_id", "start", "ids_crc32"], "rank", sum(sum(c.values()) for c in counts.values()))
     return ranked.mapInArrow(tidy(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

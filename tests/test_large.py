@@ -110,3 +110,18 @@ def test_scores_of_many_queries_are_held_in_parts(spark, monkeypatch):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     best = np.argsort(-(unit[:40] @ unit.T), axis=1)[:, :3]
     assert found["query_id"] == [i for i in range(40) for _ in range(3)] and found["vec_id"] == best.ravel().tolist()
+
+
+def test_the_language_found_decides_what_is_packed_together(spark, tmp_path):
+    corpus_pipeline, lorem = pytest.importorskip("corpus_pipeline"), lambda k, letters: " ".join("".join(random.Random(f"{k} {i}").choices(letters, k=6)) for i in range(60))
+    own = {"x": "abcdefgh", "y": "opqrstuv"}
+    rows = [(k, lorem(k, own["xy"[k % 2]]), None if k % 5 == 0 else "xy"[k % 2], "s", 400) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.language_stage(spark, docs, "")
+    assert {r["doc_id"]: r["lang"] for r in found.collect()} == {k: "xy"[k % 2] for k in range(80)}
+    sequences = corpus_pipeline.packing_stage(spark, found, "").collect()
+    by_sequence = {}
+    for r in sequences:
+        by_sequence.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 2)
+    assert sorted(by_sequence) == list(range(len(by_sequence))) and all(len(v) == 1 for v in by_sequence.values())
+    assert {r["doc_id"] for r in sequences} == set(range(80))
