@@ -60,10 +60,19 @@ def keyword_terms(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """The different trigrams of the lower-cased words, each padded by two blanks before and one after."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, each)))
+    """The different trigrams of the lower-cased words, each padded by two blanks before and one after.
+
+    With three blanks between padded words, a trigram is any three characters that do not end in two blanks. One expression
+    finds them all; the point after it takes a whole character, also one outside the basic plane."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(..[^ ]|.[^ ] ))."), F.lit(1)))
+
+
+def may_have_few_trigrams(c: Column, most: int) -> Column:
+    """False only for texts that have more than `most` trigrams, which the start of a longer text tells already. Cut inside
+    a word it has a few trigrams that the text has not: the one at its end, and those of a sigma that looks like a last one."""
+    start = 2 * most + 16
+    return (F.char_length(c) <= start) | (F.size(trigrams(F.substring(c, 1, start))) <= most + 5)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import plans
-from quillmark.operators import architecture, chunking, facts, layout, retrieval, workspaces, yamls
+from quillmark.functions import text as T
+from quillmark.operators import architecture, chunking, facts, layout, retrieval, similar, workspaces, yamls
 from quillmark.plans import tabular
 from quillmark.sources import pdf
 
@@ -125,3 +126,45 @@ def test_the_language_found_decides_what_is_packed_together(spark, tmp_path):
         by_sequence.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 2)
     assert sorted(by_sequence) == list(range(len(by_sequence))) and all(len(v) == 1 for v in by_sequence.values())
     assert {r["doc_id"] for r in sequences} == set(range(80))
+
+
+def test_lines_are_dealt_before_their_trigrams_are_made(spark, monkeypatch):
+    """A line's only trigram says here which task made it."""
+    monkeypatch.setattr(similar, "trigrams", lambda c: F.array(F.when(F.startswith(c, F.lit("p")), c).otherwise(F.concat(F.lit("p"), F.spark_partition_id().cast("string")))))
+    tasks_ = spark.range(64).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("left_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("content"))
+    lines = spark.range(200).select(F.col("id").alias("right_id"), F.lit("some").alias("content")).coalesce(1)
+    got = similar.similar(tasks_, lines, 0.5).collect()
+    assert len(got) == 200 and len({r["left_id"] for r in got}) > 8
+
+
+def test_long_lines_are_left_by_their_start(spark, monkeypatch):
+    """All trigrams of a long line are made only if its start has as few as a similar one could have."""
+    whole = lambda c: F.when((F.char_length(c) > 1_000) & F.contains(c, F.lit("0")), F.raise_error("a long line's trigrams").cast("array<string>")).otherwise(T.trigrams(c))
+    monkeypatch.setattr(similar, "trigrams", whole)
+    prose, same = " ".join(f"w{i}o{i * 7}r" for i in range(400)), "abc " * 400
+    lines = spark.createDataFrame([(1, prose), (2, same), (3, "abc"), (4, None), (5, "")], "right_id long, content string").coalesce(1)
+    terms = spark.createDataFrame([("abc", "abc")], "left_id string, content string")
+    assert {(r[0], r[1], r[2]) for r in similar.similar(terms, lines, 0.3).collect()} == {("abc", 2, 1.0), ("abc", 3, 1.0)}
+
+
+def test_trigrams_and_their_bound_equal_the_words_own(spark):
+    rng = random.Random(3)
+    some = "aAbßΣσʼʼ\U0001d4d0\U00020000\U0001F600 .,\u0301İ\x85_9½Ⅷ\r\t\x00한"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(90))) for _ in range(1_000)]
+    rows = spark.createDataFrame([(x,) for x in [*texts, "", "a", ".", None]], "x string")
+    words = F.regexp_extract_all(F.lower("x"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    assert rows.filter(~T.trigrams(F.col("x")).eqNullSafe(F.array_distinct(F.flatten(F.transform(words, each))))).count() == 0
+    assert rows.filter((F.size(T.trigrams(F.col("x"))) <= 20) & ~T.may_have_few_trigrams(F.col("x"), 20)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_similar_texts_equal_all_pairs_sent_or_dealt(spark, monkeypatch, sent):
+    monkeypatch.setattr(similar, "SENT", sent)
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["the", "then", "thention", "ciónar", "anche", "x", "blend"]) for _ in range(rng.randrange(1, 5)))
+    left, right = [(i, text()) for i in range(60)], [(i, text()) for i in range(90)]
+    grams = lambda x: {f"  {w} "[i : i + 3] for w in x.split() for i in range(len(w) + 1)}
+    want = {(i, j): len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for i, x in left for j, y in right}
+    got = {(r[0], r[1]): r[2] for r in similar.similar(spark.createDataFrame(left, "left_id long, content string"), spark.createDataFrame(right, "right_id long, content string"), 0.3).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.3}
