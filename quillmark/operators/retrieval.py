@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import TRIGRAM_THRESHOLD, cosine, keyword_terms, token_estimate, trigrams
+from quillmark.functions.text import TRIGRAM_THRESHOLD, cosine, keyword_terms, may_have_few_trigrams, token_estimate, trigrams
+from quillmark.session import spread
 
 RRF_K, PER_DOCUMENT = 60, 3
 #: Queries that are sent to the executors at a time.
@@ -89,14 +91,17 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def keyword_recall(chunks: DataFrame, terms: list[str], k: int, key: str = "doc_id", content: str = "content") -> DataFrame:
     """The k chunks most like any of the terms by trigrams, among those at the threshold for one.
 
-    The terms are few literals: their trigrams are made once. Of a chunk's own trigrams only those that some term has are
-    looked at further, and chunks without any go before anything is sorted."""
+    The terms are few literals: their trigrams are made once. A chunk with so many trigrams that no term can be a large enough
+    part of them goes first, by its start if it is long; of the others' trigrams only those that some term has are looked at."""
     if not terms:
         return chunks.select(key, F.lit(None).cast("double").alias("keyword_score")).limit(0)
     made = chunks.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, terms)), trigrams)).first()[0]
     lit = lambda grams: F.array(*map(F.lit, sorted(grams))) if grams else F.array().cast("array<string>")
-    own = trigrams(F.col(content))
-    rows = chunks.select(key, F.size(own).alias("_n"), F.array_intersect(own, lit({g for t in made for g in t})).alias("_t")).filter(F.size("_t") > 0)
+    most = math.floor(max(len(t) for t in made) / TRIGRAM_THRESHOLD + 1e-9)
+    dealt = spread(chunks.select(key, F.col(content).alias("_c")), key)
+    # made once, after the chunks are dealt: a filter would be tried before that, and what it asks for made again
+    own = dealt.select(key, F.explode(F.when(may_have_few_trigrams(F.col("_c"), most), F.array(trigrams(F.col("_c"))))).alias("_g")).filter(F.size("_g").between(1, most))
+    rows = own.select(key, F.size("_g").alias("_n"), F.explode(F.array(F.array_intersect("_g", lit({g for t in made for g in t})))).alias("_t")).filter(F.size("_t") > 0)
     shared = [F.size(F.array_intersect("_t", lit(set(t)))) for t in made]
     best = F.greatest(*[s / (F.col("_n") + F.lit(len(set(t))) - s) for s, t in zip(shared, made)], F.lit(0.0))
     scored = rows.select(key, best.alias("keyword_score")).filter(F.col("keyword_score") >= TRIGRAM_THRESHOLD)

@@ -140,11 +140,13 @@ def test_lines_are_dealt_before_their_trigrams_are_made(spark, monkeypatch):
 def test_long_lines_are_left_by_their_start(spark, monkeypatch):
     """All trigrams of a long line are made only if its start has as few as a similar one could have."""
     whole = lambda c: F.when((F.char_length(c) > 1_000) & F.contains(c, F.lit("0")), F.raise_error("a long line's trigrams").cast("array<string>")).otherwise(T.trigrams(c))
-    monkeypatch.setattr(similar, "trigrams", whole)
+    for module in (similar, retrieval):
+        monkeypatch.setattr(module, "trigrams", whole)
     prose, same = " ".join(f"w{i}o{i * 7}r" for i in range(400)), "abc " * 400
     lines = spark.createDataFrame([(1, prose), (2, same), (3, "abc"), (4, None), (5, "")], "right_id long, content string").coalesce(1)
     terms = spark.createDataFrame([("abc", "abc")], "left_id string, content string")
     assert {(r[0], r[1], r[2]) for r in similar.similar(terms, lines, 0.3).collect()} == {("abc", 2, 1.0), ("abc", 3, 1.0)}
+    assert [tuple(r) for r in retrieval.keyword_recall(lines, ["abc"], 9, "right_id").collect()] == [(2, 1.0), (3, 1.0)]
 
 
 def test_trigrams_and_their_bound_equal_the_words_own(spark):
