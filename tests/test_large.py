@@ -170,3 +170,29 @@ def test_similar_texts_equal_all_pairs_sent_or_dealt(spark, monkeypatch, sent):
     want = {(i, j): len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for i, x in left for j, y in right}
     got = {(r[0], r[1]): r[2] for r in similar.similar(spark.createDataFrame(left, "left_id long, content string"), spark.createDataFrame(right, "right_id long, content string"), 0.3).collect()}
     assert got == {k: v for k, v in want.items() if v >= 0.3}
+
+
+def test_what_passes_on_is_merged_by_many_tasks(spark):
+    """Grants and memberships against a loop over the rows; rows of a null key stay as they are and receive nothing."""
+    rng = random.Random(5)
+    keys = [(p, u) for p in range(40) for u in range(50) if rng.random() < 0.6] + [(None, 0), (None, 10)]
+    rows = [(p, u, rng.choice(workspaces.PERMISSIONS), rng.choice(["active", "disabled"])) for p, u in keys]
+    to, rank = {u: u + 1 for u in range(0, 50, 10)}, workspaces.PERMISSIONS.index
+    passed: dict[tuple, list[str]] = {}
+    for p, u, value, status in rows:
+        if status == "active" and u in to:
+            passed.setdefault((p, to[u]), []).append(value)
+    want = [(p, u, value, "disabled" if u in to else status) for p, u, value, status in rows if p is None or (p, u) not in passed]
+    held = {(p, u): [value] for p, u, value, _ in rows if p is not None}
+    want += [(*k, max(values + held.get(k, []), key=rank), "active") for k, values in passed.items()]
+    grants = spark.createDataFrame(rows, "project_id long, user_id long, permission string, status string").coalesce(1)
+    handovers = spark.createDataFrame(list(to.items()), "source_id long, target_id long")
+    members = grants.filter("project_id is not null").select(F.col("project_id").alias("workspace_id"), "user_id", F.element_at(F.array(*map(F.lit, workspaces.ROLES)), F.expr("1 + array_position(array('read', 'write', 'admin'), permission)").cast("int")).alias("role"), "status", F.col("user_id").alias("joined_at"))
+    spaces = spark.createDataFrame([(3, 0, "team", "active"), (4, 7, "team", "active"), (5, 10, "team", "closed")], "workspace_id long, owner_user_id long, workspace_type string, status string")
+    after = workspaces.handed_over(members, spaces, {}, grants, handovers)
+    assert sorted(map(tuple, after["grants"].collect()), key=str) == sorted(want, key=str)
+    got = {(r["workspace_id"], r["user_id"]): r for r in after["memberships"].collect()}
+    role = {"read": "editor", "write": "admin", "admin": "owner"}
+    assert {k: (r["role"], r["status"]) for k, r in got.items()} == {(p, u): (role[v], s) for p, u, v, s in want if p is not None} | {(3, 1): ("owner", "active")}
+    assert all(r["joined_at"] == (min(u - 1, u) if (p, u - 1) in keys and r["status"] == "active" and (p, u) in passed else u) for (p, u), r in got.items() if (p, u) in held and (p, u) != (3, 1))
+    assert tasks(after["grants"]) > 8 and tasks(after["memberships"]) > 8
