@@ -239,19 +239,27 @@ def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def links(facts: DataFrame) -> DataFrame:
-    """facts (fact_id, fact_type, name, value, path): source_id, target_id, relation_type, confidence, by equi-joins."""
+    """facts (fact_id, fact_type, name, value, path): source_id, target_id, relation_type, confidence, by equi-joins.
+
+    A fact makes rows for each side of each relation that it can have: all of them in one pass, short ones.
+    Sides and pairs are dealt over a given number of tasks, as the parts that adaptive execution joins would be as large as
+    memory allows; all pairs of one key are made, not held, by one task. Pairs that several facts of one id make are one;
+    sorting finds them, since a map of all pairs would be held."""
     f = facts.withColumn("identity", identity(F.col("fact_type"), F.col("name"), F.col("value"))).withColumn("config", is_config_path(F.col("path"))).withColumn("resource", F.lower(F.trim(F.when(F.col("value") == "", F.col("name")).otherwise(F.coalesce("value", "name")))))
-    side = lambda df, p, *cols: df.select(F.col("fact_id").alias(f"{p}_id"), *cols)
-    inits = f.filter("fact_type = 'client_initialization'")
-    invokes = side(inits, "source", "path", "value").join(side(f.filter("fact_type = 'downstream_call'"), "target", "path", "value"), ["path", "value"]).withColumns({"relation_type": F.lit("client_invokes"), "confidence": F.lit(0.96)})
-    named = f.filter(F.col("fact_type").isin("downstream_grpc", "endpoint_config") & F.col("config"))
-    configures = side(named, "source", "identity").join(side(inits.filter("identity <> ''"), "target", "identity"), "identity").withColumns({"relation_type": F.lit("configures_client"), "confidence": F.lit(0.9)})
-    uses = F.explode(F.element_at(F.create_map(*[x for k, v in RESOURCES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("fact_type")))
-    configured = f.filter(F.col("fact_type").isin(*RESOURCES) & F.col("config") & (F.col("resource") != "")).withColumn("use", uses)
-    used = f.filter(~F.col("config")).withColumn("use", F.col("fact_type"))
-    usage = side(configured, "source", "use", "resource").join(side(used, "target", "use", "resource"), ["use", "resource"]).withColumns({"relation_type": F.lit("configures_usage"), "confidence": F.lit(0.98)})
-    cols = ["source_id", "target_id", "relation_type", "confidence"]
-    return invokes.select(cols).unionByName(configures.select(cols)).unionByName(usage.select(cols)).filter("source_id <> target_id").distinct()
+    kind, config = F.col("fact_type"), F.col("config")
+    side = lambda when, relation, *on: F.when(when, F.struct(F.lit(relation).cast("byte").alias("relation"), *[c.alias(n) for c, n in zip(on, ("a", "b"))]))
+    none = F.lit("")
+    called = lambda fact_type: side((kind == fact_type) & F.col("path").isNotNull() & F.col("value").isNotNull(), 0, F.col("path"), F.col("value"))
+    resource = lambda when, use: side(when & (F.col("resource") != ""), 2, use, F.col("resource"))
+    named = side(kind.isin("downstream_grpc", "endpoint_config") & config & (F.col("identity") != ""), 1, F.col("identity"), none)
+    inits = side((kind == "client_initialization") & (F.col("identity") != ""), 1, F.col("identity"), none)
+    asks = [called("client_initialization"), named, *[resource((kind == k) & config, F.lit(use)) for k, uses in RESOURCES.items() for use in uses]]
+    says = [called("downstream_call"), inits, resource(kind.isin(*{use for uses in RESOURCES.values() for use in uses}) & ~config, kind)]
+    rows = lambda sides, id_: spread(f.select(F.col("fact_id").alias(id_), F.inline(F.array_compact(F.array(*sides)))), "relation", "a", "b")
+    pairs = rows(asks, "source_id").join(rows(says, "target_id"), ["relation", "a", "b"]).filter("source_id <> target_id").select("source_id", "target_id", "relation")
+    pairs = first_seen(spread(pairs, "source_id", "target_id"), ["source_id", "target_id", "relation"], "relation")
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("relation").cast("int"))
+    return pairs.select("source_id", "target_id", of(["client_invokes", "configures_client", "configures_usage"]).alias("relation_type"), of([0.96, 0.9, 0.98]).alias("confidence"))
 
 
 def first_seen(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -40,7 +40,7 @@ SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'client_invokes' AS relat
 UNION SELECT a.fact_id, b.fact_id, 'configures_client', 0.9 FROM g a JOIN g b ON a.fact_type IN ('downstream_grpc', 'endpoint_config') AND a.config AND b.fact_type = 'client_initialization' AND a.identity = b.identity AND b.identity <> ''
 UNION SELECT a.fact_id, b.fact_id, 'configures_usage', 0.98 FROM g a JOIN g b ON a.config AND NOT b.config AND a.resource = b.resource AND ((a.fact_type = 'kafka_topic_config' AND b.fact_type IN ('kafka_topic_producer', 'kafka_topic_consumer')) OR (a.fact_type = 'mongo_collection' AND b.fact_type = 'mongo_collection'))""")
 def fact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.links(own(spark, sf_dir, FACTS))
+    return facts.links(own(spark, sf_dir, FACTS, {"lineitem": ["l_orderkey", "l_linenumber"]}))
 
 
 SYMBOLS = "SELECT p_partkey + 100 AS symbol_id, 'f' || p_size || '::' || p_brand AS \"key\", p_brand AS name, p_type AS qualified_name, p_partkey + 100 AS ordinal FROM part UNION ALL SELECT * FROM (VALUES (1, 'a.py::run', 'run', 'run', 0), (2, 'b.py::run', 'run', 'run', 1), (3, 'b.py::Box.get', 'get', 'Box.get', 2), (4, 'c.py::get', 'get', 'get', 3), (5, 'c.py::get', 'get', 'get', 4)) AS t(symbol_id, \"key\", name, qualified_name, ordinal)"

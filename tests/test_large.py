@@ -196,3 +196,27 @@ def test_what_passes_on_is_merged_by_many_tasks(spark):
     assert {k: (r["role"], r["status"]) for k, r in got.items()} == {(p, u): (role[v], s) for p, u, v, s in want if p is not None} | {(3, 1): ("owner", "active")}
     assert all(r["joined_at"] == (min(u - 1, u) if (p, u - 1) in keys and r["status"] == "active" and (p, u) in passed else u) for (p, u), r in got.items() if (p, u) in held and (p, u) != (3, 1))
     assert tasks(after["grants"]) > 8 and tasks(after["memberships"]) > 8
+
+
+def test_links_are_made_by_many_tasks(spark):
+    """Against a loop over all pairs; ids that occur twice, values that are null or empty, and keys that many facts share."""
+    rng = random.Random(6)
+    kinds = ["client_initialization", "downstream_call", "endpoint_config", "downstream_grpc", "kafka_topic_config", "kafka_topic_producer", "kafka_topic_consumer", "mongo_collection", "component"]
+    rows = [(rng.randrange(250), rng.choice(kinds), rng.choice(["cart", "", "orders", "stock"]), rng.choice(["cart", None, "", " Orders"]), rng.choice(["a.py", "b.yaml", None])) for _ in range(300)]
+
+    def linked(a, b):
+        (_, k, name, value, path), (_, j, name_, value_, path_) = a, b
+        config, config_ = path == "b.yaml", path_ == "b.yaml"
+        called = lambda n, v: (n if v is None or v == "" else v).strip().lower()
+        if k == "client_initialization" and j == "downstream_call" and None not in (path, value) and (path, value) == (path_, value_):
+            yield "client_invokes", 0.96
+        if k in ("endpoint_config", "downstream_grpc") and config and j == "client_initialization" and name == name_ != "":
+            yield "configures_client", 0.9
+        if j in facts.RESOURCES.get(k, []) and config and path_ is not None and not config_ and called(name, value) == called(name_, value_) != "":
+            yield "configures_usage", 0.98
+
+    want = {(a[0], b[0], *x) for a in rows for b in rows if a[0] != b[0] for x in linked(a, b)}
+    made = facts.links(spark.createDataFrame(rows, "fact_id long, fact_type string, name string, value string, path string").coalesce(1))
+    got = [tuple(r) for r in made.collect()]
+    assert sorted(got) == sorted(want) and {x[2] for x in want} == {"client_invokes", "configures_client", "configures_usage"}
+    assert tasks(made) > 8
